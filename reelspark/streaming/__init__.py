@@ -1,0 +1,10 @@
+"""Incremental (Structured Streaming) forms of the batch operators."""
+
+from reelspark.streaming.ingest import (
+    clean_ratings_stream,
+    running_key_stats,
+    write_parquet_stream,
+    write_stats_stream,
+)
+
+__all__ = ["clean_ratings_stream", "running_key_stats", "write_parquet_stream", "write_stats_stream"]

@@ -109,3 +109,20 @@ def test_save_load_round_trip(fitted, tmp_dir):
     a = sorted(map(tuple, M.predict(m, test).select("userId", "movieId", "prediction").collect()))
     b = sorted(map(tuple, M.predict(m2, test).select("userId", "movieId", "prediction").collect()))
     assert a == b
+
+
+def test_training_pipeline_end_to_end(spark, smoke_dir, tmp_dir):
+    from reelspark.plans.training import run_training
+    from reelspark.sources import fixtures as fx
+
+    res = run_training(spark, fx.ratings(spark, smoke_dir), fx.movies(spark, smoke_dir), tmp_dir,
+                       top_n=5, min_user_ratings=2, min_movie_ratings=2, max_iter=3)
+    m = res.metrics.first()
+    assert m.n > 0 and math.isfinite(m.rmse)
+    recs = res.recommendations
+    assert recs.columns == ["userId", "movieId", "title", "genres", "score"]
+    assert recs.groupBy("userId").count().agg(F.max("count")).first()[0] <= 5
+    for sub in ("model", "preprocessed_data/train_data", "preprocessed_data/test_data",
+                "preprocessed_data/movies_data", "user_recommendations"):
+        assert os.path.isdir(os.path.join(tmp_dir, sub))
+    assert res.train.count() + res.test.count() > 0
