@@ -1,17 +1,97 @@
 """Top-N recommendation from a fitted ALS model, unnesting and catalog join.
 
-Scoring every (user, item) pair is inherent to exact top-N.  Spark ML does
-it block against block (4096 factors per block), keeps at most N candidates
-per user from each item block and merges them with a bounded top-N
-aggregate, so no task ever holds all pairs of a user.
+Exact top-N has to score every (user, item) pair.  Two plans:
+
+* **broadcast** (used when the other side's factor table is provably small:
+  its row count x rank x 4 bytes is under ``max_broadcast_bytes``): that
+  factor matrix is shipped once to every executor and each partition of the
+  scored side is scored in Arrow batches (one matrix product per slice of
+  rows, partial selection of the best N).  No shuffle, no pair product; the
+  output is exactly N rows per key.
+* **blocked** (anything larger): Spark ML's own method, factor blocks
+  against factor blocks with a bounded top-N merge.
+
+Both return Spark ML's nested shape: (key, recommendations
+array<struct<other_key, rating>>).  Ties on the score are broken by the
+smaller id in the broadcast plan.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Upper bound for the factor matrix shipped to every executor.
+DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+# Working-memory budget of one score slice inside a task.
+SCORE_SLICE_BYTES = 64 * 1024 * 1024
+
+
+def _matrix(factors: DataFrame, rank: int, max_bytes: int):
+    """(ids, float32 matrix) of a factor table, or None when it is not
+    provably under ``max_bytes`` (checked with a count before collecting)."""
+    n = factors.count()
+    if n * (rank * 4 + 4) > max_bytes:
+        return None
+    tbl = factors.select("id", "features").toArrow()
+    ids = tbl.column("id").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int32)
+    flat = pc.list_flatten(tbl.column("features").combine_chunks())
+    mat = flat.to_numpy(zero_copy_only=False).astype(np.float32).reshape(n, rank)
+    return ids, np.ascontiguousarray(mat)
+
+
+def _scorer(bc, rank: int, n: int, key: str, other: str):
+    out_type = pa.list_(pa.struct([(other, pa.int32()), ("rating", pa.float32())]))
+
+    def score(batches):
+        ids, mat = bc.value
+        n_items = len(ids)
+        k = min(n, n_items)
+        mat_t = np.ascontiguousarray(mat.T)
+        step = max(1, SCORE_SLICE_BYTES // max(1, n_items * 4))
+        for b in batches:
+            src = b.column(0).to_numpy(zero_copy_only=False).astype(np.int32)
+            rows = len(src)
+            feats = pc.list_flatten(b.column(1)).to_numpy(zero_copy_only=False).astype(np.float32)
+            u = feats.reshape(rows, rank)
+            top_ids = np.empty((rows, k), dtype=np.int32)
+            top_scores = np.empty((rows, k), dtype=np.float32)
+            for lo in range(0, rows, step):
+                s = u[lo : lo + step] @ mat_t
+                if k == 0:
+                    continue
+                if k < n_items:
+                    idx = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                else:
+                    idx = np.broadcast_to(np.arange(n_items), s.shape)
+                cs = np.take_along_axis(s, idx, axis=1)
+                ci = ids[idx]
+                order = np.lexsort((ci, -cs), axis=-1)
+                top_scores[lo : lo + step] = np.take_along_axis(cs, order, axis=1)
+                top_ids[lo : lo + step] = np.take_along_axis(ci, order, axis=1)
+            structs = pa.StructArray.from_arrays(
+                [pa.array(top_ids.reshape(-1)), pa.array(top_scores.reshape(-1))], names=[other, "rating"]
+            )
+            offsets = pa.array(np.arange(0, rows * k + 1, k, dtype=np.int32) if k else np.zeros(rows + 1, np.int32))
+            recs = pa.ListArray.from_arrays(offsets, structs).cast(out_type)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int32()), recs], names=[key, "recommendations"])
+
+    return score
+
+
+def _top_n(src: DataFrame, dst: DataFrame, rank: int, n: int, key: str, other: str, max_bytes: int):
+    """Broadcast plan when ``dst`` is small enough, else None."""
+    m = _matrix(dst, rank, max_bytes)
+    if m is None:
+        return None
+    bc = src.sparkSession.sparkContext.broadcast(m)
+    schema = f"{key} int, recommendations array<struct<{other}:int,rating:float>>"
+    return src.select("id", "features").mapInArrow(_scorer(bc, rank, n, key, other), schema)
+
 
 def _check_n(n: int) -> int:
     if n is None or int(n) < 0:
@@ -19,27 +99,65 @@ def _check_n(n: int) -> int:
     return int(n)
 
 
-def recommend_for_all_users(model: ALSModel, n: int = 10) -> DataFrame:
-    """(userId, recommendations array<struct<movieId, rating>>)."""
-    return model.recommendForAllUsers(_check_n(n))
+def _subset(factors: DataFrame, keys: DataFrame, col: str) -> DataFrame:
+    return factors.join(keys.select(F.col(col).alias("id")).distinct(), "id", "left_semi")
+
 
+def recommend_for_all_users(
+    model: ALSModel, n: int = 10, method: str = "auto", max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES
+) -> DataFrame:
+    """(userId, recommendations array<struct<movieId, rating>>).
+    ``method``: "auto" (broadcast when the item factors fit, else blocked),
+    "broadcast" (raise if they do not fit) or "blocked"."""
+    return _recommend(model, model.userFactors, model.itemFactors, n, method, max_broadcast_bytes,
+                      lambda: model.recommendForAllUsers(n), model.getUserCol(), model.getItemCol())
 
-def recommend_for_all_items(model: ALSModel, n: int = 10) -> DataFrame:
+
+def recommend_for_all_items(
+    model: ALSModel, n: int = 10, method: str = "auto", max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES
+) -> DataFrame:
     """(movieId, recommendations array<struct<userId, rating>>)."""
-    return model.recommendForAllItems(_check_n(n))
+    return _recommend(model, model.itemFactors, model.userFactors, n, method, max_broadcast_bytes,
+                      lambda: model.recommendForAllItems(n), model.getItemCol(), model.getUserCol())
 
 
-def recommend_for_users(model: ALSModel, users: DataFrame, n: int = 10) -> DataFrame:
+def recommend_for_users(
+    model: ALSModel, users: DataFrame, n: int = 10, method: str = "auto",
+    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+) -> DataFrame:
     """Top-N for the users in ``users`` (any number of them).
     Users unknown to the model get no row (N7: empty in, empty out)."""
     col = model.getUserCol()
-    return model.recommendForUserSubset(users.select(col).distinct(), _check_n(n))
+    keys = users.select(col).distinct()
+    return _recommend(model, _subset(model.userFactors, keys, col), model.itemFactors, n, method,
+                      max_broadcast_bytes, lambda: model.recommendForUserSubset(keys, n), col, model.getItemCol())
 
 
-def recommend_for_items(model: ALSModel, items: DataFrame, n: int = 10) -> DataFrame:
+def recommend_for_items(
+    model: ALSModel, items: DataFrame, n: int = 10, method: str = "auto",
+    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+) -> DataFrame:
     """N3 mirrored: top-N users for the items in ``items``."""
     col = model.getItemCol()
-    return model.recommendForItemSubset(items.select(col).distinct(), _check_n(n))
+    keys = items.select(col).distinct()
+    return _recommend(model, _subset(model.itemFactors, keys, col), model.userFactors, n, method,
+                      max_broadcast_bytes, lambda: model.recommendForItemSubset(keys, n), col, model.getUserCol())
+
+
+METHODS = ("auto", "broadcast", "blocked")
+
+
+def _recommend(model, src, dst, n, method, max_bytes, blocked, key, other):
+    n = _check_n(n)
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}, got {method!r}")
+    if method != "blocked":
+        out = _top_n(src, dst, model.rank, n, key, other, max_bytes)
+        if out is not None:
+            return out
+        if method == "broadcast":
+            raise ValueError("factor table exceeds max_broadcast_bytes; use method='blocked' or 'auto'")
+    return blocked()
 
 
 def unnest(recs: DataFrame, key: str = "userId", item: str = "movieId", score: str = "predicted_rating") -> DataFrame:

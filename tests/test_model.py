@@ -126,3 +126,34 @@ def test_training_pipeline_end_to_end(spark, smoke_dir, tmp_dir):
                 "preprocessed_data/movies_data", "user_recommendations"):
         assert os.path.isdir(os.path.join(tmp_dir, sub))
     assert res.train.count() + res.test.count() > 0
+
+
+def test_broadcast_and_blocked_plans_agree(spark, fitted):
+    m, _, _ = fitted
+    a = {r.userId: r.recommendations for r in recommend.recommend_for_all_users(m, 7, method="blocked").collect()}
+    b = {r.userId: r.recommendations for r in recommend.recommend_for_all_users(m, 7, method="broadcast").collect()}
+    assert set(a) == set(b)
+    for u in a:
+        assert {x.movieId for x in a[u]} == {x.movieId for x in b[u]}
+        assert np.allclose([x.rating for x in a[u]], [x.rating for x in b[u]], atol=1e-5)
+    ia = recommend.recommend_for_all_items(m, 4, method="blocked").collect()
+    ib = recommend.recommend_for_all_items(m, 4, method="broadcast").collect()
+    assert {(r.movieId, frozenset(x.userId for x in r.recommendations)) for r in ia} == {
+        (r.movieId, frozenset(x.userId for x in r.recommendations)) for r in ib
+    }
+    # more recommendations asked than items exist: every item, best first
+    big = recommend.recommend_for_all_users(m, 10_000, method="broadcast").first().recommendations
+    assert len(big) == m.itemFactors.count()
+    assert [x.rating for x in big] == sorted((x.rating for x in big), reverse=True)
+
+
+def test_broadcast_is_size_checked(spark, fitted):
+    m, _, _ = fitted
+    with pytest.raises(ValueError):
+        recommend.recommend_for_all_users(m, 3, method="broadcast", max_broadcast_bytes=10)
+    small = recommend.recommend_for_all_users(m, 3, method="auto", max_broadcast_bytes=10)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # fell back to the blocked plan
+    assert small.count() == m.userFactors.count()
+    with pytest.raises(ValueError):
+        recommend.recommend_for_all_users(m, 3, method="fastest")
