@@ -160,10 +160,18 @@ def _recommend(model, src, dst, n, method, max_bytes, blocked, key, other):
     return blocked()
 
 
-def unnest(recs: DataFrame, key: str = "userId", item: str = "movieId", score: str = "predicted_rating") -> DataFrame:
-    """One row per (key, item, score) from the nested form."""
-    return recs.select(key, F.inline("recommendations")).select(
-        key, F.col(item), F.col("rating").alias(score)
+def unnest(
+    recs: DataFrame, key: str = "userId", item: str = "movieId", score: str = "predicted_rating",
+    rank: str | None = None,
+) -> DataFrame:
+    """One row per (key, item, score) from the nested form; with ``rank``
+    also the 1-based position in the user's list (best first)."""
+    if rank is None:
+        return recs.select(key, F.inline("recommendations")).select(
+            key, F.col(item), F.col("rating").alias(score)
+        )
+    return recs.select(key, F.posexplode("recommendations").alias("_pos", "_r")).select(
+        key, (F.col("_pos") + 1).alias(rank), F.col(f"_r.{item}").alias(item), F.col("_r.rating").alias(score)
     )
 
 
@@ -176,11 +184,26 @@ def attach_movies(flat: DataFrame, movies: DataFrame, score: str = "predicted_ra
     )
 
 
-def user_recommendations(model: ALSModel, movies: DataFrame, users: DataFrame, n: int = 10) -> DataFrame:
-    """(userId, movieId, title, genres, predicted_rating), best first."""
-    flat = unnest(recommend_for_users(model, users, n))
-    return attach_movies(flat, movies).orderBy(
-        "userId", F.desc("predicted_rating"), "movieId"
+def user_recommendations(model: ALSModel, movies: DataFrame, users: DataFrame, n: int = 10, **kw) -> DataFrame:
+    """N3-N5 for any number of users:
+    (userId, rank, movieId, title, genres, predicted_rating), rank 1 = best.
+
+    Not globally sorted: a global sort would re-run the whole upstream plan
+    to sample range bounds.  Order by (userId, rank) when presenting."""
+    flat = unnest(recommend_for_users(model, users, n, **kw), rank="rank")
+    return attach_movies(flat, movies)
+
+
+def recommendations_for_user(model: ALSModel, movies: DataFrame, user_id: int, n: int = 10, **kw) -> DataFrame:
+    """N3-N5 for one user, as the reference returns it:
+    (movieId, title, genres, predicted_rating), best first."""
+    spark = movies.sparkSession
+    users = spark.createDataFrame([(int(user_id),)], f"{model.getUserCol()} int")
+    flat = unnest(recommend_for_users(model, users, n, **kw))
+    return (
+        attach_movies(flat, movies)
+        .select("movieId", "title", "genres", "predicted_rating")
+        .orderBy(F.desc("predicted_rating"), "movieId")
     )
 
 

@@ -90,10 +90,15 @@ def test_user_subset_and_catalog_join(spark, fitted):
                                    "movieId int, title string, genres string")
     users = spark.createDataFrame([(1,), (1,), (99_999,)], "userId int")
     out = recommend.user_recommendations(m, movies, users, 4)
-    rows = out.collect()
+    rows = sorted(out.collect(), key=lambda r: (r.userId, r["rank"]))
+    assert out.columns == ["userId", "rank", "movieId", "title", "genres", "predicted_rating"]
     assert {r.userId for r in rows} == {1}
     assert len(rows) <= 4 and 0 not in {r.movieId for r in rows}
     assert [r.predicted_rating for r in rows] == sorted((r.predicted_rating for r in rows), reverse=True)
+    one = recommend.recommendations_for_user(m, movies, 1, 4)
+    assert one.columns == ["movieId", "title", "genres", "predicted_rating"]
+    assert [r.movieId for r in one.collect()] == [r.movieId for r in rows]
+    assert recommend.recommendations_for_user(m, movies, 99_999, 4).count() == 0
     assert recommend.user_recommendations(m, movies, users.limit(0), 4).count() == 0
     batch = recommend.batch_recommendations(m, movies, 3)
     assert batch.columns == ["userId", "movieId", "title", "genres", "score"]
