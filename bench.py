@@ -35,7 +35,7 @@ def main() -> None:
     timings: dict[str, float] = {}
     names = only or list(Q.QUERIES)
     model_based = {"als_predictions", "als_metrics", "recommend_all_users", "recommend_all_items",
-                   "recommend_user_subset", "batch_recommendations"}
+                   "recommend_user_subset", "recommend_one_user", "batch_recommendations"}
     for name in names:
         if name in model_based and "als_fit" not in timings:
             t0 = time.perf_counter()

@@ -32,6 +32,14 @@ from reelspark.functions.genres import (
 )
 from reelspark.functions.titles import year_sort_key
 
+# fixed values: the genre list used when the caller asks for a fallback
+FALLBACK_GENRES = [
+    "Action", "Adventure", "Animation", "Children", "Comedy",
+    "Crime", "Documentary", "Drama", "Fantasy", "Film-Noir",
+    "Horror", "Musical", "Mystery", "Romance", "Sci-Fi",
+    "Thriller", "War", "Western",
+]
+
 SORT_KEYS = ("title", "year")
 MATCH_MODES = ("substring", "exact")
 
@@ -89,6 +97,12 @@ def genres_sorted(movies: DataFrame) -> DataFrame:
     return listed_genres(movies).orderBy("genre")
 
 
+def fallback_genres(spark) -> DataFrame:
+    """The fixed genre list, for callers that want a list even when the
+    catalog cannot be read.  Never substituted silently."""
+    return spark.createDataFrame([(g,) for g in FALLBACK_GENRES], "genre string")
+
+
 def top_genres(movies: DataFrame, n: int = 12) -> DataFrame:
     """The first ``n`` genres in alphabetical order."""
     return genres_sorted(movies).limit(_check_limit(n))

@@ -146,6 +146,9 @@ SELECT target_id, movieId, title, genres, CAST(similar_rank AS INTEGER) AS simil
 _BODIES: dict[str, str] = {
     "row_counts": "SELECT 'ratings' AS table_name, count(*) AS num_rows FROM ratings_n "
     "UNION ALL SELECT 'movies', count(*) FROM movies",
+    "ratings_preview": 'SELECT userId, movieId, CAST(rating AS DOUBLE) AS rating, "timestamp" FROM ratings_n '
+    f"ORDER BY userId, movieId LIMIT {Q.PREVIEW_N}",
+    "movies_preview": f"SELECT movieId, title, genres FROM movies ORDER BY movieId LIMIT {Q.PREVIEW_N}",
     "rating_summary": " UNION ALL ".join(_summary_row(c) for c in ("userId", "movieId", "rating", "timestamp")),
     "missing_ratings": 'SELECT count_if(userId IS NULL) AS userId, count_if(movieId IS NULL) AS movieId, '
     'count_if(rating IS NULL OR isnan(rating)) AS rating, count_if("timestamp" IS NULL) AS "timestamp" FROM ratings_n',

@@ -27,6 +27,8 @@ TOP_GENRES = 12
 REC_N = 10
 BATCH_N = 20
 FIXTURE_RECS = 5
+PREVIEW_N = 5
+USER_ID = 1
 SPLIT_SEED = 42
 SPLIT_WEIGHTS = (0.8, 0.2)
 
@@ -62,6 +64,14 @@ def q_row_counts(spark, sf):
     return profile.row_counts({"ratings": _ratings_n(spark, sf), "movies": _movies(spark, sf)})
 
 
+def q_ratings_preview(spark, sf):
+    return _dbl(profile.preview(_ratings_n(spark, sf), ["userId", "movieId"], PREVIEW_N), "rating")
+
+
+def q_movies_preview(spark, sf):
+    return profile.preview(_movies(spark, sf), ["movieId"], PREVIEW_N)
+
+
 def q_rating_summary(spark, sf):
     s = profile.numeric_summary(_ratings_n(spark, sf))
     return s.withColumn("stddev", F.round("stddev", 6))
@@ -299,12 +309,18 @@ def q_recommend_user_subset(spark, sf):
     return recommend.user_recommendations(fitted_model(spark, sf), _movies(spark, sf), test, REC_N)
 
 
+def q_recommend_one_user(spark, sf):
+    return recommend.recommendations_for_user(fitted_model(spark, sf), _movies(spark, sf), USER_ID, REC_N)
+
+
 def q_batch_recommendations(spark, sf):
     return recommend.batch_recommendations(fitted_model(spark, sf), _movies(spark, sf), BATCH_N)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "row_counts": q_row_counts,
+    "ratings_preview": q_ratings_preview,
+    "movies_preview": q_movies_preview,
     "rating_summary": q_rating_summary,
     "missing_ratings": q_missing_ratings,
     "missing_movies": q_missing_movies,
@@ -349,5 +365,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recommend_all_users": q_recommend_all_users,
     "recommend_all_items": q_recommend_all_items,
     "recommend_user_subset": q_recommend_user_subset,
+    "recommend_one_user": q_recommend_one_user,
     "batch_recommendations": q_batch_recommendations,
 }

@@ -137,3 +137,8 @@ def test_genre_lists(movies):
     assert catalog.genres_sorted(movies).collect()[0].genre == "Brand#1"
     assert [r.genre for r in catalog.top_genres(movies, 2).collect()] == ["Brand#1", "Brand#13"]
     assert SENT in {r.genre for r in catalog.distinct_genres(movies).collect()}
+
+
+def test_fallback_genres_is_explicit(spark):
+    got = [r.genre for r in catalog.fallback_genres(spark).collect()]
+    assert len(got) == 18 and got == sorted(got)

@@ -11,7 +11,7 @@ from reelspark.sources import fixtures as fx
 from reelspark.sources import io
 
 MODEL_BASED = {"als_predictions", "als_metrics", "recommend_all_users", "recommend_all_items",
-               "recommend_user_subset", "batch_recommendations"}
+               "recommend_user_subset", "recommend_one_user", "batch_recommendations"}
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "MapInPandas", "FlatMapGroupsInPandas")
 PAIR_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
