@@ -98,22 +98,44 @@ def split_bucket(seed: int, cols=SPLIT_KEY_COLUMNS) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def hash_split(df: DataFrame, weights=(0.8, 0.2), seed: int = 42, cols=SPLIT_KEY_COLUMNS) -> list[DataFrame]:
-    """Split ``df`` by weights with a per-row hash (default), returning
-    one DataFrame per weight.  Unlike ``randomSplit`` the result does not
-    depend on how the parent is partitioned or whether it is cached."""
+def _bounds(weights) -> list[int]:
     total = float(sum(weights))
     if total <= 0 or any(w < 0 for w in weights):
         raise ValueError("weights must be non-negative and sum to a positive value")
-    bounds = [0]
-    acc = 0.0
+    bounds, acc = [0], 0.0
     for w in weights:
         acc += w
         bounds.append(int(round(acc / total * _HASH_SPACE)))
+    return bounds
+
+
+def hash_split(df: DataFrame, weights=(0.8, 0.2), seed: int = 42, cols=SPLIT_KEY_COLUMNS) -> list[DataFrame]:
+    """Split ``df`` by weights with a per-row hash (default), returning
+    one DataFrame per weight.  Unlike ``randomSplit`` the result does not
+    depend on how the parent is partitioned or whether it is cached."""
+    bounds = _bounds(weights)
     b = split_bucket(seed, cols)
     return [df.filter((b >= lo) & (b < hi)) for lo, hi in zip(bounds[:-1], bounds[1:])]
 
 
+def label_split(
+    df: DataFrame, weights=(0.8, 0.2), seed: int = 42, names=("train", "test"), cols=SPLIT_KEY_COLUMNS,
+    label: str = "split",
+) -> DataFrame:
+    """R8 in one pass: the same split as :func:`hash_split`, as a ``label``
+    column naming each row's part, so all parts are produced by one job
+    (e.g. written once, partitioned by the label)."""
+    if len(names) != len(weights):
+        raise ValueError("one name per weight")
+    bounds = _bounds(weights)
+    b = split_bucket(seed, cols)
+    expr = None
+    for name, lo, hi in zip(names, bounds[:-1], bounds[1:]):
+        cond = (b >= lo) & (b < hi)
+        expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
+    return df.withColumn(label, expr)
+
+
 def random_split(df: DataFrame, weights=(0.8, 0.2), seed: int = 42) -> list[DataFrame]:
     """R8 as in the reference (``randomSplit``; depends on partitioning)."""
     return df.randomSplit(list(weights), seed=seed)

@@ -6,10 +6,12 @@ ratings, movies
   -> batch top-N with movie info (N6)
 with the Parquet/model sinks of the reference (S9-S11).
 
-Nothing is collected except the single-row metrics.  The split halves are
-written once and read back, which both cuts their lineage (a lost executor
-recomputes from the written files, not from the raw ratings) and feeds the
-model from columnar files.
+Nothing is collected except the single-row metrics.  The prepared ratings
+are labelled train/test in one pass and written once as a Parquet table
+partitioned by the label; both halves are read back from it (partition
+pruning).  That runs the preparation a single time, cuts the lineage (a lost
+executor recomputes from the written files, not from the raw ratings) and
+feeds the model from columnar files.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reelspark.operators import model as M
 from reelspark.operators import prepare, recommend
@@ -53,17 +56,18 @@ def run_training(
     **als_params,
 ) -> TrainingResult:
     """Run the whole offline pipeline, writing under ``out_dir`` (a shared
-    folder on a cluster): preprocessed_data/{train,test,movies},
-    model/, user_recommendations/."""
+    folder on a cluster): preprocessed_data/ratings_data/split={train,test},
+    preprocessed_data/movies_data, model/, user_recommendations/."""
     dense = prepare_ratings(ratings, min_user_ratings, min_movie_ratings)
-    train, test = prepare.hash_split(dense, weights, seed)
+    labelled = prepare.label_split(dense, weights, seed, names=("train", "test"))
 
     data_dir = os.path.join(out_dir, "preprocessed_data")
-    io.write_parquet(train, os.path.join(data_dir, "train_data"))
-    io.write_parquet(test, os.path.join(data_dir, "test_data"))
+    ratings_path = os.path.join(data_dir, "ratings_data")
+    io.write_parquet(labelled, ratings_path, partition_by=["split"])
     io.write_parquet(movies, os.path.join(data_dir, "movies_data"))
-    train = io.read_parquet(spark, os.path.join(data_dir, "train_data"))
-    test = io.read_parquet(spark, os.path.join(data_dir, "test_data"))
+    stored = io.read_parquet(spark, ratings_path)
+    train = stored.filter(F.col("split") == "train").drop("split")
+    test = stored.filter(F.col("split") == "test").drop("split")
     catalog = io.read_parquet(spark, os.path.join(data_dir, "movies_data"))
 
     als_params.setdefault("seed", seed)

@@ -127,7 +127,7 @@ def test_training_pipeline_end_to_end(spark, smoke_dir, tmp_dir):
     recs = res.recommendations
     assert recs.columns == ["userId", "movieId", "title", "genres", "score"]
     assert recs.groupBy("userId").count().agg(F.max("count")).first()[0] <= 5
-    for sub in ("model", "preprocessed_data/train_data", "preprocessed_data/test_data",
+    for sub in ("model", "preprocessed_data/ratings_data/split=train", "preprocessed_data/ratings_data/split=test",
                 "preprocessed_data/movies_data", "user_recommendations"):
         assert os.path.isdir(os.path.join(tmp_dir, sub))
     assert res.train.count() + res.test.count() > 0

@@ -94,3 +94,16 @@ def test_profile_summary_and_missing(ratings):
     assert (m.userId, m.movieId, m.rating, m.timestamp) == (1, 1, 2, 1)
     h = {r.rating: r["count"] for r in profile.rating_histogram(ratings).collect() if r.rating == r.rating}
     assert h[3.0] == 2
+
+
+def test_label_split_equals_hash_split(spark, smoke_dir):
+    from reelspark.sources import fixtures as fx
+
+    r = fx.ratings(spark, smoke_dir)
+    train, test = prepare.hash_split(r, (0.8, 0.2), seed=42)
+    lab = prepare.label_split(r, (0.8, 0.2), seed=42, names=("train", "test"))
+    got_train = set(map(tuple, lab.filter("split = 'train'").drop("split").collect()))
+    got_test = set(map(tuple, lab.filter("split = 'test'").drop("split").collect()))
+    assert got_train == set(map(tuple, train.collect()))
+    assert got_test == set(map(tuple, test.collect()))
+    assert lab.filter("split IS NULL").count() == 0
