@@ -16,13 +16,27 @@ def drop_incomplete(ratings: DataFrame) -> DataFrame:
     )
 
 
-def add_time_features(ratings: DataFrame) -> DataFrame:
-    """R2: epoch seconds -> datetime string (session time zone), year,
-    month, day of week (1 = Sunday)."""
-    ts = F.timestamp_seconds(F.col("timestamp"))
+_EPOCH_NTZ = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def add_time_features(ratings: DataFrame, time_zone: str | None = None) -> DataFrame:
+    """R2: epoch seconds -> datetime string, year, month, day of week
+    (1 = Sunday).
+
+    ``time_zone=None`` renders in the session time zone, as the reference
+    does; a zone name (e.g. "UTC") renders in that zone whatever the
+    session says, using zone-free timestamp arithmetic."""
+    if time_zone is None:
+        ts = F.timestamp_seconds(F.col("timestamp"))
+        datetime = F.from_unixtime(F.col("timestamp"))
+    else:
+        ts = F.timestamp_add("SECOND", F.col("timestamp"), _EPOCH_NTZ)  # UTC wall clock
+        if time_zone.upper() not in ("UTC", "Z", "GMT"):
+            ts = F.convert_timezone(F.lit("UTC"), F.lit(time_zone), ts)
+        datetime = F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
     return ratings.select(
         "*",
-        F.from_unixtime(F.col("timestamp")).alias("datetime"),
+        datetime.alias("datetime"),
         F.year(ts).alias("year"),
         F.month(ts).alias("month"),
         F.dayofweek(ts).alias("dayofweek"),

@@ -116,10 +116,15 @@ genre_stats AS (
 """
 
 
+def _sig(x: str, digits: int = 9) -> str:
+    scale = f"pow(10.0, floor(log10(abs({x}))))"
+    return f"CASE WHEN {x} IS NULL OR {x} = 0 THEN {x} ELSE round({x} / {scale}, {digits - 1}) * {scale} END"
+
+
 def _summary_row(c: str) -> str:
     x = f'CAST("{c}" AS DOUBLE)'
     return (
-        f"SELECT '{c}' AS column_name, count(\"{c}\") AS n, avg({x}) AS mean, round(stddev_samp({x}), 6) AS stddev, "
+        f"SELECT '{c}' AS column_name, count(\"{c}\") AS n, avg({x}) AS mean, {_sig(f'stddev_samp({x})')} AS stddev, "
         f"min({x}) AS min_value, max({x}) AS max_value FROM ratings_n"
     )
 

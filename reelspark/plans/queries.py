@@ -28,6 +28,7 @@ REC_N = 10
 BATCH_N = 20
 FIXTURE_RECS = 5
 PREVIEW_N = 5
+TIME_ZONE = "UTC"
 USER_ID = 1
 SPLIT_SEED = 42
 SPLIT_WEIGHTS = (0.8, 0.2)
@@ -42,7 +43,7 @@ def _ratings_n(spark, sf):
 
 
 def _clean(spark, sf):
-    return prepare.add_time_features(prepare.drop_incomplete(_ratings_n(spark, sf)))
+    return prepare.add_time_features(prepare.drop_incomplete(_ratings_n(spark, sf)), time_zone=TIME_ZONE)
 
 
 def _dense(spark, sf):
@@ -72,9 +73,16 @@ def q_movies_preview(spark, sf):
     return profile.preview(_movies(spark, sf), ["movieId"], PREVIEW_N)
 
 
+def round_significant(c, digits: int = 9):
+    """Round to ``digits`` significant digits (engines differ in the last
+    bits of a sample standard deviation)."""
+    scale = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))))
+    return F.when(c.isNull() | (c == 0), c).otherwise(F.round(c / scale, digits - 1) * scale)
+
+
 def q_rating_summary(spark, sf):
     s = profile.numeric_summary(_ratings_n(spark, sf))
-    return s.withColumn("stddev", F.round("stddev", 6))
+    return s.withColumn("stddev", round_significant(F.col("stddev")))
 
 
 def q_missing_ratings(spark, sf):

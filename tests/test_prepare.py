@@ -107,3 +107,18 @@ def test_label_split_equals_hash_split(spark, smoke_dir):
     assert got_train == set(map(tuple, train.collect()))
     assert got_test == set(map(tuple, test.collect()))
     assert lab.filter("split IS NULL").count() == 0
+
+
+def test_time_features_explicit_zone_ignores_session(spark, ratings):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        utc = {r.timestamp: r for r in prepare.add_time_features(ratings, time_zone="UTC").collect()}
+        assert utc[0].datetime == "1970-01-01 00:00:00" and utc[0].dayofweek == 5
+        ist = {r.timestamp: r for r in prepare.add_time_features(ratings, time_zone="Asia/Kolkata").collect()}
+        assert ist[0].datetime == "1970-01-01 05:30:00"
+        session = {r.timestamp: r for r in prepare.add_time_features(ratings).collect()}
+        assert session[0].datetime == "1970-01-01 05:30:00"  # reference behaviour: session zone
+        assert utc[None].datetime is None
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
