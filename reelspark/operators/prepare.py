@@ -16,7 +16,8 @@ def drop_incomplete(ratings: DataFrame) -> DataFrame:
     )
 
 
-_EPOCH_NTZ = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+def _epoch_ntz() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def add_time_features(ratings: DataFrame, time_zone: str | None = None) -> DataFrame:
@@ -30,7 +31,7 @@ def add_time_features(ratings: DataFrame, time_zone: str | None = None) -> DataF
         ts = F.timestamp_seconds(F.col("timestamp"))
         datetime = F.from_unixtime(F.col("timestamp"))
     else:
-        ts = F.timestamp_add("SECOND", F.col("timestamp"), _EPOCH_NTZ)  # UTC wall clock
+        ts = F.timestamp_add("SECOND", F.col("timestamp"), _epoch_ntz())  # UTC wall clock
         if time_zone.upper() not in ("UTC", "Z", "GMT"):
             ts = F.convert_timezone(F.lit("UTC"), F.lit(time_zone), ts)
         datetime = F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
