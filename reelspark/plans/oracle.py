@@ -155,10 +155,10 @@ _BODIES: dict[str, str] = {
     f"ORDER BY userId, movieId LIMIT {Q.PREVIEW_N}",
     "movies_preview": f"SELECT movieId, title, genres FROM movies ORDER BY movieId LIMIT {Q.PREVIEW_N}",
     "rating_summary": " UNION ALL ".join(_summary_row(c) for c in ("userId", "movieId", "rating", "timestamp")),
-    "missing_ratings": 'SELECT count_if(userId IS NULL) AS userId, count_if(movieId IS NULL) AS movieId, '
-    'count_if(rating IS NULL OR isnan(rating)) AS rating, count_if("timestamp" IS NULL) AS "timestamp" FROM ratings_n',
-    "missing_movies": "SELECT count_if(movieId IS NULL) AS movieId, count_if(title IS NULL) AS title, "
-    "count_if(genres IS NULL) AS genres FROM movies",
+    "missing_ratings": 'SELECT CAST(count_if(userId IS NULL) AS BIGINT) AS userId, CAST(count_if(movieId IS NULL) AS BIGINT) AS movieId, '
+    'CAST(count_if(rating IS NULL OR isnan(rating)) AS BIGINT) AS rating, CAST(count_if("timestamp" IS NULL) AS BIGINT) AS "timestamp" FROM ratings_n',
+    "missing_movies": "SELECT CAST(count_if(movieId IS NULL) AS BIGINT) AS movieId, CAST(count_if(title IS NULL) AS BIGINT) AS title, "
+    "CAST(count_if(genres IS NULL) AS BIGINT) AS genres FROM movies",
     "rating_histogram": 'SELECT CAST(rating AS DOUBLE) AS rating, count(*) AS "count" FROM ratings_n GROUP BY rating',
     "data_reduction": "SELECT o AS original_rows, f AS filtered_rows, CAST(o - f AS DOUBLE) / o * 100.0 AS reduction_pct "
     "FROM (SELECT (SELECT count(*) FROM clean) AS o, (SELECT count(*) FROM dense) AS f)",
