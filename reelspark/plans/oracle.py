@@ -102,6 +102,18 @@ metadata AS (
   JOIN (SELECT 1 AS result_rank UNION ALL SELECT 2) r ON true
   WHERE m.movieId % 3 <> 0
 ),
+best AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_title ORDER BY result_rank, tmdb_id) AS rn
+    FROM metadata WHERE query_title IS NOT NULL) WHERE rn = 1
+),
+enriched AS (
+  SELECT d.movieId, d.title, d.genres, d.year, d.clean_title,
+    CASE WHEN b.poster_path IS NOT NULL AND b.poster_path <> '' THEN concat('https://image.tmdb.org/t/p/w500', b.poster_path)
+         ELSE d.placeholder END AS poster_url,
+    b.tmdb_id, b.overview, b.release_date, b.vote_average, b.vote_count, b.popularity
+  FROM display d LEFT JOIN best b ON trim(split_part(d.title, '(', 1)) = b.query_title
+),
 genre_vocab AS (
   SELECT DISTINCT unnest(string_split(genres, '|')) AS genre FROM movies
 ),
@@ -133,7 +145,8 @@ def _genre_movies(pred: str, order: str) -> str:
     return f"SELECT movieId, title, genres FROM movies WHERE {pred} ORDER BY {order} LIMIT {Q.LIMIT}"
 
 
-def _similar(pred: str) -> str:
+def _similar(pred: str, limit: int = Q.SIMILAR_LIMIT, target: int | None = None) -> str:
+    where = f" AND movieId = {target}" if target is not None else ""
     return f"""
 SELECT target_id, movieId, title, genres, CAST(similar_rank AS INTEGER) AS similar_rank FROM (
   SELECT c.*, row_number() OVER (PARTITION BY target_id ORDER BY movieId, title NULLS FIRST, genres NULLS FIRST) AS similar_rank
@@ -141,10 +154,10 @@ SELECT target_id, movieId, title, genres, CAST(similar_rank AS INTEGER) AS simil
     SELECT t.target_id, m.movieId, m.title, m.genres
     FROM (SELECT movieId AS target_id,
             list_filter(string_split(genres, '|'), lambda g: g <> {_SENT})[1] AS fg
-          FROM movies WHERE genres IS NOT NULL) t
+          FROM movies WHERE genres IS NOT NULL{where}) t
     JOIN movies m ON m.movieId <> t.target_id AND (t.fg IS NULL OR {pred})
   ) c
-) WHERE similar_rank <= {Q.SIMILAR_LIMIT}
+) WHERE similar_rank <= {limit}
 """
 
 
@@ -213,16 +226,21 @@ _BODIES: dict[str, str] = {
     "genre_tags": "SELECT movieId, array_to_string(list_filter(string_split(genres, '|'), "
     f"lambda g: g <> {_SENT}), '|') AS genre_tags FROM movies",
     "lookup_key": "SELECT movieId, trim(split_part(title, '(', 1)) AS lookup_key FROM movies",
-    "enriched_display": """
-SELECT d.movieId, d.title, d.genres, d.year, d.clean_title,
-  CASE WHEN b.poster_path IS NOT NULL AND b.poster_path <> '' THEN concat('https://image.tmdb.org/t/p/w500', b.poster_path)
-       ELSE d.placeholder END AS poster_url,
-  b.tmdb_id, b.overview, b.release_date, b.vote_average, b.vote_count, b.popularity
-FROM display d LEFT JOIN (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_title ORDER BY result_rank, tmdb_id) AS rn
-                 FROM metadata WHERE query_title IS NOT NULL) WHERE rn = 1
-) b ON trim(split_part(d.title, '(', 1)) = b.query_title
-""",
+    "enriched_display": "SELECT * FROM enriched",
+    "movie_details": f"SELECT * FROM enriched WHERE movieId = {Q.MOVIE_ID}",
+    "search_display": "SELECT * FROM enriched WHERE movieId IN (SELECT movieId FROM movies "
+    f"WHERE contains(title, '{Q.SEARCH_QUERY}') ORDER BY movieId, title, genres LIMIT {Q.LIMIT})",
+    "home_display": "SELECT * FROM enriched WHERE movieId IN (SELECT movieId FROM movies "
+    f"ORDER BY movieId, title, genres LIMIT {Q.HOME_N})",
+    "genre_page_year": "SELECT * FROM enriched WHERE movieId IN (SELECT movieId FROM ("
+    + _genre_movies(
+        f"contains(genres, '{Q.GENRE}')",
+        r"regexp_replace(title, '.*\((\d{4})\).*', '\1') DESC NULLS LAST, movieId, genres",
+    )
+    + "))",
+    "similar_display": "SELECT s.target_id, e.*, s.similar_rank FROM ("
+    + _similar("contains(m.genres, t.fg)", Q.DETAILS_SIMILAR, Q.MOVIE_ID)
+    + ") s JOIN enriched e ON s.movieId = e.movieId",
     "recs_unnest_join": f"""
 SELECT t.userId, t.movieId, m.title, m.genres, CAST(t.rating AS DOUBLE) AS predicted_rating,
   round(CAST(t.rating AS DOUBLE), 1) AS shown_rating

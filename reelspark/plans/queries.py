@@ -29,6 +29,8 @@ BATCH_N = 20
 FIXTURE_RECS = 5
 PREVIEW_N = 5
 TIME_ZONE = "UTC"
+HOME_N = 12
+DETAILS_SIMILAR = 8
 USER_ID = 1
 SPLIT_SEED = 42
 SPLIT_WEIGHTS = (0.8, 0.2)
@@ -244,6 +246,35 @@ def q_enriched_display(spark, sf):
     return display.enrich(_movies(spark, sf), fx.metadata(spark, sf))
 
 
+# --- page-level compositions (each reference route's data, display-ready) ---
+
+
+def q_movie_details(spark, sf):
+    m = _movies(spark, sf)
+    return display.enrich(catalog.movie_by_id(m, MOVIE_ID), fx.metadata(spark, sf))
+
+
+def q_search_display(spark, sf):
+    m = _movies(spark, sf)
+    return display.enrich(catalog.search_titles(m, SEARCH_QUERY, LIMIT), fx.metadata(spark, sf))
+
+
+def q_home_display(spark, sf):
+    m = _movies(spark, sf)
+    return display.enrich(catalog.catalog_head(m, HOME_N), fx.metadata(spark, sf))
+
+
+def q_genre_page_year(spark, sf):
+    m = _movies(spark, sf)
+    return display.enrich(catalog.movies_by_genre(m, GENRE, LIMIT, "year"), fx.metadata(spark, sf))
+
+
+def q_similar_display(spark, sf):
+    m = _movies(spark, sf)
+    targets = m.filter(m.movieId == MOVIE_ID).select("movieId")
+    return display.enrich(catalog.similar_by_genre(m, targets, DETAILS_SIMILAR), fx.metadata(spark, sf))
+
+
 # --- recommendations without a model (deterministic nested input) -----------
 
 
@@ -366,6 +397,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "genre_tags": q_genre_tags,
     "lookup_key": q_lookup_key,
     "enriched_display": q_enriched_display,
+    "movie_details": q_movie_details,
+    "search_display": q_search_display,
+    "home_display": q_home_display,
+    "genre_page_year": q_genre_page_year,
+    "similar_display": q_similar_display,
     "recs_unnest_join": q_recs_unnest_join,
     "error_metrics": q_error_metrics,
     "als_predictions": q_als_predictions,
