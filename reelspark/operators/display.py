@@ -39,6 +39,11 @@ def with_shown_year(df: DataFrame) -> DataFrame:
     return df.withColumn("shown_year", year_or_null(F.col("year")))
 
 
+def with_shown_rating(df: DataFrame, score: str = "predicted_rating", name: str = "shown_rating") -> DataFrame:
+    """A predicted rating as shown to users, one decimal (half up)."""
+    return df.withColumn(name, F.round(F.col(score).cast("double"), 1))
+
+
 def with_lookup_key(df: DataFrame) -> DataFrame:
     """The metadata search key of each title."""
     return df.withColumn("lookup_key", lookup_key(F.col("title")))

@@ -297,7 +297,7 @@ def fixture_recommendations(spark, sf) -> DataFrame:
 def q_recs_unnest_join(spark, sf):
     flat = recommend.unnest(fixture_recommendations(spark, sf))
     out = recommend.attach_movies(flat, _movies(spark, sf))
-    return _dbl(out, "predicted_rating").withColumn("shown_rating", F.round("predicted_rating", 1))
+    return display.with_shown_rating(_dbl(out, "predicted_rating"))
 
 
 def q_error_metrics(spark, sf):
