@@ -254,7 +254,7 @@ def similar_by_genre(
     Candidates depend only on the first genre, so the plan is
       targets -> first genre  (distinct first genres F, a handful)
       F x catalog via the containment relation -> first limit+1 movies per
-      genre (row_number <= k+1 lets Spark cut each map task to k+1 rows per
+      genre (dense_rank <= k+1 lets Spark cut each map task to k+1 ranks per
       genre before the shuffle, so a hot genre stays cheap)
       join back to targets on the genre, drop self, keep the first ``limit``.
     Cost: catalog pieces + targets x (limit + 1); never targets x catalog.
