@@ -43,12 +43,15 @@ def write_parquet_stream(
 
 
 def write_stats_stream(
-    stats: DataFrame, table_name: str, checkpoint_dir: str, available_now: bool = True
+    stats: DataFrame, out_dir: str, checkpoint_dir: str, available_now: bool = True
 ) -> StreamingQuery:
-    """Publish running statistics: each micro-batch replaces the changed keys
-    in an in-memory table named ``table_name`` (complete mode keeps every key)."""
-    w = stats.writeStream.format("memory").queryName(table_name).outputMode("complete").option(
-        "checkpointLocation", checkpoint_dir
-    )
+    """Publish running statistics: after each micro-batch the complete
+    statistics table is written to ``out_dir`` as Parquet by the executors
+    (replacing the previous snapshot); nothing is collected to the driver."""
+
+    def publish(batch: DataFrame, _epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(out_dir)
+
+    w = stats.writeStream.outputMode("complete").option("checkpointLocation", checkpoint_dir).foreachBatch(publish)
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
