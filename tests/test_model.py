@@ -162,3 +162,13 @@ def test_broadcast_is_size_checked(spark, fitted):
     assert small.count() == m.userFactors.count()
     with pytest.raises(ValueError):
         recommend.recommend_for_all_users(m, 3, method="fastest")
+
+
+def test_fit_is_reproducible(planted):
+    train, test = prepare.hash_split(planted, (0.8, 0.2), seed=42)
+    a = M.fit_als(train, rank=4, max_iter=5, reg_param=0.05, seed=11, num_blocks=3)
+    b = M.fit_als(train.repartition(5), rank=4, max_iter=5, reg_param=0.05, seed=11, num_blocks=3)
+    pa_ = sorted(map(tuple, M.predict(a, test).select("userId", "movieId", "prediction").collect()))
+    pb_ = sorted(map(tuple, M.predict(b, test).select("userId", "movieId", "prediction").collect()))
+    assert [r[:2] for r in pa_] == [r[:2] for r in pb_]
+    assert np.allclose([r[2] for r in pa_], [r[2] for r in pb_], atol=1e-4)
