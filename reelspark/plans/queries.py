@@ -286,6 +286,8 @@ def fixture_recommendations(spark, sf) -> DataFrame:
     top = d.select("userId", "movieId", "rating", F.row_number().over(w).alias("rn")).filter(
         F.col("rn") <= FIXTURE_RECS
     )
+    # each group holds at most FIXTURE_RECS rows (rn filter above), so the
+    # list is bounded whatever the user's number of ratings
     return top.groupBy("userId").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rn", "movieId", "rating"))),
