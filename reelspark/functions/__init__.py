@@ -6,7 +6,6 @@ from reelspark.functions.genres import (
     genre_array,
     genre_tags,
     genre_text,
-    substrings,
     valid_genres,
 )
 from reelspark.functions.posters import placeholder_poster, poster_url
@@ -30,7 +29,6 @@ __all__ = [
     "lookup_key",
     "placeholder_poster",
     "poster_url",
-    "substrings",
     "title_year",
     "valid_genres",
     "year_or_null",

@@ -32,20 +32,3 @@ def genre_text(genres: Column) -> Column:
 def genre_tags(genres: Column) -> Column:
     """Genres shown as tags: the sentinel dropped, the rest joined by ``|``."""
     return F.array_join(valid_genres(genres), "|")
-
-
-def substrings(text: Column) -> Column:
-    """Every substring of ``text`` (the empty one included), as an array.
-
-    Used to turn "genre g occurs inside genre string s" into an equi-join:
-    a genre holds no pipe, so it occurs in s exactly when it is a substring
-    of one of s's pieces.  The array is built per distinct piece only.
-    """
-    n = F.length(text)
-    nonempty = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), n),
-            lambda i: F.transform(F.sequence(i, n), lambda j: text.substr(i, j - i + 1)),
-        )
-    )
-    return F.when(n == 0, F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), nonempty))

@@ -28,7 +28,6 @@ from reelspark.functions.genres import (
     first_valid_genre,
     genre_array,
     genre_text,
-    substrings,
 )
 from reelspark.functions.titles import year_sort_key
 
@@ -114,12 +113,30 @@ def top_genres(movies: DataFrame, n: int = 12) -> DataFrame:
 def _containment(pieces: DataFrame, wanted: DataFrame) -> DataFrame:
     """(piece, genre) for every distinct piece and wanted genre inside it.
 
-    ``wanted`` has one column ``genre``.  Built from the distinct pieces only,
-    so its size is bounded by the genre vocabulary, not by the catalog.
+    ``wanted`` has one column ``genre``.  For each distinct piece, one row is
+    generated per (length of some wanted genre, start position), holding that
+    single substring; rows are joined to ``wanted`` on the substring and only
+    the hits are de-duplicated.  Rows per piece: length x (number of distinct
+    wanted lengths), each holding one substring, so even a very long genre
+    string is processed whole without building its substrings in one array.
+    The distinct wanted lengths come from a scalar subquery (a handful of
+    small integers).
     """
-    vocab = pieces.select("piece").distinct()
-    subs = vocab.select("piece", F.explode(F.array_distinct(substrings(F.col("piece")))).alias("genre"))
-    return subs.join(wanted.distinct(), "genre")
+    wanted = wanted.distinct()
+    lengths = wanted.agg(F.array_sort(F.collect_set(F.length("genre")))).scalar()
+    # generated rows carry a fixed-size key of their piece, not the piece
+    # itself, so a long piece is not copied into every shuffled row
+    vocab = pieces.select("piece").distinct().select("piece", F.sha2("piece", 256).alias("_pk"))
+    n = F.length("piece")
+    sized = vocab.select("_pk", "piece", lengths.alias("_lens")).select(
+        "_pk", "piece", F.explode(F.filter("_lens", lambda d: d <= n)).alias("_d")
+    )
+    # all overlapping substrings of length d in one linear regex pass
+    # (a capturing lookahead matches at every position)
+    window = F.concat(F.lit("(?s)(?=(.{"), F.col("_d").cast("string"), F.lit("}))"))
+    subs = sized.select("_pk", F.explode(F.regexp_extract_all("piece", window, F.lit(1))).alias("genre"))
+    hits = subs.join(wanted, "genre").select("_pk", "genre").distinct()
+    return vocab.join(hits, "_pk").select("piece", "genre")
 
 
 def genre_members(movies: DataFrame, wanted: DataFrame, match: str = "substring") -> DataFrame:

@@ -142,3 +142,28 @@ def test_genre_lists(movies):
 def test_fallback_genres_is_explicit(spark):
     got = [r.genre for r in catalog.fallback_genres(spark).collect()]
     assert len(got) == 18 and got == sorted(got)
+
+
+def test_long_genre_strings_are_matched_whole(spark):
+    """A 20,000-character genre piece: substring matching sees all of it."""
+    long_piece = "x" * 10_000 + "Noir" + "y" * 10_000
+    rows = [(1, "A", long_piece), (2, "B", "Noir"), (3, "C", "Film-Noir|Drama"), (4, "D", "Drama")]
+    df = spark.createDataFrame(rows, "movieId int, title string, genres string")
+    stats = {r.genre: r.num_movies for r in catalog.genre_statistics(df).collect()}
+    assert stats["Noir"] == 3 and stats["Drama"] == 2 and stats["Film-Noir"] == 1
+    assert stats[long_piece] == 1
+    sim = {(r.target_id, r.movieId) for r in catalog.similar_by_genre(df, df.select("movieId"), 5).collect()}
+    assert (2, 1) in sim and (2, 3) in sim and (4, 3) in sim
+
+
+def test_containment_unicode_and_empty_genre(spark):
+    rows = [(1, "A", "Ciência|Ação"), (2, "B", "Ficção Ciência"), (3, "C", "|Drama"), (4, "D", "Ação\\nnova"),
+            (5, "E", "😀Ação"), (6, "F", None)]
+    df = spark.createDataFrame(rows, "movieId int, title string, genres string")
+    stats = {r.genre: r.num_movies for r in catalog.genre_statistics(df).collect()}
+    for g, n in stats.items():
+        assert n == sum(1 for _, _, s in rows if s is not None and g in s), g
+    assert stats["Ação"] == 3
+    # movie 3's first valid genre is the empty string: every other movie with genres matches
+    sim = sorted(r.movieId for r in catalog.similar_by_genre(df, df.filter("movieId = 3").select("movieId"), 10).collect())
+    assert sim == [1, 2, 4, 5]
