@@ -113,14 +113,13 @@ def top_genres(movies: DataFrame, n: int = 12) -> DataFrame:
 def _containment(pieces: DataFrame, wanted: DataFrame) -> DataFrame:
     """(piece, genre) for every distinct piece and wanted genre inside it.
 
-    ``wanted`` has one column ``genre``.  For each distinct piece, one row is
-    generated per (length of some wanted genre, start position), holding that
-    single substring; rows are joined to ``wanted`` on the substring and only
-    the hits are de-duplicated.  Rows per piece: length x (number of distinct
-    wanted lengths), each holding one substring, so even a very long genre
-    string is processed whole without building its substrings in one array.
-    The distinct wanted lengths come from a scalar subquery (a handful of
-    small integers).
+    ``wanted`` has one column ``genre``.  For each distinct piece and each
+    distinct length d of a wanted genre (d <= the piece's length), one regex
+    pass lists the piece's overlapping substrings of length d; they are
+    joined to ``wanted`` and only the hits are de-duplicated.  Rows are keyed
+    by a hash of the piece rather than the piece, so long pieces are not
+    copied into every shuffled row.  The distinct wanted lengths come from a
+    scalar subquery (a handful of small integers).
     """
     wanted = wanted.distinct()
     lengths = wanted.agg(F.array_sort(F.collect_set(F.length("genre")))).scalar()
