@@ -78,3 +78,37 @@ def run_training(
     recs_path = os.path.join(out_dir, "user_recommendations")
     io.write_parquet(recommend.batch_recommendations(fitted, catalog, top_n), recs_path)
     return TrainingResult(fitted, metrics, train, test, io.read_parquet(spark, recs_path))
+
+
+def main(argv: list[str] | None = None) -> None:
+    """Batch entry point: ``python -m reelspark.plans.training`` or
+    ``spark-submit reelspark/plans/training.py`` with CSV or Parquet inputs."""
+    import argparse
+    import json
+
+    p = argparse.ArgumentParser(description="Prepare ratings, train ALS, write model and top-N recommendations.")
+    p.add_argument("--ratings", required=True, help="ratings CSV (header) or Parquet path")
+    p.add_argument("--movies", required=True, help="movies CSV (header) or Parquet path")
+    p.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
+    p.add_argument("--format", choices=("csv", "parquet"), default="csv")
+    p.add_argument("--top-n", type=int, default=20)
+    p.add_argument("--seed", type=int, default=42)
+    p.add_argument("--min-user-ratings", type=int, default=20)
+    p.add_argument("--min-movie-ratings", type=int, default=20)
+    p.add_argument("--max-iter", type=int, default=10)
+    a = p.parse_args(argv)
+
+    spark = SparkSession.builder.appName("reelspark-training").getOrCreate()
+    if a.format == "csv":
+        ratings, movies = io.read_ratings_csv(spark, a.ratings), io.read_movies_csv(spark, a.movies)
+    else:
+        ratings, movies = io.read_parquet(spark, a.ratings), io.read_parquet(spark, a.movies)
+    res = run_training(spark, ratings, movies, a.out, top_n=a.top_n, seed=a.seed,
+                       min_user_ratings=a.min_user_ratings, min_movie_ratings=a.min_movie_ratings,
+                       max_iter=a.max_iter)
+    m = res.metrics.first()
+    print(json.dumps({"rmse": m.rmse, "mae": m.mae, "n_test": m.n, "out": a.out}))
+
+
+if __name__ == "__main__":
+    main()

@@ -172,3 +172,28 @@ def test_fit_is_reproducible(planted):
     pb_ = sorted(map(tuple, M.predict(b, test).select("userId", "movieId", "prediction").collect()))
     assert [r[:2] for r in pa_] == [r[:2] for r in pb_]
     assert np.allclose([r[2] for r in pa_], [r[2] for r in pb_], atol=1e-4)
+
+
+def test_training_command_line(spark, smoke_dir, tmp_dir):
+    import json
+    import subprocess
+    import sys
+
+    from reelspark.sources import fixtures as fx
+
+    r_csv, m_csv = os.path.join(tmp_dir, "ratings_csv"), os.path.join(tmp_dir, "movies_csv")
+    fx.ratings(spark, smoke_dir).write.option("header", True).csv(r_csv)
+    fx.movies(spark, smoke_dir).write.option("header", True).option("escape", '"').csv(m_csv)
+    out = os.path.join(tmp_dir, "job")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, PYTHONPATH=root)
+    proc = subprocess.run(
+        [sys.executable, "-m", "reelspark.plans.training", "--ratings", r_csv, "--movies", m_csv, "--out", out,
+         "--min-user-ratings", "2", "--min-movie-ratings", "2", "--max-iter", "2", "--top-n", "3"],
+        capture_output=True, text=True, env=env, timeout=600, cwd=root,
+    )
+    assert proc.returncode == 0, proc.stderr[-2000:]
+    res = json.loads(proc.stdout.strip().splitlines()[-1])
+    assert res["n_test"] > 0 and math.isfinite(res["rmse"])
+    recs = spark.read.parquet(os.path.join(out, "user_recommendations"))
+    assert recs.columns == ["userId", "movieId", "title", "genres", "score"] and recs.count() > 0
