@@ -7,7 +7,7 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.session import ensure_checkpoint_dir
+from reelspark.session import ensure_checkpoint_dir, spark_context
 
 
 def make_als(
@@ -57,7 +57,8 @@ def fit_als(train: DataFrame, als: ALS | None = None, **params) -> ALSModel:
     ensure_checkpoint_dir(spark)
     if als is None:
         if not params.get("num_blocks"):
-            params["num_blocks"] = max(int(spark.sparkContext.defaultParallelism), 1)
+            sc = spark_context(spark)
+            params["num_blocks"] = max(int(sc.defaultParallelism), 1) if sc is not None else None
         als = make_als(**params)
     cached = train.select(als.getUserCol(), als.getItemCol(), als.getRatingCol()).persist(
         StorageLevel.MEMORY_AND_DISK

@@ -25,6 +25,8 @@ from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.session import spark_context
+
 # Upper bound for the factor matrix shipped to every executor.
 DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 # Working-memory budget of one score slice inside a task.
@@ -85,10 +87,13 @@ def _scorer(bc, rank: int, n: int, key: str, other: str):
 
 def _top_n(src: DataFrame, dst: DataFrame, rank: int, n: int, key: str, other: str, max_bytes: int):
     """Broadcast plan when ``dst`` is small enough, else None."""
+    sc = spark_context(src.sparkSession)
+    if sc is None:  # Spark Connect has no broadcast variables
+        return None
     m = _matrix(dst, rank, max_bytes)
     if m is None:
         return None
-    bc = src.sparkSession.sparkContext.broadcast(m)
+    bc = sc.broadcast(m)
     schema = f"{key} int, recommendations array<struct<{other}:int,rating:float>>"
     return src.select("id", "features").mapInArrow(_scorer(bc, rank, n, key, other), schema)
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelspark.operators import catalog, display, model, prepare, profile, recommend
+from reelspark.session import app_key
 from reelspark.sources import fixtures as fx
 
 # query parameters (shared with the oracle SQL)
@@ -318,7 +319,7 @@ _MODELS: dict = {}
 def fitted_model(spark: SparkSession, sf: str):
     """Fit (once per application and data folder) the reference's ALS on
     the training split."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (app_key(spark), sf)
     if key not in _MODELS:
         _MODELS[key] = model.fit_als(_split(spark, sf)[0])
     return _MODELS[key]
