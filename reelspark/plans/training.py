@@ -53,6 +53,7 @@ def run_training(
     weights=(0.8, 0.2),
     min_user_ratings: int = 20,
     min_movie_ratings: int = 20,
+    recs_user_buckets: int | None = None,
     **als_params,
 ) -> TrainingResult:
     """Run the whole offline pipeline, writing under ``out_dir`` (a shared
@@ -76,8 +77,33 @@ def run_training(
 
     metrics = M.error_metrics(M.predict(fitted, test))
     recs_path = os.path.join(out_dir, "user_recommendations")
-    io.write_parquet(recommend.batch_recommendations(fitted, catalog, top_n), recs_path)
-    return TrainingResult(fitted, metrics, train, test, io.read_parquet(spark, recs_path))
+    recs = recommend.batch_recommendations(fitted, catalog, top_n)
+    if recs_user_buckets:
+        recs = recs.withColumn("user_bucket", user_bucket(F.col("userId"), recs_user_buckets))
+        io.write_parquet(recs, recs_path, partition_by=["user_bucket"])
+    else:
+        io.write_parquet(recs, recs_path)
+    stored = io.read_parquet(spark, recs_path)
+    if recs_user_buckets:
+        stored = stored.drop("user_bucket")
+    return TrainingResult(fitted, metrics, train, test, stored)
+
+
+def user_bucket(user_id, buckets: int):
+    """S10 layout: the directory a user's recommendations are written to."""
+    return F.pmod(user_id, F.lit(int(buckets)))
+
+
+def read_user_recommendations(spark: SparkSession, path: str, user_id: int, buckets: int) -> DataFrame:
+    """One user's stored recommendations, best first; with the bucketed
+    layout only that user's bucket directory is read (partition pruning)."""
+    b = int(user_id) % int(buckets)  # Python's % is non-negative like pmod
+    return (
+        io.read_parquet(spark, path)
+        .filter((F.col("user_bucket") == b) & (F.col("userId") == int(user_id)))
+        .drop("user_bucket")
+        .orderBy(F.desc("score"), "movieId")
+    )
 
 
 def main(argv: list[str] | None = None) -> None:

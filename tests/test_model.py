@@ -197,3 +197,20 @@ def test_training_command_line(spark, smoke_dir, tmp_dir):
     assert res["n_test"] > 0 and math.isfinite(res["rmse"])
     recs = spark.read.parquet(os.path.join(out, "user_recommendations"))
     assert recs.columns == ["userId", "movieId", "title", "genres", "score"] and recs.count() > 0
+
+
+def test_bucketed_recommendations_layout(spark, smoke_dir, tmp_dir):
+    from reelspark.plans.training import read_user_recommendations, run_training
+    from reelspark.sources import fixtures as fx
+
+    res = run_training(spark, fx.ratings(spark, smoke_dir), fx.movies(spark, smoke_dir), tmp_dir,
+                       top_n=4, min_user_ratings=2, min_movie_ratings=2, max_iter=2, recs_user_buckets=8)
+    path = os.path.join(tmp_dir, "user_recommendations")
+    assert os.path.isdir(os.path.join(path, "user_bucket=0"))
+    uid = res.recommendations.select("userId").first().userId
+    one = read_user_recommendations(spark, path, uid, 8)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(user_bucket" in plan and f"(user_bucket#" in plan
+    rows = one.collect()
+    assert 0 < len(rows) <= 4 and {r.userId for r in rows} == {uid}
+    assert [r.score for r in rows] == sorted((r.score for r in rows), reverse=True)
