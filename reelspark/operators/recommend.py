@@ -68,6 +68,14 @@ def _scorer(bc, rank: int, n: int, key: str, other: str):
                     continue
                 if k < n_items:
                     idx = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                    cs = np.take_along_axis(s, idx, axis=1)
+                    # argpartition keeps an arbitrary subset of the items tied
+                    # at the k-th score; re-rank exactly the rows where the
+                    # tie reaches beyond the kept items (rare with real scores)
+                    kth = cs.min(axis=1, keepdims=True)
+                    short = (s == kth).sum(axis=1) > (cs == kth).sum(axis=1)
+                    for r in np.nonzero(short)[0]:
+                        idx[r] = np.lexsort((ids, -s[r]))[:k]
                 else:
                     idx = np.broadcast_to(np.arange(n_items), s.shape)
                 cs = np.take_along_axis(s, idx, axis=1)

@@ -94,16 +94,21 @@ def user_bucket(user_id, buckets: int):
     return F.pmod(user_id, F.lit(int(buckets)))
 
 
-def read_user_recommendations(spark: SparkSession, path: str, user_id: int, buckets: int) -> DataFrame:
-    """One user's stored recommendations, best first; with the bucketed
-    layout only that user's bucket directory is read (partition pruning)."""
-    b = int(user_id) % int(buckets)  # Python's % is non-negative like pmod
-    return (
-        io.read_parquet(spark, path)
-        .filter((F.col("user_bucket") == b) & (F.col("userId") == int(user_id)))
-        .drop("user_bucket")
-        .orderBy(F.desc("score"), "movieId")
-    )
+def read_user_recommendations(
+    spark: SparkSession, path: str, user_id: int, buckets: int | None = None
+) -> DataFrame:
+    """One user's stored recommendations, best first.  With the bucketed
+    layout (``buckets`` as written) only that user's bucket directory is
+    read (partition pruning); without it the userId filter is pushed to the
+    Parquet scan."""
+    stored = io.read_parquet(spark, path)
+    cond = F.col("userId") == int(user_id)
+    if buckets:
+        cond = (F.col("user_bucket") == int(user_id) % int(buckets)) & cond  # % is non-negative like pmod
+        stored = stored.filter(cond).drop("user_bucket")
+    else:
+        stored = stored.filter(cond)
+    return stored.orderBy(F.desc("score"), "movieId")
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -208,9 +208,34 @@ def test_bucketed_recommendations_layout(spark, smoke_dir, tmp_dir):
     path = os.path.join(tmp_dir, "user_recommendations")
     assert os.path.isdir(os.path.join(path, "user_bucket=0"))
     uid = res.recommendations.select("userId").first().userId
+    flat = os.path.join(tmp_dir, "flat_recs")
+    res.recommendations.write.parquet(flat)
+    assert [r.movieId for r in read_user_recommendations(spark, flat, uid).collect()] == [
+        r.movieId for r in read_user_recommendations(spark, path, uid, 8).collect()]
     one = read_user_recommendations(spark, path, uid, 8)
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(user_bucket" in plan and f"(user_bucket#" in plan
     rows = one.collect()
     assert 0 < len(rows) <= 4 and {r.userId for r in rows} == {uid}
     assert [r.score for r in rows] == sorted((r.score for r in rows), reverse=True)
+
+
+def test_scorer_breaks_ties_by_smaller_id():
+    """Items tied at the cut-off: the smaller ids are kept, deterministically."""
+    import pyarrow as pa
+
+    from reelspark.operators.recommend import _scorer
+
+    class _Bc:
+        # items 0..9 all score 1.0 for the user, item 10 scores 2.0
+        value = (np.array([9, 3, 7, 1, 5, 0, 8, 2, 6, 4, 10], dtype=np.int32),
+                 np.array([[1.0]] * 10 + [[2.0]], dtype=np.float32))
+
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([42], pa.int32()), pa.array([[1.0]], pa.list_(pa.float32()))], names=["id", "features"]
+    )
+    for n in (1, 3, 5, 11, 20):
+        out = list(_scorer(_Bc(), 1, n, "userId", "movieId")([batch]))[0].to_pylist()[0]
+        got = [(r["movieId"], r["rating"]) for r in out["recommendations"]]
+        expect = ([(10, 2.0)] + [(i, 1.0) for i in range(10)])[:min(n, 11)]
+        assert got == expect, (n, got)
