@@ -54,7 +54,11 @@ def best_metadata(metadata: DataFrame) -> DataFrame:
     id).  An aggregate with ``min_by`` so a popular title is combined
     map-side instead of sorted in one task."""
     fields = ["result_rank", *METADATA_FIELDS, "poster_path"]
-    best = F.min_by(F.struct(*fields), F.struct("result_rank", "tmdb_id"))
+    # lowest rank then lowest id, unknown (null) values last
+    order = F.struct(
+        F.col("result_rank").isNull(), F.col("result_rank"), F.col("tmdb_id").isNull(), F.col("tmdb_id")
+    )
+    best = F.min_by(F.struct(*fields), order)
     return (
         metadata.filter(F.col("query_title").isNotNull())
         .groupBy("query_title")

@@ -91,7 +91,7 @@ def data_reduction(ratings_clean: DataFrame, min_user_ratings: int = 20, min_mov
     ).select(
         "original_rows",
         "filtered_rows",
-        ((F.col("original_rows") - F.col("filtered_rows")).cast("double") / F.col("original_rows") * 100.0).alias(
-            "reduction_pct"
-        ),
+        # null (not an error) when there is nothing to reduce
+        (F.try_divide((F.col("original_rows") - F.col("filtered_rows")).cast("double"), F.col("original_rows"))
+         * 100.0).alias("reduction_pct"),
     )

@@ -122,3 +122,9 @@ def test_time_features_explicit_zone_ignores_session(spark, ratings):
         assert utc[None].datetime is None
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_data_reduction_on_empty_input(spark):
+    empty = spark.createDataFrame([], "userId int, movieId int, rating float, timestamp long")
+    r = profile.data_reduction(empty).first()
+    assert (r.original_rows, r.filtered_rows, r.reduction_pct) == (0, 0, None)

@@ -101,3 +101,19 @@ def test_genre_helpers(spark):
         (None, ""),
         ("B", "B"),
     ]
+
+
+def test_best_metadata_prefers_known_low_rank(spark):
+    from reelspark.operators.display import best_metadata
+    from reelspark.sources.schemas import METADATA_SCHEMA
+
+    rows = [
+        ("Toy Story", None, 99, "null rank", None, None, None, None, "/n.jpg"),
+        ("Toy Story", 2, 7, "second", None, None, None, None, "/b.jpg"),
+        ("Toy Story", 1, 8, "first, larger id", None, None, None, None, "/c.jpg"),
+        ("Toy Story", 1, 5, "first", None, None, None, None, "/a.jpg"),
+        ("Other", None, None, "only unknown", None, None, None, None, None),
+    ]
+    md = spark.createDataFrame(rows, METADATA_SCHEMA)
+    got = {r.query_title: r.overview for r in best_metadata(md).collect()}
+    assert got == {"Toy Story": "first", "Other": "only unknown"}
