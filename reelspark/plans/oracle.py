@@ -9,8 +9,22 @@ form and are absent here.
 
 from __future__ import annotations
 
+import re
+
 from reelspark.plans import queries as Q
 
+def _lit(text: str) -> str:
+    """A SQL string literal (single quotes doubled)."""
+    return "'" + str(text).replace("'", "''") + "'"
+
+
+_SEARCH = _lit(Q.SEARCH_QUERY)
+_GENRE = _lit(Q.GENRE)
+# search_titles returns nothing for an empty query; genre_count is 0 for the
+# sentinel and the empty genre, which are never in the genre list
+_SEARCH_PRED = f"contains(title, {_SEARCH})" if Q.SEARCH_QUERY else "false"
+_GENRE_LISTED = "true" if Q.GENRE not in ("(no genres listed)", "") else "false"
+
 _TRAIN_BOUND = int(round(Q.SPLIT_WEIGHTS[0] / sum(Q.SPLIT_WEIGHTS) * 2**32))
 _SENT = "'(no genres listed)'"
 
@@ -33,7 +47,7 @@ WITH movies AS (
 ratings AS (
   SELECT CAST(o_custkey AS INTEGER) AS userId, CAST(l_partkey AS INTEGER) AS movieId,
     CAST(ceil(min(l_quantity) / 5) / 2 AS FLOAT) AS rating,
-    CAST(epoch(min(o_orderdate)) AS BIGINT) AS "timestamp"
+    CAST(floor(epoch(min(o_orderdate))) AS BIGINT) AS "timestamp"
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   GROUP BY o_custkey, l_partkey
 ),
@@ -81,7 +95,7 @@ display AS (
     CASE WHEN found THEN cand ELSE 'N/A' END AS year,
     CASE WHEN ct = '' THEN 'Untitled Movie' ELSE ct END AS clean_title,
     concat('https://via.placeholder.com/300x450/',
-      (['FF6B6B', '4ECDC4', '45B7D1', 'FFA07A', '98D8C8', 'F7DC6F', 'BB8FCE', '85C1E9'])[movieId % 8 + 1],
+      (['FF6B6B', '4ECDC4', '45B7D1', 'FFA07A', '98D8C8', 'F7DC6F', 'BB8FCE', '85C1E9'])[((movieId % 8) + 8) % 8 + 1],
       '/FFFFFF?text=', substr(replace(replace(replace(title, ' ', '+'), '(', ''), ')', ''), 1, 20)) AS placeholder
   FROM (SELECT *, CASE WHEN length(dt) > 40 THEN concat(substr(dt, 1, 37), '...') ELSE dt END AS ct FROM disp)
 ),
@@ -165,15 +179,16 @@ _BODIES: dict[str, str] = {
     "row_counts": "SELECT 'ratings' AS table_name, count(*) AS num_rows FROM ratings_n "
     "UNION ALL SELECT 'movies', count(*) FROM movies",
     "ratings_preview": 'SELECT userId, movieId, CAST(rating AS DOUBLE) AS rating, "timestamp" FROM ratings_n '
-    f"ORDER BY userId, movieId LIMIT {Q.PREVIEW_N}",
-    "movies_preview": f"SELECT movieId, title, genres FROM movies ORDER BY movieId LIMIT {Q.PREVIEW_N}",
+    f"ORDER BY userId NULLS FIRST, movieId NULLS FIRST LIMIT {Q.PREVIEW_N}",
+    "movies_preview": f"SELECT movieId, title, genres FROM movies ORDER BY movieId NULLS FIRST LIMIT {Q.PREVIEW_N}",
     "rating_summary": " UNION ALL ".join(_summary_row(c) for c in ("userId", "movieId", "rating", "timestamp")),
     "missing_ratings": 'SELECT CAST(count_if(userId IS NULL) AS BIGINT) AS userId, CAST(count_if(movieId IS NULL) AS BIGINT) AS movieId, '
     'CAST(count_if(rating IS NULL OR isnan(rating)) AS BIGINT) AS rating, CAST(count_if("timestamp" IS NULL) AS BIGINT) AS "timestamp" FROM ratings_n',
     "missing_movies": "SELECT CAST(count_if(movieId IS NULL) AS BIGINT) AS movieId, CAST(count_if(title IS NULL) AS BIGINT) AS title, "
     "CAST(count_if(genres IS NULL) AS BIGINT) AS genres FROM movies",
     "rating_histogram": 'SELECT CAST(rating AS DOUBLE) AS rating, count(*) AS "count" FROM ratings_n GROUP BY rating',
-    "data_reduction": "SELECT o AS original_rows, f AS filtered_rows, CAST(o - f AS DOUBLE) / o * 100.0 AS reduction_pct "
+    "data_reduction": "SELECT o AS original_rows, f AS filtered_rows, "
+    "CASE WHEN o = 0 THEN NULL ELSE CAST(o - f AS DOUBLE) / o * 100.0 END AS reduction_pct "
     "FROM (SELECT (SELECT count(*) FROM clean) AS o, (SELECT count(*) FROM dense) AS f)",
     "clean_ratings": 'SELECT userId, movieId, CAST(rating AS DOUBLE) AS rating, "timestamp" FROM ratings_n '
     "WHERE rating IS NOT NULL AND userId IS NOT NULL AND movieId IS NOT NULL",
@@ -193,32 +208,32 @@ _BODIES: dict[str, str] = {
     "CAST(len(string_split(genres, '|')) AS INTEGER) AS num_genres FROM movies",
     "genre_text": "SELECT movieId, replace(genres, '|', ' ') AS genres_clean FROM movies",
     "distinct_genres": "SELECT genre FROM genre_vocab",
-    "genres_sorted": "SELECT genre FROM listed ORDER BY genre",
-    "genres_top12": f"SELECT genre FROM listed ORDER BY genre LIMIT {Q.TOP_GENRES}",
-    "search_title": f"SELECT movieId, title, genres FROM movies WHERE contains(title, '{Q.SEARCH_QUERY}') "
-    f"ORDER BY movieId, title, genres LIMIT {Q.LIMIT}",
+    "genres_sorted": "SELECT genre FROM listed ORDER BY genre NULLS FIRST",
+    "genres_top12": f"SELECT genre FROM listed ORDER BY genre NULLS FIRST LIMIT {Q.TOP_GENRES}",
+    "search_title": f"SELECT movieId, title, genres FROM movies WHERE {_SEARCH_PRED} "
+    f"ORDER BY movieId NULLS FIRST, title NULLS FIRST, genres NULLS FIRST LIMIT {Q.LIMIT}",
     "search_title_count": f"SELECT *, count(*) OVER () AS \"count\" FROM (SELECT movieId, title, genres FROM movies "
-    f"WHERE contains(title, '{Q.SEARCH_QUERY}') ORDER BY movieId, title, genres LIMIT {Q.LIMIT})",
-    "genre_movies_title": _genre_movies(f"contains(genres, '{Q.GENRE}')", "title NULLS FIRST, movieId, genres"),
+    f"WHERE {_SEARCH_PRED} ORDER BY movieId NULLS FIRST, title NULLS FIRST, genres NULLS FIRST LIMIT {Q.LIMIT})",
+    "genre_movies_title": _genre_movies(f"contains(genres, {_GENRE})", "title NULLS FIRST, movieId NULLS FIRST, genres NULLS FIRST"),
     "genre_movies_year": _genre_movies(
-        f"contains(genres, '{Q.GENRE}')",
-        r"regexp_replace(title, '.*\((\d{4})\).*', '\1') DESC NULLS LAST, movieId, genres",
+        f"contains(genres, {_GENRE})",
+        r"regexp_replace(title, '.*\((\d{4})\).*', '\1', 'g') DESC NULLS LAST, movieId NULLS FIRST, genres NULLS FIRST",
     ),
     "genre_movies_exact": _genre_movies(
-        f"list_contains(string_split(genres, '|'), '{Q.GENRE}')", "title NULLS FIRST, movieId, genres"
+        f"list_contains(string_split(genres, '|'), {_GENRE})", "title NULLS FIRST, movieId NULLS FIRST, genres NULLS FIRST"
     ),
     "genre_statistics": "SELECT genre, num_movies FROM genre_stats",
     "genre_statistics_exact": "SELECT genre, CAST(count(*) AS BIGINT) AS num_movies FROM ("
     "SELECT movieId, unnest(list_distinct(string_split(genres, '|'))) AS genre FROM movies) "
     f"WHERE genre <> {_SENT} AND genre <> '' GROUP BY genre",
-    "genre_count": f"SELECT '{Q.GENRE}' AS genre, CAST(CASE WHEN EXISTS (SELECT 1 FROM movies WHERE "
-    f"list_contains(string_split(genres, '|'), '{Q.GENRE}')) THEN (SELECT count(*) FROM movies WHERE "
-    f"contains(genres, '{Q.GENRE}')) ELSE 0 END AS BIGINT) AS num_movies",
+    "genre_count": f"SELECT {_GENRE} AS genre, CAST(CASE WHEN {_GENRE_LISTED} AND EXISTS (SELECT 1 FROM movies WHERE "
+    f"list_contains(string_split(genres, '|'), {_GENRE})) THEN (SELECT count(*) FROM movies WHERE "
+    f"contains(genres, {_GENRE})) ELSE 0 END AS BIGINT) AS num_movies",
     "genre_share": "SELECT genre, num_movies, num_movies / (SELECT max(num_movies) FROM genre_stats) * 100.0 "
     "AS share_pct FROM genre_stats",
     "movie_by_id": f"SELECT movieId, title, genres FROM movies WHERE movieId = {Q.MOVIE_ID} "
     "ORDER BY title NULLS FIRST, genres NULLS FIRST LIMIT 1",
-    "catalog_head": f"SELECT movieId, title, genres FROM movies ORDER BY movieId, title, genres LIMIT {Q.LIMIT}",
+    "catalog_head": f"SELECT movieId, title, genres FROM movies ORDER BY movieId NULLS FIRST, title NULLS FIRST, genres NULLS FIRST LIMIT {Q.LIMIT}",
     "similar_by_genre": _similar("contains(m.genres, t.fg)"),
     "similar_by_genre_exact": _similar("list_contains(string_split(m.genres, '|'), t.fg)"),
     "display_titles": "SELECT movieId, year, clean_title, nullif(year, 'N/A') AS shown_year FROM display",
@@ -227,17 +242,15 @@ _BODIES: dict[str, str] = {
     f"lambda g: g <> {_SENT}), '|') AS genre_tags FROM movies",
     "lookup_key": "SELECT movieId, trim(split_part(title, '(', 1)) AS lookup_key FROM movies",
     "enriched_display": "SELECT * FROM enriched",
-    "movie_details": f"SELECT * FROM enriched WHERE movieId = {Q.MOVIE_ID}",
-    "search_display": "SELECT * FROM enriched WHERE movieId IN (SELECT movieId FROM movies "
-    f"WHERE contains(title, '{Q.SEARCH_QUERY}') ORDER BY movieId, title, genres LIMIT {Q.LIMIT})",
-    "home_display": "SELECT * FROM enriched WHERE movieId IN (SELECT movieId FROM movies "
-    f"ORDER BY movieId, title, genres LIMIT {Q.HOME_N})",
-    "genre_page_year": "SELECT * FROM enriched WHERE movieId IN (SELECT movieId FROM ("
-    + _genre_movies(
-        f"contains(genres, '{Q.GENRE}')",
-        r"regexp_replace(title, '.*\((\d{4})\).*', '\1') DESC NULLS LAST, movieId, genres",
-    )
-    + "))",
+    "movie_details": f"SELECT * FROM enriched WHERE movieId = {Q.MOVIE_ID} "
+    "ORDER BY title NULLS FIRST, genres NULLS FIRST LIMIT 1",
+    "search_display": f"SELECT * FROM enriched WHERE {_SEARCH_PRED} "
+    f"ORDER BY movieId NULLS FIRST, title NULLS FIRST, genres NULLS FIRST LIMIT {Q.LIMIT}",
+    "home_display": "SELECT * FROM enriched "
+    f"ORDER BY movieId NULLS FIRST, title NULLS FIRST, genres NULLS FIRST LIMIT {Q.HOME_N}",
+    "genre_page_year": f"SELECT * FROM enriched WHERE contains(genres, {_GENRE}) ORDER BY "
+    r"regexp_replace(title, '.*\((\d{4})\).*', '\1', 'g') DESC NULLS LAST, movieId NULLS FIRST, genres NULLS FIRST "
+    f"LIMIT {Q.LIMIT}",
     "similar_display": "SELECT s.target_id, e.*, s.similar_rank FROM ("
     + _similar("contains(m.genres, t.fg)", Q.DETAILS_SIMILAR, Q.MOVIE_ID)
     + ") s JOIN enriched e ON s.movieId = e.movieId",
@@ -259,4 +272,42 @@ SELECT round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae, count(*
 """,
 }
 
-ORACLE_SQL: dict[str, str] = {name: PRELUDE + body for name, body in _BODIES.items()}
+def _nullsafe_concat(sql: str) -> str:
+    """Rewrite ``concat(a, b, ...)`` as ``(a || b || ...)``: DuckDB's concat
+    skips NULL arguments, Spark's (like ``||``) returns NULL."""
+    out, i = [], 0
+    pat = re.compile(r"\bconcat\(")
+    while True:
+        m = pat.search(sql, i)
+        if not m:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i : m.start()])
+        j, depth, quoted, args, cur = m.end(), 1, False, [], []
+        while depth:
+            c = sql[j]
+            if quoted:
+                quoted = c != "'"
+                cur.append(c)
+            elif c == "'":
+                quoted = True
+                cur.append(c)
+            elif c == "(":
+                depth += 1
+                cur.append(c)
+            elif c == ")":
+                depth -= 1
+                if depth:
+                    cur.append(c)
+            elif c == "," and depth == 1:
+                args.append("".join(cur))
+                cur = []
+            else:
+                cur.append(c)
+            j += 1
+        args.append("".join(cur))
+        out.append("(" + " || ".join(_nullsafe_concat(a.strip()) for a in args) + ")")
+        i = j
+
+
+ORACLE_SQL: dict[str, str] = {name: _nullsafe_concat(PRELUDE + body) for name, body in _BODIES.items()}

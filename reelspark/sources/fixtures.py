@@ -33,8 +33,10 @@ def _s(c):
     return c.cast("string")
 
 
-def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+def _titled_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One projection over ``part``: the movie columns plus the part columns
+    the metadata fixture reuses (so it needs no second scan or join)."""
+    p = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
     key, name, brand, ptype, size = (F.col(c) for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
     yr = _s(F.lit(1950) + key % 70)
     branch = key % 10
@@ -57,7 +59,14 @@ def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(size % 3 == 1, F.concat(ptype, F.lit("|"), brand))
         .otherwise(F.concat(brand, F.lit("|"), ptype, F.lit("|"), parity))
     )
-    return p.select(key.cast("int").alias("movieId"), title.alias("title"), genres.alias("genres"))
+    return p.select(
+        key.cast("int").alias("movieId"), title.alias("title"), genres.alias("genres"),
+        "p_brand", "p_size", "p_retailprice",
+    )
+
+
+def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _titled_parts(spark, sf_dir).select("movieId", "title", "genres")
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,9 +97,7 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two ranked search results for the lookup title of two movies in three."""
     from reelspark.functions.titles import lookup_key
 
-    m = movies(spark, sf_dir)
-    p = _read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice", "p_size")
-    hits = m.join(p, m.movieId == p.p_partkey).filter(F.col("movieId") % 3 != 0)
+    hits = _titled_parts(spark, sf_dir).filter(F.col("movieId") % 3 != 0)
     ranked = hits.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("result_rank"))
     key = F.col("movieId").cast("bigint")
     rank = F.col("result_rank")

@@ -2,9 +2,18 @@
 
 from reelspark.streaming.ingest import (
     clean_ratings_stream,
+    committed_versions,
+    read_latest_stats,
     running_key_stats,
     write_parquet_stream,
     write_stats_stream,
 )
 
-__all__ = ["clean_ratings_stream", "running_key_stats", "write_parquet_stream", "write_stats_stream"]
+__all__ = [
+    "clean_ratings_stream",
+    "committed_versions",
+    "read_latest_stats",
+    "running_key_stats",
+    "write_parquet_stream",
+    "write_stats_stream",
+]

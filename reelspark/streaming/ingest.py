@@ -43,15 +43,52 @@ def write_parquet_stream(
 
 
 def write_stats_stream(
-    stats: DataFrame, out_dir: str, checkpoint_dir: str, available_now: bool = True
+    stats: DataFrame, out_dir: str, checkpoint_dir: str, available_now: bool = True, keep_versions: int = 3
 ) -> StreamingQuery:
     """Publish running statistics: after each micro-batch the complete
-    statistics table is written to ``out_dir`` as Parquet by the executors
-    (replacing the previous snapshot); nothing is collected to the driver."""
+    statistics table is written by the executors to a new version folder
+    ``out_dir/v=<batch id>``; a version counts once Spark has committed it
+    (its ``_SUCCESS`` marker exists), so readers never see a half-written
+    snapshot.  The newest ``keep_versions`` versions are kept."""
+    if keep_versions < 1:
+        raise ValueError("keep_versions must be at least 1")
 
-    def publish(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_dir)
+    def publish(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/v={int(epoch):012d}")
+        _prune_versions(batch.sparkSession, out_dir, keep_versions)
 
     w = stats.writeStream.outputMode("complete").option("checkpointLocation", checkpoint_dir).foreachBatch(publish)
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def committed_versions(spark: SparkSession, out_dir: str) -> list[str]:
+    """Committed snapshot folders under ``out_dir``, oldest first (a listing
+    of folder names on the driver, no data)."""
+    jvm, root, fs = _fs(spark, out_dir)
+    if not fs.exists(root):
+        return []
+    found = []
+    for st in fs.listStatus(root):
+        p = st.getPath()
+        if st.isDirectory() and p.getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")):
+            found.append(p.toString())
+    return sorted(found)
+
+
+def _prune_versions(spark: SparkSession, out_dir: str, keep: int) -> None:
+    jvm, _, fs = _fs(spark, out_dir)
+    for old in committed_versions(spark, out_dir)[:-keep]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
+
+
+def read_latest_stats(spark: SparkSession, out_dir: str) -> DataFrame | None:
+    """The newest committed statistics snapshot, or None before the first."""
+    versions = committed_versions(spark, out_dir)
+    return spark.read.parquet(versions[-1]) if versions else None
