@@ -105,9 +105,9 @@ def read_user_recommendations(
     cond = F.col("userId") == int(user_id)
     if buckets:
         cond = (F.col("user_bucket") == int(user_id) % int(buckets)) & cond  # % is non-negative like pmod
-        stored = stored.filter(cond).drop("user_bucket")
-    else:
-        stored = stored.filter(cond)
+    stored = stored.filter(cond)
+    if "user_bucket" in stored.columns:  # bucketed layout read without its bucket count: no pruning
+        stored = stored.drop("user_bucket")
     return stored.orderBy(F.desc("score"), "movieId")
 
 

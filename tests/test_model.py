@@ -212,6 +212,7 @@ def test_bucketed_recommendations_layout(spark, smoke_dir, tmp_dir):
     res.recommendations.write.parquet(flat)
     assert [r.movieId for r in read_user_recommendations(spark, flat, uid).collect()] == [
         r.movieId for r in read_user_recommendations(spark, path, uid, 8).collect()]
+    assert read_user_recommendations(spark, path, uid).columns == ["userId", "movieId", "title", "genres", "score"]
     one = read_user_recommendations(spark, path, uid, 8)
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(user_bucket" in plan and f"(user_bucket#" in plan
