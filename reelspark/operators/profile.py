@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType
 
-from reelspark.operators.prepare import density_filter
+from reelspark.operators.prepare import density_flags
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -83,17 +83,15 @@ def rating_histogram(ratings: DataFrame) -> DataFrame:
 
 
 def data_reduction(ratings_clean: DataFrame, min_user_ratings: int = 20, min_movie_ratings: int = 20) -> DataFrame:
-    """Rows before and after the density filter and the reduction in %.
-
-    The filtered count is the count of the density filter itself (R7, as a
-    scalar subquery), so it equals R7's output by construction; both counts
-    are partial aggregates."""
-    kept = density_filter(ratings_clean, min_user_ratings, min_movie_ratings).agg(F.count(F.lit(1))).scalar()
-    return ratings_clean.agg(F.count(F.lit(1)).alias("original_rows")).select(
+    """Rows before and after the density filter and the reduction in %,
+    in one aggregate over the flagged rows."""
+    flagged = density_flags(ratings_clean, min_user_ratings, min_movie_ratings)
+    return flagged.agg(
+        F.count(F.lit(1)).alias("original_rows"), F.count_if(F.col("keep")).alias("filtered_rows")
+    ).select(
         "original_rows",
-        kept.alias("filtered_rows"),
+        "filtered_rows",
         # null (not an error) when there is nothing to reduce
-        (F.try_divide((F.col("original_rows") - kept).cast("double"), F.col("original_rows")) * 100.0).alias(
-            "reduction_pct"
-        ),
+        (F.try_divide((F.col("original_rows") - F.col("filtered_rows")).cast("double"), F.col("original_rows"))
+         * 100.0).alias("reduction_pct"),
     )
