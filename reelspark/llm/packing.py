@@ -1,9 +1,9 @@
 """Packing documents into sequences: best-fit decreasing with a segment tree.
 
 Tokens come from ``tokenizers`` with a vocabulary file named by path.  Its
-pre-tokenizer drops white space, so a text's ids are those of its chunks
-between ASCII blanks, one after the other; each task keeps the ids of chunks it
-has met (a bounded table, emptied when full) and only encodes new ones.
+pre-tokenizer cuts a text into pieces that are encoded one by one, so each
+worker keeps the ids of pieces it has met (a bounded table, emptied when full)
+and only encodes new ones; tests hold this against encoding whole texts.
 
 A document's ids (and an end id) are first cut into full windows, which are
 sequences of their own.  The rest (shorter than a window) are dealt by a
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +41,8 @@ END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Remainders packed together by one task.
 GROUP_PIECES = 50_000
-#: Chunks a Python worker remembers, and their longest kept form.
-MEMORY_CHUNKS, MEMORY_LENGTH = 400_000, 48
-_BLANKS = str.maketrans("\t\n\r", "   ")
+#: Pieces a Python worker remembers, and the longest it keeps.
+MEMORY_PIECES, MEMORY_LENGTH = 500_000, 48
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -54,41 +54,71 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class ChunkEncoder:
-    """Ids of whole texts as little-endian uint32 bytes, remembering chunks."""
+#: What the vocabulary's pre-tokenizer keeps (fixed by the vocabulary file).
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Characters whose folding, normal form or class may differ between libraries, and the start of special tokens.
+_OTHER = regex.compile(r"[\x1c-\x1f\x85\xa0\u0250-\U0010ffff]|<\|")
+_BLANKS = regex.compile(r"[ \t\r\n]+")
+
+
+def _byte_letters() -> list[str]:
+    """The printable letter that byte-level vocabularies use for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+class PieceIds(dict):
+    """Piece -> ids as little-endian uint32 bytes, encoded when first met; emptied when full."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.model, self.letters = tokenizer.model, _byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        coded = piece if piece.isascii() and piece.isprintable() else "".join(self.letters[b] for b in piece.encode())
+        ids = np.asarray([t.id for t in self.model.tokenize(coded)], dtype="<u4").tobytes()
+        if len(piece) <= MEMORY_LENGTH:
+            if len(self) >= MEMORY_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+class TextEncoder:
+    """Ids of whole texts as little-endian uint32 bytes.
+
+    Texts of plain Latin letters are cut into pieces here and only new pieces
+    go to the model; chunks with any other character go through the tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.pieces = PieceIds(self.tokenizer)
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text.lower())))
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        return {c: np.asarray(e.ids, dtype="<u4").tobytes() for c, e in zip(new, coded, strict=True)}
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        chunked = [t.translate(_BLANKS).split(" ") for t in texts]
-        if len(self.known) > MEMORY_CHUNKS:
-            self.known.clear()
-        known, here = self.known, {}
-        new = set().union(*chunked).difference(known)
-        for chunk, ids in self._learn(list(new)).items():
-            (known if len(chunk) <= MEMORY_LENGTH else here)[chunk] = ids
-        if here:
-            known = {**here, **{c: known[c] for c in set().union(*chunked) if c in known}}
-        get = known.__getitem__
-        return [b"".join(map(get, c)) for c in chunked]
+    def encode(self, text: str) -> bytes:
+        if not _OTHER.search(text):
+            return self._plain(text)
+        # the pre-tokenizer never joins what a blank parts
+        return b"".join(self._whole(c) if _OTHER.search(c) else self._plain(c) for c in _BLANKS.split(text))
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[str, TextEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> TextEncoder:
     """One per Python worker, kept between tasks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]
 
 
@@ -109,8 +139,8 @@ def tokenize(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END
         for b in slices(batches, 2 << 20):
             doc_ids = b.column(0).to_pylist()
             rows = []
-            for doc, ids in zip(doc_ids, enc.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                ids += end
+            for doc, text in zip(doc_ids, b.column(1).to_pylist(), strict=True):
+                ids = enc.encode(text or "") + end
                 for start, length, crc in cut(ids, window):
                     rows.append((doc, start, length, crc, len(ids) // 4, count))
                     count += 1
