@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,8 +52,7 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Itera
         sizes = np.zeros(b.num_rows)
         for c in b.columns:
             if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
-                n = c.value_lengths() if hasattr(c, "value_lengths") else pa.compute.binary_length(c)
-                sizes += np.nan_to_num(n.to_numpy(zero_copy_only=False).astype("float64"))
+                sizes += np.nan_to_num(pc.binary_length(c).to_numpy(zero_copy_only=False).astype("float64"))
         part = (np.cumsum(sizes) // max_bytes).astype(int)
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), b.num_rows]
         for a, z in itertools.pairwise(cuts):
