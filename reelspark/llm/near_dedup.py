@@ -205,8 +205,8 @@ def links(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHINGLE
         linked = checked.filter("similar").select("a", "b")
         found = linked if found is None else found.unionByName(linked)
         # a member goes on where neither leader of its bucket took it and it leads neither
-        pairs_of = members.select("key", "node", ends)
-        taken = pairs_of.join(seen.filter("similar"), (F.greatest("node", "b") == seen["a"]) & (F.least("node", pairs_of["b"]) == seen["b"]), "left_semi")
+        tried = members.select("key", "node", ends).select("key", "node", F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
+        taken = tried.join(seen.filter("similar").select("a", "b"), ["a", "b"], "left_semi")
         led_by = members.filter((F.col("node") == F.col("low")) | (F.col("node") == F.col("high")))
         done = taken.select("key", "node").unionByName(led_by.select("key", "node")).distinct()
         buckets = staged(members.select("key", "node").join(done, ["key", "node"], "left_anti"), "near-buckets")

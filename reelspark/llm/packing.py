@@ -12,9 +12,8 @@ input, and each group is packed by itself: longest piece first, into the open
 sequence with the least room that still takes it, found in a segment tree over
 room 0..window.  A group leaves about one loosely filled sequence.
 
-Sequences are padded to the window, except at a power of two; the last, loosely
-filled sequences of a group are therefore cut at powers of two where that saves
-padding (``Cut freely``: pieces keep their start and length).
+Sequences are padded to the window, except at a power of two: a text that fills
+one exactly needs no padding.
 
 Edge cases: null and empty texts have the end id only and are packed like any
 other; repeated rows are packed each on its own; ties in length go by doc_id,
@@ -24,6 +23,8 @@ then checksum; an empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -57,8 +58,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 #: What the vocabulary's pre-tokenizer keeps (fixed by the vocabulary file).
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Characters whose folding, normal form or class may differ between libraries, and the start of special tokens.
-_OTHER = regex.compile(r"[\x1c-\x1f\x85\xa0\u0250-\U0010ffff]|<\|")
-_BLANKS = regex.compile(r"[ \t\r\n]+")
+_OTHER = re.compile("[\x1c-\x1f\x85\xa0\u0250-\U0010ffff]")
+_BLANKS = re.compile(r"[ \t\r\n]+")
+
+
+def _other(text: str) -> bool:
+    return "<|" in text or not text.isascii() and bool(_OTHER.search(text)) or any(c in text for c in "\x1c\x1d\x1e\x1f")
 
 
 def _byte_letters() -> list[str]:
@@ -77,7 +82,7 @@ class PieceIds(dict):
 
     def __missing__(self, piece: str) -> bytes:
         coded = piece if piece.isascii() and piece.isprintable() else "".join(self.letters[b] for b in piece.encode())
-        ids = np.asarray([t.id for t in self.model.tokenize(coded)], dtype="<u4").tobytes()
+        ids = struct.pack(f"<{len(t)}I", *[x.id for x in t]) if (t := self.model.tokenize(coded)) else b""
         if len(piece) <= MEMORY_LENGTH:
             if len(self) >= MEMORY_PIECES:
                 self.clear()
@@ -106,10 +111,10 @@ class TextEncoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not _OTHER.search(text):
+        if not _other(text):
             return self._plain(text)
         # the pre-tokenizer never joins what a blank parts
-        return b"".join(self._whole(c) if _OTHER.search(c) else self._plain(c) for c in _BLANKS.split(text))
+        return b"".join(self._whole(c) if _other(c) else self._plain(c) for c in _BLANKS.split(text))
 
 
 _ENCODERS: dict[str, TextEncoder] = {}

@@ -12,7 +12,7 @@ anchor, the smallest hash among the ``ANCHOR``-byte strings of its window; equal
 windows have equal anchors, so all matches meet in one group.
 
 1. Every document is cut into runs of neighbouring starts with the same anchor
-   (a few rows for each kilobyte).
+   string at the same place (a few rows for each kilobyte).
 2. Per anchor, a partial aggregate counts runs and compares their content.
    Anchors met once are done: none of their starts repeats.
 3. Anchors whose runs are all equal are done too: every start has the same matches.
@@ -87,7 +87,8 @@ def anchor_runs(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, anchor:
     if len(raw) < length:
         return none, none, none, none, none
     hashes = string_hashes(raw, {anchor, length})
-    least = sliding_min(mix64(hashes[anchor]), length - anchor + 1)
+    marks = mix64(hashes[anchor])
+    least = sliding_min(marks, length - anchor + 1)
     whole = hashes[length]
     begins = np.concatenate([[0], ends[:-1]])
     sizes = ends - begins
@@ -96,17 +97,11 @@ def anchor_runs(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, anchor:
         return none, none, none, none, none
     doc = np.searchsorted(ends, start, side="right")
     v = least[start]
-    fresh = np.concatenate([[True], (v[1:] != v[:-1]) | (doc[1:] != doc[:-1])])
+    # the anchor is the first smallest string: it changes with its value, or when the start passes it
+    passed = marks[start[:-1]] == v[:-1]
+    fresh = np.concatenate([[True], (v[1:] != v[:-1]) | passed | (doc[1:] != doc[:-1])])
     first = np.flatnonzero(fresh)
     widths = np.diff(np.append(first, len(start)))
-    most = length - anchor + 1  # longer runs (periodic text) are cut, so that two windows cover a run
-    if (widths > most).any():
-        parts = -(-widths // most)
-        base = np.repeat(first, parts)
-        nth = np.arange(len(base)) - np.repeat(np.cumsum(parts) - parts, parts)
-        stop = np.repeat(first + widths, parts)
-        first = base + nth * most
-        widths = np.minimum(first + most, stop) - first
     a, z = start[first], start[first + widths - 1]
     content = mix64(whole[a] * _STEP[1] + mix64(whole[z]) + widths.astype(np.uint64) * _STEP[2])
     return doc[first], a - begins[doc[first]], widths - 1, v[first].view(np.int64), content.view(np.int64)

@@ -31,6 +31,34 @@ class WordHash(dict):
         return h
 
 
+class WordParts(dict):
+    """Word -> buckets (int32 bytes) of the word, its beginnings and its ends; emptied when full."""
+
+    def __init__(self, bits: int, starts: tuple[int, ...] = (4, 5, 6), ends: tuple[int, ...] = (4, 5)):
+        super().__init__()
+        self.bits, self.starts, self.ends = bits, starts, ends
+
+    def __missing__(self, word: str) -> bytes:
+        n, mask = len(word), (1 << self.bits) - 1
+        parts = [word, *["^" + word[:k] for k in self.starts if n >= k], *[word[-k:] + "$" for k in self.ends if n >= k]]
+        out = np.array([zlib.crc32(p.encode("utf-8", "surrogatepass")) * 0x9E3779B1 >> 7 & mask for p in parts], dtype=np.int32).tobytes()
+        if n <= 48:
+            if len(self) >= MEMORY_WORDS:
+                self.clear()
+            self[word] = out
+        return out
+
+
+_PARTS: dict[int, WordParts] = {}
+
+
+def part_buckets(text: str | None, bits: int) -> np.ndarray:
+    """Distinct buckets of the parts of a text's words, ascending."""
+    known = _PARTS.setdefault(bits, WordParts(bits))
+    words = set(WORDS.findall((text or "").lower()))
+    return np.unique(np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.int32)).astype(np.int64)
+
+
 _HASHES: dict[int, WordHash] = {}
 
 

@@ -5,8 +5,8 @@ also gets the probabilities of the earlier ones.  In fitting, those
 probabilities are out-of-fold (a model never scored the rows it was fitted on),
 so later models learn from what they will meet.
 
-Inputs of the linear models are hashed words (present or not).  Of all buckets
-those are kept whose rate in toxic and other documents differs by ``MIN_Z``
+Inputs of the linear models are hashed words with their beginnings and ends, for
+languages that inflect (present or not).  Of all buckets those are kept whose rate in toxic and other documents differs by ``MIN_Z``
 standard errors and that occur in ``MIN_DOCS`` documents, ``MAX_TERMS`` at most
 by that z: words seen once or twice say nothing and would only add up in long
 texts.
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm.common import slices, table, unit_hash
-from reelspark.llm.text_features import WORDS, buckets
+from reelspark.llm.text_features import part_buckets
 
 CATEGORIES = ("severe", "pervasive", "toxic")
 WORD_BITS = 20
@@ -146,13 +146,9 @@ def fit_chain(found: list[np.ndarray], toxic: np.ndarray, folds: np.ndarray) ->
     return Chain(terms, weights)
 
 
-def _words(text: str | None) -> np.ndarray:
-    return buckets(WORDS.findall((text or "").lower()), WORD_BITS)[0]
-
-
 def _bucket_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        found = [_words(t).astype(np.int32).tobytes() for t in b.column(1).to_pylist()]
+        found = [part_buckets(t, WORD_BITS).astype(np.int32).tobytes() for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary()), b.column(2)], names=["doc_id", "found", "toxic"])
 
 
@@ -178,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
 
 
 def judge_texts(texts: list[str | None], chain: Chain) -> np.ndarray:
-    found = [_words(t) for t in texts]
+    found = [part_buckets(t, WORD_BITS) for t in texts]
     hits, rows = positions(chain.terms, found)
     return chain.probabilities(hits, rows, len(found))
 
