@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelspark.llm import language_id, mixing, near_dedup, packing, quality_fm, suffix_dedup, toxicity, url_rules
+from reelspark.llm import exact_topk, hilbert_ann, language_id, mixing, near_dedup, packing, quality_fm, suffix_dedup, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_quality": quality_fm.op4_quality,
+    "op5_hilbert_ann": hilbert_ann.op5_hilbert_ann,
+    "op6_voronoi_topk": exact_topk.op6_voronoi_topk,
     "op7_url_rules": url_rules.op7_url_rules,
     "op8_mixing": mixing.op8_mixing,
     "op9_packing": packing.op9_packing,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op6_voronoi_topk": exact_topk.ORACLE, "op8_mixing": mixing.ORACLE}
