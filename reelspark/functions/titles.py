@@ -13,7 +13,7 @@ Rules (kept distinct on purpose, they disagree on odd titles):
 * lookup key  — the text before the first ``(``, trimmed, always.
 
 A null title yields year ``N/A`` and ``Untitled Movie``.  Trimming removes
-ASCII spaces only and digits are ASCII only.
+all white space; digits are ASCII only.
 """
 
 from __future__ import annotations
@@ -28,6 +28,11 @@ MAX_TITLE_CHARS = 40
 KEEP_TITLE_CHARS = 37
 ELLIPSIS = "..."
 YEAR_SORT_PATTERN = r".*\((\d{4})\).*"
+# white space as Unicode counts it, with the four ASCII separators
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def _has_parens(title: Column) -> Column:
@@ -47,7 +52,7 @@ def title_year(title: Column) -> Column:
 
 
 def lookup_key(title: Column) -> Column:
-    return F.trim(F.substring_index(title, "(", 1))
+    return F.trim(F.substring_index(title, "(", 1), F.lit(WHITE_SPACE))
 
 
 def display_title(title: Column) -> Column:

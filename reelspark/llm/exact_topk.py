@@ -117,13 +117,13 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = K, pivots: int =
     parts, first = _cut(cells, block)
     q_parts, q_first = _cut(groups, block)
     data = to_blocks(_blocked(placed, parts, first, 1), "d")
-    asked = to_blocks(_blocked(queries, q_parts, q_first, 2).withColumnRenamed("block", "q_block").withColumn("block", F.col("q_block")), "q")
+    asked = to_blocks(_blocked(queries, q_parts, q_first, 2), "q")
     # one row for each group and block it needs: pivots x blocks, sent as a table
     wanted = F.array(*[F.array(*[F.lit(int(c)) for c in np.flatnonzero(needed[g])]).cast("array<int>") for g in range(len(centres))])
     group = sum((F.when(F.col("block") >= int(a), 1).otherwise(0) for a in q_first[1:]), F.lit(0)) if len(q_first) > 1 else F.lit(0)
     asked = asked.withColumn("cell", F.explode(F.element_at(wanted, (group + 1).cast("int"))))
     span = F.sequence(F.element_at(_numbers(first), F.col("cell") + 1), F.element_at(_numbers(first + np.maximum(parts, 1) - 1), F.col("cell") + 1))
-    asked = asked.select("q_ids", "q_vectors", F.explode(span).cast("bigint").alias("block"))
+    asked = asked.select("q_ids", "q_vectors", F.explode(span).alias("block")).withColumn("block", F.col("block").cast("bigint"))
     found = score_blocks(asked.join(data, "block"), k)
     return ranked(found, k).withColumn("score", F.col("score").cast("bigint")).select("query_id", "rank", "vec_id", "score")
 

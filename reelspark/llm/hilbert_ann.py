@@ -173,11 +173,12 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = K, curves: int = C
     def score(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(data) or not len(asked):
             return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        d, q = np.vstack(data["embedding"].to_list()), np.vstack(asked["embedding"].to_list())
-        return pd.DataFrame(best(asked["vec_id"].to_numpy(), q, data["vec_id"].to_numpy(), d, k))
+        d, q = np.vstack(data["embedding"].to_list()), np.vstack(asked["q_embedding"].to_list())
+        return pd.DataFrame(best(asked["q_id"].to_numpy(), q, data["vec_id"].to_numpy(), d, k))
 
-    groups = [dealt.filter(c).select("block", "vec_id", "embedding").groupBy("block") for c in (~F.col("asks"), F.col("asks"))]
-    return ranked(groups[0].cogroup(groups[1]).applyInPandas(score, FOUND), k)
+    data = dealt.filter(~F.col("asks")).select("block", "vec_id", "embedding").groupBy("block")
+    asked = dealt.filter("asks").select(F.col("block").alias("q_block"), F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_embedding")).groupBy("q_block")
+    return ranked(data.cogroup(asked).applyInPandas(score, FOUND), k)
 
 
 def op5_hilbert_ann(spark, sf_dir: str) -> DataFrame:

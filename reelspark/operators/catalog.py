@@ -10,9 +10,10 @@ Genre matching comes in two flavours:
 Substring matching is never evaluated as movies x genres.  The catalog is
 first collapsed to its distinct genre strings (partial aggregation, so a hot
 genre string costs one row per map task), the strings are split into pieces,
-and "g occurs in s" becomes an equi-join between every substring of each
-distinct piece and the wanted genres.  The work grows with the number of
-distinct genre strings, not with the number of movies times genres.
+and "g occurs in s" becomes an equi-join between the distinct short grams of
+each distinct piece and the wanted genres' leading grams, checked with
+``contains``.  The work grows with the number of distinct genre strings, not
+with the number of movies times genres.
 
 Every limited result has a total order (ties end on movieId) so it is
 deterministic; an unknown sort key or a negative limit raises.
@@ -110,32 +111,44 @@ def top_genres(movies: DataFrame, n: int = 12) -> DataFrame:
 # --- containment relation -------------------------------------------------
 
 
+#: Longest gram that the containment join uses, and characters of a piece cut at a time.
+MAX_GRAM = 16
+GRAM_CHUNK = 64
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """The distinct substrings of ``size`` characters (code points) of a text.
+
+    Cutting chunk by chunk keeps each cut short, so the work follows the length
+    of the text, and so does the output: a gram for each character at most.
+    """
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.length(text) - size) / GRAM_CHUNK).cast("int")),
+        lambda k: F.substring(text, k * GRAM_CHUNK + 1, size + (GRAM_CHUNK - 1)),
+    )
+    cut = F.transform(
+        chunks, lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(c, i, size))
+    )
+    return F.array_distinct(F.flatten(cut))
+
+
 def _containment(pieces: DataFrame, wanted: DataFrame) -> DataFrame:
     """(piece, genre) for every distinct piece and wanted genre inside it.
 
-    ``wanted`` has one column ``genre``.  For each distinct piece and each
-    distinct length d of a wanted genre (d <= the piece's length), one regex
-    pass lists the piece's overlapping substrings of length d; they are
-    joined to ``wanted`` and only the hits are de-duplicated.  Rows are keyed
-    by a hash of the piece rather than the piece, so long pieces are not
-    copied into every shuffled row.  The distinct wanted lengths come from a
-    scalar subquery (a handful of small integers).
+    ``wanted`` has one column ``genre``, none empty.  Grams are as long as the
+    shortest wanted genre (``MAX_GRAM`` at most), so every wanted genre starts
+    with one; a piece's grams are joined to those leading grams, which names
+    each (piece, genre) once, and ``contains`` decides.  Gram rows carry a hash of
+    their piece, not the piece.
     """
     wanted = wanted.distinct()
-    lengths = wanted.agg(F.array_sort(F.collect_set(F.length("genre")))).scalar()
-    # generated rows carry a fixed-size key of their piece, not the piece
-    # itself, so a long piece is not copied into every shuffled row
+    size = wanted.agg(F.least(F.min(F.length("genre")), F.lit(MAX_GRAM))).scalar()
     vocab = pieces.select("piece").distinct().select("piece", F.sha2("piece", 256).alias("_pk"))
-    n = F.length("piece")
-    sized = vocab.select("_pk", "piece", lengths.alias("_lens")).select(
-        "_pk", "piece", F.explode(F.filter("_lens", lambda d: d <= n)).alias("_d")
-    )
-    # all overlapping substrings of length d in one linear regex pass
-    # (a capturing lookahead matches at every position)
-    window = F.concat(F.lit("(?s)(?=(.{"), F.col("_d").cast("string"), F.lit("}))"))
-    subs = sized.select("_pk", F.explode(F.regexp_extract_all("piece", window, F.lit(1))).alias("genre"))
-    hits = subs.join(wanted, "genre").select("_pk", "genre").distinct()
-    return vocab.join(hits, "_pk").select("piece", "genre")
+    sized = vocab.select("_pk", "piece", size.alias("_size")).filter(F.length("piece") >= F.col("_size"))
+    grams = sized.select("_pk", F.explode(_grams(F.col("piece"), F.col("_size"))).alias("_gram"))
+    leading = wanted.select("genre", size.alias("_size")).select("genre", F.substring(F.col("genre"), F.lit(1), F.col("_size")).alias("_gram"))
+    named = grams.join(leading, "_gram").select("_pk", "genre")
+    return vocab.join(named, "_pk").filter(F.col("piece").contains(F.col("genre"))).select("piece", "genre")
 
 
 def genre_members(movies: DataFrame, wanted: DataFrame, match: str = "substring") -> DataFrame:
@@ -187,12 +200,11 @@ def genre_count(movies: DataFrame, genre: str, match: str = "substring") -> Data
 
 def genre_share(stats: DataFrame) -> DataFrame:
     """Each genre's count as a percentage of the largest count
-    (unrounded; present with ``bround(share_pct, 1)``).  The maximum is a
-    scalar subquery, not a single-partition window."""
+    and as shown, to one decimal (halves to even).  The maximum is a scalar
+    subquery, not a single-partition window."""
     top = stats.agg(F.max("num_movies")).scalar()
-    return stats.select(
-        "genre", "num_movies", (F.col("num_movies") / top * F.lit(100.0)).alias("share_pct")
-    )
+    share = stats.select("genre", "num_movies", (F.col("num_movies") / top * F.lit(100.0)).alias("share_pct"))
+    return share.withColumn("share_pct_shown", F.bround("share_pct", 1))
 
 
 # --- C6 / C7-C11 / C14 / C15 ------------------------------------------------
@@ -250,11 +262,35 @@ def catalog_head(movies: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def with_result_count(df: DataFrame, name: str = "count") -> DataFrame:
-    """Attach the result's row count to every row (scalar subquery)."""
-    return df.select("*", df.agg(F.count(F.lit(1))).scalar().alias(name))
+    """Attach the row count of a limited result to its rows.
 
+    One window over the result, which its limit bounds; the query below runs once.
+    """
+    return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy()))
+
+
+# --- C16: similar movies ------------------------------------------------------
+
+
+def similar_to(movies: DataFrame, movie_id: int, limit: int = 10, match: str = "substring") -> DataFrame:
+    """C16/C17 for one movie: up to ``limit`` other movies whose genres contain
+    its first valid genre, by movieId, in the form of :func:`similar_by_genre`.
 
-# --- C16: similar movies, batch form ----------------------------------------
+    A point lookup gives the genre (a scalar subquery); the catalog is then
+    filtered and cut to a top-k.  An unknown movie or one with null genres has
+    none; one without a valid genre has any other movies.
+    """
+    limit = _check_limit(limit)
+    _check_match(match)
+    # "=" and the first valid genre; "=" alone where there is none
+    found = movie_by_id(movies, movie_id).agg(F.max(F.when(F.col("genres").isNotNull(), F.concat(F.lit("="), F.coalesce(first_valid_genre(F.col("genres")), F.lit(""))))))
+    first = F.substring(found.scalar(), 2, 1 << 30)
+    fits = F.array_contains(genre_array(F.col("genres")), first) if match == "exact" else F.col("genres").contains(first)
+    others = movies.filter((F.col("movieId") != int(movie_id)) & ((first == "") | fits)).select("movieId", "title", "genres")
+    order = [F.col("movieId"), F.col("title").asc_nulls_first(), F.col("genres").asc_nulls_first()]
+    top = others.orderBy(*order).limit(limit)
+    rank = F.row_number().over(Window.partitionBy().orderBy(*order))  # over ``limit`` rows
+    return top.select(F.lit(int(movie_id)).alias("target_id"), "movieId", "title", "genres", rank.alias("similar_rank"))
 
 
 def similar_by_genre(

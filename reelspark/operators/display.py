@@ -72,14 +72,33 @@ def enrich(df: DataFrame, metadata: DataFrame) -> DataFrame:
     has a search result; rows without one are kept, fields null.
 
     Output: the input columns, year, clean_title, poster_url and the six
-    metadata fields.
+    metadata fields.  For whole tables; a page uses :func:`enrich_page`.
     """
     best = best_metadata(metadata)
     keyed = df.select("*", lookup_key(F.col("title")).alias("_lookup"))
-    joined = keyed.join(best, keyed["_lookup"] == best["query_title"], "left")
+    return _display_record(keyed.join(best, keyed["_lookup"] == best["query_title"], "left"), df.columns)
+
+
+def enrich_page(df: DataFrame, metadata: DataFrame) -> DataFrame:
+    """E3-E5 for a limited result: the same record, but the search results are
+    joined to the page's rows first, so that only theirs are aggregated.
+    The page is computed once; the metadata table is filtered, not grouped."""
+    keyed = df.select("*", lookup_key(F.col("title")).alias("_lookup"), F.monotonically_increasing_id().alias("_row"))
+    joined = keyed.join(metadata, keyed["_lookup"] == metadata["query_title"], "left")
+    order = F.struct(
+        F.col("result_rank").isNull(), F.col("result_rank"), F.col("tmdb_id").isNull(), F.col("tmdb_id")
+    )
+    fields = [*METADATA_FIELDS, "poster_path"]
+    one = joined.groupBy("_row").agg(
+        F.first(F.struct(*[F.col(c) for c in df.columns])).alias("_page"), F.min_by(F.struct(*fields), order).alias("_m")
+    )
+    return _display_record(one.select("_page.*", *[F.col(f"_m.{f}").alias(f) for f in fields]), df.columns)
+
+
+def _display_record(joined: DataFrame, columns: list[str]) -> DataFrame:
     t, mid = F.col("title"), F.col("movieId")
     return joined.select(
-        *[F.col(c) for c in df.columns],
+        *[F.col(c) for c in columns],
         title_year(t).alias("year"),
         clean_title(t).alias("clean_title"),
         poster_url(F.col("poster_path"), t, mid).alias("poster_url"),

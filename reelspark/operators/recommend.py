@@ -1,176 +1,139 @@
-"""Top-N recommendation from a fitted ALS model, unnesting and catalog join.
-
-Exact top-N has to score every (user, item) pair.  Two plans:
-
-* **broadcast** (used when the other side's factor table is provably small:
-  its row count x rank x 4 bytes is under ``max_broadcast_bytes``): that
-  factor matrix is shipped once to every executor and each partition of the
-  scored side is scored in Arrow batches (one matrix product per slice of
-  rows, partial selection of the best N).  No shuffle, no pair product; the
-  output is exactly N rows per key.
-* **blocked** (anything larger): Spark ML's own method, factor blocks
-  against factor blocks with a bounded top-N merge.
-
-Both return Spark ML's nested shape: (key, recommendations
-array<struct<other_key, rating>>).  Ties on the score are broken by the
-smaller id in the broadcast plan.
+"""Top-N recommendation from factor tables, unnesting and catalog join.
+
+Exact top-N has to score every (key, other) pair.  One plan serves every size:
+both factor tables are dealt by a hash of the id to blocks of bounded size, each
+block is one packed row, every key block meets every block of the other side
+through an equi-join on the block number, and a block pair is scored at once in
+Arrow batches on the executors (``mapInArrow``).  At most N rows per key leave a
+block pair; Spark merges them with a window that it cuts to N before the shuffle.
+
+Scores are sums of the rank's products in the order of the rank, in float64, so
+a score does not depend on how the tables are cut into blocks.  The order is
+score descending, then the smaller id, within blocks and between them.  Nothing
+is collected or broadcast by hand; the only driver-side figures are two counts.
+
+The nested form is Spark ML's: (key, recommendations array<struct<other, rating>>).
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.recommendation import ALSModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.session import spark_context
+#: Rows of a block: a pair of blocks is scored with about 32 MB of scores.
+KEY_BLOCK_ROWS = 1_024
+OTHER_BLOCK_ROWS = 4_096
+
+
+def _check_n(n: int) -> int:
+    if n is None or int(n) < 0:
+        raise ValueError(f"number of recommendations must be non-negative, got {n!r}")
+    return int(n)
 
-# Upper bound for the factor matrix shipped to every executor.
-DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
-# Working-memory budget of one score slice inside a task.
-SCORE_SLICE_BYTES = 64 * 1024 * 1024
 
+def _blocks(factors: DataFrame, count: int, prefix: str) -> DataFrame:
+    """(id, features) -> one packed row a block: block, <prefix>ids, <prefix>features."""
 
-def _matrix(factors: DataFrame, rank: int, max_bytes: int):
-    """(ids, float32 matrix) of a factor table, or None when it is not
-    provably under ``max_bytes`` (checked with a count before collecting)."""
-    n = factors.count()
-    if n * (rank * 4 + 4) > max_bytes:
-        return None
-    tbl = factors.select("id", "features").toArrow()
-    ids = tbl.column("id").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int32)
-    flat = pc.list_flatten(tbl.column("features").combine_chunks())
-    mat = flat.to_numpy(zero_copy_only=False).astype(np.float32).reshape(n, rank)
-    return ids, np.ascontiguousarray(mat)
+    def pack(key, df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("id")
+        x = np.vstack(df["features"].to_list()).astype("<f8")
+        return pd.DataFrame({"block": [key[0]], f"{prefix}ids": [df["id"].to_numpy("<i4").tobytes()], f"{prefix}features": [x.tobytes()]})
 
+    dealt = factors.select(F.pmod(F.xxhash64("id"), F.lit(count)).alias("block"), "id", "features")
+    return dealt.groupBy("block").applyInPandas(pack, f"block long, {prefix}ids binary, {prefix}features binary")
 
-def _scorer(bc, rank: int, n: int, key: str, other: str):
-    out_type = pa.list_(pa.struct([(other, pa.int32()), ("rating", pa.float32())]))
 
+def block_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Scores of all rows of ``a`` with all rows of ``b``, summed in the order of the rank."""
+    out = np.zeros((len(a), len(b)))
+    for f in range(a.shape[1]):
+        out += a[:, f, None] * b[None, :, f]
+    return out
+
+
+def best_of_block(scores: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the n best of each row: score descending, then smaller id.
+
+    Everything tied with the n-th score is ordered exactly before the cut.
+    """
+    n = min(n, scores.shape[1])
+    cut = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
+    row, col = np.nonzero(scores >= cut[:, None])
+    order = np.lexsort((ids[col], -scores[row, col], row))
+    row, col = row[order], col[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < n
+    return row[keep], col[keep]
+
+
+def _score_pairs(n: int, key: str, other: str):
     def score(batches):
-        ids, mat = bc.value
-        n_items = len(ids)
-        k = min(n, n_items)
-        mat_t = np.ascontiguousarray(mat.T)
-        step = max(1, SCORE_SLICE_BYTES // max(1, n_items * 4))
         for b in batches:
-            src = b.column(0).to_numpy(zero_copy_only=False).astype(np.int32)
-            rows = len(src)
-            feats = pc.list_flatten(b.column(1)).to_numpy(zero_copy_only=False).astype(np.float32)
-            u = feats.reshape(rows, rank)
-            top_ids = np.empty((rows, k), dtype=np.int32)
-            top_scores = np.empty((rows, k), dtype=np.float32)
-            for lo in range(0, rows, step):
-                s = u[lo : lo + step] @ mat_t
-                if k == 0:
-                    continue
-                if k < n_items:
-                    idx = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                    cs = np.take_along_axis(s, idx, axis=1)
-                    # argpartition keeps an arbitrary subset of the items tied
-                    # at the k-th score; re-rank exactly the rows where the
-                    # tie reaches beyond the kept items (rare with real scores)
-                    kth = cs.min(axis=1, keepdims=True)
-                    short = (s == kth).sum(axis=1) > (cs == kth).sum(axis=1)
-                    for r in np.nonzero(short)[0]:
-                        idx[r] = np.lexsort((ids, -s[r]))[:k]
-                else:
-                    idx = np.broadcast_to(np.arange(n_items), s.shape)
-                cs = np.take_along_axis(s, idx, axis=1)
-                ci = ids[idx]
-                order = np.lexsort((ci, -cs), axis=-1)
-                top_scores[lo : lo + step] = np.take_along_axis(cs, order, axis=1)
-                top_ids[lo : lo + step] = np.take_along_axis(ci, order, axis=1)
-            structs = pa.StructArray.from_arrays(
-                [pa.array(top_ids.reshape(-1)), pa.array(top_scores.reshape(-1))], names=[other, "rating"]
-            )
-            offsets = pa.array(np.arange(0, rows * k + 1, k, dtype=np.int32) if k else np.zeros(rows + 1, np.int32))
-            recs = pa.ListArray.from_arrays(offsets, structs).cast(out_type)
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int32()), recs], names=[key, "recommendations"])
+            for i in range(b.num_rows):
+                k_ids, o_ids = (np.frombuffer(b.column(c)[i].as_py(), "<i4") for c in (0, 2))
+                k, o = (np.frombuffer(b.column(c + 1)[i].as_py(), "<f8").reshape(len(ids), -1) for c, ids in ((0, k_ids), (2, o_ids)))
+                s = block_scores(k, o)
+                row, col = best_of_block(s, o_ids, n)
+                yield pa.RecordBatch.from_arrays([pa.array(k_ids[row]), pa.array(o_ids[col]), pa.array(s[row, col])], names=[key, other, "score"])
 
     return score
 
 
-def _top_n(src: DataFrame, dst: DataFrame, rank: int, n: int, key: str, other: str, max_bytes: int):
-    """Broadcast plan when ``dst`` is small enough, else None."""
-    sc = spark_context(src.sparkSession)
-    if sc is None:  # Spark Connect has no broadcast variables
-        return None
-    m = _matrix(dst, rank, max_bytes)
-    if m is None:
-        return None
-    bc = sc.broadcast(m)
-    schema = f"{key} int, recommendations array<struct<{other}:int,rating:float>>"
-    return src.select("id", "features").mapInArrow(_scorer(bc, rank, n, key, other), schema)
-
-
-def _check_n(n: int) -> int:
-    if n is None or int(n) < 0:
-        raise ValueError(f"number of recommendations must be non-negative, got {n!r}")
-    return int(n)
+def top_n(
+    keys: DataFrame, others: DataFrame, n: int = 10, key: str = "userId", other: str = "movieId",
+    key_blocks: int | None = None, other_blocks: int | None = None,
+) -> DataFrame:
+    """N1-N3 from factor tables (id int, features array<float>): the n best
+    ``others`` of every key, nested.  With n = 0 or nothing to recommend, every
+    key gets an empty list.  Block counts follow the row counts unless given;
+    they change the work, never the result."""
+    n = _check_n(n)
+    n_others = others.count() if n else 0
+    empty = F.array().cast(f"array<struct<{other}:int,rating:float>>")
+    if not n_others:
+        return keys.select(F.col("id").alias(key), empty.alias("recommendations"))
+    other_blocks = other_blocks or -(-n_others // OTHER_BLOCK_ROWS)
+    key_blocks = key_blocks or max(1, -(-keys.count() // KEY_BLOCK_ROWS))
+    asked = _blocks(keys, key_blocks, "k_").drop("block")
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(other_blocks - 1).cast("bigint"))))
+    pairs = asked.join(_blocks(others, other_blocks, "o_"), "block").select("k_ids", "k_features", "o_ids", "o_features")
+    found = pairs.mapInArrow(_score_pairs(n, key, other), f"{key} int, {other} int, score double")
+    order = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col(other).asc())
+    top = found.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n)
+    listed = F.array_sort(F.collect_list(F.struct("_rank", other, "score")))  # n entries at most
+    return top.groupBy(key).agg(
+        F.transform(listed, lambda r: F.struct(r[other].alias(other), r["score"].cast("float").alias("rating"))).alias("recommendations")
+    )
 
 
 def _subset(factors: DataFrame, keys: DataFrame, col: str) -> DataFrame:
     return factors.join(keys.select(F.col(col).alias("id")).distinct(), "id", "left_semi")
 
 
-def recommend_for_all_users(
-    model: ALSModel, n: int = 10, method: str = "auto", max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES
-) -> DataFrame:
-    """(userId, recommendations array<struct<movieId, rating>>).
-    ``method``: "auto" (broadcast when the item factors fit, else blocked),
-    "broadcast" (raise if they do not fit) or "blocked"."""
-    return _recommend(model, model.userFactors, model.itemFactors, n, method, max_broadcast_bytes,
-                      lambda: model.recommendForAllUsers(n), model.getUserCol(), model.getItemCol())
+def recommend_for_all_users(model: ALSModel, n: int = 10) -> DataFrame:
+    """(userId, recommendations array<struct<movieId, rating>>)."""
+    return top_n(model.userFactors, model.itemFactors, n, model.getUserCol(), model.getItemCol())
 
 
-def recommend_for_all_items(
-    model: ALSModel, n: int = 10, method: str = "auto", max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES
-) -> DataFrame:
+def recommend_for_all_items(model: ALSModel, n: int = 10) -> DataFrame:
     """(movieId, recommendations array<struct<userId, rating>>)."""
-    return _recommend(model, model.itemFactors, model.userFactors, n, method, max_broadcast_bytes,
-                      lambda: model.recommendForAllItems(n), model.getItemCol(), model.getUserCol())
+    return top_n(model.itemFactors, model.userFactors, n, model.getItemCol(), model.getUserCol())
 
 
-def recommend_for_users(
-    model: ALSModel, users: DataFrame, n: int = 10, method: str = "auto",
-    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
-) -> DataFrame:
+def recommend_for_users(model: ALSModel, users: DataFrame, n: int = 10) -> DataFrame:
     """Top-N for the users in ``users`` (any number of them).
     Users unknown to the model get no row (N7: empty in, empty out)."""
     col = model.getUserCol()
-    keys = users.select(col).distinct()
-    return _recommend(model, _subset(model.userFactors, keys, col), model.itemFactors, n, method,
-                      max_broadcast_bytes, lambda: model.recommendForUserSubset(keys, n), col, model.getItemCol())
+    return top_n(_subset(model.userFactors, users, col), model.itemFactors, n, col, model.getItemCol())
 
 
-def recommend_for_items(
-    model: ALSModel, items: DataFrame, n: int = 10, method: str = "auto",
-    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
-) -> DataFrame:
+def recommend_for_items(model: ALSModel, items: DataFrame, n: int = 10) -> DataFrame:
     """N3 mirrored: top-N users for the items in ``items``."""
     col = model.getItemCol()
-    keys = items.select(col).distinct()
-    return _recommend(model, _subset(model.itemFactors, keys, col), model.userFactors, n, method,
-                      max_broadcast_bytes, lambda: model.recommendForItemSubset(keys, n), col, model.getUserCol())
-
-
-METHODS = ("auto", "broadcast", "blocked")
-
-
-def _recommend(model, src, dst, n, method, max_bytes, blocked, key, other):
-    n = _check_n(n)
-    if method not in METHODS:
-        raise ValueError(f"method must be one of {METHODS}, got {method!r}")
-    if method != "blocked":
-        out = _top_n(src, dst, model.rank, n, key, other, max_bytes)
-        if out is not None:
-            return out
-        if method == "broadcast":
-            raise ValueError("factor table exceeds max_broadcast_bytes; use method='blocked' or 'auto'")
-    return blocked()
+    return top_n(_subset(model.itemFactors, items, col), model.userFactors, n, col, model.getUserCol())
 
 
 def unnest(
@@ -197,22 +160,22 @@ def attach_movies(flat: DataFrame, movies: DataFrame, score: str = "predicted_ra
     )
 
 
-def user_recommendations(model: ALSModel, movies: DataFrame, users: DataFrame, n: int = 10, **kw) -> DataFrame:
+def user_recommendations(model: ALSModel, movies: DataFrame, users: DataFrame, n: int = 10) -> DataFrame:
     """N3-N5 for any number of users:
     (userId, rank, movieId, title, genres, predicted_rating), rank 1 = best.
 
     Not globally sorted: a global sort would re-run the whole upstream plan
     to sample range bounds.  Order by (userId, rank) when presenting."""
-    flat = unnest(recommend_for_users(model, users, n, **kw), rank="rank")
+    flat = unnest(recommend_for_users(model, users, n), rank="rank")
     return attach_movies(flat, movies)
 
 
-def recommendations_for_user(model: ALSModel, movies: DataFrame, user_id: int, n: int = 10, **kw) -> DataFrame:
+def recommendations_for_user(model: ALSModel, movies: DataFrame, user_id: int, n: int = 10) -> DataFrame:
     """N3-N5 for one user, as the reference returns it:
     (movieId, title, genres, predicted_rating), best first."""
     spark = movies.sparkSession
     users = spark.createDataFrame([(int(user_id),)], f"{model.getUserCol()} int")
-    flat = unnest(recommend_for_users(model, users, n, **kw))
+    flat = unnest(recommend_for_users(model, users, n))
     return (
         attach_movies(flat, movies)
         .select("movieId", "title", "genres", "predicted_rating")
@@ -223,5 +186,10 @@ def recommendations_for_user(model: ALSModel, movies: DataFrame, user_id: int, n
 def batch_recommendations(model: ALSModel, movies: DataFrame, n: int = 20) -> DataFrame:
     """Top-N for every user with movie info:
     (userId, movieId, title, genres, score), unsorted."""
-    flat = unnest(recommend_for_all_users(model, n), score="score")
+    return batch_from(recommend_for_all_users(model, n), movies)
+
+
+def batch_from(recs: DataFrame, movies: DataFrame) -> DataFrame:
+    """N6 from nested recommendations."""
+    flat = unnest(recs, score="score")
     return attach_movies(flat, movies, score="score").select("userId", "movieId", "title", "genres", "score")

@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import re
 
+from reelspark.functions.titles import WHITE_SPACE
 from reelspark.plans import queries as Q
+from reelspark.sources import fixtures as fx
+
 
 def _lit(text: str) -> str:
     """A SQL string literal (single quotes doubled)."""
@@ -27,6 +30,13 @@ _GENRE_LISTED = "true" if Q.GENRE not in ("(no genres listed)", "") else "false"
 
 _TRAIN_BOUND = int(round(Q.SPLIT_WEIGHTS[0] / sum(Q.SPLIT_WEIGHTS) * 2**32))
 _SENT = "'(no genres listed)'"
+_WS = _lit(WHITE_SPACE)
+
+
+def _terms(key: str, steps: tuple[int, ...], mod: int) -> str:
+    """The fixture's factors as a list: multiples of 1/8."""
+    parts = [f"((({key} * {a}) % {mod} + {mod}) % {mod} - {mod // 2}) / 8.0" for a in steps]
+    return "[" + ", ".join(f"CAST({p} AS DOUBLE)" for p in parts) + "]"
 
 PRELUDE = f"""
 WITH movies AS (
@@ -82,7 +92,7 @@ train AS (SELECT * EXCLUDE (bucket) FROM split WHERE bucket < {_TRAIN_BOUND}),
 test AS (SELECT * EXCLUDE (bucket) FROM split WHERE bucket >= {_TRAIN_BOUND}),
 disp AS (
   SELECT movieId, title, genres, found, cand,
-    CASE WHEN found THEN trim(split_part(title, '(', 1)) ELSE coalesce(title, '') END AS dt
+    CASE WHEN found THEN trim(split_part(title, '(', 1), {_WS}) ELSE coalesce(title, '') END AS dt
   FROM (
     SELECT movieId, title, genres,
       split_part(split_part(title, '(', -1), ')', 1) AS cand,
@@ -100,7 +110,7 @@ display AS (
   FROM (SELECT *, CASE WHEN length(dt) > 40 THEN concat(substr(dt, 1, 37), '...') ELSE dt END AS ct FROM disp)
 ),
 metadata AS (
-  SELECT trim(split_part(m.title, '(', 1)) AS query_title,
+  SELECT trim(split_part(m.title, '(', 1), {_WS}) AS query_title,
     r.result_rank,
     CAST(m.movieId AS BIGINT) * 10 + r.result_rank AS tmdb_id,
     concat('Overview of ', m.title) AS overview,
@@ -126,7 +136,7 @@ enriched AS (
     CASE WHEN b.poster_path IS NOT NULL AND b.poster_path <> '' THEN concat('https://image.tmdb.org/t/p/w500', b.poster_path)
          ELSE d.placeholder END AS poster_url,
     b.tmdb_id, b.overview, b.release_date, b.vote_average, b.vote_count, b.popularity
-  FROM display d LEFT JOIN best b ON trim(split_part(d.title, '(', 1)) = b.query_title
+  FROM display d LEFT JOIN best b ON trim(split_part(d.title, '(', 1), {_WS}) = b.query_title
 ),
 genre_vocab AS (
   SELECT DISTINCT unnest(string_split(genres, '|')) AS genre FROM movies
@@ -175,6 +185,16 @@ SELECT target_id, movieId, title, genres, CAST(similar_rank AS INTEGER) AS simil
 """
 
 
+def _topn(key: str, other: str) -> str:
+    """Every user with every item, ranked for each ``key``: score descending, smaller id first."""
+    users = f"SELECT DISTINCT CAST(o_custkey AS INTEGER) AS userId, {_terms('o_custkey', fx.USER_FACTORS, fx.USER_MOD)} AS uf FROM orders WHERE o_custkey IS NOT NULL"
+    items = f"SELECT DISTINCT CAST(p_partkey AS INTEGER) AS movieId, {_terms('p_partkey', fx.ITEM_FACTORS, fx.ITEM_MOD)} AS mf FROM part WHERE p_partkey IS NOT NULL"
+    return (
+        f"SELECT userId, movieId, score, CAST(row_number() OVER (PARTITION BY {key} ORDER BY score DESC, {other}) AS INTEGER) AS rank "
+        f"FROM (SELECT userId, movieId, list_dot_product(uf, mf) AS score FROM ({users}) u JOIN ({items}) i ON true)"
+    )
+
+
 _BODIES: dict[str, str] = {
     "row_counts": "SELECT 'ratings' AS table_name, count(*) AS num_rows FROM ratings_n "
     "UNION ALL SELECT 'movies', count(*) FROM movies",
@@ -229,18 +249,28 @@ _BODIES: dict[str, str] = {
     "genre_count": f"SELECT {_GENRE} AS genre, CAST(CASE WHEN {_GENRE_LISTED} AND EXISTS (SELECT 1 FROM movies WHERE "
     f"list_contains(string_split(genres, '|'), {_GENRE})) THEN (SELECT count(*) FROM movies WHERE "
     f"contains(genres, {_GENRE})) ELSE 0 END AS BIGINT) AS num_movies",
-    "genre_share": "SELECT genre, num_movies, num_movies / (SELECT max(num_movies) FROM genre_stats) * 100.0 "
-    "AS share_pct FROM genre_stats",
+    "genre_share": "SELECT *, round_even(share_pct, 1) AS share_pct_shown FROM (SELECT genre, num_movies, "
+    "num_movies / (SELECT max(num_movies) FROM genre_stats) * 100.0 AS share_pct FROM genre_stats)",
     "movie_by_id": f"SELECT movieId, title, genres FROM movies WHERE movieId = {Q.MOVIE_ID} "
     "ORDER BY title NULLS FIRST, genres NULLS FIRST LIMIT 1",
     "catalog_head": f"SELECT movieId, title, genres FROM movies ORDER BY movieId NULLS FIRST, title NULLS FIRST, genres NULLS FIRST LIMIT {Q.LIMIT}",
     "similar_by_genre": _similar("contains(m.genres, t.fg)"),
     "similar_by_genre_exact": _similar("list_contains(string_split(m.genres, '|'), t.fg)"),
+    "similar_one": _similar("contains(m.genres, t.fg)", Q.SIMILAR_LIMIT, Q.MOVIE_ID),
+    "topn_users": "SELECT userId, rank, movieId, score AS predicted_rating FROM ("
+    + _topn("userId", "movieId") + f") WHERE rank <= {Q.REC_N}",
+    "topn_items": "SELECT movieId, rank, userId, score AS predicted_rating FROM ("
+    + _topn("movieId", "userId") + f") WHERE rank <= {Q.REC_N}",
+    "topn_subset": "SELECT r.userId, r.rank, r.movieId, m.title, m.genres, r.score AS predicted_rating FROM ("
+    + _topn("userId", "movieId") + f") r JOIN movies m ON m.movieId = r.movieId WHERE rank <= {Q.REC_N} "
+    f"AND ((userId % {Q.SUBSET_STEP}) + {Q.SUBSET_STEP}) % {Q.SUBSET_STEP} = 0",
+    "topn_batch": "SELECT r.userId, r.movieId, m.title, m.genres, r.score FROM ("
+    + _topn("userId", "movieId") + f") r JOIN movies m ON m.movieId = r.movieId WHERE rank <= {Q.BATCH_N}",
     "display_titles": "SELECT movieId, year, clean_title, nullif(year, 'N/A') AS shown_year FROM display",
     "placeholder_poster": "SELECT movieId, placeholder AS poster_url FROM display",
     "genre_tags": "SELECT movieId, array_to_string(list_filter(string_split(genres, '|'), "
     f"lambda g: g <> {_SENT}), '|') AS genre_tags FROM movies",
-    "lookup_key": "SELECT movieId, trim(split_part(title, '(', 1)) AS lookup_key FROM movies",
+    "lookup_key": f"SELECT movieId, trim(split_part(title, '(', 1), {_WS}) AS lookup_key FROM movies",
     "enriched_display": "SELECT * FROM enriched",
     "movie_details": f"SELECT * FROM enriched WHERE movieId = {Q.MOVIE_ID} "
     "ORDER BY title NULLS FIRST, genres NULLS FIRST LIMIT 1",

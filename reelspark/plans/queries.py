@@ -1,7 +1,8 @@
 """Named queries over the driver's tables (``sf_dir``/<table>.parquet).
 
-Each callable takes (spark, sf_dir) and returns a DataFrame without acting
-on it.  Inputs are the fixture tables of ``reelspark.sources.fixtures``,
+Each callable takes (spark, sf_dir) and returns a DataFrame.  Most only declare
+a plan; the top-N ones count their factor tables to cut them into blocks, and the
+model-based ones fit the model when they are built.  Inputs are the fixture tables of ``reelspark.sources.fixtures``,
 derived from part/orders/lineitem by Spark, so every query's work grows
 with the data.  ``reelspark.plans.oracle`` holds the equivalent SQL for the
 deterministic ones.
@@ -33,6 +34,7 @@ TIME_ZONE = "UTC"
 HOME_N = 12
 DETAILS_SIMILAR = 8
 USER_ID = 1
+SUBSET_STEP = 10
 SPLIT_SEED = 42
 SPLIT_WEIGHTS = (0.8, 0.2)
 
@@ -206,7 +208,7 @@ def q_genre_share(spark, sf):
 
 
 def q_movie_by_id(spark, sf):
-    return catalog.movie_by_id(_movies(spark, sf), MOVIE_ID)
+    return catalog.movie_by_id(fx.movie(spark, sf, MOVIE_ID), MOVIE_ID)
 
 
 def q_catalog_head(spark, sf):
@@ -223,6 +225,10 @@ def q_similar_by_genre_exact(spark, sf):
     return catalog.similar_by_genre(m, m.select("movieId"), SIMILAR_LIMIT, match="exact")
 
 
+def q_similar_one(spark, sf):
+    return catalog.similar_to(_movies(spark, sf), MOVIE_ID, SIMILAR_LIMIT)
+
+
 # --- display / enrichment ----------------------------------------------------
 
 
@@ -252,28 +258,26 @@ def q_enriched_display(spark, sf):
 
 def q_movie_details(spark, sf):
     m = _movies(spark, sf)
-    return display.enrich(catalog.movie_by_id(m, MOVIE_ID), fx.metadata(spark, sf))
+    return display.enrich_page(catalog.movie_by_id(m, MOVIE_ID), fx.metadata(spark, sf))
 
 
 def q_search_display(spark, sf):
     m = _movies(spark, sf)
-    return display.enrich(catalog.search_titles(m, SEARCH_QUERY, LIMIT), fx.metadata(spark, sf))
+    return display.enrich_page(catalog.search_titles(m, SEARCH_QUERY, LIMIT), fx.metadata(spark, sf))
 
 
 def q_home_display(spark, sf):
     m = _movies(spark, sf)
-    return display.enrich(catalog.catalog_head(m, HOME_N), fx.metadata(spark, sf))
+    return display.enrich_page(catalog.catalog_head(m, HOME_N), fx.metadata(spark, sf))
 
 
 def q_genre_page_year(spark, sf):
     m = _movies(spark, sf)
-    return display.enrich(catalog.movies_by_genre(m, GENRE, LIMIT, "year"), fx.metadata(spark, sf))
+    return display.enrich_page(catalog.movies_by_genre(m, GENRE, LIMIT, "year"), fx.metadata(spark, sf))
 
 
 def q_similar_display(spark, sf):
-    m = _movies(spark, sf)
-    targets = m.filter(m.movieId == MOVIE_ID).select("movieId")
-    return display.enrich(catalog.similar_by_genre(m, targets, DETAILS_SIMILAR), fx.metadata(spark, sf))
+    return display.enrich_page(catalog.similar_to(_movies(spark, sf), MOVIE_ID, DETAILS_SIMILAR), fx.metadata(spark, sf))
 
 
 # --- recommendations without a model (deterministic nested input) -----------
@@ -304,13 +308,36 @@ def q_recs_unnest_join(spark, sf):
 
 
 def q_error_metrics(spark, sf):
-    train, test = _split(spark, sf)
-    means = prepare.movie_stats(train).select("movieId", F.col("avg_rating").cast("float").alias("prediction"))
-    preds = test.join(means, "movieId")
-    m = model.error_metrics(preds)
+    labelled = prepare.label_split(_dense(spark, sf), SPLIT_WEIGHTS, SPLIT_SEED)
+    m = model.mean_predictor_metrics(labelled)
     return m.select(F.round("rmse", 6).alias("rmse"), F.round("mae", 6).alias("mae"), "n")
 
 
+# --- top-N over factors derived from the tables (exact) ------------------------
+
+
+def q_topn_users(spark, sf):
+    recs = recommend.top_n(fx.user_factors(spark, sf), fx.item_factors(spark, sf), REC_N)
+    return _dbl(recommend.unnest(recs, rank="rank"), "predicted_rating")
+
+
+def q_topn_items(spark, sf):
+    recs = recommend.top_n(fx.item_factors(spark, sf), fx.user_factors(spark, sf), REC_N, "movieId", "userId")
+    return _dbl(recommend.unnest(recs, key="movieId", item="userId", rank="rank"), "predicted_rating")
+
+
+def q_topn_subset(spark, sf):
+    users = fx.user_factors(spark, sf)
+    some = users.filter(F.pmod("id", F.lit(SUBSET_STEP)) == 0)
+    recs = recommend.top_n(some, fx.item_factors(spark, sf), REC_N)
+    return _dbl(recommend.attach_movies(recommend.unnest(recs, rank="rank"), _movies(spark, sf)), "predicted_rating")
+
+
+def q_topn_batch(spark, sf):
+    recs = recommend.top_n(fx.user_factors(spark, sf), fx.item_factors(spark, sf), BATCH_N)
+    return _dbl(recommend.batch_from(recs, _movies(spark, sf)), "score")
+
+
 # --- model-based (rows-only checks) -----------------------------------------
 
 _MODELS: dict = {}
@@ -395,6 +422,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "catalog_head": q_catalog_head,
     "similar_by_genre": q_similar_by_genre,
     "similar_by_genre_exact": q_similar_by_genre_exact,
+    "similar_one": q_similar_one,
     "display_titles": q_display_titles,
     "placeholder_poster": q_placeholder_poster,
     "genre_tags": q_genre_tags,
@@ -407,6 +435,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "similar_display": q_similar_display,
     "recs_unnest_join": q_recs_unnest_join,
     "error_metrics": q_error_metrics,
+    "topn_users": q_topn_users,
+    "topn_items": q_topn_items,
+    "topn_subset": q_topn_subset,
+    "topn_batch": q_topn_batch,
     "als_predictions": q_als_predictions,
     "als_metrics": q_als_metrics,
     "recommend_all_users": q_recommend_all_users,

@@ -6,12 +6,12 @@ ratings, movies
   -> batch top-N with movie info (N6)
 with the Parquet/model sinks of the reference (S9-S11).
 
-Nothing is collected except the single-row metrics.  The prepared ratings
-are labelled train/test in one pass and written once as a Parquet table
-partitioned by the label; both halves are read back from it (partition
-pruning).  That runs the preparation a single time, cuts the lineage (a lost
-executor recomputes from the written files, not from the raw ratings) and
-feeds the model from columnar files.
+Nothing is collected except the single-row metrics.  The raw ratings are parsed
+once: cleaned rows go to Parquet, from which the density filter's counts and rows
+are read column by column.  The prepared ratings are labelled train/test and
+written as a Parquet table partitioned by the label; both halves are read back
+(partition pruning).  Each written table cuts the lineage: a lost executor
+recomputes from files, not from the raw text.
 """
 
 from __future__ import annotations
@@ -26,6 +26,14 @@ from pyspark.sql import functions as F
 from reelspark.operators import model as M
 from reelspark.operators import prepare, recommend
 from reelspark.sources import io
+from reelspark.sources.schemas import with_int_ids
+
+# fixed values: the folder names of the stored data
+DATA_DIR = "preprocessed_data"
+RATINGS_DIR = "ratings_data"
+MOVIES_DIR = "movies_data"
+MODEL_DIR = "model"
+RECS_DIR = "user_recommendations"
 
 
 @dataclass
@@ -39,8 +47,8 @@ class TrainingResult:
 
 def prepare_ratings(ratings: DataFrame, min_user_ratings: int = 20, min_movie_ratings: int = 20) -> DataFrame:
     """R1 -> R2 -> R7."""
-    clean = prepare.add_time_features(prepare.drop_incomplete(ratings))
-    return prepare.density_filter(clean, min_user_ratings, min_movie_ratings)
+    clean = prepare.drop_incomplete(ratings)
+    return prepare.add_time_features(prepare.density_filter(clean, min_user_ratings, min_movie_ratings))
 
 
 def run_training(
@@ -57,29 +65,36 @@ def run_training(
     **als_params,
 ) -> TrainingResult:
     """Run the whole offline pipeline, writing under ``out_dir`` (a shared
-    folder on a cluster): preprocessed_data/ratings_data/split={train,test},
-    preprocessed_data/movies_data, model/, user_recommendations/."""
-    dense = prepare_ratings(ratings, min_user_ratings, min_movie_ratings)
+    folder on a cluster): preprocessed_data/clean_ratings,
+    preprocessed_data/ratings_data/split={train,test},
+    preprocessed_data/movies_data, model/, user_recommendations/.
+
+    Ids that are no 32-bit integers fail the job (ALS would merge them)."""
+    data_dir = os.path.join(out_dir, DATA_DIR)
+    clean_path, ratings_path = os.path.join(data_dir, "clean_ratings"), os.path.join(data_dir, RATINGS_DIR)
+    movies_path = os.path.join(data_dir, MOVIES_DIR)
+    io.write_parquet(prepare.drop_incomplete(with_int_ids(ratings, "userId", "movieId")), clean_path)
+    dense = prepare_ratings(io.read_parquet(spark, clean_path), min_user_ratings, min_movie_ratings)
     labelled = prepare.label_split(dense, weights, seed, names=("train", "test"))
-
-    data_dir = os.path.join(out_dir, "preprocessed_data")
-    ratings_path = os.path.join(data_dir, "ratings_data")
     io.write_parquet(labelled, ratings_path, partition_by=["split"])
-    io.write_parquet(movies, os.path.join(data_dir, "movies_data"))
+    ordered = with_int_ids(movies, "movieId").repartitionByRange("movieId").sortWithinPartitions("movieId")
+    io.write_parquet(ordered, movies_path)  # sorted, so that a lookup by id skips row groups
     stored = io.read_parquet(spark, ratings_path)
     train = stored.filter(F.col("split") == "train").drop("split")
     test = stored.filter(F.col("split") == "test").drop("split")
-    catalog = io.read_parquet(spark, os.path.join(data_dir, "movies_data"))
+    catalog = io.read_parquet(spark, movies_path)
 
     als_params.setdefault("seed", seed)
     fitted = M.fit_als(train, **als_params)
-    M.save_model(fitted, os.path.join(out_dir, "model"))
+    M.save_model(fitted, os.path.join(out_dir, MODEL_DIR))
 
     metrics = M.error_metrics(M.predict(fitted, test))
-    recs_path = os.path.join(out_dir, "user_recommendations")
+    recs_path = os.path.join(out_dir, RECS_DIR)
     recs = recommend.batch_recommendations(fitted, catalog, top_n)
     if recs_user_buckets:
         recs = recs.withColumn("user_bucket", user_bucket(F.col("userId"), recs_user_buckets))
+        # a bucket's rows meet in one task and file, its users one after the other
+        recs = recs.repartition(recs_user_buckets, "user_bucket").sortWithinPartitions("user_bucket", "userId")
         io.write_parquet(recs, recs_path, partition_by=["user_bucket"])
     else:
         io.write_parquet(recs, recs_path)

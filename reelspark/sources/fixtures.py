@@ -19,7 +19,7 @@ second engine can check every query.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.session import sf_path
@@ -33,10 +33,11 @@ def _s(c):
     return c.cast("string")
 
 
-def _titled_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _titled_parts(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
     """One projection over ``part``: the movie columns plus the part columns
     the metadata fixture reuses (so it needs no second scan or join)."""
     p = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    p = p if only is None else p.filter(only)
     key, name, brand, ptype, size = (F.col(c) for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
     yr = _s(F.lit(1950) + key % 70)
     branch = key % 10
@@ -69,6 +70,33 @@ def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _titled_parts(spark, sf_dir).select("movieId", "title", "genres")
 
 
+def movie(spark: SparkSession, sf_dir: str, movie_id: int) -> DataFrame:
+    """The rows of :func:`movies` with one id, the id filtered in the scan of ``part``."""
+    return _titled_parts(spark, sf_dir, F.col("p_partkey") == int(movie_id)).select("movieId", "title", "genres")
+
+
+#: Factors of the fixture: term j of a row with key k is (k * FACTORS[j] mod m) centred, in eighths.
+USER_FACTORS, USER_MOD = (3, 5, 7, 11), 17
+ITEM_FACTORS, ITEM_MOD = (2, 3, 5, 7), 13
+
+
+def _factors(keys: DataFrame, steps: tuple[int, ...], mod: int) -> DataFrame:
+    key = F.col("key").cast("bigint")
+    terms = [((F.pmod(key * a, F.lit(mod)) - mod // 2) / 8).cast("float") for a in steps]
+    return keys.filter(F.col("key").isNotNull()).distinct().select(F.col("key").cast("int").alias("id"), F.array(*terms).alias("features"))
+
+
+def user_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, features) of every customer with an order: multiples of 1/8, so that
+    scores are exact, and few distinct ones, so that many tie."""
+    return _factors(_read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")), USER_FACTORS, USER_MOD)
+
+
+def item_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, features) of every part, like :func:`user_factors`."""
+    return _factors(_read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key")), ITEM_FACTORS, ITEM_MOD)
+
+
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")

@@ -15,15 +15,23 @@ from reelspark.sources.schemas import LINKS_SCHEMA, MOVIES_SCHEMA, RATINGS_SCHEM
 
 
 def _csv(spark: SparkSession, path: str, schema, mode: str = "PERMISSIVE") -> DataFrame:
+    """Typed columns; a header that does not name them in this order fails."""
     return (
         spark.read.schema(schema)
         .option("header", True)
+        .option("enforceSchema", False)
         .option("escape", '"')
         .option("mode", mode)
         .csv(path)
     )
 
 
+def _csv_by_header(spark: SparkSession, path: str, schema, mode: str) -> DataFrame:
+    """All columns string, taken by the names in the header, in any order."""
+    raw = spark.read.option("header", True).option("escape", '"').option("mode", mode).csv(path)
+    return raw.select(*schema.fieldNames())
+
+
 def read_ratings_csv(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
     """userId int, movieId int, rating float, timestamp long (epoch s)."""
     return _csv(spark, path, RATINGS_SCHEMA, mode)
@@ -36,12 +44,12 @@ def read_movies_csv(spark: SparkSession, path: str, mode: str = "PERMISSIVE") ->
 
 def read_tags_csv(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
     """S3: all columns string."""
-    return _csv(spark, path, TAGS_SCHEMA, mode)
+    return _csv_by_header(spark, path, TAGS_SCHEMA, mode)
 
 
 def read_links_csv(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
     """All columns string."""
-    return _csv(spark, path, LINKS_SCHEMA, mode)
+    return _csv_by_header(spark, path, LINKS_SCHEMA, mode)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

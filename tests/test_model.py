@@ -133,35 +133,77 @@ def test_training_pipeline_end_to_end(spark, smoke_dir, tmp_dir):
     assert res.train.count() + res.test.count() > 0
 
 
-def test_broadcast_and_blocked_plans_agree(spark, fitted):
+def _nested(rows, key, other):
+    return {r[key]: [(x[other], x.rating) for x in r.recommendations] for r in rows}
+
+
+def test_block_counts_never_change_top_n(spark, smoke_dir):
+    """Planted ties: the factors take few values, so most scores repeat."""
+    from reelspark.sources import fixtures as fx
+
+    users, items = fx.user_factors(spark, smoke_dir).persist(), fx.item_factors(spark, smoke_dir).persist()
+    want = None
+    for blocks in (1, 3, 50):
+        got = _nested(recommend.top_n(users, items, 7, key_blocks=blocks, other_blocks=blocks).collect(), "userId", "movieId")
+        want = got if want is None else want
+        assert got == want
+    assert all(len(v) == 7 and v == sorted(v, key=lambda x: (-x[1], x[0])) for v in want.values())
+    assert any(len({s for _, s in v}) < 7 for v in want.values())
+
+
+def test_model_scores_do_not_depend_on_blocks(fitted):
     m, _, _ = fitted
-    a = {r.userId: r.recommendations for r in recommend.recommend_for_all_users(m, 7, method="blocked").collect()}
-    b = {r.userId: r.recommendations for r in recommend.recommend_for_all_users(m, 7, method="broadcast").collect()}
-    assert set(a) == set(b)
-    for u in a:
-        assert {x.movieId for x in a[u]} == {x.movieId for x in b[u]}
-        assert np.allclose([x.rating for x in a[u]], [x.rating for x in b[u]], atol=1e-5)
-    ia = recommend.recommend_for_all_items(m, 4, method="blocked").collect()
-    ib = recommend.recommend_for_all_items(m, 4, method="broadcast").collect()
-    assert {(r.movieId, frozenset(x.userId for x in r.recommendations)) for r in ia} == {
-        (r.movieId, frozenset(x.userId for x in r.recommendations)) for r in ib
-    }
-    # more recommendations asked than items exist: every item, best first
-    big = recommend.recommend_for_all_users(m, 10_000, method="broadcast").first().recommendations
+    a = _nested(recommend.top_n(m.userFactors, m.itemFactors, 5, key_blocks=1, other_blocks=1).collect(), "userId", "movieId")
+    b = _nested(recommend.top_n(m.userFactors, m.itemFactors, 5, key_blocks=7, other_blocks=11).collect(), "userId", "movieId")
+    assert a == b and len(a) == m.userFactors.count()
+
+
+def test_zero_and_more_than_all(spark, fitted):
+    m, _, _ = fitted
+    none = recommend.recommend_for_all_users(m, 0)
+    assert none.count() == m.userFactors.count() and none.filter("size(recommendations) > 0").count() == 0
+    nothing = recommend.top_n(m.userFactors, m.itemFactors.limit(0), 3)
+    assert nothing.schema == none.schema and nothing.filter("size(recommendations) > 0").count() == 0
+    big = recommend.recommend_for_all_users(m, 10_000).first().recommendations
     assert len(big) == m.itemFactors.count()
     assert [x.rating for x in big] == sorted((x.rating for x in big), reverse=True)
 
 
-def test_broadcast_is_size_checked(spark, fitted):
-    m, _, _ = fitted
-    with pytest.raises(ValueError):
-        recommend.recommend_for_all_users(m, 3, method="broadcast", max_broadcast_bytes=10)
-    small = recommend.recommend_for_all_users(m, 3, method="auto", max_broadcast_bytes=10)
-    plan = small._jdf.queryExecution().executedPlan().toString()
-    assert "MapInArrow" not in plan  # fell back to the blocked plan
-    assert small.count() == m.userFactors.count()
-    with pytest.raises(ValueError):
-        recommend.recommend_for_all_users(m, 3, method="fastest")
+def test_top_n_plan_has_no_pair_product_and_cuts_before_the_shuffle(spark, smoke_dir):
+    from reelspark.sources import fixtures as fx
+
+    df = recommend.top_n(fx.user_factors(spark, smoke_dir), fx.item_factors(spark, smoke_dir), 5)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "WindowGroupLimit" in plan
+
+
+def test_default_fit_does_not_depend_on_the_cluster(smoke_dir):
+    """The same data in sessions of two and of four cores, no block argument."""
+    import json
+    import subprocess
+    import sys
+
+    code = """
+import json, sys
+from reelspark.session import local_session
+from reelspark.operators import model as M, prepare
+from reelspark.sources import fixtures as fx
+spark = local_session(cores=int(sys.argv[1]), driver_memory="2g")
+data = prepare.drop_incomplete(fx.ratings(spark, sys.argv[2]))
+m = M.fit_als(data, max_iter=3)
+rows = M.predict(m, data).select("userId", "movieId", "prediction").orderBy("userId", "movieId", "prediction").limit(500).collect()
+print("ROWS" + json.dumps([list(r) for r in rows]))
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    got = []
+    for cores in ("2", "4"):
+        proc = subprocess.run([sys.executable, "-c", code, cores, smoke_dir], capture_output=True, text=True, timeout=600,
+                              cwd=root, env=dict(os.environ, PYTHONPATH=root))
+        assert proc.returncode == 0, proc.stderr[-2000:]
+        got.append(json.loads(proc.stdout.split("ROWS")[1]))
+    assert [r[:2] for r in got[0]] == [r[:2] for r in got[1]] and len(got[0]) > 100
+    assert np.allclose([r[2] for r in got[0]], [r[2] for r in got[1]], atol=1e-4)
 
 
 def test_fit_is_reproducible(planted):
@@ -221,22 +263,10 @@ def test_bucketed_recommendations_layout(spark, smoke_dir, tmp_dir):
     assert [r.score for r in rows] == sorted((r.score for r in rows), reverse=True)
 
 
-def test_scorer_breaks_ties_by_smaller_id():
-    """Items tied at the cut-off: the smaller ids are kept, deterministically."""
-    import pyarrow as pa
-
-    from reelspark.operators.recommend import _scorer
-
-    class _Bc:
-        # items 0..9 all score 1.0 for the user, item 10 scores 2.0
-        value = (np.array([9, 3, 7, 1, 5, 0, 8, 2, 6, 4, 10], dtype=np.int32),
-                 np.array([[1.0]] * 10 + [[2.0]], dtype=np.float32))
-
-    batch = pa.RecordBatch.from_arrays(
-        [pa.array([42], pa.int32()), pa.array([[1.0]], pa.list_(pa.float32()))], names=["id", "features"]
-    )
+def test_best_of_block_breaks_ties_by_smaller_id():
+    """Items tied at the cut-off: the smaller ids are kept."""
+    ids = np.array([9, 3, 7, 1, 5, 0, 8, 2, 6, 4, 10], dtype=np.int32)
+    scores = np.array([[1.0] * 10 + [2.0]])
     for n in (1, 3, 5, 11, 20):
-        out = list(_scorer(_Bc(), 1, n, "userId", "movieId")([batch]))[0].to_pylist()[0]
-        got = [(r["movieId"], r["rating"]) for r in out["recommendations"]]
-        expect = ([(10, 2.0)] + [(i, 1.0) for i in range(10)])[:min(n, 11)]
-        assert got == expect, (n, got)
+        row, col = recommend.best_of_block(scores, ids, n)
+        assert [int(i) for i in ids[col]] == ([10] + list(range(10)))[: min(n, 11)] and not row.any()
