@@ -40,8 +40,8 @@ from reelspark.llm.common import slices, table, unit_hash
 from reelspark.llm.text_features import part_buckets
 
 CATEGORIES = ("severe", "pervasive", "toxic")
-WORD_BITS = 20
-SAMPLE = 20_000
+WORD_BITS = 22
+SAMPLE = 12_000
 MIN_Z, MIN_DOCS, MAX_TERMS = 6.0, 10, 2_000
 FOLDS = 3
 PASSES = 200
@@ -74,29 +74,32 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def positions(terms: np.ndarray, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket lists -> (position in terms, document) of each kept bucket."""
-    rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-    if not len(terms) or not len(flat):
+    if not len(terms):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(terms, flat), len(terms) - 1)
-    hit = terms[at] == flat
-    return at[hit], rows[hit]
+    hits, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for row, ids in enumerate(found):
+        at = np.minimum(np.searchsorted(terms, ids), len(terms) - 1)
+        at = at[terms[at] == ids]
+        hits.append(at)
+        rows.append(np.full(len(at), row))
+    return np.concatenate(hits), np.concatenate(rows)
 
 
 def pick_terms(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The buckets whose rate differs most surely between the classes."""
-    flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-    rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    terms, at = np.unique(flat, return_inverse=True)
-    pos = np.bincount(at, y[rows], len(terms))
-    total = np.bincount(at, minlength=len(terms))
+    """The buckets whose rate differs most surely between the classes (each list holds a bucket once)."""
+    total, pos = np.zeros(1 << WORD_BITS, np.int32), np.zeros(1 << WORD_BITS, np.int32)
+    for ids, toxic in zip(found, y, strict=True):
+        total[ids] += 1
+        if toxic:
+            pos[ids] += 1
+    terms = np.flatnonzero(total >= MIN_DOCS)
+    total, pos = total[terms], pos[terms]
     n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
     rate = total / len(y)
     error = np.sqrt(np.maximum(1e-12, rate * (1 - rate) * (1 / n1 + 1 / n0)))
     z = np.abs(pos / n1 - (total - pos) / n0) / error
-    z[(total < MIN_DOCS) | (z < MIN_Z)] = 0
     best = np.argsort(-z, kind="stable")[:MAX_TERMS]
-    return np.sort(terms[best[z[best] > 0]])
+    return np.sort(terms[best[z[best] >= MIN_Z]])
 
 
 def fit_linear(hits: np.ndarray, rows: np.ndarray, n: int, k: int, extra: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -162,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["doc_id", "found", "toxic"]).drop_duplicates(["found", "toxic"])
-        found = [np.frombuffer(x, np.int32).astype(np.int64) for x in df["found"]]
+        found = [np.frombuffer(x, np.int32) for x in df["found"]]
         folds = (df["doc_id"].to_numpy() * 2654435761 >> 7) % FOLDS
         c = fit_chain(found, df["toxic"].to_numpy(dtype=float), folds)
         return pd.DataFrame({"terms": [c.terms.tobytes()], "weights": [[w.tolist() for w in c.weights]]})
