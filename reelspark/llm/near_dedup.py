@@ -14,9 +14,12 @@ elements, not elements times coordinates.  Two signatures agree in a coordinate
 with probability equal to the similarity.
 
 ``BANDS`` bands of ``ROWS`` coordinates give buckets.  In each bucket the members
-are paired with its smallest and its largest text only, every pair is checked
-exactly on the whole texts, and members that both leaders reject form the
-bucket's next round, until no bucket has two left.  Classes are the connected
+are paired with its smallest and its largest text only, and every pair is checked
+exactly on the whole texts.  Where a bucket then still holds several components,
+members outside the main one meet ``TARGETS`` members of the others, then 16 times
+as many, and so on until all have met that could be linked (the similarities to
+the leaders bound the rest out).  Families of copies thus cost a few pairs a
+member, and no chain of links inside a bucket is lost.  Classes are the connected
 components of the checked links.  Equal texts are one node throughout, so copies
 are never paired.
 
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.llm.common import mix64, slices, staged, table
@@ -41,6 +44,8 @@ from reelspark.llm.components import components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
+#: Members of a bucket that those outside its main component meet first.
+TARGETS = 16
 #: Words a worker remembers the hash of.
 MEMORY_WORDS = 300_000
 
@@ -153,8 +158,8 @@ def _leaders(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
 
 
-def check_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int = SHINGLE) -> DataFrame:
-    """(a, b) -> a, b, similar; exact on the whole texts of (node, text)."""
+def check_pairs(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b) -> a, b, sim: the exact similarity of the whole texts of (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, None
@@ -163,12 +168,16 @@ def check_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: i
             for leader, x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if leader != last:
                     last, known = leader, shingles(y, shingle)
-                out.append(similarity(shingles(x, shingle), known) >= threshold)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], names=["a", "b", "similar"])
+                out.append(similarity(shingles(x, shingle), known))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["a", "b", "sim"])
 
     sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
     sides = sides.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return sides.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, similar boolean")
+    return sides.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, sim double")
+
+
+def _pair(x: str, y: str) -> tuple[Column, Column]:
+    return F.greatest(x, y).alias("a"), F.least(x, y).alias("b")
 
 
 def _one_text_each(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -183,35 +192,55 @@ def _one_text_each(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.join(reps, same).select("node", "text").dropDuplicates(["node"])
 
 
-def links(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, node, text) -> a, b: checked links between different texts."""
+def _open_buckets(placed: DataFrame, edges: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components so far, with their
+    component, the one of the bucket's low leader, and the bucket's size."""
+    rooted = placed.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = staged(rooted, "near-rooted")
+    buckets = rooted.groupBy("key").agg(
+        F.max_by("root", "to_low").alias("main"), F.count("*").alias("n"), F.min("root").alias("first"), F.max("root").alias("last")
+    )
+    return staged(rooted.join(buckets.filter("first <> last").select("key", "main", "n"), "key"), "near-open")
+
+
+def links(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, targets: int = TARGETS) -> DataFrame:
+    """(doc_id, node, text) -> a, b: checked links, enough to connect all texts
+    that share a bucket and are linked by any chain of its members."""
     buckets = staged(bucket_rows(docs.filter(F.col("node").isNotNull()), shingle, bands, rows), "near-buckets")
-    found, texts, seen = None, None, None
+    members = staged(buckets.join(_leaders(buckets), "key").distinct(), "near-members")
+    led = members.select("key", "node", F.explode(F.array("low", "high")).alias("leader"))
+    pairs = staged(led.filter("node <> leader").select(*_pair("node", "leader")).distinct(), "near-pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = staged(_one_text_each(docs, nodes), "near-texts")
+    seen = staged(check_pairs(pairs, texts, shingle), "near-checked")
+    # every member's similarity to its bucket's leaders bounds that to all others: 1 - sim is a metric
+    placed = members.select("key", "node", "low", "high")
+    for leader in ("low", "high"):
+        sims = seen.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("sim").alias(f"to_{leader}"))
+        placed = placed.join(sims, (F.greatest("node", leader) == F.col("_a")) & (F.least("node", leader) == F.col("_b")), "left").drop("_a", "_b")
+        placed = placed.withColumn(f"to_{leader}", F.coalesce(f"to_{leader}", F.lit(1.0)))
+    placed = staged(placed.select("key", "node", "to_low", "to_high"), "near-placed")
+    edges = seen.filter(F.col("sim") >= threshold).select("a", "b")
+    room = 1 - threshold + 1e-9
     while True:
-        led = _leaders(buckets)
-        members = staged(buckets.join(led, "key").distinct(), "near-members")
-        ends = F.explode(F.array("low", "high")).alias("b")
-        pairs = members.select(F.col("node").alias("a"), ends).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        still = _open_buckets(placed, edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        largest = still.agg(F.max("n")).first()[0]
+        if not largest:
+            return edges
+        order = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(targets), "key", "node"), "node")
+        met = still.withColumn("_turn", F.row_number().over(order)).filter(F.col("_turn") <= targets)
+        met = met.select("key", *[F.col(c).alias(f"t_{c}") for c in ("node", "root", "to_low", "to_high")])
+        near = (F.abs(F.col("to_low") - F.col("t_to_low")) <= room) & (F.abs(F.col("to_high") - F.col("t_to_high")) <= room)
+        asked = still.filter("root <> main").join(met, "key").filter((F.col("root") != F.col("t_root")) & near)
+        pairs = asked.select(*_pair("node", "t_node")).distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
         pairs = staged(pairs, "near-pairs")
-        if pairs.isEmpty():
-            break
-        if texts is None:  # later rounds pair the same nodes
-            nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            texts = staged(_one_text_each(docs, nodes), "near-texts")
-        checked = staged(check_pairs(pairs, texts, threshold, shingle), "near-checked")
-        seen = checked if seen is None else seen.unionByName(checked)
-        linked = checked.filter("similar").select("a", "b")
-        found = linked if found is None else found.unionByName(linked)
-        # a member goes on where neither leader of its bucket took it and it leads neither
-        tried = members.select("key", "node", ends).select("key", "node", F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
-        taken = tried.join(seen.filter("similar").select("a", "b"), ["a", "b"], "left_semi")
-        led_by = members.filter((F.col("node") == F.col("low")) | (F.col("node") == F.col("high")))
-        done = taken.select("key", "node").unionByName(led_by.select("key", "node")).distinct()
-        buckets = staged(members.select("key", "node").join(done, ["key", "node"], "left_anti"), "near-buckets")
-    empty = docs.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    return empty if found is None else found
+        if not pairs.isEmpty():
+            checked = staged(check_pairs(pairs, texts, shingle), "near-checked")
+            seen = seen.unionByName(checked)
+            edges = edges.unionByName(checked.filter(F.col("sim") >= threshold).select("a", "b"))
+        elif targets >= largest:
+            return edges
+        targets *= 16
 
 
 def near_classes(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
