@@ -306,7 +306,7 @@ def removal_digest(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
             n, gone, spans, sha = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    marked = _marked(with_text_id(docs), length, keep_first)
+    marked = _marked(with_text_id(docs.select("doc_id", "text")), length, keep_first)
     return marked.select(F.col("doc_id").cast("bigint"), "text", "starts").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
