@@ -42,6 +42,8 @@ FALLBACK_GENRES = [
 
 SORT_KEYS = ("title", "year")
 MATCH_MODES = ("substring", "exact")
+# marks that no genre holds
+ANY_MOVIE, ANY_GENRES = "\x01", "\x02"
 
 
 def _check_limit(limit: int) -> int:
@@ -282,11 +284,16 @@ def similar_to(movies: DataFrame, movie_id: int, limit: int = 10, match: str = "
     """
     limit = _check_limit(limit)
     _check_match(match)
-    # "=" and the first valid genre; "=" alone where there is none
-    found = movie_by_id(movies, movie_id).agg(F.max(F.when(F.col("genres").isNotNull(), F.concat(F.lit("="), F.coalesce(first_valid_genre(F.col("genres")), F.lit(""))))))
-    first = F.substring(found.scalar(), 2, 1 << 30)
-    fits = F.array_contains(genre_array(F.col("genres")), first) if match == "exact" else F.col("genres").contains(first)
-    others = movies.filter((F.col("movieId") != int(movie_id)) & ((first == "") | fits)).select("movieId", "title", "genres")
+    # what to look for, once, so that the subquery is planned once: the genre, or a
+    # mark that every movie bears (no valid genre) or every movie with genres (the empty one)
+    genre = first_valid_genre(F.col("genres"))
+    wanted = F.when(genre.isNull(), F.lit(ANY_MOVIE)).when((genre == "") & F.lit(match == "substring"), F.lit(ANY_GENRES)).otherwise(genre)
+    found = movie_by_id(movies, movie_id).agg(F.max(F.when(F.col("genres").isNotNull(), wanted))).scalar()
+    if match == "exact":
+        fits = F.array_contains(F.concat(F.array(F.lit(ANY_MOVIE)), F.coalesce(genre_array(F.col("genres")), F.array())), found)
+    else:
+        fits = F.concat(F.lit(ANY_MOVIE), F.coalesce(F.concat(F.lit(ANY_GENRES), F.col("genres")), F.lit(""))).contains(found)
+    others = movies.filter((F.col("movieId") != int(movie_id)) & fits).select("movieId", "title", "genres")
     order = [F.col("movieId"), F.col("title").asc_nulls_first(), F.col("genres").asc_nulls_first()]
     top = others.orderBy(*order).limit(limit)
     rank = F.row_number().over(Window.partitionBy().orderBy(*order))  # over ``limit`` rows

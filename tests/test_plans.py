@@ -20,13 +20,26 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - MODEL_BASED))
+TOP_N = {"topn_users", "topn_items", "topn_subset", "topn_batch", "recommend_all_users", "recommend_all_items",
+         "recommend_user_subset", "recommend_one_user", "batch_recommendations"}
+
+
+@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - MODEL_BASED - TOP_N))
 def test_query_plan_has_no_python_and_no_pair_product(spark, smoke_dir, name):
     plan = _plan(Q.QUERIES[name](spark, smoke_dir))
     for node in PYTHON_NODES + PAIR_NODES:
         assert node not in plan, f"{name}: {node}"
 
 
+@pytest.mark.parametrize("name", sorted(TOP_N))
+def test_top_n_plans_have_no_pair_product_and_cut_before_the_shuffle(spark, smoke_dir, name):
+    """The one plan of every catalog size: blocks meet through an equi-join."""
+    plan = _plan(Q.QUERIES[name](spark, smoke_dir))
+    for node in PAIR_NODES:
+        assert node not in plan, f"{name}: {node}"
+    assert "WindowGroupLimit" in plan and "MapInArrow" in plan
+
+
 def test_similar_by_genre_cuts_top_k_before_shuffle(spark, smoke_dir):
     df = Q.q_similar_by_genre(spark, smoke_dir)
     df.count()

@@ -41,7 +41,7 @@ def census(plan: str) -> dict[str, int]:
         "smj": plan.count("SortMergeJoin"),
         "bhj": plan.count("BroadcastHashJoin"),
         "wgl": plan.count("WindowGroupLimit"),
-        "python": len(re.findall(r"MapInArrow|MapInPandas|BatchEvalPython|ArrowEvalPython", plan)),
+        "python": len(re.findall(r"MapInArrow|MapInPandas|FlatMapGroupsInPandas|BatchEvalPython|ArrowEvalPython", plan)),
         "pairs": len(re.findall(r"CartesianProduct|BroadcastNestedLoopJoin", plan)),
     }
 
