@@ -134,7 +134,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, min_share: float = MIN_SHARE, m
     if not per_lang:
         return build_filter({})
     share = F.create_map(*[x for lang, n in per_lang.items() for x in (F.lit(lang), F.lit(min(1.0, sample / n)))])
-    chosen = rows.filter(unit_hash(F.col("doc_id"), seed=1) < share[F.col("lang")])
+    chosen = rows.filter(unit_hash(F.col("doc_id"), F.col("text"), seed=1) < share[F.col("lang")])
     counts = count_grams(chosen)
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.join(F.broadcast(total), "lang").withColumn("share", F.col("n") / F.col("total"))

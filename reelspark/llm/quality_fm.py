@@ -13,8 +13,8 @@ of that bounded size; the model has a fixed size and is broadcast.  Scoring
 covers every document.
 
 Edge cases: null and empty texts have structure features only and get a score;
-a document without a label is scored like any other; labels repeated with the
-same value count once for each row; without both labels the score is the share
+a document without a label is scored like any other; repeated rows and labels
+are learnt from once; without both labels the score is the share
 of label 1 (0.5 without labels).
 """
 
@@ -131,11 +131,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
     About ``sample`` labelled rows are learnt from; only those reach the one
     task that fits, as feature lists.
     """
-    labels = labels.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
+    labels = labels.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "label").distinct()
     share = min(1.0, sample / max(1, labels.count()))
     chosen = labels.filter(unit_hash(F.col("doc_id"), seed=2) < share).select("doc_id", F.col("label").cast("int").alias("label"))
     rows = docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id")  # bounded by ``sample``
-    made = rows.select("doc_id", "text", F.col("n_chars").cast("bigint"), "label").mapInArrow(_featurise, "doc_id long, ids binary, x binary, label int")
+    made = rows.select("doc_id", "text", F.col("n_chars").cast("bigint"), "label").mapInArrow(_featurise, "doc_id long, ids binary, x binary, label int").distinct()
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["doc_id", "ids"])

@@ -47,8 +47,7 @@ FOLDS = 3
 PASSES = 200
 RATE = 0.5
 PENALTY = 1e-4
-#: Clean documents score under 0.01 in the tables, so the cut sits low to miss little.
-THRESHOLD = 0.1
+THRESHOLD = 0.5
 
 
 @dataclass
@@ -158,11 +157,11 @@ def _bucket_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     """(doc_id, text) and (doc_id, toxic) -> the chain."""
-    labels = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    labels = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic").distinct()
     share = min(1.0, sample / max(1, labels.count()))
     chosen = labels.filter(unit_hash(F.col("doc_id"), seed=3) < share).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by ``sample``
-    made = rows.select(F.col("doc_id").cast("bigint"), "text", "toxic").mapInArrow(_bucket_lists, "doc_id long, found binary, toxic int")
+    made = rows.select(F.col("doc_id").cast("bigint"), "text", "toxic").mapInArrow(_bucket_lists, "doc_id long, found binary, toxic int").distinct()
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["doc_id", "found", "toxic"]).drop_duplicates(["found", "toxic"])

@@ -9,8 +9,10 @@ highest confidence (then support, then length, then smallest id) decides; a url
 that none fits gets the default.
 
 Bounds: an itemset needs ``min_support`` of the labelled urls, so the number of
-frequent tokens is at most tokens-per-url / min_support, whatever the input.
-Urls are matched once per distinct url.
+frequent tokens is at most tokens-per-url / min_support, whatever the input; and a
+url is mined for combinations of its ``MAX_BASKET`` most frequent tokens, as a long
+path that repeats would have 2 ** tokens of them.  Matching uses all tokens.
+Urls are mined and matched once per distinct url.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, no
 token but that fact and the default verdict; repeated rows are judged alike; an
@@ -22,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.llm.common import staged, table
@@ -39,6 +41,7 @@ DEFAULT = "allow"
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.8
 MAX_TOKENS = 3
+MAX_BASKET = 12
 _URL = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -89,8 +92,14 @@ def mine_rules(
     its confidence, all of the other's included, adds nothing and goes.
     """
     spark = labelled.sparkSession
-    label = F.concat(F.lit("label="), F.col("label"))
-    baskets = staged(labelled.select(F.array_append("tokens", label).alias("items")), "url-baskets")
+    rows = staged(labelled.select("tokens", F.concat(F.lit("label="), F.col("label")).alias("label")).withColumn("id", F.monotonically_increasing_id()), "url-labelled")
+    each = rows.select("id", "label", F.explode("tokens").alias("token"))
+    frequent = each.groupBy("token").agg(F.count("*").alias("times")).filter(F.col("times") >= min_support * rows.count())
+    order = Window.partitionBy("id").orderBy(F.col("times").desc(), "token")
+    most = each.join(frequent, "token").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= MAX_BASKET)
+    kept = most.groupBy("id").agg(F.collect_list("token").alias("kept"))
+    items = F.array_append(F.coalesce("kept", F.array().cast("array<string>")), F.col("label"))
+    baskets = staged(rows.join(kept, "id", "left").select(items.alias("items")), "url-baskets")
     schema = "rule_id string, tokens array<string>, verdict string, confidence double, support double"
     if baskets.isEmpty():
         return spark.createDataFrame([], schema)
@@ -130,7 +139,8 @@ def judge_urls(
     url = F.col("url")
     rule, verdict = curated(F.col("host"), F.col("path"), rules)
     judged = pages.select("page_id", "url", url_host(url).alias("host"), url_path(url).alias("path")).withColumn("rule", rule).withColumn("by_rule", verdict)
-    labelled = judged.filter(F.col("by_rule").isNotNull()).select(url_tokens(url).alias("tokens"), F.col("by_rule").alias("label"))
+    labelled = judged.filter(F.col("by_rule").isNotNull()).select("url", "by_rule").distinct()
+    labelled = labelled.select(url_tokens(url).alias("tokens"), F.col("by_rule").alias("label"))
     mined = mine_rules(labelled, min_support, min_confidence)
     open_urls = judged.filter(F.col("by_rule").isNull() & url.isNotNull()).select("url").distinct().select("url", url_tokens(url).alias("tokens"))
     decided = match_rules(open_urls, mined)

@@ -76,13 +76,16 @@ def best(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarray, k:
     """
     rough = q @ d.T
     rough[d_ids[None, :] == q_ids[:, None]] = -np.inf
-    k = min(k, rough.shape[1])
-    cut = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
+    kept = min(k + len(d_ids) - len(np.unique(d_ids)), rough.shape[1])  # room for rows that repeat an id
+    cut = np.partition(rough, rough.shape[1] - kept, axis=1)[:, rough.shape[1] - kept]
     margin = 1e-12 * (np.linalg.norm(q, axis=1) * (np.linalg.norm(d, axis=1).max() if len(d) else 0))
     row, col = np.nonzero((rough >= (cut - margin)[:, None]) & np.isfinite(rough))
     score = (q[row] * d[col]).sum(axis=1)
     order = np.lexsort((d_ids[col], -score, row))
     row, col, score = row[order], col[order], score[order]
+    if kept > k:
+        once = np.sort(np.unique(np.column_stack([row, d_ids[col]]), axis=0, return_index=True)[1])
+        row, col, score = row[once], col[once], score[once]
     place = np.arange(len(row)) - np.searchsorted(row, row)
     keep = place < k
     return {"query_id": q_ids[row[keep]], "vec_id": d_ids[col[keep]], "score": score[keep]}
