@@ -16,12 +16,13 @@ windows have equal anchors, so all matches meet in one group.
 2. Per anchor, a partial aggregate counts runs and compares their content.
    Anchors met once are done: none of their starts repeats.
 3. Anchors whose runs are all equal are done too: every start has the same matches.
-4. Only runs of the other anchors (the rims of passages) carry their bytes on.
-   Groups of up to ``GROUP_RUNS`` runs are solved in tasks of bounded size by a
-   suffix array of the bytes (ranks by prefix doubling, cut at ``LENGTH``) and
-   previous/next smaller positions.  For the starts of larger groups Spark puts
-   the order together itself: one row a start, keyed by a 128-bit hash of its
-   window, counted and compared with the first of its key.
+4. Only the starts of the other anchors go on (rims of passages, lines shorter than
+   ``LENGTH``).  They are cut into runs again, by a ``LONG_ANCHOR`` that shorter lines
+   cannot share, and carry their bytes.  Groups of up to ``GROUP_RUNS`` runs are solved
+   in tasks of bounded size: starts whose string's hash occurs twice are put into
+   suffix order, and previous/next smaller positions tell the matches.  For the
+   starts of larger groups Spark puts the order together itself: one row a start,
+   keyed by a 128-bit hash of its string, counted and compared with the first.
 
 Edge cases: null text is empty; texts shorter than ``LENGTH`` lose nothing;
 repeated rows (same id and text) share their result, and count as copies of each
@@ -43,12 +44,13 @@ from pyspark.sql import functions as F
 from reelspark.llm.common import mix64, slices, staged, table
 
 LENGTH = 200
-ANCHOR = 32
+ANCHOR = 48
+LONG_ANCHOR = 112
 #: Runs of one anchor that are solved together in a task, and bytes of a task.
-GROUP_RUNS = 4_000
+GROUP_RUNS = 20_000
 TASK_BYTES = 4 << 20
 #: Bytes of documents looked at together.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -129,23 +131,23 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iterat
 
 
 def window_classes(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """A number for each start in ``at``, equal where the next ``length`` bytes
-    are: the starts' ranks in suffix order, cut at ``length`` (prefix doubling)."""
-    pad = np.concatenate([raw, np.zeros(8, np.uint8)])
-    key = np.zeros(len(raw), np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | pad[i : i + len(raw)]
-    n, rank = min(8, length), _ranks(key >> np.uint64(8 * (8 - min(8, length))))
-    while 2 * n <= length:
-        tail = np.concatenate([rank[n:], np.zeros(n, rank.dtype)])[: len(rank)]
-        rank, n = _ranks(rank.astype(np.uint64) << np.uint64(32) | tail.astype(np.uint64)), 2 * n
-    if n == length:
-        return rank[at]
-    return _ranks(rank[at].astype(np.uint64) << np.uint64(32) | rank[at + length - n].astype(np.uint64))
+    """The rank of each start in ``at`` in suffix order cut at ``length`` bytes: equal
+    for equal strings, and in the order of the strings otherwise.
+
+    One string of each hash is sorted; the others are compared with it byte by byte.
+    """
+    strings = np.lib.stride_tricks.sliding_window_view(raw, length)
+    _, first, which = np.unique(string_hashes(raw, {length})[length][at], return_index=True, return_inverse=True)
+    for i in range(0, len(at), 1 << 16):
+        part = slice(i, i + (1 << 16))
+        if not (strings[at[part]] == strings[at[first[which[part]]]]).all():  # two strings of one hash
+            return _sorted_ranks(strings[at])
+    return _sorted_ranks(strings[at[first]])[which]
 
 
-def _ranks(key: np.ndarray) -> np.ndarray:
-    return np.unique(key, return_inverse=True)[1].astype(np.uint32)
+def _sorted_ranks(strings: np.ndarray) -> np.ndarray:
+    whole = np.ascontiguousarray(strings).view(np.dtype((np.void, strings.shape[1]))).ravel()
+    return np.unique(whole, return_inverse=True)[1]
 
 
 def matched(classes: np.ndarray, position: np.ndarray, keep_first: bool) -> np.ndarray:
@@ -174,37 +176,61 @@ def _spans(doc: np.ndarray, tid: np.ndarray, start: np.ndarray) -> pd.DataFrame:
 
 
 def _solve(df: pd.DataFrame, length: int, keep_first: bool) -> pd.DataFrame:
-    """Runs of whole anchor groups, with their bytes -> repeated starts, as spans."""
+    """Runs of whole anchor groups, with their bytes -> repeated starts, as spans.
+
+    Only starts whose string's hash occurs twice are put into suffix order.
+    """
     df = df.sort_values(["doc", "tid", "s", "turn"], ignore_index=True)
     raw = np.frombuffer(b"".join(df["bytes"]), np.uint8)
-    sizes, n = df["bytes"].str.len().to_numpy(), df["n"].to_numpy() + 1
+    sizes, n = np.fromiter(map(len, df["bytes"]), np.int64, len(df)), df["n"].to_numpy() + 1
     row = np.repeat(np.arange(len(df)), n)
     inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     at = (np.cumsum(sizes) - sizes)[row] + inner
-    hit = matched(window_classes(raw, at, length), np.arange(len(at)), keep_first)  # rows come in the order of positions
-    start = df["s"].to_numpy()[row] + inner
-    return _spans(df["doc"].to_numpy()[row][hit], df["tid"].to_numpy()[row][hit], start[hit])
+    _, which, times = np.unique(string_hashes(raw, {length})[length][at], return_inverse=True, return_counts=True)
+    often = np.flatnonzero(times[which] > 1)  # rows come in the order of positions
+    hit = often[matched(window_classes(raw, at[often], length), often, keep_first)] if len(often) else often
+    start = df["s"].to_numpy()[row[hit]] + inner[hit]
+    return _spans(df["doc"].to_numpy()[row[hit]], df["tid"].to_numpy()[row[hit]], start)
 
 
 def _join_docs(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return docs.join(lists, ["doc", "tid"], how)
 
 
-def _with_bytes(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """Runs -> the same with their bytes; ``turn`` tells rows of one document apart."""
+def _stretches(runs: list) -> list[tuple[int, int]]:
+    """Runs of starts -> the longest stretches a..z that they cover together."""
+    out: list[list[int]] = []
+    for s, n in sorted((r["s"], r["n"]) for r in runs):
+        if out and s <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], s + n)
+        else:
+            out.append([s, s + n])
+    return [(a, z) for a, z in out]
+
+
+def _with_bytes(docs: DataFrame, runs: DataFrame, length: int, anchor: int) -> DataFrame:
+    """Runs -> runs of the same starts by the longer ``anchor``, with their bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, BLOCK):
-            cols = {k: [] for k in ("doc", "tid", "s", "n", "anchor", "bytes")}
-            for doc, tid, text, runs_ in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            parts, owner, base = [], [], []
+            for i, (text, own) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                for r in runs_:
-                    for k, x in (("doc", doc), ("tid", tid), ("s", r["s"]), ("n", r["n"]), ("anchor", r["anchor"]), ("bytes", raw[r["s"] : r["s"] + r["n"] + length])):
-                        cols[k].append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols.values(), kinds, strict=True)], names=list(cols))
-
-    lists = runs.groupBy("doc", "tid").agg(F.collect_list(F.struct("s", "n", "anchor")).alias("runs"))
+                for a, z in _stretches(own):
+                    parts.append(raw[a : z + length])
+                    owner.append(i)
+                    base.append(a)
+            ends = np.cumsum([len(p) for p in parts])
+            part, s, n, v, _ = anchor_runs(np.frombuffer(b"".join(parts), np.uint8), ends, length, anchor)
+            take = pa.array(np.asarray(owner, np.int64)[part])
+            strings = [parts[p][a : a + m + length] for p, a, m in zip(part.tolist(), s.tolist(), n.tolist(), strict=True)]
+            start = (s + np.asarray(base, np.int64)[part]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(take), b.column(1).take(take), pa.array(start), pa.array(n.astype(np.int32)), pa.array(v), pa.array(strings, pa.binary())],
+                names=["doc", "tid", "s", "n", "anchor", "bytes"],
+            )
+
+    lists = runs.groupBy("doc", "tid").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
     return _join_docs(docs, lists, "inner").select("doc", "tid", "text", "runs").mapInArrow(cut, "doc long, tid long, s int, n int, anchor long, bytes binary")
 
 
@@ -230,30 +256,31 @@ def _window_spans(runs: DataFrame, length: int, keep_first: bool) -> DataFrame:
     return hit.select("doc", "tid", F.col("s").alias("a"), F.col("s").alias("z"))
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, keep_first: bool = False, group_runs: int = GROUP_RUNS) -> DataFrame:
+def repeated_starts(
+    docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, long_anchor: int = LONG_ANCHOR, keep_first: bool = False, group_runs: int | None = None,
+) -> DataFrame:
     """(doc, tid, text) -> doc, tid, a, z: the starts a..z of repeated strings of ``length`` bytes."""
+    group_runs = group_runs or GROUP_RUNS
     runs = docs.select("doc", "tid", "text").mapInArrow(lambda it: _runs(it, length, anchor), "doc long, tid long, s int, n int, anchor long, content long")
     runs = staged(runs, "suffix-runs")
     met = runs.groupBy("anchor").agg(F.count("*").alias("times"), F.min("content").alias("low"), F.max("content").alias("high")).filter("times > 1")
-    met = met.select("anchor", "times", (F.col("low") == F.col("high")).alias("equal"))
+    met = met.select("anchor", (F.col("low") == F.col("high")).alias("equal"))
     cand = staged(runs.select("doc", "tid", "s", "n", "anchor").join(met, "anchor"), "suffix-repeats")
-    spans = "doc long, tid long, a int, z int"
     equal = cand.filter("equal")
     if keep_first:
         place = F.struct("doc", "tid", "s")
         first = equal.groupBy("anchor").agg(F.min(place).alias("first"))
         equal = equal.join(first, "anchor").filter(~(place == F.col("first")))
     found = equal.select("doc", "tid", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("z"))
-    rims = cand.filter(~F.col("equal")).select("doc", "tid", "s", "n", "anchor", "times")
-    # repeated rows are one row here; each document row that joins brings its own bytes
-    pieces = _with_bytes(docs, rims.drop("times").distinct(), length)
-    large = rims.filter(F.col("times") > group_runs).select("anchor").distinct()
-    pieces = staged(pieces, "suffix-pieces")
-    small = pieces.join(large, "anchor", "left_anti")
-    total = pieces.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    tasks = max(1, -(-total // TASK_BYTES))
-    dealt = small.withColumn("turn", F.monotonically_increasing_id()).withColumn("task", F.pmod(F.xxhash64("anchor"), F.lit(tasks)))
-    solved = dealt.groupBy("task").applyInPandas(lambda df: _solve(df, length, keep_first), spans)
+    # repeated rows are one row in the lists; each document row that joins brings its own bytes
+    rims = cand.filter(~F.col("equal")).select("doc", "tid", "s", "n").distinct()
+    pieces = staged(_with_bytes(docs, rims, length, long_anchor), "suffix-pieces")
+    large = staged(pieces.groupBy("anchor").agg(F.count("*").alias("times")).filter(F.col("times") > group_runs).select("anchor"), "suffix-large")
+    total = pieces.agg(F.sum("n"), F.count("*")).first()
+    tasks = max(1, -(-((total[0] or 0) + length * total[1]) // TASK_BYTES))
+    dealt = pieces.join(large, "anchor", "left_anti").withColumn("turn", F.monotonically_increasing_id())
+    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("anchor"), F.lit(tasks)))
+    solved = dealt.groupBy("task").applyInPandas(lambda df: _solve(df, length, keep_first), "doc long, tid long, a int, z int")
     found = found.unionByName(solved)
     if not large.isEmpty():
         found = found.unionByName(_window_spans(pieces.join(large, "anchor", "left_semi"), length, keep_first))

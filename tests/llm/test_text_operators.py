@@ -154,11 +154,11 @@ def _suffix_rows():
     return rows
 
 
-@pytest.mark.parametrize("length,anchor,group", [(200, 32, 4000), (200, 32, 1), (40, 12, 3)])
-def test_removal_matches_brute_force(spark, length, anchor, group):
+@pytest.mark.parametrize("length,anchor,long_anchor,group", [(200, 48, 160, 4000), (200, 32, 190, 1), (40, 12, 12, 3), (40, 8, 40, 9)])
+def test_removal_matches_brute_force(spark, length, anchor, long_anchor, group):
     rows = _suffix_rows()
     docs = suffix_dedup.with_text_id(documents(spark, rows))
-    found = suffix_dedup.repeated_starts(docs.select("doc", "tid", "text"), length, anchor, group_runs=group)
+    found = suffix_dedup.repeated_starts(docs.select("doc", "tid", "text"), length, anchor, long_anchor, group_runs=group)
     got = {}
     for r in found.collect():
         got.setdefault((r.doc, r.tid), []).append({"a": r.a, "z": r.z})
