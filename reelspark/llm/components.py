@@ -44,3 +44,18 @@ def components(edges: DataFrame) -> DataFrame:
             break
         now, mark = after, new
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(node, root) of earlier edges, brought up to date with further (u, v) edges.
+
+    The new edges are seen between components, so only what they join is worked on.
+    """
+    if roots is None:
+        return components(edges)
+    a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("u", "v"))
+    between = edges.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v"))
+    moved = components(between)
+    onward = moved.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    kept = roots.join(onward, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    return staged(kept.unionByName(moved), "cc-merged")

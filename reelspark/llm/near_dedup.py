@@ -14,11 +14,11 @@ elements, not elements times coordinates.  Two signatures agree in a coordinate
 with probability equal to the similarity.
 
 ``BANDS`` bands of ``ROWS`` coordinates give buckets.  In each bucket the members
-are paired with its smallest and its largest text only, and every pair is checked
+are paired with its hub and its smallest text only, and every pair is checked
 exactly on the whole texts.  Where a bucket then still holds several components,
-members outside the main one meet ``TARGETS`` members of the others, then 16 times
-as many, and so on until all have met that could be linked (the similarities to
-the leaders bound the rest out).  Families of copies thus cost a few pairs a
+members outside the main one are compared with those of the others by longer
+signatures, in blocks of arrays, and pairs whose estimate does not clearly miss
+the threshold are checked exactly too.  Families of copies thus cost a few pairs a
 member, and no chain of links inside a bucket is lost.  Classes are the connected
 components of the checked links.  Equal texts are one node throughout, so copies
 are never paired.
@@ -33,21 +33,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm.common import mix64, slices, staged, table
-from reelspark.llm.components import components
+from reelspark.llm.components import merged
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
-#: Members of a bucket that those outside its main component meet first.
-TARGETS = 16
+#: Coordinates of the longer signatures, deviations of their estimate that count as a clear miss, members of a block.
+SKETCH, SIGMAS, BLOCK = 1024, 3.5, 512
+#: Coordinates that tell unlike texts apart before all are compared.
+ROUGH = 64
 #: Words a worker remembers the hash of.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 150_000
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 #: Upper ends of the counts 0, 1, 2, ... of a Poisson variable of mean 1, on 64 bits.
@@ -153,9 +156,18 @@ def bucket_rows(nodes: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, ro
     return nodes.select("node", "text").mapInArrow(run, "node binary, key long")
 
 
-def _leaders(rows: DataFrame) -> DataFrame:
-    """Bucket rows -> key, low, high of the buckets with two texts or more."""
-    return rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+def _members(rows: DataFrame) -> DataFrame:
+    """Bucket rows -> key, node, hub, low, n of the buckets with two texts or more.
+
+    A bucket's hub is its member of most company: of largest summed bucket sizes.
+    Copies of one text share more buckets with it than with each other.
+    """
+    several = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key", "low")
+    members = staged(rows.join(several, "key").distinct(), "near-members")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    company = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("company"))
+    hubs = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("h"), F.count("*").alias("n"))
+    return staged(members.join(hubs.select("key", F.col("h.node").alias("hub"), "n"), "key"), "near-led")
 
 
 def check_pairs(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -192,55 +204,80 @@ def _one_text_each(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.join(reps, same).select("node", "text").dropDuplicates(["node"])
 
 
-def _open_buckets(placed: DataFrame, edges: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components so far, with their
-    component, the one of the bucket's low leader, and the bucket's size."""
-    rooted = placed.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = staged(rooted, "near-rooted")
-    buckets = rooted.groupBy("key").agg(
-        F.max_by("root", "to_low").alias("main"), F.count("*").alias("n"), F.min("root").alias("first"), F.max("root").alias("last")
-    )
-    return staged(rooted.join(buckets.filter("first <> last").select("key", "main", "n"), "key"), "near-open")
+def _linked(checked: DataFrame, threshold: float) -> DataFrame:
+    return checked.filter(F.col("sim") >= threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _sketches(texts: DataFrame, shingle: int, k: int) -> DataFrame:
+    """(node, text) -> node, sketch: a signature of k coordinates, 32 bits each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            made = [dart_minhash(*shingles(t, shingle), k).astype("<u4").tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["node", "sketch"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, sketch binary")
+
 
+def _rims(placed: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float, shingle: int, k: int = SKETCH, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of buckets that still hold several components that could be
+    linked: of members outside the main component with members of others.
 
-def links(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, targets: int = TARGETS) -> DataFrame:
-    """(doc_id, node, text) -> a, b: checked links, enough to connect all texts
-    that share a bucket and are linked by any chain of its members."""
-    buckets = staged(bucket_rows(docs.filter(F.col("node").isNotNull()), shingle, bands, rows), "near-buckets")
-    members = staged(buckets.join(_leaders(buckets), "key").distinct(), "near-members")
-    led = members.select("key", "node", F.explode(F.array("low", "high")).alias("leader"))
+    Sketches of a bucket are compared in blocks, as arrays; a pair is named only
+    if the estimate is within ``SIGMAS`` deviations of the threshold and the
+    similarities to the leaders allow it (1 - sim is a metric).
+    """
+    rooted = staged(placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")
+    buckets = rooted.groupBy("key").agg(F.max_by("root", "to_hub").alias("main"), F.min("root").alias("first"), F.max("root").alias("last"))
+    still = staged(rooted.join(buckets.filter("first <> last").select("key", "main"), "key"), "near-open")
+    sketches = _sketches(texts.join(still.select("node").distinct(), "node", "left_semi"), shingle, k)
+    seats = still.join(staged(sketches, "near-sketches"), "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    seats = seats.select("key", "node", "root", "main", "to_hub", "to_low", "sketch", "blocks")
+    met = seats.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    asks = seats.filter("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asks = asks.select([F.col(c).alias(f"q_{c}") for c in asks.columns])
+    least, rough = (threshold - d * np.sqrt(threshold * (1 - threshold) / n) for d, n in ((SIGMAS, k), (5, ROUGH)))
+    room = 1 - threshold + 1e-9
+
+    def compare(ours: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        if len(ours) and len(asked):
+            sketch = np.frombuffer(b"".join(ours["sketch"]), "<u4").reshape(len(ours), k)
+            root, node = ours["root"].to_numpy(), ours["node"].to_numpy()
+            hub, low = ours["to_hub"].to_numpy(), ours["to_low"].to_numpy()
+            for q in asked.itertuples():
+                could = (root != q.q_root) & (np.abs(hub - q.q_to_hub) <= room) & (np.abs(low - q.q_to_low) <= room)
+                at, mine = np.flatnonzero(could), np.frombuffer(q.q_sketch, "<u4")
+                at = at[(sketch[at, :ROUGH] == mine[:ROUGH]).mean(axis=1) >= rough]
+                agree = (sketch[at] == mine).mean(axis=1)
+                for other in node[at[agree >= least]]:
+                    a.append(max(other, q.q_node))
+                    b.append(min(other, q.q_node))
+        return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
+
+    return met.groupBy("key", "block").cogroup(asks.groupBy("q_key", "q_block")).applyInPandas(compare, "a binary, b binary").distinct()
+
+
+def linked_components(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, node, text) -> (node, root): components of the checked links, for
+    every text but the smallest node of its component and those without a link."""
+    members = _members(staged(bucket_rows(docs.filter(F.col("node").isNotNull()), shingle, bands, rows), "near-buckets"))
+    led = members.select("key", "node", F.explode(F.array("hub", "low")).alias("leader"))
     pairs = staged(led.filter("node <> leader").select(*_pair("node", "leader")).distinct(), "near-pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = staged(_one_text_each(docs, nodes), "near-texts")
     seen = staged(check_pairs(pairs, texts, shingle), "near-checked")
-    # every member's similarity to its bucket's leaders bounds that to all others: 1 - sim is a metric
-    placed = members.select("key", "node", "low", "high")
-    for leader in ("low", "high"):
+    placed = members
+    for leader in ("hub", "low"):
         sims = seen.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("sim").alias(f"to_{leader}"))
         placed = placed.join(sims, (F.greatest("node", leader) == F.col("_a")) & (F.least("node", leader) == F.col("_b")), "left").drop("_a", "_b")
         placed = placed.withColumn(f"to_{leader}", F.coalesce(f"to_{leader}", F.lit(1.0)))
-    placed = staged(placed.select("key", "node", "to_low", "to_high"), "near-placed")
-    edges = seen.filter(F.col("sim") >= threshold).select("a", "b")
-    room = 1 - threshold + 1e-9
-    while True:
-        still = _open_buckets(placed, edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        largest = still.agg(F.max("n")).first()[0]
-        if not largest:
-            return edges
-        order = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(targets), "key", "node"), "node")
-        met = still.withColumn("_turn", F.row_number().over(order)).filter(F.col("_turn") <= targets)
-        met = met.select("key", *[F.col(c).alias(f"t_{c}") for c in ("node", "root", "to_low", "to_high")])
-        near = (F.abs(F.col("to_low") - F.col("t_to_low")) <= room) & (F.abs(F.col("to_high") - F.col("t_to_high")) <= room)
-        asked = still.filter("root <> main").join(met, "key").filter((F.col("root") != F.col("t_root")) & near)
-        pairs = asked.select(*_pair("node", "t_node")).distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = staged(pairs, "near-pairs")
-        if not pairs.isEmpty():
-            checked = staged(check_pairs(pairs, texts, shingle), "near-checked")
-            seen = seen.unionByName(checked)
-            edges = edges.unionByName(checked.filter(F.col("sim") >= threshold).select("a", "b"))
-        elif targets >= largest:
-            return edges
-        targets *= 16
+    roots = merged(None, _linked(seen, threshold))
+    more = _rims(placed.select("key", "node", "n", "to_hub", "to_low"), roots, texts, threshold, shingle)
+    more = staged(more.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
+    if more.isEmpty():
+        return roots
+    return merged(roots, _linked(staged(check_pairs(more, texts, shingle), "near-checked"), threshold))
 
 
 def near_classes(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -249,8 +286,7 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, shingle: int =
     ``class_id`` is the smallest doc_id of the class, ``node`` the text's identity.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_node(F.col("text")).alias("node"), "text")
-    edges = links(docs, threshold, shingle, bands, rows).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    rooted = components(edges)
+    rooted = linked_components(docs, threshold, shingle, bands, rows)
     ids = staged(docs.select("doc_id", "node"), "near-ids")
     per_text = ids.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
     per_text = staged(per_text.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-texts")

@@ -43,7 +43,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Remainders packed together by one task.
 GROUP_PIECES = 50_000
 #: Pieces a Python worker remembers, and the longest it keeps.
-MEMORY_PIECES, MEMORY_LENGTH = 500_000, 48
+MEMORY_PIECES, MEMORY_LENGTH = 400_000, 48
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -10,7 +10,7 @@ import numpy as np
 
 WORDS = re.compile(r"\w+")
 #: Words a worker remembers the hash of.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 150_000
 
 
 class WordHash(dict):
