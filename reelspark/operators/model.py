@@ -112,7 +112,7 @@ def mean_predictor_metrics(labelled: DataFrame, key: str = "movieId", label: str
     err, n = F.col("r.rating") - F.col("mean"), F.col("r.n_test")
     total = F.sum(n)
     return rows.agg(
-        F.sqrt(F.sum(err * err * n) / total).alias("rmse"), (F.sum(F.abs(err) * n) / total).alias("mae"), total.alias("n")
+        F.sqrt(F.sum(err * err * n) / F.nullif(total, F.lit(0))).alias("rmse"), (F.sum(F.abs(err) * n) / F.nullif(total, F.lit(0))).alias("mae"), F.coalesce(total, F.lit(0)).alias("n")
     )
 
 
