@@ -47,6 +47,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 #: Coordinates of the longer signatures, deviations of their estimate that count as a clear miss, members of a block.
 SKETCH, SIGMAS, BLOCK = 1024, 3.5, 512
+#: Members of open buckets that a task compares.
+TOGETHER = 4096
 #: Coordinates that tell unlike texts apart before all are compared.
 ROUGH = 64
 #: Words a worker remembers the hash of.
@@ -233,8 +235,11 @@ def _rims(placed: DataFrame, roots: DataFrame, texts: DataFrame, threshold: floa
     sketches = _sketches(texts.join(still.select("node").distinct(), "node", "left_semi"), shingle, k)
     seats = still.join(staged(sketches, "near-sketches"), "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     seats = seats.select("key", "node", "root", "main", "to_hub", "to_low", "sketch", "blocks")
+    # buckets are mostly small: a task takes about TOGETHER members of many, and blocks of large ones apart
+    tasks = max(1, -(-still.count() // TOGETHER))
     met = seats.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     asks = seats.filter("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met, asks = (x.withColumn("task", F.pmod(F.xxhash64("key", "block"), F.lit(tasks))) for x in (met, asks))
     asks = asks.select([F.col(c).alias(f"q_{c}") for c in asks.columns])
     least, rough = (threshold - d * np.sqrt(threshold * (1 - threshold) / n) for d, n in ((SIGMAS, k), (5, ROUGH)))
     room = 1 - threshold + 1e-9
@@ -242,12 +247,16 @@ def _rims(placed: DataFrame, roots: DataFrame, texts: DataFrame, threshold: floa
     def compare(ours: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
         if len(ours) and len(asked):
+            ours = ours.sort_values(["key", "block"], ignore_index=True)
             sketch = np.frombuffer(b"".join(ours["sketch"]), "<u4").reshape(len(ours), k)
-            root, node = ours["root"].to_numpy(), ours["node"].to_numpy()
-            hub, low = ours["to_hub"].to_numpy(), ours["to_low"].to_numpy()
+            root, node, hub, low = (ours[c].to_numpy() for c in ("root", "node", "to_hub", "to_low"))
+            places = list(zip(ours["key"], ours["block"], strict=True))
+            first = [i for i, x in enumerate(places) if not i or x != places[i - 1]]
+            spots = {places[i]: (i, z) for i, z in zip(first, [*first[1:], len(places)], strict=True)}
             for q in asked.itertuples():
-                could = (root != q.q_root) & (np.abs(hub - q.q_to_hub) <= room) & (np.abs(low - q.q_to_low) <= room)
-                at, mine = np.flatnonzero(could), np.frombuffer(q.q_sketch, "<u4")
+                i, z = spots.get((q.q_key, q.q_block), (0, 0))
+                could = (root[i:z] != q.q_root) & (np.abs(hub[i:z] - q.q_to_hub) <= room) & (np.abs(low[i:z] - q.q_to_low) <= room)
+                at, mine = i + np.flatnonzero(could), np.frombuffer(q.q_sketch, "<u4")
                 at = at[(sketch[at, :ROUGH] == mine[:ROUGH]).mean(axis=1) >= rough]
                 agree = (sketch[at] == mine).mean(axis=1)
                 for other in node[at[agree >= least]]:
@@ -255,7 +264,7 @@ def _rims(placed: DataFrame, roots: DataFrame, texts: DataFrame, threshold: floa
                     b.append(min(other, q.q_node))
         return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
 
-    return met.groupBy("key", "block").cogroup(asks.groupBy("q_key", "q_block")).applyInPandas(compare, "a binary, b binary").distinct()
+    return met.groupBy("task").cogroup(asks.groupBy("q_task")).applyInPandas(compare, "a binary, b binary").distinct()
 
 
 def linked_components(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
