@@ -21,7 +21,8 @@ of the id; equal texts count once) in one task of that size; the model has a
 bounded size and is broadcast.  Scoring covers every whole document.
 
 Edge cases: null and empty texts have no word and get the base rate; without a
-toxic label, or without any other, no document is rejected; repeated rows are
+toxic label, without any other, or without a word that tells them apart, no
+document is rejected; repeated rows are
 scored alike; rows without an id are scored but never learnt from.
 """
 
@@ -119,9 +120,12 @@ def fit_linear(hits: np.ndarray, rows: np.ndarray, n: int, k: int, extra: np.nda
 
 def fit_chain(found: list[np.ndarray], toxic: np.ndarray, folds: np.ndarray) -> Chain:
     n = len(found)
+    silent = Chain(np.zeros(0, np.int64), [np.array([0.0] * c + [-35.0]) for c in range(len(CATEGORIES))])
     if not n or toxic.min() == toxic.max():
-        return Chain(np.zeros(0, np.int64), [np.array([0.0] * c + [-35.0]) for c in range(len(CATEGORIES))])
+        return silent
     terms = pick_terms(found, toxic)
+    if not len(terms):  # nothing tells the classes apart
+        return silent
     hits, rows = positions(terms, found)
     k = len(terms)
     sign = np.bincount(hits, toxic[rows], k) / np.maximum(1, np.bincount(hits, minlength=k)) > toxic.mean()

@@ -282,6 +282,8 @@ def test_chain_finds_planted_words_and_spares_others(spark):
 
 def test_without_labels_nothing_is_rejected(spark):
     docs = documents(spark)
+    even = spark.createDataFrame([(100 + i, i % 2) for i in range(20)], "doc_id long, toxic int")  # no word tells them apart
+    assert toxicity.keep_clean(docs, even).count() == docs.count()
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.keep_clean(docs, labels).count() == docs.count()
     assert toxicity.keep_clean(docs.limit(0), labels).count() == 0
@@ -290,8 +292,8 @@ def test_without_labels_nothing_is_rejected(spark):
 def test_later_links_are_fitted_on_out_of_fold_probabilities(monkeypatch):
     """What later models get of a row never comes from a model that was fitted on it."""
     rng = np.random.default_rng(3)
-    found = [np.unique(rng.integers(0, 3000, 40)) for _ in range(90)]
     y = (rng.random(90) < 0.4).astype(float)
+    found = [np.unique(np.append(rng.integers(0, 3000, 40), [3000] * int(t and i % 9 > 0))) for i, t in enumerate(y)]  # one telling word
     folds = np.arange(90) % toxicity.FOLDS
     seen = []
     real = toxicity.fit_linear
