@@ -293,7 +293,7 @@ def test_later_links_are_fitted_on_out_of_fold_probabilities(monkeypatch):
     """What later models get of a row never comes from a model that was fitted on it."""
     rng = np.random.default_rng(3)
     y = (rng.random(90) < 0.4).astype(float)
-    found = [np.unique(np.append(rng.integers(0, 3000, 40), [3000] * int(t and i % 9 > 0))) for i, t in enumerate(y)]  # one telling word
+    found = [np.unique(np.append(rng.integers(0, 3000, 40), [3000] * int(t and i % 9 > 0)).astype(np.int64)) for i, t in enumerate(y)]  # one telling word
     folds = np.arange(90) % toxicity.FOLDS
     seen = []
     real = toxicity.fit_linear
