@@ -24,9 +24,10 @@ from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block: a pair of blocks is scored with about 32 MB of scores.
+#: Rows of a block, and keys scored at once (about 1 MB of scores, which stay in cache).
 KEY_BLOCK_ROWS = 1_024
 OTHER_BLOCK_ROWS = 4_096
+SCORE_ROWS = 32
 
 
 def _check_n(n: int) -> int:
@@ -48,10 +49,10 @@ def _blocks(factors: DataFrame, count: int, prefix: str) -> DataFrame:
 
 
 def block_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Scores of all rows of ``a`` with all rows of ``b``, summed in the order of the rank."""
-    out = np.zeros((len(a), len(b)))
+    """Scores of all rows of ``a`` with all columns of ``b``, summed in the order of the rank."""
+    out, term = np.zeros((len(a), b.shape[1])), np.empty((len(a), b.shape[1]))
     for f in range(a.shape[1]):
-        out += a[:, f, None] * b[None, :, f]
+        out += np.multiply.outer(a[:, f], b[f], out=term)
     return out
 
 
@@ -75,9 +76,12 @@ def _score_pairs(n: int, key: str, other: str):
             for i in range(b.num_rows):
                 k_ids, o_ids = (np.frombuffer(b.column(c)[i].as_py(), "<i4") for c in (0, 2))
                 k, o = (np.frombuffer(b.column(c + 1)[i].as_py(), "<f8").reshape(len(ids), -1) for c, ids in ((0, k_ids), (2, o_ids)))
-                s = block_scores(k, o)
-                row, col = best_of_block(s, o_ids, n)
-                yield pa.RecordBatch.from_arrays([pa.array(k_ids[row]), pa.array(o_ids[col]), pa.array(s[row, col])], names=[key, other, "score"])
+                columns, kept = np.ascontiguousarray(o.T), []
+                for at in range(0, len(k), SCORE_ROWS):
+                    s = block_scores(k[at : at + SCORE_ROWS], columns)
+                    row, col = best_of_block(s, o_ids, n)
+                    kept.append((k_ids[at + row], o_ids[col], s[row, col]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*kept, strict=True)], names=[key, other, "score"])
 
     return score
 
