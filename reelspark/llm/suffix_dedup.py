@@ -48,7 +48,7 @@ ANCHOR = 48
 LONG_ANCHOR = 112
 #: Runs of one anchor that are solved together in a task, and bytes of a task.
 GROUP_RUNS = 20_000
-TASK_BYTES = 4 << 20
+TASK_BYTES = 1 << 20
 #: Bytes of documents looked at together.
 BLOCK = 1 << 19
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -57,15 +57,18 @@ _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667
 def string_hashes(raw: np.ndarray, lengths: set[int]) -> dict[int, np.ndarray]:
     """Hashes of all substrings of each wanted length, by start."""
     h, n, at = raw.astype(np.uint64) + np.uint64(1), 1, 0
-    powers, out = {1: h}, {}
-    while 2 * n <= max(lengths):
+    powers, out = {}, {}
+    while True:  # only the powers of two that make up a wanted length are kept
+        if any(want & n for want in lengths):
+            powers[n] = h
+        if 2 * n > max(lengths):
+            break
         h = h[:-n] * _STEP[at] + h[n:] if len(h) > n else h[:0]
         n, at = 2 * n, at + 1
-        powers[n] = h
     for want in lengths:
         got, done, k = None, 0, 0
         for p in sorted(powers, reverse=True):
-            if want - done >= p:
+            if want & p:
                 size = max(0, len(raw) - want + 1)
                 part = powers[p][done : done + size]
                 got = part if got is None else got * _STEP[-1 - k] + part
