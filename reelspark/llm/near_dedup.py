@@ -290,9 +290,10 @@ def linked_components(docs: DataFrame, threshold: float = SIMILARITY, shingle: i
 
 
 def near_classes(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, text) -> doc_id, node, class_id, class_size for every row.
+    """(doc_id, text) -> doc_id, node, root, class_id, class_size for every row.
 
-    ``class_id`` is the smallest doc_id of the class, ``node`` the text's identity.
+    ``class_id`` is the smallest doc_id of the class, ``node`` the text's identity and
+    ``root`` the class's: ids may be null or repeat, so unlike classes can share a class_id.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_node(F.col("text")).alias("node"), "text")
     rooted = linked_components(docs, threshold, shingle, bands, rows)
@@ -300,20 +301,20 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, shingle: int =
     per_text = ids.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
     per_text = staged(per_text.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-texts")
     classes = per_text.groupBy("root").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"))
-    named = per_text.join(classes, "root").select("node", "class_id", "class_size")
+    named = per_text.join(classes, "root").select("node", "root", "class_id", "class_size")
     out = ids.join(named, "node", "left").withColumn("class_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
-    return out.select("doc_id", "node", "class_id", F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"))
+    return out.select("doc_id", "node", "root", "class_id", F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"))
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """One document of each class (that of its smallest id), with the columns it came with."""
+    """One document of each class (that of its smallest id, then node), with the columns it came with."""
     judged = staged(near_classes(docs.select("doc_id", "text"), threshold), "near-classes")
     alone = judged.filter(F.col("node").isNull())
     named = judged.filter(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
     # repeated ids can give several texts, repeated rows several times the same: one goes on
-    chosen = named.groupBy("class_id").agg(F.min("node").alias("_keep"), F.count("*").alias("_rows"))
+    chosen = named.groupBy("root", "class_id").agg(F.min("node").alias("_keep"), F.count("*").alias("_rows"))
     marked = docs.withColumn("_node", text_node(F.col("text"))).withColumn("_id", F.col("doc_id").cast("bigint"))
-    chosen = chosen.withColumnRenamed("class_id", "_class")
+    chosen = chosen.select("_keep", "_rows", F.col("class_id").alias("_class"))
     kept = marked.join(chosen, (F.col("_node") == F.col("_keep")) & F.col("_id").eqNullSafe(F.col("_class")))
     once = kept.filter("_rows = 1").select(*docs.columns)
     several = kept.filter("_rows > 1").dropDuplicates(["_node", "_id"]).select(*docs.columns)

@@ -135,6 +135,27 @@ def test_keep_one_keeps_one_of_each_class_and_the_columns(spark):
     assert near_dedup.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_keeps_classes_that_share_a_class_id(spark):
+    rows = _near_rows()
+    alone = [prose(5000 + i, 60) for i in range(6)]
+    rows += [(None, t, "en", "n", 0) for t in alone] + [(None, alone[0], "en", "n", 0)]  # classes without an id
+    for i in range(6):  # a repeated id: an unlike text beside a family
+        family = prose(5100 + i, 150)
+        rows += [(4000 + i, prose(5200 + i, 80), "en", "u", 0), (4000 + i, family, "en", "u", 0), (4100 + i, family + " end", "en", "u", 0)]
+    sets = [shingle_counts(t) for _, t, *_ in rows]
+    classes: list[set] = []
+    for i in range(len(rows)):
+        if sets[i]:
+            mates = [c for c in classes if any(weighted_jaccard(sets[i], sets[j]) >= 0.8 for j in c)]
+            classes = [c for c in classes if c not in mates] + [{i}.union(*mates)]
+    kept = [(r.doc_id, r.text) for r in near_dedup.keep_one(documents(spark, rows, extra=True)).collect()]
+    for c in classes:
+        low = min((rows[i][0] for i in c if rows[i][0] is not None), default=None)
+        left = [k for k in kept if k[1] in {rows[i][1] for i in c}]
+        assert len(left) == 1 and left[0] in {rows[i][:2] for i in c if rows[i][0] == low}
+    assert len(kept) == len(classes) + sum(not s for s in sets)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(300, 301), (301, 300), (400, 400)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
