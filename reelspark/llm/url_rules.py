@@ -9,10 +9,11 @@ highest confidence (then support, then length, then smallest id) decides; a url
 that none fits gets the default.
 
 Bounds: an itemset needs ``min_support`` of the labelled urls, so the number of
-frequent tokens is at most tokens-per-url / min_support, whatever the input; and a
-url is mined for combinations of its ``MAX_BASKET`` most frequent tokens, as a long
-path that repeats would have 2 ** tokens of them.  Matching uses all tokens.
-Urls are mined and matched once per distinct url.
+frequent tokens is at most tokens-per-url / min_support, whatever the input.  A url of
+more than ``MAX_BASKET`` frequent tokens (a long path that repeats) has 2 ** tokens
+combinations for FP-growth, so those within the tokens of such urls are counted level
+by level instead, up to a rule's length and over all urls; FP-growth counts the others
+in the rest.  Both counts are exact.  Urls are mined and matched once per distinct url.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, no
 token but that fact and the default verdict; repeated rows are judged alike; an
@@ -21,10 +22,12 @@ empty table gives no rows, and without labelled urls nothing is mined.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm.common import staged, table
@@ -80,6 +83,47 @@ def url_tokens(url: Column) -> Column:
     return F.when(url.isNull() | (host == ""), none).otherwise(F.array_distinct(F.concat(scheme, suffixes, words, keys, depth)))
 
 
+def _by_level(baskets: DataFrame, least: int, max_tokens: int) -> DataFrame:
+    """(tokens sorted, label, times) -> tokens, label, n, total: sets of at most
+    ``max_tokens`` tokens that ``least`` baskets of a label hold.
+
+    A set is extended where it is frequent with some label, in the baskets of every
+    label, so ``total`` counts them all.  Not extended are sets of one label only and
+    sets held by all baskets of a smaller one: the rules of their extensions have the
+    confidence of a shorter rule, so they would be redundant (thousands of words of
+    one long path always go together).
+    """
+    rows = staged(baskets.withColumn("id", F.monotonically_increasing_id()), "url-level")
+    at = rows.select("id", "label", "times", F.explode("tokens").alias("last")).withColumn("set", F.array("last")).withColumn("under", F.lit(None).cast("bigint"))
+    found = []
+    for size in range(1, max_tokens + 1):
+        at = staged(at, "url-sets")
+        each = at.groupBy("set", "label").agg(F.sum("times").alias("n"), F.min("under").alias("under"))
+        sets = each.groupBy("set").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.min("under").alias("under"), F.collect_list(F.struct("label", "n")).alias("by")).filter(F.col("most") >= least)
+        sets = staged(sets, "url-frequent")
+        found.append(sets.select("set", "total", F.explode("by").alias("b")).filter(F.col("b.n") >= least))
+        onward = sets.filter((F.col("most") < F.col("total")) & (F.col("under").isNull() | (F.col("total") < F.col("under")))).select("set", "total")
+        if size == max_tokens or onward.isEmpty():
+            break
+        at = at.drop("under").join(onward, "set").withColumn("head", F.slice("set", 1, size - 1) if size > 1 else F.array().cast("array<string>"))
+        a, b = at.alias("a"), at.alias("b")
+        both = a.join(b, (F.col("a.id") == F.col("b.id")) & (F.col("a.head") == F.col("b.head")) & (F.col("a.last") < F.col("b.last")))
+        at = both.select("a.id", "a.label", "a.times", "b.last", F.array_append("a.set", F.col("b.last")).alias("set"), F.least("a.total", "b.total").alias("under"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select(F.col("set").alias("tokens"), "b.label", "b.n", "total")
+
+
+def _subsets(tokens: Column, max_tokens: int) -> Column:
+    """The proper subsets, but the empty one, of a sorted array of at most ``max_tokens`` tokens."""
+    of = []
+    for n in range(1, max_tokens):
+        for at in itertools.combinations(range(max_tokens), n):
+            of.append(F.when((F.size(tokens) > n) & (F.size(tokens) > at[-1]), F.array(*[F.get(tokens, F.lit(i)) for i in at])))
+    return F.filter(F.array(*of), lambda x: x.isNotNull()) if of else F.array().cast("array<array<string>>")
+
+
 def mine_rules(
     labelled: DataFrame,
     min_support: float = MIN_SUPPORT,
@@ -93,30 +137,44 @@ def mine_rules(
     """
     spark = labelled.sparkSession
     rows = staged(labelled.select("tokens", F.concat(F.lit("label="), F.col("label")).alias("label")).withColumn("id", F.monotonically_increasing_id()), "url-labelled")
+    total = rows.count()
+    least = max(1, math.ceil(min_support * total))
     each = rows.select("id", "label", F.explode("tokens").alias("token"))
-    frequent = each.groupBy("token").agg(F.count("*").alias("times")).filter(F.col("times") >= min_support * rows.count())
-    order = Window.partitionBy("id").orderBy(F.col("times").desc(), "token")
-    most = each.join(frequent, "token").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= MAX_BASKET)
-    kept = most.groupBy("id").agg(F.collect_list("token").alias("kept"))
-    items = F.array_append(F.coalesce("kept", F.array().cast("array<string>")), F.col("label"))
-    baskets = staged(rows.join(kept, "id", "left").select(items.alias("items")), "url-baskets")
+    frequent = each.groupBy("token").agg(F.count("*").alias("times")).filter(F.col("times") >= least).select("token")
+    kept = each.join(frequent, "token").groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("kept"))
+    baskets = rows.join(kept, "id", "left").select(F.coalesce("kept", F.array().cast("array<string>")).alias("tokens"), "label")
+    baskets = staged(baskets, "url-baskets")
     schema = "rule_id string, tokens array<string>, verdict string, confidence double, support double"
     if baskets.isEmpty():
         return spark.createDataFrame([], schema)
-    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
-    rules = (
-        found.filter(F.col("consequent")[0].startswith("label=") & (F.size("antecedent") <= max_tokens))
-        .filter(~F.exists("antecedent", lambda x: x.startswith("label=")))
-        .select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 7, 1 << 20).alias("verdict"), "confidence", "support")
-        .withColumn("rule_id", F.md5(F.concat_ws("\n", F.array_append("tokens", F.col("verdict")))))
-    )
+    short, long = (baskets.filter(x) for x in (F.size("tokens") <= MAX_BASKET, F.size("tokens") > MAX_BASKET))
+    few = short.count()
+    counted = spark.createDataFrame([], "tokens array<string>, label string, n long, total long")
+    if few >= least:
+        # the count asked for is that of all urls, whatever part of them is looked at
+        items = short.select(F.array_append("tokens", F.col("label")).alias("items"))
+        found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / few, minConfidence=min_confidence).fit(items).associationRules
+        found = found.filter(F.col("consequent")[0].startswith("label=") & (F.size("antecedent") <= max_tokens))
+        found = found.filter(~F.exists("antecedent", lambda x: x.startswith("label=")))
+        n = F.round(F.col("support") * few).cast("bigint")
+        counted = found.select(F.array_sort("antecedent").alias("tokens"), F.col("consequent")[0].alias("label"), n.alias("n"), F.round(n / F.col("confidence")).cast("bigint").alias("total"))
+    if few < total:
+        # sets of tokens of long urls are counted in all urls; no long url holds any of the others
+        words = staged(long.select(F.explode("tokens").alias("token")).distinct(), "url-words")
+        numbered = baskets.withColumn("id", F.monotonically_increasing_id()).select("id", "label", F.explode("tokens").alias("token"))
+        cut = numbered.join(words, "token").groupBy("id", "label").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+        level = _by_level(cut.groupBy("tokens", "label").agg(F.count("*").alias("times")), least, max_tokens)
+        counted = counted.withColumn("id", F.monotonically_increasing_id())
+        other = counted.select("id", F.explode("tokens").alias("token")).join(words, "token", "left_anti").select("id").distinct()
+        counted = counted.join(other, "id", "left_semi").drop("id").unionByName(level)
+    confidence = F.col("n") / F.col("total")
+    rules = counted.filter(confidence >= min_confidence).select("tokens", F.substring("label", 7, 1 << 20).alias("verdict"), confidence.alias("confidence"), (F.col("n") / F.lit(total)).alias("support"))
+    rules = rules.withColumn("rule_id", F.md5(F.concat_ws("\n", F.array_append("tokens", F.col("verdict")))))
     rules = staged(rules.select("rule_id", "tokens", "verdict", "confidence", "support"), "url-rules")
-    # a shorter rule shares a token with the longer one, so the pairs come from the index
-    index = rules.select(F.explode("tokens").alias("token"), "rule_id", F.size("tokens").alias("n"), "verdict", "confidence")
-    a, b = index.alias("a"), index.alias("b")
-    over = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.verdict") == F.col("b.verdict")) & (F.col("a.n") > F.col("b.n")) & (F.col("b.confidence") >= F.col("a.confidence")))
-    worse = over.groupBy(F.col("a.rule_id").alias("rule_id"), F.col("b.rule_id").alias("other"), F.col("b.n").alias("n")).count().filter("count = n").select("rule_id").distinct()
-    return staged(rules.join(worse, "rule_id", "left_anti"), "url-rules-kept")
+    # a rule is held against those of its subsets only, so the pairs follow the number of rules
+    parts = rules.select(F.col("tokens").alias("whole"), "verdict", F.col("confidence").alias("c"), F.explode(_subsets(F.col("tokens"), max_tokens)).alias("tokens"))
+    worse = parts.join(rules, ["tokens", "verdict"]).filter(F.col("confidence") >= F.col("c")).select(F.col("whole").alias("tokens"), "verdict").distinct()
+    return staged(rules.join(worse, ["tokens", "verdict"], "left_anti").select("rule_id", "tokens", "verdict", "confidence", "support"), "url-rules-kept")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Searches, URL rules, mixing, packing and the pipeline against plain versions."""
 
+import itertools
 import math
 import random
 import zlib
@@ -209,6 +210,36 @@ def test_mined_rules_match_plain_counting(spark):
         assert decided[u].rule_id == top.rule_id and decided[u].verdict == top.verdict
 
 
+def test_rules_of_long_urls_match_plain_counting(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(120):
+        common = [f"common{j:02}" for j in range(14) if rng.random() < 0.95] if i % 3 else ["common00", "common01"]
+        rare = [f"rare{j}" for j in range(8) if rng.random() < 0.25]
+        block = ("rare0" in rare and "rare1" in rare) or "rare2" in rare
+        rows.append((common + rare + [f"own{i}"], "block" if block ^ (rng.random() < 0.05) else "allow"))
+    assert sum(len(t) > url_rules.MAX_BASKET + 1 for t, _ in rows) > 40
+    rules = url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.04, 0.9, 3).collect()
+    words = sorted({x for t, _ in rows for x in t if not x.startswith("own")})
+    sets = [(frozenset(t), label) for t, label in rows]
+    want = {}
+    for n in (1, 2, 3):
+        for c in itertools.combinations(words, n):
+            labels = [label for t, label in sets if t.issuperset(c)]
+            for verdict in ("allow", "block"):
+                k = labels.count(verdict)
+                if k >= 0.04 * len(rows) and k >= 0.9 * len(labels):
+                    want[c, verdict] = (k / len(labels), k / len(rows))
+    kept = {
+        (c, v): x
+        for (c, v), x in want.items()
+        if not any(want.get((s, v), (0,))[0] >= x[0] for n in range(1, len(c)) for s in itertools.combinations(c, n))
+    }
+    got = {(tuple(r.tokens), r.verdict): (r.confidence, r.support) for r in rules}
+    assert len(rules) == len(got) and got.keys() == kept.keys() and any("rare" in x for c, _ in got for x in c)
+    assert all(np.allclose(got[k], kept[k], atol=1e-12) for k in got)
+
+
 def test_urls_of_empty_and_unlabelled_tables(spark):
     df = spark.createDataFrame([(1, "https://x.org/a"), (2, None)], "page_id long, url string")
     assert {r.verdict for r in url_rules.judge_urls(df).collect()} == {"allow"}
