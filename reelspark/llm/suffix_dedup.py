@@ -184,6 +184,8 @@ def _solve(df: pd.DataFrame, length: int, keep_first: bool) -> pd.DataFrame:
     Only starts whose string's hash occurs twice are put into suffix order.
     """
     df = df.sort_values(["doc", "tid", "s", "turn"], ignore_index=True)
+    if keep_first:  # repeated rows are no copies of each other
+        df = df.drop_duplicates(["doc", "tid", "s"], ignore_index=True)
     raw = np.frombuffer(b"".join(df["bytes"]), np.uint8)
     sizes, n = np.fromiter(map(len, df["bytes"]), np.int64, len(df)), df["n"].to_numpy() + 1
     row = np.repeat(np.arange(len(df)), n)

@@ -221,6 +221,19 @@ def test_keep_first_leaves_one_copy(spark, group, monkeypatch):
     assert suffix_dedup.without_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("group", [4000, 1])
+def test_keep_first_spares_repeated_rows(spark, group, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP_RUNS", group)
+    passage = prose(177, 80)
+    first, other = f"{prose(160, 25)} {passage} {prose(161, 25)}", f"{prose(162, 25)} {passage[:380]} {prose(163, 25)}"
+    rows = [(0, first, "en", "s", 0), (0, first, "en", "s", 0), (1, other, "en", "s", 0), (1, other, "en", "s", 0)]
+    out = sorted((r.doc_id, r.text) for r in suffix_dedup.without_repeats(documents(spark, rows)).collect())
+    assert [t for i, t in out if i == 0] == [first, first]
+    rest = [t for i, t in out if i == 1]
+    cut = bytes(b for b, gone in zip(other.encode(), repeated_bytes([first, other], 200, True)[1], strict=True) if not gone)
+    assert len(rest) == 2 and rest[0] == rest[1] == cut.decode() and passage[:380] not in rest[0]
+
+
 def test_keep_first_matches_brute_force_and_stays_text(spark):
     rows = [(i, r[1], *r[2:]) for i, r in enumerate(_suffix_rows())]  # ids in order of the rows
     out = {r.doc_id: r.text for r in suffix_dedup.without_repeats(documents(spark, rows)).collect()}
