@@ -37,7 +37,8 @@ MIN_RATIO = 0.25
 HASHES = 2
 #: Slots of the filter for each n-gram in it.
 SLOTS_PER_GRAM = 16
-MAX_LANGUAGES = 64
+#: Languages of a word of a mask; a slot has as many words as they need.
+WORD = 64
 #: Characters looked at together.
 CHARS = 1 << 19
 
@@ -89,19 +90,25 @@ def count_grams(sample: DataFrame) -> DataFrame:
 
 @dataclass
 class Filter:
-    """``slots[i]`` is the mask of languages in slot i."""
+    """``slots[i]`` is the mask of languages in slot i, or a row of words of it for more than ``WORD``."""
 
     languages: list[str]
     slots: np.ndarray
     false_positive: np.ndarray
 
     def masks(self, g: np.ndarray) -> np.ndarray:
-        out = np.full(len(g), np.uint64(0xFFFFFFFFFFFFFFFF))
+        out = np.full((len(g), *self.slots.shape[1:]), np.uint64(0xFFFFFFFFFFFFFFFF))
         for i in _places(g, len(self.slots)):
             out &= self.slots[i]
         return out
 
 
+def _bit(masks: np.ndarray, k: int) -> np.ndarray:
+    """Language k's bit of each mask."""
+    word = masks if masks.ndim == 1 else masks[:, k // WORD]
+    return (word >> np.uint64(k % WORD)) & np.uint64(1)
+
+
 def _places(g: np.ndarray, slots: int) -> Iterator[np.ndarray]:
     h = mix64(g)
     for _ in range(HASHES):
@@ -112,14 +119,14 @@ def _places(g: np.ndarray, slots: int) -> Iterator[np.ndarray]:
 def build_filter(held: dict[str, np.ndarray]) -> Filter:
     """Language -> its n-grams."""
     languages = sorted(held)
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"at most {MAX_LANGUAGES} languages fit in one mask, got {len(languages)}")
     most = max((len(g) for g in held.values()), default=1)
-    slots = np.zeros(1 << max(10, int(SLOTS_PER_GRAM * most - 1).bit_length()), dtype=np.uint64)
+    size, words = 1 << max(10, int(SLOTS_PER_GRAM * most - 1).bit_length()), max(1, -(-len(languages) // WORD))
+    slots = np.zeros(size if words == 1 else (size, words), dtype=np.uint64)
     for k, lang in enumerate(languages):
-        for i in _places(held[lang], len(slots)):
-            np.bitwise_or.at(slots, i, np.uint64(1 << k))
-    fill = np.array([((slots >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(languages))])
+        plane = slots if words == 1 else slots[:, k // WORD]
+        for i in _places(held[lang], size):
+            np.bitwise_or.at(plane, i, np.uint64(1 << k % WORD))
+    fill = np.array([_bit(slots, k).mean() for k in range(len(languages))])
     return Filter(languages, slots, fill**HASHES)
 
 
@@ -130,7 +137,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, min_share: float = MIN_SHARE, m
     about ``sample`` texts a language, chosen by their values alone.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not per_lang:
         return build_filter({})
     share = F.create_map(*[x for lang, n in per_lang.items() for x in (F.lit(lang), F.lit(min(1.0, sample / n)))])
@@ -152,7 +159,7 @@ def judge(text: str | None, f: Filter) -> tuple[str, float]:
     for g in text_grams(text or ""):
         m = f.masks(g)
         n += len(g)
-        counts += [np.count_nonzero(m & np.uint64(1 << k)) for k in range(len(f.languages))]
+        counts += [np.count_nonzero(_bit(m, k)) for k in range(len(f.languages))]
     if n == 0 or not f.languages:
         return UNKNOWN, 0.0
     real = np.clip((counts - n * f.false_positive) / np.maximum(1e-9, 1 - f.false_positive), 0, None)

@@ -32,6 +32,15 @@ def test_filter_has_no_false_negatives_and_masks_name_all_languages():
         assert abs(rate - f.false_positive[k]) < 0.01
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    names = [f"l{k:03}" for k in range(130)]
+    rows = [(k, " ".join(chr(0x4E00 + 40 * k + j) * 3 for j in range(30)), lang) for k, lang in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    f = language_id.learn(docs)
+    assert f.languages == names
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(docs, f).collect()} == dict(enumerate(names))
+
+
 def test_grams_of_parts_are_those_of_the_whole(monkeypatch):
     text = prose(3, 300) + " Ünï 12"
     whole = np.concatenate(list(language_id.text_grams(text)))
