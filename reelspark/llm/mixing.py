@@ -7,15 +7,17 @@ source's threshold.  Thresholds come from histograms: words are summed by
 (source, leading hash bits), the bucket in which the running sum passes the
 rest of the budget is the only one looked at again with more bits, and so on
 down to one hash value.  No document is sorted and no group is gathered: each
-histogram is a partial aggregate of at most 1,024 buckets a source, and the
-refinements read the boundary bucket only.
+histogram is a partial aggregate of at most 2 ** 14 buckets a source (1,024 at
+first), and the refinements read the boundary bucket only.  No document is given
+more than ``max_epochs`` times, wordless ones included.
 
 Thresholds of a larger budget keep everything a smaller one takes (nested).
 
 Edge cases: null text counts 0 words and is given like its source's other
 documents; a null source is a source of its own, last in order; rows with equal
 id and text share a hash and are taken alike; sources without words have the
-target 0; an empty table gives no rows.
+target 0; an empty table gives no rows; texts of any length are counted whole;
+further columns may have any name and are carried as they are.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from reelspark.llm.common import WORD_PATTERN, staged, table
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Hash bits read by each histogram, from the top; 52 in all.
-LEVELS = (10, 21, 21)
+LEVELS = (10, 14, 14, 14)
 SEED = "mix"
 #: Largest number of sources whose table is shipped to every executor.
 BROADCAST_SOURCES = 10_000
@@ -101,10 +103,11 @@ def thresholds(rows: DataFrame, targets: DataFrame, levels: Sequence[int] = LEVE
     return out.withColumn("edge", F.coalesce("edge", F.lit(1 << total))).withColumn("edge_in", F.coalesce("edge_in", F.lit(False)))
 
 
-def copies(hash_: Column) -> Column:
-    """How often a document is given, beside its source's columns."""
+def copies(hash_: Column, max_epochs: int = MAX_EPOCHS) -> Column:
+    """How often a document is given, beside its source's columns: at most ``max_epochs``
+    times, also where it has no words and lies under the edge of a source at its cap."""
     more = (hash_ < F.col("edge")) | ((hash_ == F.col("edge")) & F.col("edge_in"))
-    return (F.col("times") + F.when(more, 1).otherwise(0)).cast("bigint")
+    return F.least(F.col("times") + F.when(more, 1).otherwise(0), F.lit(max_epochs)).cast("bigint")
 
 
 def plan_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, DataFrame]:
@@ -124,7 +127,7 @@ def _with_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
 def mixture(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, times, taken."""
     rows, per_source = plan_mix(docs, weights, max_epochs)
-    out = _with_source(rows, per_source).withColumn("times", copies(F.col("hash")))
+    out = _with_source(rows, per_source).withColumn("times", copies(F.col("hash"), max_epochs))
     return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
 
 
@@ -134,7 +137,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epoch
     per_source = per_source.select("source", "times", "edge", "edge_in")
     names = {c: f"_mix_{c}" for c in ("times", "edge", "edge_in")}
     kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs["source"].alias("source"), mix_hash(docs["doc_id"], docs["text"]).alias("_hash"))
-    n = copies(F.col("_hash"))
+    n = copies(F.col("_hash"), max_epochs)
     out = _with_source(kept, per_source).select("_doc", n.alias(names["times"])).filter(F.col(names["times"]) > 0)
     return out.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(names["times"])))).select("_doc.*")
 

@@ -25,7 +25,9 @@ are never paired.
 
 Edge cases: texts without a word (null, empty, blank) are alone; texts of fewer
 than ``SHINGLE`` words are one run; a class is named by its smallest doc_id, a
-null id counting as larger than any; repeated rows belong to the same class.
+null id counting as larger than any; repeated rows belong to the same class; an
+empty table gives none; texts of any length are shingled whole; further columns
+may have any name and are not read.
 """
 
 from __future__ import annotations
@@ -307,19 +309,21 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, shingle: int =
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """One document of each class (that of its smallest id, then node), with the columns it came with."""
+    """One document of each class (that of its smallest id, then node), with the columns it came with.
+
+    A row travels as one struct, so columns may have any name.  Texts without a
+    word are nobody's copies and all stay.
+    """
     judged = staged(near_classes(docs.select("doc_id", "text"), threshold), "near-classes")
-    alone = judged.filter(F.col("node").isNull())
     named = judged.filter(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
     # repeated ids can give several texts, repeated rows several times the same: one goes on
-    chosen = named.groupBy("root", "class_id").agg(F.min("node").alias("_keep"), F.count("*").alias("_rows"))
-    marked = docs.withColumn("_node", text_node(F.col("text"))).withColumn("_id", F.col("doc_id").cast("bigint"))
-    chosen = chosen.select("_keep", "_rows", F.col("class_id").alias("_class"))
-    kept = marked.join(chosen, (F.col("_node") == F.col("_keep")) & F.col("_id").eqNullSafe(F.col("_class")))
-    once = kept.filter("_rows = 1").select(*docs.columns)
-    several = kept.filter("_rows > 1").dropDuplicates(["_node", "_id"]).select(*docs.columns)
-    del alone  # texts without a word are nobody's copies and all stay
-    return once.unionByName(several).unionByName(marked.filter(F.col("_node").isNull()).select(*docs.columns))
+    chosen = named.groupBy("root", "class_id").agg(F.min("node").alias("keep"), F.count("*").alias("rows"))
+    chosen = chosen.select("keep", "rows", F.col("class_id").alias("class"))
+    carried = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), text_node(docs["text"]).alias("node"), docs["doc_id"].cast("bigint").alias("id"))
+    kept = carried.join(chosen, (F.col("node") == F.col("keep")) & F.col("id").eqNullSafe(F.col("class")))
+    once = kept.filter("rows = 1").select("doc.*")
+    several = kept.filter("rows > 1").dropDuplicates(["node", "id"]).select("doc.*")
+    return once.unionByName(several).unionByName(carried.filter(F.col("node").isNull()).select("doc.*"))
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -138,12 +138,21 @@ def test_keep_one_keeps_one_of_each_class_and_the_columns(spark):
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns
     classes = near_dedup.near_classes(docs)
-    with_words = classes.filter(F.col("node").isNotNull()).select("class_id").distinct().count()
+    with_words = classes.filter(F.col("node").isNotNull()).select("root").distinct().count()
     blank = classes.filter(F.col("node").isNull()).count()
     assert kept.count() == with_words + blank
     assert near_dedup.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_leaves_clashing_columns_alone(spark):
+    names = ("_node", "_id", "_keep", "_rows", "_class", "node", "id", "keep", "rows", "class", "root", "class_id", "doc")
+    docs = documents(spark).select("*", *[F.lit(f"x{c}").alias(c) for c in names])
+    kept = near_dedup.keep_one(docs).collect()
+    assert kept and all(r[c] == f"x{c}" for r in kept for c in names)
+    plain = near_dedup.keep_one(documents(spark)).select("doc_id", "text", "lang", "source", "n_chars").collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, ((r.doc_id, r.text) for r in plain)))
+
+
 def test_keep_one_keeps_classes_that_share_a_class_id(spark):
     rows = _near_rows()
     alone = [prose(5000 + i, 60) for i in range(6)]
