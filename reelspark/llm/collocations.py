@@ -32,6 +32,7 @@ rows and an empty table gives none; further columns may have any name.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,28 +42,29 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import slices, staged, table
+from reelspark.llm.common import mix64, slices, staged, table
 
 LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
 CONTAINED = 100
 #: Words of a language in its first frontier, for each phrase asked for.
-FIRST_WORDS = 8
+FIRST_WORDS = 16
 #: Bits of the bitmaps that reach every task: 8 MB of words, 16 MB of pairs.
 WORD_BITS, PAIR_BITS = 26, 27
-#: Bytes of text counted at once, words a task remembers.
-SLICE, MEMORY_WORDS = 16 << 20, 400_000
+#: Bytes of text counted at once.
+SLICE = 16 << 20
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _PIECES = b".,;:!?\x0a\x0b\x0c\x0d"
 _TABLE = bytes.maketrans(_LOWER[0] + _PIECES + b"\t", _LOWER[1] + b"\n" * len(_PIECES) + b" ")
 
 
-def words_of(texts: list[str]) -> list[bytes]:
-    """The words of the texts in order; a line feed stands between pieces."""
+def words_of(texts: list[str]) -> pa.Array:
+    """The words of the texts in order; a line feed stands between pieces.  Empty words are skipped by the callers."""
     raw = "\n".join(texts).encode("utf-8", "surrogatepass").translate(_TABLE)
-    return raw.replace(b"\n", b" \n ").split(b" ")  # empty words are skipped by the callers
+    return pc.split_pattern(pa.array([raw.replace(b"\n", b" \n ")], pa.large_binary()), b" ").flatten()
 
 
 def _texts_by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
@@ -75,116 +77,134 @@ def _texts_by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, lis
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, texts in _texts_by_lang(batches):
-        counted = pa.array(words_of(texts), pa.binary()).value_counts()
+        counted = words_of(texts).value_counts()
         word, n = counted.field("values"), counted.field("counts")
         keep = pc.and_(pc.not_equal(word, b""), pc.not_equal(word, b"\n"))
         word, n = word.filter(keep).cast(pa.string()), n.filter(keep)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(word), pa.string()), word, n], names=["lang", "phrase", "n"])
 
 
-def hash_of(lang: bytes, phrase: bytes) -> int:
-    """Spark's xxhash64(lang, phrase), as an unsigned number."""
-    return xxhash.xxh64_intdigest(phrase, xxhash.xxh64_intdigest(lang, 42))
+def _has(bits: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
+    """Whether the bits that the leading ``size`` bits of the hashes name are set."""
+    at = h >> np.uint64(64 - size)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
-    """(lang, phrase) -> a bitmap of 2 ** bits of their hashes, as bytes; only non-zero
-    words of it are sent, 2 ** (bits - 6) at most."""
-    h = F.shiftrightunsigned(F.xxhash64("lang", "phrase"), 64 - bits)
-    cells = phrases.select(F.shiftright(h, 6).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int")).alias("bit"))
+def _bitmap(hashes: Column, rows: DataFrame, size: int) -> np.ndarray:
+    """A bitmap of 2 ** size bits as bytes; its non-zero 64-bit words are sent, 2 ** (size - 6) at most."""
+    h = F.shiftrightunsigned(hashes, 64 - size)
+    cells = rows.select(F.shiftright(h, 6).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int")).alias("bit"))
     got = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.int64)
+    out = np.zeros(1 << (size - 6), np.int64)
     out[got["cell"].to_numpy()] = got["bits"].to_numpy()
     return out.astype("<i8").view(np.uint8)
 
 
-def _has(bits: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
-    at = h >> np.uint64(64 - size)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
+def word_bitmap(words: DataFrame) -> np.ndarray:
+    return _bitmap(F.xxhash64("lang", "phrase"), words, WORD_BITS)
 
-class _Words(dict):
-    """Word -> number; 0 stands between pieces, 1 for words that are not frequent, -1 for empty words."""
 
-    def __init__(self, lang: str, shared):
-        super().__init__()
-        self.lang, self.shared = lang.encode(), shared
-        self.clear()
+def pair_hash(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    return mix64(a * _ODD + z)
 
-    def clear(self) -> None:
-        super().clear()
-        self.update({b"\n": 0, b"": -1})
-        self.text, self.hash = [b"\n", b"\x00"], [0, 0]
 
-    def __missing__(self, word: bytes) -> int:
-        h = hash_of(self.lang, word)
-        at = h >> (64 - WORD_BITS)
-        n = 1
-        if self.shared["frequent"][at >> 3] >> (at & 7) & 1:
-            n = len(self.text)
-            self.text.append(word)
-            self.hash.append(h)
-        self[word] = n
-        return n
+def pair_bitmap(pairs: DataFrame) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, z = (b.column(c).to_numpy().view(np.uint64) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(pair_hash(a, z).view(np.int64))], names=["h"])
+
+    ends = [F.xxhash64("lang", F.element_at(F.split("phrase", " "), at)) for at in (1, 2)]
+    return _bitmap(F.col("h"), pairs.select(*ends).mapInArrow(run, "h long"), PAIR_BITS)
+
+
+def _numbered(lang: str, texts: list[str], frequent: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The texts as numbers of words (0 between pieces, 1 for words that are not
+    frequent), the words by number and their hashes, which are Spark's xxhash64(lang, word)."""
+    coded = words_of(texts).dictionary_encode()
+    known = coded.dictionary
+    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+    h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in known.to_pylist()), np.uint64, len(known))
+    keep = _has(frequent, h, WORD_BITS)
+    number = np.ones(len(known), np.int64)
+    number[pc.equal(known, b"\n").to_numpy(zero_copy_only=False)] = 0
+    empty = pc.equal(known, b"").to_numpy(zero_copy_only=False)
+    number[empty] = -1
+    keep &= number == 1
+    number[keep] = np.arange(2, 2 + keep.sum())
+    ids = number[coded.indices.to_numpy()]
+    text = pa.concat_arrays([pa.array([b"\n", b"\x00"], pa.large_binary()), known.filter(pa.array(keep)).cast(pa.large_binary())])
+    return ids[ids >= 0], text, np.concatenate([np.zeros(2, np.uint64), h[keep]])
 
 
 def _count_phrases(shared, lengths: tuple[int, ...]):
     """Phrases of the wanted lengths that begin or end in the frontier and did not in the last one.
 
-    Numbers of words are packed two by two into numbers of phrases, so phrases are told
-    apart exactly, not by hashes.
+    Phrases are told apart by the numbers of their words, exactly, not by hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        known: dict[str, _Words] = {}
         for lang, texts in _texts_by_lang(batches):
-            words = known.setdefault(lang, _Words(lang, s))
-            if len(words) > MEMORY_WORDS:
-                words.clear()
-            found = words_of(texts)
-            ids = np.fromiter(map(words.__getitem__, found), dtype=np.int64, count=len(found))
-            del found
-            ids = ids[ids >= 0]
-            h = np.array(words.hash, np.uint64)
+            ids, text, h = _numbered(lang, texts, s["frequent"])
             real = np.arange(len(h)) > 1
             inside, before = (_has(s[x], h, WORD_BITS) & real for x in ("frontier", "counted"))
-            text = pa.array(words.text, pa.binary())
-            for start, count, m in _phrases(ids, real, inside, before, lang.encode(), words.text, s, lengths):
-                parts = [text.take(pa.array(start[:, j])) for j in range(m)]
-                phrase = pc.binary_join_element_wise(*parts, b" ").cast(pa.string())
+            for words, count in _phrases(ids, h, inside, before, s["pairs"], lengths):
+                phrase = pc.binary_join_element_wise(*[text.take(pa.array(w)) for w in words], pa.scalar(b" ", pa.large_binary())).cast(pa.large_string()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrase), pa.string()), phrase, pa.array(count)], names=["lang", "phrase", "n"])
 
     return run
 
 
-def _phrases(ids, real, inside, before, lang, text, s, lengths):
-    """(words of each distinct phrase, its count, its length) of every wanted length."""
-    ok = real[ids]
-    pair = ok[:-1] & ok[1:]
-    if s["pairs"] is not None and pair.any():
-        # a pair with a word of the frontier has been counted: it goes on only if it is frequent
+def _distinct(columns: list[np.ndarray], sizes: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of columns of whole numbers (each below its size) and their counts."""
+    if math.prod(sizes) >= 1 << 62:  # would pass 64 bits when packed
+        rows, count = np.unique(np.column_stack(columns), axis=0, return_counts=True)
+        return list(rows.T), count
+    key = columns[0]
+    for column, size in zip(columns[1:], sizes[1:], strict=True):
+        key = key * size + column
+    key, count = np.unique(key, return_counts=True)
+    out: list[np.ndarray] = []
+    for size in reversed(sizes[1:]):
+        out.append(key % size)
+        key = key // size
+    return [key, *reversed(out)], count
+
+
+def _phrases(ids: np.ndarray, h: np.ndarray, inside: np.ndarray, before: np.ndarray, pairs: np.ndarray | None, lengths: tuple[int, ...]):
+    """(words of each distinct phrase, its count) of every wanted length.
+
+    With ``pairs``, a phrase goes on only through pairs that may be frequent: a pair
+    with a word of the frontier has been counted, others are taken as they are.
+    """
+    pair = (ids[:-1] > 1) & (ids[1:] > 1)
+    if pairs is not None:
         at = np.flatnonzero(pair & (inside[ids[:-1]] | inside[ids[1:]]))
-        code, inverse = np.unique(ids[at] * len(real) + ids[at + 1], return_inverse=True)
-        h = np.fromiter((hash_of(lang, text[c // len(real)] + b" " + text[c % len(real)]) for c in code.tolist()), np.uint64, len(code))
-        pair[at] = _has(s["pairs"], h, PAIR_BITS)[inverse]
-    alive, gram, size = ok, ids, len(real)
-    first = ids
+        pair[at] = _has(pairs, pair_hash(h[ids[at]], h[ids[at + 1]]), PAIR_BITS)
+    v, number = len(h), np.zeros(0, np.int64)
+    if max(lengths) > 2:  # longer phrases are made of numbered pairs, and a last word if they are odd
+        at = np.flatnonzero(pair)
+        code, inverse = np.unique(ids[at] * v + ids[at + 1], return_inverse=True)
+        number = np.zeros(len(pair), np.int64)  # of the pair that starts here, where it is alive
+        number[at] = inverse
+    alive = pair
     for m in range(2, max(lengths) + 1):
-        alive = alive[:-1] & pair[m - 2 :]
-        first, last = first[:-1], ids[m - 1 :]
-        at = np.flatnonzero(alive)
-        code, place, inverse, count = np.unique(gram[at] * len(real) + last[at], return_index=True, return_inverse=True, return_counts=True)
-        gram = np.zeros(len(alive), np.int64)  # numbers of phrases; those of the dead are never read
-        gram[at] = inverse
-        size = len(code)
-        if m in lengths and size:
-            begin = at[place]
-            a, z = first[begin], last[begin]
-            new = (inside[a] | inside[z]) & ~(before[a] | before[z])
-            if new.any():
-                begin = begin[new]
-                yield np.column_stack([ids[begin + j] for j in range(m)]), count[new], m
+        if m > 2:
+            alive = alive[:-1] & pair[m - 2 :]
+        if m not in lengths:
+            continue
+        a, z = ids[: len(alive)], ids[m - 1 :]
+        at = np.flatnonzero(alive & (inside[a] | inside[z]) & ~(before[a] | before[z]))
+        if not len(at):
+            continue
+        if m == 2:
+            yield _distinct([ids[at], ids[at + 1]], [v, v])
+            continue
+        columns, sizes = [number[at + j] for j in range(0, m - 1, 2)], [len(code)] * (m // 2)
+        found, count = _distinct([*columns, ids[at + m - 1]], [*sizes, v]) if m % 2 else _distinct(columns, sizes)
+        words = [w for c in found[: m // 2] for w in (code[c] // v, code[c] % v)]
+        yield [*words, *found[m // 2 :]], count
 
 
 def _frequent(rows: DataFrame, min_count: int) -> DataFrame:
@@ -239,10 +259,10 @@ def collocations(docs: DataFrame, top: int = TOP, min_count: int = MIN_COUNT, lo
         return staged(of.agg(theta.alias("theta"), F.max("f").alias("largest")), "phrase-frontier")
 
     state = frontier(totals.withColumn("want", F.lit(first_words * top).cast("bigint")))
-    shared = {"frequent": bitmap(words, WORD_BITS), "counted": np.zeros(1 << (WORD_BITS - 3), np.uint8), "pairs": None}
+    shared = {"frequent": word_bitmap(words), "counted": np.zeros(1 << (WORD_BITS - 3), np.uint8), "pairs": None}
     phrases, pairs = None, None
     while True:
-        shared["frontier"] = bitmap(words.join(state, "lang").filter("f <= theta"), WORD_BITS)
+        shared["frontier"] = word_bitmap(words.join(state, "lang").filter("f <= theta"))
 
         def counted(lengths):
             sent = spark.sparkContext.broadcast(dict(shared))  # of fixed size
@@ -252,7 +272,7 @@ def collocations(docs: DataFrame, top: int = TOP, min_count: int = MIN_COUNT, lo
         new = counted((2,))
         pairs = new if pairs is None else pairs.unionByName(new)
         if longest > 2:
-            shared["pairs"] = bitmap(pairs, PAIR_BITS)
+            shared["pairs"] = pair_bitmap(pairs)
             new = new.unionByName(counted(tuple(range(3, longest + 1))))
         phrases = new if phrases is None else phrases.unionByName(new)
         found = staged(survivors(phrases, words, state.select("lang", "n", "theta"), contained), "phrase-survivors")
