@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import mix64, slices, staged, table
+from reelspark.llm.common import bitmap, has_bits, mix64, slices, staged, table
 
 LONGEST = 5
 MIN_COUNT = 100
@@ -84,24 +84,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(word), pa.string()), word, n], names=["lang", "phrase", "n"])
 
 
-def _has(bits: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
-    """Whether the bits that the leading ``size`` bits of the hashes name are set."""
-    at = h >> np.uint64(64 - size)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def _bitmap(hashes: Column, rows: DataFrame, size: int) -> np.ndarray:
-    """A bitmap of 2 ** size bits as bytes; its non-zero 64-bit words are sent, 2 ** (size - 6) at most."""
-    h = F.shiftrightunsigned(hashes, 64 - size)
-    cells = rows.select(F.shiftright(h, 6).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int")).alias("bit"))
-    got = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (size - 6), np.int64)
-    out[got["cell"].to_numpy()] = got["bits"].to_numpy()
-    return out.astype("<i8").view(np.uint8)
-
-
 def word_bitmap(words: DataFrame) -> np.ndarray:
-    return _bitmap(F.xxhash64("lang", "phrase"), words, WORD_BITS)
+    return bitmap(words, F.xxhash64("lang", "phrase"), WORD_BITS)
 
 
 def pair_hash(a: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -115,7 +99,7 @@ def pair_bitmap(pairs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(pair_hash(a, z).view(np.int64))], names=["h"])
 
     ends = [F.xxhash64("lang", F.element_at(F.split("phrase", " "), at)) for at in (1, 2)]
-    return _bitmap(F.col("h"), pairs.select(*ends).mapInArrow(run, "h long"), PAIR_BITS)
+    return bitmap(pairs.select(*ends).mapInArrow(run, "h long"), F.col("h"), PAIR_BITS)
 
 
 def _numbered(lang: str, texts: list[str], frequent: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -125,7 +109,7 @@ def _numbered(lang: str, texts: list[str], frequent: np.ndarray) -> tuple[np.nda
     known = coded.dictionary
     seed = xxhash.xxh64_intdigest(lang.encode(), 42)
     h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in known.to_pylist()), np.uint64, len(known))
-    keep = _has(frequent, h, WORD_BITS)
+    keep = has_bits(frequent, h, WORD_BITS)
     number = np.ones(len(known), np.int64)
     number[pc.equal(known, b"\n").to_numpy(zero_copy_only=False)] = 0
     empty = pc.equal(known, b"").to_numpy(zero_copy_only=False)
@@ -148,7 +132,7 @@ def _count_phrases(shared, lengths: tuple[int, ...]):
         for lang, texts in _texts_by_lang(batches):
             ids, text, h = _numbered(lang, texts, s["frequent"])
             real = np.arange(len(h)) > 1
-            inside, before = (_has(s[x], h, WORD_BITS) & real for x in ("frontier", "counted"))
+            inside, before = (has_bits(s[x], h, WORD_BITS) & real for x in ("frontier", "counted"))
             for words, count in _phrases(ids, h, inside, before, s["pairs"], lengths):
                 phrase = pc.binary_join_element_wise(*[text.take(pa.array(w)) for w in words], pa.scalar(b" ", pa.large_binary())).cast(pa.large_string()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrase), pa.string()), phrase, pa.array(count)], names=["lang", "phrase", "n"])
@@ -181,7 +165,7 @@ def _phrases(ids: np.ndarray, h: np.ndarray, inside: np.ndarray, before: np.ndar
     pair = (ids[:-1] > 1) & (ids[1:] > 1)
     if pairs is not None:
         at = np.flatnonzero(pair & (inside[ids[:-1]] | inside[ids[1:]]))
-        pair[at] = _has(pairs, pair_hash(h[ids[at]], h[ids[at + 1]]), PAIR_BITS)
+        pair[at] = has_bits(pairs, pair_hash(h[ids[at]], h[ids[at + 1]]), PAIR_BITS)
     v, number = len(h), np.zeros(0, np.int64)
     if max(lengths) > 2:  # longer phrases are made of numbered pairs, and a last word if they are odd
         at = np.flatnonzero(pair)

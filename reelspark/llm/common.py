@@ -69,3 +69,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * _M2
     return x ^ (x >> np.uint64(31))
+
+
+def bitmap(rows: DataFrame, hashes: Column, size: int) -> np.ndarray:
+    """A bitmap of 2 ** size bits (as bytes), one set for each leading ``size`` bits that
+    the hashes have.  Its non-zero 64-bit words are sent, 2 ** (size - 6) at most."""
+    h = F.shiftrightunsigned(hashes, 64 - size)
+    cells = rows.select(F.shiftright(h, 6).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int")).alias("bit"))
+    got = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (size - 6), np.int64)
+    out[got["cell"].to_numpy()] = got["bits"].to_numpy()
+    return out.astype("<i8").view(np.uint8)
+
+
+def has_bits(bits: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
+    """Whether the bits that the leading ``size`` bits of the hashes name are set."""
+    at = h >> np.uint64(64 - size)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
