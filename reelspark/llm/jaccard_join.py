@@ -11,15 +11,16 @@ pivots say nothing; the join works from near pivots inward, and is exact:
   can miss floor(size * e) of its shingles, so a set is replicated to the regions
   of its first floor(size * e) + 1 shingles: linked sets meet in one of them.
 * Inner pivots are documents: in every region its hub (the member of most company)
-  and its smallest node.  The distances of all members to both are computed
-  exactly; members within e are linked.
-* A region that then still holds several components is joined again, in rings of
-  width e around its hub: by the triangle inequality linked sets lie in the same or
-  in neighbouring rings, so members outside the main component are replicated to
-  these.  Rings are cut into blocks; in a pair of blocks pairs of one component are
-  left out, and pairs that the distances to both pivots, the sizes or the
-  distance of the sets' histograms (never larger than that of the sets) rule out.
-  What remains is checked on the whole texts.
+  and its smallest node.  The distances to both of all members whose sizes do not
+  rule out a link are computed exactly; members within e are linked.
+* A region that then still holds several components is joined again, in rings
+  around the empty set: sizes of linked sets differ by the factor 1 - e at most, so
+  they lie in the same or in neighbouring rings, and members outside the main
+  component are replicated to these.  Rings are cut into blocks; in a pair of
+  blocks pairs of one component are left out, and pairs that the triangle
+  inequality over either document pivot, the sizes or the distance of the sets'
+  histograms (never larger than that of the sets) rule out.  What remains is
+  checked on the whole sets.
 
 Components of the links are all that is asked for, so members of one component are
 not compared with each other; no link between two components is lost.
@@ -41,7 +42,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,28 +52,56 @@ from reelspark.llm.components import merged
 SHINGLE = 3
 #: Least similarity of a link, in percent.
 PERCENT = 90
-#: Documents of a shingle from which it is hot, and very hot; bits of their bitmaps (4 MB each).
-HOT, BITS = (32, 512), 25
+#: Documents of a shingle from which it moves to a later class of the order; bits of a class's bitmap (8 MB each).
+HOT, BITS = (2, 8, 64, 1024), 26
 #: Share by which more shingles are counted than a set is replicated to.
-WIDER = 1.5
+WIDER = 1.25
 #: Members of a block, histogram cells of a set.
-BLOCK, CELLS = 256, 64
+BLOCK, CELLS = 256, 32
 #: Bytes of text shingled at once, nodes a task remembers.
-SLICE, MEMORY_NODES = 8 << 20, 200_000
+SLICE, PIECE, MEMORY_NODES = 8 << 20, 2 << 20, 200_000
 
-_A = np.uint64(0x9E3779B97F4A7C15)
+_A, _R = np.uint64(0x9E3779B97F4A7C15), 0xD1342543DE82EF95
+_KNOWN = [np.zeros(0, np.uint64)] * 2
 _LOWER = bytes.maketrans(bytes(range(65, 91)) + bytes(range(9, 14)), bytes(range(97, 123)) + b" " * 5)
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """R ** i and R ** -i for i below n (at least), modulo 2 ** 64; kept between calls."""
+    if len(_KNOWN[0]) < n:
+        for i, base in enumerate((_R, pow(_R, -1, 1 << 64))):
+            steps = np.full(max(n, 1 << 20), np.uint64(base))
+            steps[0] = 1
+            _KNOWN[i] = np.cumprod(steps)
+    return _KNOWN[0], _KNOWN[1]
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of every word of lower-cased text whose blanks are spaces.
+
+    A word's bytes are digits of a number modulo 2 ** 64, so running sums give the
+    hashes of all words at once; about ``PIECE`` bytes are held as numbers.
+    """
+    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    at = 0
+    while at < len(raw):
+        end = len(raw) if at + PIECE >= len(raw) else raw.find(b" ", at + PIECE) % (len(raw) + 1)
+        b = np.frombuffer(raw, np.uint8, end - at, at)
+        edge = np.diff(np.concatenate([[True], b == 32, [True]]).astype(np.int8))
+        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        up, down = _powers(len(b))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b + np.uint64(1)) * up[: len(b)])])
+        hashes.append(mix64((sums[last] - sums[first]) * down[first]))
+        places.append(first + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(places)
+
+
 def shingle_sets(texts: list[str | None], n: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the runs of n words of each text."""
-    raw = pa.array([(t or "").encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts], pa.large_binary())
-    split = pc.split_pattern(raw, b" ")
-    coded = split.flatten().dictionary_encode()
-    known = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    full = pc.not_equal(coded.dictionary, b"").to_numpy(zero_copy_only=False)[coded.indices.to_numpy()]
-    ends = np.concatenate([[0], np.cumsum(full)])[split.offsets.to_numpy()]
-    word = known[coded.indices.to_numpy()[full]]
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    word, place = word_hashes(b" ".join(parts).translate(_LOWER))
+    ends = np.searchsorted(place, np.cumsum([0, *[len(x) + 1 for x in parts]]))
     runs = np.full(max(0, len(word) - n + 1), np.uint64(n))
     for i in range(n):
         runs = mix64(runs * _A + word[i : len(runs) + i])
@@ -151,6 +179,27 @@ def hot_shingles(docs: DataFrame, percent: int, shingle: int) -> list[np.ndarray
     return [bitmap(counts.filter(F.col("n") >= n), low, BITS) for n in HOT]
 
 
+def first_shingles(sets: list[np.ndarray], hot: list[np.ndarray], percent: int) -> list[np.ndarray]:
+    """The first shingles of each set, by class (how many of the bitmaps hold it), then hash."""
+
+    def held(s: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        return has_bits(bits, s << np.uint64(64 - BITS), BITS)
+
+    wanted = [ranges(len(s), percent) for s in sets]
+    # mostly the first class fills the places: then later shingles and the other bitmaps are not asked
+    early = [s[: 2 * k] for s, k in zip(sets, wanted, strict=True)]
+    ends = np.cumsum([0, *map(len, early)])
+    rare = ~held(np.concatenate(early), hot[0])
+    out = []
+    for i, (s, k) in enumerate(zip(sets, wanted, strict=True)):
+        first = early[i][rare[ends[i] : ends[i + 1]]][:k]
+        if len(first) < k:
+            heat = sum(held(s, bits).astype(np.int8) for bits in hot)
+            first = s[np.argsort(heat, kind="stable")[:k]]
+        out.append(first)
+    return out
+
+
 def memberships(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     """(text) -> key, node, size: a row for each region a set is replicated to."""
     shared = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, percent, shingle))  # of fixed size
@@ -160,8 +209,7 @@ def memberships(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
         for nodes, sets in _sets_once(batches, 0, shingle):
             if not nodes:
                 continue
-            heat = [sum(has_bits(bits, s << np.uint64(64 - BITS), BITS).astype(np.int8) for bits in hot) for s in sets]
-            first = [s[np.argsort(h, kind="stable")[: ranges(len(s), percent)]] for s, h in zip(sets, heat, strict=True)]
+            first = first_shingles(sets, hot, percent)
             n = [len(f) for f in first]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(first).view(np.int64)), pa.array(np.repeat(np.array(nodes, object), n), pa.binary()), pa.array(np.repeat([len(s) for s in sets], n), pa.int64())],
@@ -203,7 +251,7 @@ def _sets(texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, sets in _sets_once(batches, 0, shingle):
-            cells = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS).astype("<i4").tobytes() for s in sets]
+            cells = [np.minimum(np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 65535).astype("<u2").tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(cells, pa.binary())], names=["node", "size", "members", "cells"])
 
     made = texts.mapInArrow(run, "node binary, size long, members binary, cells binary")
@@ -236,16 +284,27 @@ def _ordered(x: str, y: str) -> tuple[Column, Column]:
     return F.greatest(x, y).alias("a"), F.least(x, y).alias("b")
 
 
-def ring_pairs(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def _near_sizes(x: str, y: str, percent: int) -> Column:
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def _unpacked(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
+    """Columns of a packed block: nodes, roots (two numbers each), histograms, sizes and distances."""
+    node, root, cells = (rows.field(c).to_pylist() for c in ("node", "root", "cells"))
+    of = lambda x, t: np.frombuffer(b"".join(x), t).reshape(len(x), -1)
+    numbers = [rows.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("size", "to_hub", "to_low")]  # null: nan
+    return np.array(node, object), of(root, np.uint64), of(cells, "<u2").astype(np.int64), *numbers
+
+
+def ring_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
     """(key, node, root, main, size, cells, to_hub, to_low) -> pairs (a, b) of different
-    components that nothing rules out; distances are exact doubles.
+    components that nothing rules out; distances are exact, or null if not measured.
 
-    A member is in the ring floor(to_hub / radius); members outside the region's main
-    component ask that ring and both beside it.
+    A ring takes sizes up to the factor 1 - e apart; members outside the region's main
+    component ask their ring and both beside it.
     """
-    radius = (100 - percent) / 100
-    near = radius + 1e-9
-    seat = members.withColumn("ring", F.floor(F.col("to_hub") / F.lit(near)).cast("int"))
+    near = (100 - percent) / 100 + 1e-9
+    seat = members.withColumn("ring", F.floor(F.log(F.col("size")) / F.lit(np.log(100 / percent) + 1e-9)).cast("int"))
     sizes = seat.groupBy("key", "ring").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     seat = seat.join(sizes, ["key", "ring"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     packed = F.collect_list(F.struct("node", "root", "size", "cells", "to_hub", "to_low"))  # about ``block`` rows
@@ -255,24 +314,20 @@ def ring_pairs(members: DataFrame, percent: int, block: int = BLOCK) -> DataFram
     asks = asks.join(sizes, ["key", "ring"]).select("key", "ring", "asked", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     both = asks.join(met, ["key", "ring", "block"]).select("ours", "asked")
 
-    def columns(rows: list[dict]) -> tuple:
-        cells = np.frombuffer(b"".join(r["cells"] for r in rows), "<i4").reshape(len(rows), -1).astype(np.int64)
-        nodes, roots = (np.array([r[c] for r in rows], object) for c in ("node", "root"))
-        return nodes, roots, cells, *(np.array([r[c] for r in rows], float) for c in ("size", "to_hub", "to_low"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, right = [], []
-            for ours, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                node, root, cells, size, hub, low = columns(ours)
-                for q_node, q_root, q_cells, q_size, q_hub, q_low in zip(*columns(asked), strict=True):
-                    could = (root != q_root) & (np.abs(hub - q_hub) <= near) & (np.abs(low - q_low) <= near)
-                    at = np.flatnonzero(could & (100 * np.minimum(size, q_size) >= percent * np.maximum(size, q_size)))
-                    apart = np.abs(cells[at] - q_cells).sum(axis=1)  # at most what the sets differ in
-                    at = at[(100 - percent) * (size[at] + q_size) >= (100 + percent) * apart]
-                    left += [max(n, q_node) for n in node[at]]
-                    right += [min(n, q_node) for n in node[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+            for i in range(b.num_rows):
+                node, root, cells, *at = _unpacked(b.column(0)[i].values)
+                q_node, q_root, q_cells, *q_at = _unpacked(b.column(1)[i].values)
+                (size, hub, low), (q_size, q_hub, q_low) = ([x[None, :] for x in at], [x[:, None] for x in q_at])
+                could = (root[None] != q_root[:, None]).any(axis=2)
+                could &= 100 * np.minimum(size, q_size) >= percent * np.maximum(size, q_size)
+                could &= ~(np.abs(hub - q_hub) > near) & ~(np.abs(low - q_low) > near)  # nan: not measured
+                asked, ours = np.nonzero(could)
+                apart = np.abs(cells[ours] - q_cells[asked]).sum(axis=1)  # at most what the sets differ in
+                still = (100 - percent) * (size[0, ours] + q_size[asked, 0]) >= (100 + percent) * apart
+                x, y = node[ours[still]], q_node[asked[still]]
+                yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in zip(x, y, strict=True)], pa.binary()), pa.array([min(p) for p in zip(x, y, strict=True)], pa.binary())], names=["a", "b"])
 
     return both.mapInArrow(run, "a binary, b binary").distinct()
 
@@ -283,21 +338,23 @@ def linked_components(docs: DataFrame, ids: DataFrame, percent: int = PERCENT, s
     members = regions(memberships(docs, percent, shingle))
     wanted = members.select("node").distinct()
     sets = staged(_sets(_texts(docs, ids, wanted), wanted, shingle), "join-sets")
-    led = members.select("key", "node", F.explode(F.array("hub", "low")).alias("pivot"))
-    pairs = led.filter("node <> pivot").select(*_ordered("node", "pivot")).distinct()
-    seen = staged(measured(pairs, sets), "join-measured")
+    size = members.select("node", "size").distinct()
+    led = members.select("key", "node", "size", F.explode(F.array("hub", "low")).alias("pivot")).filter("node <> pivot")
+    led = led.join(size.select(F.col("node").alias("pivot"), F.col("size").alias("pivot_size")), "pivot").filter(_near_sizes("size", "pivot_size", percent))
+    seen = staged(measured(led.select(*_ordered("node", "pivot")).distinct(), sets), "join-measured")
     roots = merged(None, _linked(seen, percent))
     away = seen.select("a", "b", (1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("d"))
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = Window.partitionBy("key")
+    # of two members hub and low are the pair itself
+    placed = members.filter("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = placed.withColumn("first", F.min("root").over(several)).withColumn("last", F.max("root").over(several)).filter("first <> last").drop("first", "last")
     placed = staged(placed.withColumn("main", F.max(F.when(F.col("node") == F.col("hub"), F.col("root"))).over(several)), "join-open")
     for pivot in ("hub", "low"):
         d = away.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("d").alias(f"to_{pivot}"))
         placed = placed.join(d, (F.greatest("node", pivot) == F.col("_a")) & (F.least("node", pivot) == F.col("_b")), "left").drop("_a", "_b")
-        placed = placed.withColumn(f"to_{pivot}", F.coalesce(f"to_{pivot}", F.lit(0.0)))
+        placed = placed.withColumn(f"to_{pivot}", F.when(F.col("node") == F.col(pivot), 0.0).otherwise(F.col(f"to_{pivot}")))
     placed = placed.join(sets.select("node", "cells"), "node")
-    more = ring_pairs(placed, percent).join(seen.select("a", "b"), ["a", "b"], "left_anti")
+    more = ring_pairs(placed, percent, BLOCK).join(seen.select("a", "b"), ["a", "b"], "left_anti")
     return merged(roots, staged(_linked(measured(more, sets), percent), "join-more"))
 
 

@@ -231,12 +231,12 @@ def term_scores(w: np.ndarray, tf: np.ndarray, n: np.ndarray, n_docs: int, n_ter
     return w * ((1_000_000_000 * tf) // (1000 * tf + 20 * m))
 
 
-def _scored(shared, k: int):
+def _scored(shared, k: int, cells: int):
     """Postings -> the k best documents of each item among the task's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph, item_ids, w, n_docs, n_terms = shared.value
-        width = max(1, CELLS // graph.nodes)
+        width = max(1, cells // graph.nodes)
         kept = tuple(np.zeros(0, t) for t in (np.int64, np.int64, bool, np.int64))  # item, document, null id, score
         least = np.ones(len(item_ids), np.int64)
         for b in batches:
@@ -287,7 +287,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, wave_terms: int = WAVE
             w[r["term"]] = weight(n_docs, r["df"])
         sent = spark.sparkContext.broadcast((graph, row["item_ids"], w, n_docs, n_terms))
         # a task returns k documents an item, so it reads many more than k
-        best = postings.coalesce(max(1, n_docs // TASK_DOCS)).mapInArrow(_scored(sent, k), "item_id long, doc_id long, score long")
+        best = postings.coalesce(max(1, n_docs // TASK_DOCS)).mapInArrow(_scored(sent, k, CELLS), "item_id long, doc_id long, score long")
         found = found.unionByName(staged(best, "search-best"))
     order = Window.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")

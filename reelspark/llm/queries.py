@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelspark.llm import exact_topk, hilbert_ann, language_id, mixing, near_dedup, packing, quality_fm, suffix_dedup, toxicity, url_rules
+from reelspark.llm import collocations, exact_topk, hilbert_ann, jaccard_join, language_id, lexical_search, mixing, near_dedup, packing, quality_fm, suffix_dedup, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing.op8_mixing,
     "op9_packing": packing.op9_packing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_jaccard_join": jaccard_join.op11_jaccard_join,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_voronoi_topk": exact_topk.ORACLE, "op8_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op6_voronoi_topk": exact_topk.ORACLE, "op8_mixing": mixing.ORACLE, "op13_lexical_search": lexical_search.ORACLE}
