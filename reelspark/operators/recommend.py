@@ -2,15 +2,21 @@
 
 Exact top-N has to score every (key, other) pair.  One plan serves every size:
 both factor tables are dealt by a hash of the id to blocks of bounded size, each
-block is one packed row, every key block meets every block of the other side
-through an equi-join on the block number, and a block pair is scored at once in
-Arrow batches on the executors (``mapInArrow``).  At most N rows per key leave a
-block pair; Spark merges them with a window that it cuts to N before the shuffle.
-
-Scores are sums of the rank's products in the order of the rank, in float64, so
-a score does not depend on how the tables are cut into blocks.  The order is
-score descending, then the smaller id, within blocks and between them.  Nothing
-is collected or broadcast by hand; the only driver-side figures are two counts.
+block is one packed row, and every pair of a key block and an other block is a row
+of its own, dealt to the tasks by the pair's number: an explicit partition count
+follows the pairs, so all cores score whichever side is the larger.  At most N rows
+per key leave a pair; Spark merges them with a window that it cuts to N before the
+shuffle.
+
+A matrix product (``mapInArrow``) names the candidates of a pair, with a margin for
+its rounding; only these are scored again, as sums of the rank's products in the
+order of the rank, in float64.  So a score does not depend on how the tables are cut
+into blocks.  The order is score descending, then the smaller id, within blocks and
+between them.  Nothing is collected or broadcast by hand; the only driver-side
+figures are two counts.
+
+Rows that a key has seen can be left out: they travel with their block pair, packed,
+and are masked before the cut, so that N unseen ones remain.
 
 The nested form is Spark ML's: (key, recommendations array<struct<other, rating>>).
 """
@@ -18,16 +24,21 @@ The nested form is Spark ML's: (key, recommendations array<struct<other, rating>
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block, and keys scored at once (about 1 MB of scores, which stay in cache).
-KEY_BLOCK_ROWS = 1_024
+from reelspark.session import ensure_checkpoint_dir, spark_context
+
+#: Largest blocks, and the smallest that keys are cut to for the sake of more tasks.
+KEY_BLOCK_ROWS = 4_096
 OTHER_BLOCK_ROWS = 4_096
-SCORE_ROWS = 32
+LEAST_KEY_ROWS = 256
+#: Pairs wanted for each shuffle partition, pairs that a task scores at most.
+PAIRS_PER_PARTITION, PAIRS_PER_TASK = 4, 64
+#: Scores held at once, and the share of |key| * |other| that rounding can move a matrix product by.
+SCORE_CELLS, ROUNDING = 1 << 20, 1e-13
 
 
 def _check_n(n: int) -> int:
@@ -36,75 +47,129 @@ def _check_n(n: int) -> int:
     return int(n)
 
 
-def _blocks(factors: DataFrame, count: int, prefix: str) -> DataFrame:
-    """(id, features) -> one packed row a block: block, <prefix>ids, <prefix>features."""
+def _blocks(factors: DataFrame, count: int, name: str) -> DataFrame:
+    """(id, features) -> one packed row a block: block and its rows by id, as ``name``."""
+    dealt = factors.select(F.pmod(F.xxhash64("id"), F.lit(count)).alias("block"), F.struct("id", "features").alias("row"))
+    return dealt.groupBy("block").agg(F.sort_array(F.collect_list("row")).alias(name))  # of bounded size
 
-    def pack(key, df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("id")
-        x = np.vstack(df["features"].to_list()).astype("<f8")
-        return pd.DataFrame({"block": [key[0]], f"{prefix}ids": [df["id"].to_numpy("<i4").tobytes()], f"{prefix}features": [x.tobytes()]})
 
-    dealt = factors.select(F.pmod(F.xxhash64("id"), F.lit(count)).alias("block"), "id", "features")
-    return dealt.groupBy("block").applyInPandas(pack, f"block long, {prefix}ids binary, {prefix}features binary")
+def unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and features (a row each, float64) of a packed block."""
+    ids = rows.field("id").to_numpy()
+    return ids, rows.field("features").flatten().to_numpy().astype("<f8").reshape(len(ids), -1)
 
 
-def block_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Scores of all rows of ``a`` with all columns of ``b``, summed in the order of the rank."""
-    out, term = np.zeros((len(a), b.shape[1])), np.empty((len(a), b.shape[1]))
+def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Scores of rows of ``a`` with the rows of ``b`` beside them, summed in the order of the rank."""
+    out = np.zeros(len(a))
     for f in range(a.shape[1]):
-        out += np.multiply.outer(a[:, f], b[f], out=term)
+        out += a[:, f] * b[:, f]
     return out
 
 
-def best_of_block(scores: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the n best of each row: score descending, then smaller id.
+def best_of_block(keys: np.ndarray, others: np.ndarray, ids: np.ndarray, n: int, seen: tuple[np.ndarray, np.ndarray] | None = None):
+    """(row, column, score) of the n best others of each key: score descending, then
+    smaller id.  ``seen``: rows and columns that do not count.
 
-    Everything tied with the n-th score is ordered exactly before the cut.
+    Everything that could tie with the n-th score is ordered exactly before the cut.
     """
-    n = min(n, scores.shape[1])
-    cut = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
-    row, col = np.nonzero(scores >= cut[:, None])
-    order = np.lexsort((ids[col], -scores[row, col], row))
-    row, col = row[order], col[order]
+    rough = keys @ others.T
+    if seen is not None:
+        rough[seen] = -np.inf
+    n = min(n, rough.shape[1])
+    cut = np.partition(rough, rough.shape[1] - n, axis=1)[:, rough.shape[1] - n]
+    norms = np.sqrt((keys * keys).sum(axis=1)) * np.sqrt((others * others).sum(axis=1).max(initial=0.0))
+    row, col = np.nonzero((rough >= (cut - ROUNDING * keys.shape[1] * norms)[:, None]) & (rough > -np.inf))
+    score = exact_scores(keys[row], others[col])
+    order = np.lexsort((ids[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
     keep = np.arange(len(row)) - np.searchsorted(row, row) < n
-    return row[keep], col[keep]
+    return row[keep], col[keep], score[keep]
 
 
-def _score_pairs(n: int, key: str, other: str):
+def score_pairs(n: int, key: str, other: str):
+    """Packed pairs of blocks (and what the keys have seen) -> the n best of each key in each pair."""
+
     def score(batches):
         for b in batches:
             for i in range(b.num_rows):
-                k_ids, o_ids = (np.frombuffer(b.column(c)[i].as_py(), "<i4") for c in (0, 2))
-                k, o = (np.frombuffer(b.column(c + 1)[i].as_py(), "<f8").reshape(len(ids), -1) for c, ids in ((0, k_ids), (2, o_ids)))
-                columns, kept = np.ascontiguousarray(o.T), []
-                for at in range(0, len(k), SCORE_ROWS):
-                    s = block_scores(k[at : at + SCORE_ROWS], columns)
-                    row, col = best_of_block(s, o_ids, n)
-                    kept.append((k_ids[at + row], o_ids[col], s[row, col]))
+                (k_ids, k), (o_ids, o) = (unpacked(b.column(c)[i].values) for c in (0, 1))
+                rows = cols = np.zeros(0, np.int64)
+                if b.num_columns > 2 and b.column(2)[i].is_valid:
+                    code = b.column(2)[i].values.to_numpy()
+                    rows, cols = (np.searchsorted(ids, part) for ids, part in ((k_ids, code >> 32), (o_ids, code.astype("<i4"))))
+                    known = (rows < len(k_ids)) & (cols < len(o_ids))
+                    known[known] = (k_ids[rows[known]] == code[known] >> 32) & (o_ids[cols[known]] == code[known].astype("<i4"))
+                    rows, cols = rows[known], cols[known]
+                kept, step = [], max(1, SCORE_CELLS // max(1, len(o)))
+                for at in range(0, len(k), step):
+                    here = (rows >= at) & (rows < at + step)
+                    row, col, s = best_of_block(k[at : at + step], o, o_ids, n, (rows[here] - at, cols[here]) if here.any() else None)
+                    kept.append((k_ids[at + row], o_ids[col], s))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*kept, strict=True)], names=[key, other, "score"])
 
     return score
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def top_n(
     keys: DataFrame, others: DataFrame, n: int = 10, key: str = "userId", other: str = "movieId",
-    key_blocks: int | None = None, other_blocks: int | None = None,
+    key_blocks: int | None = None, other_blocks: int | None = None, seen: DataFrame | None = None,
 ) -> DataFrame:
     """N1-N3 from factor tables (id int, features array<float>): the n best
     ``others`` of every key, nested.  With n = 0 or nothing to recommend, every
     key gets an empty list.  Block counts follow the row counts unless given;
-    they change the work, never the result."""
+    they change the work, never the result.
+
+    ``seen``: (key, other) rows, repeated ones and unknown ids allowed, that are not
+    recommended; the n best of the others remain, and a key that has seen all gets an
+    empty list.
+    """
     n = _check_n(n)
     n_others = others.count() if n else 0
     empty = F.array().cast(f"array<struct<{other}:int,rating:float>>")
     if not n_others:
         return keys.select(F.col("id").alias(key), empty.alias("recommendations"))
+    wide = _partitions(keys)
     other_blocks = other_blocks or -(-n_others // OTHER_BLOCK_ROWS)
-    key_blocks = key_blocks or max(1, -(-keys.count() // KEY_BLOCK_ROWS))
-    asked = _blocks(keys, key_blocks, "k_").drop("block")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(other_blocks - 1).cast("bigint"))))
-    pairs = asked.join(_blocks(others, other_blocks, "o_"), "block").select("k_ids", "k_features", "o_ids", "o_features")
-    found = pairs.mapInArrow(_score_pairs(n, key, other), f"{key} int, {other} int, score double")
+    if key_blocks is None:
+        n_keys, wanted = max(1, keys.count()), -(-PAIRS_PER_PARTITION * wide // other_blocks)
+        key_blocks = max(-(-n_keys // KEY_BLOCK_ROWS), min(-(-n_keys // LEAST_KEY_ROWS), wanted))
+    pairs = key_blocks * other_blocks
+    tasks = min(2 * pairs, max(2 * PAIRS_PER_PARTITION * wide, -(-pairs // PAIRS_PER_TASK)))  # few pairs: room to spread
+
+    def every(count: int):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
+
+    asked = _blocks(keys, key_blocks, "keys").select("keys", F.col("block").alias("kb"), every(other_blocks).alias("ob"))
+    offered = _blocks(others, other_blocks, "others").select("others", F.col("block").alias("ob"), every(key_blocks).alias("kb"))
+    number = (F.col("kb") * other_blocks + F.col("ob")).alias("pair")
+    # a count of partitions that is asked for stays as it is; the rows are few and large
+    asked = asked.select(number, "keys").repartition(tasks, "pair")
+    offered = offered.select(number, "others").repartition(tasks, "pair")
+    met = asked.join(offered.hint("merge"), "pair")
+    columns = ["keys", "others"]
+    if seen is not None:
+        k, o = F.col(key).cast("int"), F.col(other).cast("int")
+        place = F.pmod(F.xxhash64(k), F.lit(key_blocks)) * other_blocks + F.pmod(F.xxhash64(o), F.lit(other_blocks))
+        code = F.call_function("shiftleft", k.cast("bigint"), F.lit(32)).bitwiseOR(o.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+        known = seen.filter(k.isNotNull() & o.isNotNull()).select(place.alias("pair"), code.alias("code"))
+        # of a pair of blocks: at most one entry for each of its scores
+        met = met.join(known.repartition(tasks, "pair").groupBy("pair").agg(F.sort_array(F.collect_set("code")).alias("seen")).hint("merge"), "pair", "left")
+        columns.append("seen")
+    found = met.select(*columns).mapInArrow(score_pairs(n, key, other), f"{key} int, {other} int, score double")
+    lists = nested(found, n, key, other)
+    if seen is None:
+        return lists
+    every_key = keys.select(F.col("id").alias(key)).join(lists, key, "left")
+    return every_key.select(key, F.coalesce("recommendations", empty).alias("recommendations"))
+
+
+def nested(found: DataFrame, n: int, key: str, other: str) -> DataFrame:
+    """(key, other, score) rows, one a pair -> the n best of each key, nested."""
     order = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col(other).asc())
     top = found.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n)
     listed = F.array_sort(F.collect_list(F.struct("_rank", other, "score")))  # n entries at most
@@ -114,30 +179,34 @@ def top_n(
 
 
 def _subset(factors: DataFrame, keys: DataFrame, col: str) -> DataFrame:
-    return factors.join(keys.select(F.col(col).alias("id")).distinct(), "id", "left_semi")
+    """The factors of the wanted keys, worked out once (they are counted, then scored)."""
+    some = factors.join(keys.select(F.col(col).alias("id")).distinct(), "id", "left_semi")
+    ensure_checkpoint_dir(some.sparkSession)
+    return some if spark_context(some.sparkSession) is None else some.checkpoint()
 
 
-def recommend_for_all_users(model: ALSModel, n: int = 10) -> DataFrame:
-    """(userId, recommendations array<struct<movieId, rating>>)."""
-    return top_n(model.userFactors, model.itemFactors, n, model.getUserCol(), model.getItemCol())
+def recommend_for_all_users(model: ALSModel, n: int = 10, exclude_seen: DataFrame | None = None) -> DataFrame:
+    """(userId, recommendations array<struct<movieId, rating>>).
+    ``exclude_seen``: ratings whose movies are not recommended to their users again."""
+    return top_n(model.userFactors, model.itemFactors, n, model.getUserCol(), model.getItemCol(), seen=exclude_seen)
 
 
-def recommend_for_all_items(model: ALSModel, n: int = 10) -> DataFrame:
+def recommend_for_all_items(model: ALSModel, n: int = 10, exclude_seen: DataFrame | None = None) -> DataFrame:
     """(movieId, recommendations array<struct<userId, rating>>)."""
-    return top_n(model.itemFactors, model.userFactors, n, model.getItemCol(), model.getUserCol())
+    return top_n(model.itemFactors, model.userFactors, n, model.getItemCol(), model.getUserCol(), seen=exclude_seen)
 
 
-def recommend_for_users(model: ALSModel, users: DataFrame, n: int = 10) -> DataFrame:
+def recommend_for_users(model: ALSModel, users: DataFrame, n: int = 10, exclude_seen: DataFrame | None = None) -> DataFrame:
     """Top-N for the users in ``users`` (any number of them).
     Users unknown to the model get no row (N7: empty in, empty out)."""
     col = model.getUserCol()
-    return top_n(_subset(model.userFactors, users, col), model.itemFactors, n, col, model.getItemCol())
+    return top_n(_subset(model.userFactors, users, col), model.itemFactors, n, col, model.getItemCol(), seen=exclude_seen)
 
 
-def recommend_for_items(model: ALSModel, items: DataFrame, n: int = 10) -> DataFrame:
+def recommend_for_items(model: ALSModel, items: DataFrame, n: int = 10, exclude_seen: DataFrame | None = None) -> DataFrame:
     """N3 mirrored: top-N users for the items in ``items``."""
     col = model.getItemCol()
-    return top_n(_subset(model.itemFactors, items, col), model.userFactors, n, col, model.getUserCol())
+    return top_n(_subset(model.itemFactors, items, col), model.userFactors, n, col, model.getUserCol(), seen=exclude_seen)
 
 
 def unnest(

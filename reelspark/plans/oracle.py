@@ -185,13 +185,13 @@ SELECT target_id, movieId, title, genres, CAST(similar_rank AS INTEGER) AS simil
 """
 
 
-def _topn(key: str, other: str) -> str:
+def _topn(key: str, other: str, where: str = "") -> str:
     """Every user with every item, ranked for each ``key``: score descending, smaller id first."""
     users = f"SELECT DISTINCT CAST(o_custkey AS INTEGER) AS userId, {_terms('o_custkey', fx.USER_FACTORS, fx.USER_MOD)} AS uf FROM orders WHERE o_custkey IS NOT NULL"
     items = f"SELECT DISTINCT CAST(p_partkey AS INTEGER) AS movieId, {_terms('p_partkey', fx.ITEM_FACTORS, fx.ITEM_MOD)} AS mf FROM part WHERE p_partkey IS NOT NULL"
     return (
         f"SELECT userId, movieId, score, CAST(row_number() OVER (PARTITION BY {key} ORDER BY score DESC, {other}) AS INTEGER) AS rank "
-        f"FROM (SELECT userId, movieId, list_dot_product(uf, mf) AS score FROM ({users}) u JOIN ({items}) i ON true)"
+        f"FROM (SELECT userId, movieId, list_dot_product(uf, mf) AS score FROM ({users}) u JOIN ({items}) i ON true{where})"
     )
 
 
@@ -264,6 +264,8 @@ _BODIES: dict[str, str] = {
     "topn_subset": "SELECT r.userId, r.rank, r.movieId, m.title, m.genres, r.score AS predicted_rating FROM ("
     + _topn("userId", "movieId") + f") r JOIN movies m ON m.movieId = r.movieId WHERE rank <= {Q.REC_N} "
     f"AND ((userId % {Q.SUBSET_STEP}) + {Q.SUBSET_STEP}) % {Q.SUBSET_STEP} = 0",
+    "topn_unseen": "SELECT userId, rank, movieId, score AS predicted_rating FROM ("
+    + _topn("userId", "movieId", " WHERE (userId, movieId) NOT IN (SELECT (userId, movieId) FROM dense)") + f") WHERE rank <= {Q.REC_N}",
     "topn_batch": "SELECT r.userId, r.movieId, m.title, m.genres, r.score FROM ("
     + _topn("userId", "movieId") + f") r JOIN movies m ON m.movieId = r.movieId WHERE rank <= {Q.BATCH_N}",
     "display_titles": "SELECT movieId, year, clean_title, nullif(year, 'N/A') AS shown_year FROM display",

@@ -338,6 +338,12 @@ def q_topn_batch(spark, sf):
     return _dbl(recommend.batch_from(recs, _movies(spark, sf)), "score")
 
 
+def q_topn_unseen(spark, sf):
+    """The best movies that a user has not rated (among the dense ratings)."""
+    recs = recommend.top_n(fx.user_factors(spark, sf), fx.item_factors(spark, sf), REC_N, seen=_dense(spark, sf).select("userId", "movieId"))
+    return _dbl(recommend.unnest(recs, rank="rank"), "predicted_rating")
+
+
 # --- model-based (rows-only checks) -----------------------------------------
 
 _MODELS: dict = {}
@@ -439,6 +445,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topn_items": q_topn_items,
     "topn_subset": q_topn_subset,
     "topn_batch": q_topn_batch,
+    "topn_unseen": q_topn_unseen,
     "als_predictions": q_als_predictions,
     "als_metrics": q_als_metrics,
     "recommend_all_users": q_recommend_all_users,

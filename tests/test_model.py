@@ -264,9 +264,55 @@ def test_bucketed_recommendations_layout(spark, smoke_dir, tmp_dir):
 
 
 def test_best_of_block_breaks_ties_by_smaller_id():
-    """Items tied at the cut-off: the smaller ids are kept."""
+    """Items tied at the cut-off: the smaller ids are kept; seen ones never come up."""
     ids = np.array([9, 3, 7, 1, 5, 0, 8, 2, 6, 4, 10], dtype=np.int32)
-    scores = np.array([[1.0] * 10 + [2.0]])
+    others = np.array([[1.0]] * 10 + [[2.0]])
     for n in (1, 3, 5, 11, 20):
-        row, col = recommend.best_of_block(scores, ids, n)
+        row, col, score = recommend.best_of_block(np.ones((1, 1)), others, ids, n)
         assert [int(i) for i in ids[col]] == ([10] + list(range(10)))[: min(n, 11)] and not row.any()
+        row, col, score = recommend.best_of_block(np.ones((1, 1)), others, ids, n, (np.array([0, 0]), np.array([10, 5])))
+        assert [int(i) for i in ids[col]] == list(range(1, 10))[:n] and set(score) == {1.0}
+
+
+def _scoring_tasks(spark, users, items, monkeypatch):
+    """Rows of found pairs by the task that scored them."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(recommend, "nested", lambda found, *_: found)
+    found = recommend.top_n(users, items, 3)
+    return [r["count"] for r in found.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+
+
+@pytest.mark.parametrize(("n_users", "n_items"), [(4000, 200), (300, 20_000)])
+def test_scoring_is_spread_over_the_tasks(spark, monkeypatch, n_users, n_items):
+    """Small and large other sides: at least as many tasks as shuffle partitions, none with most of the work."""
+    from pyspark.sql import functions as F
+
+    def factors(n, a):
+        x = (F.col("id") * a % 1000 / 1000).cast("float")
+        return spark.range(n).select(F.col("id").cast("int"), F.array(x, 1 - x).alias("features"))
+
+    rows = _scoring_tasks(spark, factors(n_users, 7), factors(n_items, 13), monkeypatch)
+    assert len(rows) >= min(8, -(-n_users // recommend.LEAST_KEY_ROWS) * -(-n_items // recommend.OTHER_BLOCK_ROWS)) - 3
+    assert max(rows) <= sum(rows) / 2
+
+
+def test_seen_items_are_left_out_and_n_others_remain(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    k, o = rng.integers(-4, 5, (40, 3)) / 4, rng.integers(-4, 5, (60, 3)) / 4
+    frame = lambda x: spark.createDataFrame([(i - 5, [float(v) for v in r]) for i, r in enumerate(x)], "id int, features array<float>")
+    seen = {(u - 5, m - 5) for u in range(40) for m in range(60) if rng.random() < 0.3}
+    seen |= {(0, m - 5) for m in range(60)} | {(1, m - 5) for m in range(58)} | {(999, 1), (1, 999)}
+    seen -= {(1, 53), (1, 54)}  # one has seen all, one all but two
+    rows = [*seen, *list(seen)[:50], (None, 3), (3, None)]
+    seen_df = spark.createDataFrame(rows, "userId int, movieId int").select("movieId", "userId", F.lit(1).alias("pair"))
+    want = {}
+    for u in range(40):
+        left = [(-float((k[u] * o[m]).sum()), m - 5) for m in range(60) if (u - 5, m - 5) not in seen]
+        want[u - 5] = [(m, -s) for s, m in sorted(left)[:7]]
+    for blocks in (1, 4):
+        got = _nested(recommend.top_n(frame(k), frame(o), 7, key_blocks=blocks, other_blocks=blocks, seen=seen_df).collect(), "userId", "movieId")
+        assert got == want and got[0] == [] and len(got[1]) == 2
+    assert recommend.top_n(frame(k), frame(o), 0, seen=seen_df).filter("size(recommendations) > 0").count() == 0

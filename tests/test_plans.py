@@ -20,7 +20,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-TOP_N = {"topn_users", "topn_items", "topn_subset", "topn_batch", "recommend_all_users", "recommend_all_items",
+TOP_N = {"topn_unseen", "topn_users", "topn_items", "topn_subset", "topn_batch", "recommend_all_users", "recommend_all_items",
          "recommend_user_subset", "recommend_one_user", "batch_recommendations"}
 
 
