@@ -264,6 +264,15 @@ _BODIES: dict[str, str] = {
     "topn_subset": "SELECT r.userId, r.rank, r.movieId, m.title, m.genres, r.score AS predicted_rating FROM ("
     + _topn("userId", "movieId") + f") r JOIN movies m ON m.movieId = r.movieId WHERE rank <= {Q.REC_N} "
     f"AND ((userId % {Q.SUBSET_STEP}) + {Q.SUBSET_STEP}) % {Q.SUBSET_STEP} = 0",
+    "csv_quarantine": "SELECT outcome, count(*) AS rows FROM (SELECT CASE WHEN movieId % 37 = 0 AND userId IS NOT NULL OR movieId % 41 = 1 THEN 'unparsable' "
+    "WHEN movieId % 43 = 2 OR userId IS NULL THEN 'no userId' WHEN movieId IS NULL THEN 'no movieId' ELSE 'good' END AS outcome FROM ratings_n) GROUP BY outcome",
+    "dense_user_ids": f"SELECT customer, CAST(dense_rank() OVER (ORDER BY customer) - 1 AS INTEGER) AS dense FROM (SELECT DISTINCT CAST(o_custkey AS BIGINT) * {Q.WIDE_ID} AS customer FROM orders WHERE o_custkey IS NOT NULL)",
+    "user_stats_appended": "SELECT * FROM user_stats",
+    "rating_histogram_appended": 'SELECT CAST(rating AS DOUBLE) AS rating, count(*) AS "count" FROM clean GROUP BY rating',
+    "users_turned_active": "SELECT userId, count(*) AS num_ratings FROM clean GROUP BY userId HAVING count(*) >= 20 "
+    f"AND count_if(((movieId + userId) % {Q.BATCHES} + {Q.BATCHES}) % {Q.BATCHES} < {Q.BATCHES - 1}) < 20",
+    "topn_pruned": "SELECT userId, rank, movieId, score AS predicted_rating FROM ("
+    + _topn("userId", "movieId") + f") WHERE rank <= {Q.REC_N}",
     "topn_unseen": "SELECT userId, rank, movieId, score AS predicted_rating FROM ("
     + _topn("userId", "movieId", " WHERE (userId, movieId) NOT IN (SELECT (userId, movieId) FROM dense)") + f") WHERE rank <= {Q.REC_N}",
     "topn_batch": "SELECT r.userId, r.movieId, m.title, m.genres, r.score FROM ("

@@ -10,14 +10,17 @@ deterministic ones.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelspark.operators import catalog, display, model, prepare, profile, recommend
-from reelspark.session import app_key
+from reelspark.operators import catalog, dense_ids, display, model, prepare, profile, pruned, rating_state, recommend
+from reelspark.session import app_key, ensure_checkpoint_dir, sf_path
 from reelspark.sources import fixtures as fx
+from reelspark.sources import quarantine
+from reelspark.sources.schemas import RATINGS_SCHEMA
 
 # query parameters (shared with the oracle SQL)
 SEARCH_QUERY = "red"
@@ -35,6 +38,8 @@ HOME_N = 12
 DETAILS_SIMILAR = 8
 USER_ID = 1
 SUBSET_STEP = 10
+BATCHES = 3
+WIDE_ID = 3_000_000_019
 SPLIT_SEED = 42
 SPLIT_WEIGHTS = (0.8, 0.2)
 
@@ -344,6 +349,55 @@ def q_topn_unseen(spark, sf):
     return _dbl(recommend.unnest(recs, rank="rank"), "predicted_rating")
 
 
+def q_topn_pruned(spark, sf):
+    """The same as ``topn_users``, without scoring the buckets of movies that cannot matter."""
+    recs, _ = pruned.pruned_top_n(fx.user_factors(spark, sf), fx.item_factors(spark, sf), REC_N)
+    return _dbl(recommend.unnest(recs, rank="rank"), "predicted_rating")
+
+
+# --- sources and upkeep ---------------------------------------------------------
+
+
+def q_csv_quarantine(spark, sf):
+    """The ratings as CSV files with bad fields planted, parsed once: rows by what became of them."""
+    r, m = _ratings_n(spark, sf), F.col("movieId")
+    user = F.when(m % 37 == 0, F.concat(F.lit("u"), F.col("userId"))).when(m % 43 == 2, F.lit(None)).otherwise(F.col("userId").cast("string"))
+    rating = F.when(m % 41 == 1, F.lit("four")).otherwise(F.col("rating").cast("string"))
+    folder = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    r.select(user.alias("userId"), m.cast("string").alias("movieId"), rating.alias("rating"), F.col("timestamp").cast("string").alias("timestamp")).write.option("header", True).csv(f"{folder}/in")
+    parsed = quarantine.read_csv(spark, f"{folder}/in", RATINGS_SCHEMA, f"{folder}/out", required=("userId", "movieId"))
+    good = parsed.good.agg(F.count("*").alias("rows")).select(F.lit("good").alias("outcome"), "rows").filter("rows > 0")
+    return good.unionByName(parsed.reasons().select(F.col("reason").alias("outcome"), "rows"))
+
+
+def q_dense_user_ids(spark, sf):
+    """Customer numbers far beyond int as dense ids in their order."""
+    ids = spark.read.parquet(sf_path(sf, "orders")).select((F.col("o_custkey").cast("bigint") * WIDE_ID).alias("customer"))
+    return dense_ids.dense_ids(ids, "customer")
+
+
+def _appended(spark, sf, key: str, batches):
+    """The state after these batches of the cleaned ratings, appended one after the other."""
+    folder, clean = f"{ensure_checkpoint_dir(spark)}/state-{uuid.uuid4().hex}", _clean(spark, sf)
+    for b in batches:
+        state = rating_state.append(clean.filter(F.pmod(F.col("movieId") + F.col("userId"), F.lit(BATCHES)) == b), key, folder)
+    return state
+
+
+def q_user_stats_appended(spark, sf):
+    return rating_state.statistics(_appended(spark, sf, "userId", range(BATCHES)), "userId")
+
+
+def q_rating_histogram_appended(spark, sf):
+    return rating_state.histogram(_appended(spark, sf, "movieId", range(BATCHES)))
+
+
+def q_users_turned_active(spark, sf):
+    """Users who reach 20 ratings with the last batch."""
+    before, last = _appended(spark, sf, "userId", range(BATCHES - 1)), _appended(spark, sf, "userId", range(BATCHES - 1, BATCHES))
+    return rating_state.crossed(before, rating_state.merged(before, last)).withColumnRenamed("key", "userId")
+
+
 # --- model-based (rows-only checks) -----------------------------------------
 
 _MODELS: dict = {}
@@ -446,6 +500,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topn_subset": q_topn_subset,
     "topn_batch": q_topn_batch,
     "topn_unseen": q_topn_unseen,
+    "topn_pruned": q_topn_pruned,
+    "csv_quarantine": q_csv_quarantine,
+    "dense_user_ids": q_dense_user_ids,
+    "user_stats_appended": q_user_stats_appended,
+    "rating_histogram_appended": q_rating_histogram_appended,
+    "users_turned_active": q_users_turned_active,
     "als_predictions": q_als_predictions,
     "als_metrics": q_als_metrics,
     "recommend_all_users": q_recommend_all_users,

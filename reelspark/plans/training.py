@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.operators import model as M
-from reelspark.operators import prepare, recommend
+from reelspark.operators import prepare, recommend, versions
+from reelspark.operators.staging import staged
 from reelspark.sources import io
 from reelspark.sources.schemas import with_int_ids
 
@@ -109,6 +110,39 @@ def user_bucket(user_id, buckets: int):
     return F.pmod(user_id, F.lit(int(buckets)))
 
 
+def refresh_recommendations(recs: DataFrame, path: str, buckets: int) -> list[int]:
+    """S10/N6 again after a new model: rewrite only the buckets in which a user's list
+    changed, appeared or went; their numbers, in order (none: nothing is written).
+
+    Each user's list is reduced to a fingerprint (its rows' hashes summed, and their
+    count) on both sides, and one outer join finds the users that differ.
+    """
+    spark = recs.sparkSession
+    new = recs.select("userId", "movieId", "title", "genres", "score").withColumn("user_bucket", user_bucket(F.col("userId"), buckets))
+    fs, where, hadoop = versions.files(spark, path)
+    if not fs.exists(where):
+        stored = new.limit(0)
+    else:
+        stored = spark.read.schema(new.schema).parquet(path)
+
+    def prints(df: DataFrame, name: str) -> DataFrame:
+        h = F.xxhash64("movieId", "title", "genres", "score").cast("decimal(20,0)")
+        return df.groupBy("userId", "user_bucket").agg(F.struct(F.sum(h), F.count("*")).alias(name))
+
+    both = prints(new, "new").join(prints(stored, "old"), ["userId", "user_bucket"], "full")
+    differ = both.filter(~F.col("new").eqNullSafe(F.col("old")))
+    changed = sorted(r[0] for r in differ.select("user_bucket").distinct().collect())  # as many as buckets at most
+    if not changed:
+        return []
+    rows = new.filter(F.col("user_bucket").isin(changed)).repartition(len(changed), "user_bucket").sortWithinPartitions("user_bucket", "userId")
+    rows = staged(rows, "recs-changed")  # read no bucket that is being replaced
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("user_bucket").parquet(path)
+    left = {r[0] for r in rows.select("user_bucket").distinct().collect()}
+    for gone in set(changed) - left:  # no user of the bucket is left
+        fs.delete(hadoop.Path(where, f"user_bucket={gone}"), True)
+    return changed
+
+
 def read_user_recommendations(
     spark: SparkSession, path: str, user_id: int, buckets: int | None = None
 ) -> DataFrame:
