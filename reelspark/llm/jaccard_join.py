@@ -56,10 +56,10 @@ PERCENT = 90
 HOT, BITS = (2, 8, 64, 1024), 26
 #: Share by which more shingles are counted than a set is replicated to.
 WIDER = 1.25
-#: Members of a block, histogram cells of a set.
-BLOCK, CELLS = 256, 32
-#: Bytes of text shingled at once, nodes a task remembers.
-SLICE, PIECE, MEMORY_NODES = 8 << 20, 2 << 20, 200_000
+#: Members of a block; bits of a set's parities: twice its size, as a power of 2 within these.
+BLOCK, PARITY = 256, (6, 15)
+#: Bytes of text shingled, and of it held as numbers, at once; bytes of parities compared at once; nodes a task remembers.
+SLICE, PIECE, HELD, MEMORY_NODES = 8 << 20, 2 << 20, 8 << 20, 200_000
 
 _A, _R = np.uint64(0x9E3779B97F4A7C15), 0xD1342543DE82EF95
 _KNOWN = [np.zeros(0, np.uint64)] * 2
@@ -246,12 +246,28 @@ def _texts(docs: DataFrame, ids: DataFrame, nodes: DataFrame) -> DataFrame:
     return known.select("text")
 
 
+def parities(s: np.ndarray) -> bytes:
+    """One bit a cell of the hashes: whether it holds an odd number of the set's shingles."""
+    k = min(PARITY[1], max(PARITY[0], (2 * len(s) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64((1 << k) - 1)).astype(np.int64), minlength=1 << k) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(cells: list[bytes], width: int) -> np.ndarray:
+    """Parities brought to ``width`` bytes (cells a power of two apart are one), as 64-bit words."""
+    out = np.empty((len(cells), width), np.uint8)
+    for i, c in enumerate(cells):
+        row = np.frombuffer(c, np.uint8)
+        out[i] = np.bitwise_xor.reduce(row.reshape(-1, width), axis=0)
+    return out.view(np.uint64)
+
+
 def _sets(texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(text) -> node, size, members (packed shingles), cells (packed histogram) of the wanted nodes."""
+    """(text) -> node, size, members (packed shingles), cells (parities) of the wanted nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, sets in _sets_once(batches, 0, shingle):
-            cells = [np.minimum(np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 65535).astype("<u2").tobytes() for s in sets]
+            cells = [parities(s) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(cells, pa.binary())], names=["node", "size", "members", "cells"])
 
     made = texts.mapInArrow(run, "node binary, size long, members binary, cells binary")
@@ -289,11 +305,11 @@ def _near_sizes(x: str, y: str, percent: int) -> Column:
 
 
 def _unpacked(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
-    """Columns of a packed block: nodes, roots (two numbers each), histograms, sizes and distances."""
+    """Columns of a packed block: nodes, roots (two numbers each), parities, sizes and distances."""
     node, root, cells = (rows.field(c).to_pylist() for c in ("node", "root", "cells"))
-    of = lambda x, t: np.frombuffer(b"".join(x), t).reshape(len(x), -1)
+    roots = np.frombuffer(b"".join(root), np.uint64).reshape(len(root), -1)
     numbers = [rows.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("size", "to_hub", "to_low")]  # null: nan
-    return np.array(node, object), of(root, np.uint64), of(cells, "<u2").astype(np.int64), *numbers
+    return np.array(node, object), roots, cells, *numbers
 
 
 def ring_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
@@ -324,8 +340,13 @@ def ring_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
                 could &= 100 * np.minimum(size, q_size) >= percent * np.maximum(size, q_size)
                 could &= ~(np.abs(hub - q_hub) > near) & ~(np.abs(low - q_low) > near)  # nan: not measured
                 asked, ours = np.nonzero(could)
-                apart = np.abs(cells[ours] - q_cells[asked]).sum(axis=1)  # at most what the sets differ in
-                still = (100 - percent) * (size[0, ours] + q_size[asked, 0]) >= (100 + percent) * apart
+                width = min(map(len, [*cells, *q_cells]))
+                ours_at, asked_at = folded(cells, width), folded(q_cells, width)
+                still = np.zeros(len(ours), bool)
+                for a in range(0, len(ours), HELD // width):  # parities differ in no more bits than the sets in shingles
+                    o, q = ours[a : a + HELD // width], asked[a : a + HELD // width]
+                    apart = np.bitwise_count(ours_at[o] ^ asked_at[q]).sum(axis=1, dtype=np.int64)
+                    still[a : a + len(o)] = (100 - percent) * (size[0, o] + q_size[q, 0]) >= (100 + percent) * apart
                 x, y = node[ours[still]], q_node[asked[still]]
                 yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in zip(x, y, strict=True)], pa.binary()), pa.array([min(p) for p in zip(x, y, strict=True)], pa.binary())], names=["a", "b"])
 
