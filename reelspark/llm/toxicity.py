@@ -18,12 +18,17 @@ with at least as many tell-tale words as the median toxic document) and
 
 Fitting takes a bounded sample of labelled documents (about ``SAMPLE``, by a hash
 of the id; equal texts count once) in one task of that size; the model has a
-bounded size and is broadcast.  Scoring covers every whole document.
+bounded size and is broadcast.  The rarer class is taken whole up to half of the
+sample, the other fills the rest, so a rare label is learnt from all its rows;
+probabilities are brought back to the classes' true shares by the rates they were
+taken at.  Scoring covers every whole document.
 
 Edge cases: null and empty texts have no word and get the base rate; without a
-toxic label, without any other, or without a word that tells them apart, no
-document is rejected; repeated rows are
-scored alike; rows without an id are scored but never learnt from.
+toxic label, without any other, with fewer than ``MIN_DOCS`` documents of either,
+or without a word that tells them apart, no document is rejected; repeated rows are
+scored alike; rows without an id are scored but never learnt from; very long texts
+are scored whole; an empty table gives no rows; ``classify`` reads doc_id and text
+only, and ``keep_clean`` returns all columns, whatever their names, as they came.
 """
 
 from __future__ import annotations
@@ -54,10 +59,12 @@ THRESHOLD = 0.5
 @dataclass
 class Chain:
     """``terms`` are the kept buckets in order; ``weights[c]`` has a weight for
-    each, then one for each earlier category's probability, then the bias."""
+    each, then one for each earlier category's probability, then the bias.
+    ``rates`` are the shares of toxic and of other documents that were learnt from."""
 
     terms: np.ndarray
     weights: list[np.ndarray]
+    rates: tuple[float, float] = (1.0, 1.0)
 
     def probabilities(self, hits: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
         """hits: positions in ``terms``; rows: the document of each.  n x categories."""
@@ -66,7 +73,9 @@ class Chain:
             k = len(self.terms)
             z = w[-1] + np.bincount(rows, w[:k][hits], n) + out[:, :c] @ w[k : k + c]
             out[:, c] = _sigmoid(z)
-        return out
+        toxic, other = self.rates  # every category is a degree of the last
+        weight = out[:, -1] / toxic + (1 - out[:, -1]) / other
+        return np.minimum(1.0, out / toxic / weight[:, None])
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -121,7 +130,7 @@ def fit_linear(hits: np.ndarray, rows: np.ndarray, n: int, k: int, extra: np.nda
 def fit_chain(found: list[np.ndarray], toxic: np.ndarray, folds: np.ndarray) -> Chain:
     n = len(found)
     silent = Chain(np.zeros(0, np.int64), [np.array([0.0] * c + [-35.0]) for c in range(len(CATEGORIES))])
-    if not n or toxic.min() == toxic.max():
+    if min(np.sum(toxic > 0), np.sum(toxic <= 0)) < MIN_DOCS:
         return silent
     terms = pick_terms(found, toxic)
     if not len(terms):  # nothing tells the classes apart
@@ -159,11 +168,22 @@ def _bucket_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary()), b.column(2)], names=["doc_id", "found", "toxic"])
 
 
+def class_rates(toxic: int, other: int, sample: int) -> tuple[float, float]:
+    """Shares of toxic and of other documents to learn from, about ``sample`` in all:
+    the rarer class whole up to half of it, the other in what is left."""
+    few, many = sorted((toxic, other))
+    taken = min(few, sample // 2)
+    by_size = (taken / max(1, few), min(1.0, (sample - taken) / max(1, many)))
+    return by_size if toxic <= other else by_size[::-1]
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     """(doc_id, text) and (doc_id, toxic) -> the chain."""
     labels = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic").distinct()
-    share = min(1.0, sample / max(1, labels.count()))
-    chosen = labels.filter(unit_hash(F.col("doc_id"), seed=3) < share).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    counted = labels.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
+    rates = class_rates(*counted, sample)
+    rate = F.when(F.col("toxic") > 0, rates[0]).otherwise(rates[1])
+    chosen = labels.filter(unit_hash(F.col("doc_id"), seed=3) < rate).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by ``sample``
     made = rows.select(F.col("doc_id").cast("bigint"), "text", "toxic").mapInArrow(_bucket_lists, "doc_id long, found binary, toxic int").distinct()
 
@@ -177,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     got = made.groupBy(F.lit(0).alias("one")).applyInPandas(run, "terms binary, weights array<array<double>>").collect()
     if not got:
         return fit_chain([], np.zeros(0), np.zeros(0))
-    return Chain(np.frombuffer(got[0]["terms"], np.int64), [np.asarray(w) for w in got[0]["weights"]])
+    return Chain(np.frombuffer(got[0]["terms"], np.int64), [np.asarray(w) for w in got[0]["weights"]], rates)
 
 
 def judge_texts(texts: list[str | None], chain: Chain) -> np.ndarray:

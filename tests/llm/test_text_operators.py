@@ -311,6 +311,37 @@ def test_quality_held_out(spark, smoke_dir):
 # --- toxicity ------------------------------------------------------------------------
 
 
+def test_rare_toxic_documents_are_learnt_beyond_the_sample(spark):
+    """40 toxic documents of 20,000 and a sample of 2,000: a class-blind sample would hold four."""
+    n = 20_000
+    rows = [(i, prose(i, 30) + (" grolb snark" if i % 500 == 0 else "")) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(i, int(i % 500 == 0)) for i in range(n)], "doc_id long, toxic int")
+    chain = toxicity.fit(docs, labels, sample=2_000)
+    assert chain.rates[0] == 1.0 and chain.rates[1] < 0.1
+    told = {r.doc_id: r.p_toxic >= toxicity.THRESHOLD for r in toxicity.classify(docs, chain).collect()}
+    assert sum(told[i] for i in range(0, n, 500)) >= 36
+    assert sum(told[i] for i in range(n) if i % 500) < 0.01 * n
+
+
+def test_sample_rates_keep_the_rarer_class_and_the_bound():
+    assert toxicity.class_rates(10, 90, 1_000) == (1.0, 1.0)
+    assert toxicity.class_rates(40, 19_960, 2_000) == (1.0, 1_960 / 19_960)
+    assert toxicity.class_rates(9_000, 1_000, 2_000) == (1_000 / 9_000, 1.0)
+    assert toxicity.class_rates(6_000, 6_000, 2_000) == (1_000 / 6_000, 1_000 / 6_000)
+    assert toxicity.class_rates(0, 0, 10)[0] == 0.0
+
+
+def test_probabilities_return_to_the_true_shares():
+    """Odds learnt at rates (1, r) are r times too high."""
+    w = [np.array([0.7, -1.0]), np.array([0.4, 0.3, -0.5]), np.array([1.2, 0.2, 0.1, 0.1])]
+    at = (np.array([0]), np.array([1]), 2)
+    raw = toxicity.Chain(np.array([5]), w).probabilities(*at)
+    back = toxicity.Chain(np.array([5]), w, (1.0, 0.25)).probabilities(*at)
+    odds = raw[:, -1] / (1 - raw[:, -1])
+    assert np.allclose(back[:, -1], 0.25 * odds / (1 + 0.25 * odds))
+
+
 def test_chain_finds_planted_words_and_spares_others(spark):
     bad = ["grumvex", "zorbit", "quaxling"]
     rows = []
