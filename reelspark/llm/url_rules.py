@@ -178,11 +178,18 @@ def mine_rules(
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, tokens) with distinct urls -> url, mined (the deciding rule); urls that no rule fits are absent."""
-    index = rules.select(F.explode("tokens").alias("token"), "rule_id", F.size("tokens").alias("n"), "verdict", "confidence", "support")
-    hits = urls.select("url", F.explode("tokens").alias("token")).join(index, "token")
-    full = hits.groupBy("url", "rule_id").agg(F.count("*").alias("hits"), F.first(F.struct("n", "verdict", "confidence", "support")).alias("r")).filter(F.col("hits") == F.col("r.n"))
-    best = F.max_by(F.struct("r.verdict", "rule_id", "r.confidence", "r.support"), F.struct("r.confidence", "r.support", "r.n", "rule_id"))
+    """(url, tokens) with distinct urls -> url, mined (the deciding rule); urls that no rule fits are absent.
+
+    The index names each rule under that of its tokens which the fewest urls have, so
+    a url meets few rules that it does not fit, however common their other tokens.
+    """
+    each = urls.select("url", "tokens", F.explode("tokens").alias("token"))
+    listed = rules.withColumn("token", F.explode("tokens"))
+    held = each.join(listed.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls"))
+    rarest = listed.join(held, "token", "left").groupBy("rule_id").agg(F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "token")).alias("least"))
+    index = rules.join(rarest, "rule_id").select(F.col("least.token").alias("token"), "rule_id", F.col("tokens").alias("wanted"), "verdict", "confidence", "support")
+    full = each.join(index, "token").filter(F.size(F.array_except("wanted", "tokens")) == 0)
+    best = F.max_by(F.struct("verdict", "rule_id", "confidence", "support"), F.struct("confidence", "support", F.size("wanted").alias("n"), "rule_id"))
     return full.groupBy("url").agg(best.alias("mined"))
 
 
