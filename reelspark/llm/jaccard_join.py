@@ -11,16 +11,18 @@ pivots say nothing; the join works from near pivots inward, and is exact:
   can miss floor(size * e) of its shingles, so a set is replicated to the regions
   of its first floor(size * e) + 1 shingles: linked sets meet in one of them.
 * Inner pivots are documents: in every region its hub (the member of most company)
-  and its smallest node.  The distances to both of all members whose sizes do not
-  rule out a link are computed exactly; members within e are linked.
+  and its smallest node.  The sets' parities (one bit a cell of the hashes) differ in
+  no more cells than the sets in shingles, so they bound a distance from below; where
+  this bound leaves a link possible, and the sizes too, the distance is computed on
+  the whole sets.  Members within e are linked.
 * A region that then still holds several components is joined again, in rings
   around the empty set: sizes of linked sets differ by the factor 1 - e at most, so
   they lie in the same or in neighbouring rings, and members outside the main
   component are replicated to these.  Rings are cut into blocks; in a pair of
   blocks pairs of one component are left out, and pairs that the triangle
-  inequality over either document pivot, the sizes or the distance of the sets'
-  histograms (never larger than that of the sets) rule out.  What remains is
-  checked on the whole sets.
+  inequality over either document pivot (distances known, or known to lie between
+  two bounds), the sizes or the parities rule out.  What remains is checked on the
+  whole sets, so only texts that may have a link are shingled again and shuffled.
 
 Components of the links are all that is asked for, so members of one component are
 not compared with each other; no link between two components is lost.
@@ -63,6 +65,8 @@ SLICE, PIECE, HELD, MEMORY_NODES = 8 << 20, 2 << 20, 8 << 20, 200_000
 
 _A, _R = np.uint64(0x9E3779B97F4A7C15), 0xD1342543DE82EF95
 _KNOWN = [np.zeros(0, np.uint64)] * 2
+#: Bounds of the distances to a region's two document pivots.
+_BOUNDS = ("hub_least", "hub_most", "low_least", "low_most")
 _LOWER = bytes.maketrans(bytes(range(65, 91)) + bytes(range(9, 14)), bytes(range(97, 123)) + b" " * 5)
 
 
@@ -137,14 +141,15 @@ def ranges(size: int, percent: int) -> int:
 
 
 def identities(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text) -> doc_id, node, n_shingles."""
+    """(doc_id, text) -> doc_id, node, n_shingles, cells (parities)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, SLICE):
             sets = shingle_sets(b.column(1).to_pylist(), shingle)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(node_of, sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "node", "n_shingles"])
+            columns = [pa.array(map(node_of, sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s) if len(s) else None for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "node", "n_shingles", "cells"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, n_shingles long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, n_shingles long, cells binary")
 
 
 def _sets_once(batches: Iterator[pa.RecordBatch], at: int, shingle: int) -> Iterator[tuple[list[bytes], list[np.ndarray]]]:
@@ -263,19 +268,41 @@ def folded(cells: list[bytes], width: int) -> np.ndarray:
 
 
 def _sets(texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(text) -> node, size, members (packed shingles), cells (parities) of the wanted nodes."""
+    """(text) -> node, members (packed shingles) of the wanted nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, sets in _sets_once(batches, 0, shingle):
-            cells = [parities(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(cells, pa.binary())], names=["node", "size", "members", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "members"])
 
-    made = texts.mapInArrow(run, "node binary, size long, members binary, cells binary")
-    return made.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node binary, members binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _sides(pairs: DataFrame, told: DataFrame, column: str) -> DataFrame:
+    """(a, b) with the column of both nodes beside them, as x and y."""
+    for c, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(told.select(F.col("node").alias(c), F.col(column).alias(name)), c)
+    return pairs
+
+
+def bounded(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """(a, b, sizes) -> a, b, sizes, differ: in how many cells the parities differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, SLICE):
+            apart = np.zeros(b.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+                both = folded([x, y], min(len(x), len(y)))
+                apart[i] = np.bitwise_count(both[0] ^ both[1]).sum()
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(apart)], names=["a", "b", "sizes", "differ"])
+
+    return _sides(pairs, cells, "cells").select("a", "b", "sizes", "x", "y").mapInArrow(run, "a binary, b binary, sizes long, differ long")
+
+
+def measured(pairs: DataFrame, docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """(a, b) -> a, b, shared, size_a, size_b: the exact intersection of the sets."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    nodes = staged(nodes, "join-nodes")
+    sets = staged(_sets(_texts(docs, ids, nodes), nodes, shingle), "join-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, SLICE):
@@ -285,10 +312,7 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 names=["a", "b", "shared", "size_a", "size_b"],
             )
 
-    sides = pairs
-    for c in ("a", "b"):
-        sides = sides.join(sets.select(F.col("node").alias(c), F.col("members").alias(f"m_{c}")), c)
-    return sides.select("a", "b", "m_a", "m_b").mapInArrow(run, "a binary, b binary, shared long, size_a long, size_b long")
+    return _sides(pairs.select("a", "b"), sets, "members").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, shared long, size_a long, size_b long")
 
 
 def _linked(pairs: DataFrame, percent: int) -> DataFrame:
@@ -305,16 +329,16 @@ def _near_sizes(x: str, y: str, percent: int) -> Column:
 
 
 def _unpacked(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
-    """Columns of a packed block: nodes, roots (two numbers each), parities, sizes and distances."""
+    """Columns of a packed block: nodes, roots (two numbers each), parities, sizes and bounds of distances."""
     node, root, cells = (rows.field(c).to_pylist() for c in ("node", "root", "cells"))
     roots = np.frombuffer(b"".join(root), np.uint64).reshape(len(root), -1)
-    numbers = [rows.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("size", "to_hub", "to_low")]  # null: nan
+    numbers = [rows.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("size", *_BOUNDS)]  # null: nan
     return np.array(node, object), roots, cells, *numbers
 
 
 def ring_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """(key, node, root, main, size, cells, to_hub, to_low) -> pairs (a, b) of different
-    components that nothing rules out; distances are exact, or null if not measured.
+    """(key, node, root, main, size, cells and bounds of the distances to hub and low) -> pairs
+    (a, b) of different components that nothing rules out; unknown bounds are null.
 
     A ring takes sizes up to the factor 1 - e apart; members outside the region's main
     component ask their ring and both beside it.
@@ -323,7 +347,7 @@ def ring_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
     seat = members.withColumn("ring", F.floor(F.log(F.col("size")) / F.lit(np.log(100 / percent) + 1e-9)).cast("int"))
     sizes = seat.groupBy("key", "ring").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     seat = seat.join(sizes, ["key", "ring"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    packed = F.collect_list(F.struct("node", "root", "size", "cells", "to_hub", "to_low"))  # about ``block`` rows
+    packed = F.collect_list(F.struct("node", "root", "size", "cells", *_BOUNDS))  # about ``block`` rows
     met = seat.groupBy("key", "ring", "block", "blocks").agg(packed.alias("ours"))
     asks = seat.filter("root <> main").groupBy("key", "ring", "block").agg(packed.alias("asked"))
     asks = asks.withColumn("ring", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)))
@@ -335,10 +359,11 @@ def ring_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
             for i in range(b.num_rows):
                 node, root, cells, *at = _unpacked(b.column(0)[i].values)
                 q_node, q_root, q_cells, *q_at = _unpacked(b.column(1)[i].values)
-                (size, hub, low), (q_size, q_hub, q_low) = ([x[None, :] for x in at], [x[:, None] for x in q_at])
+                (size, *known), (q_size, *q_known) = ([x[None, :] for x in at], [x[:, None] for x in q_at])
                 could = (root[None] != q_root[:, None]).any(axis=2)
                 could &= 100 * np.minimum(size, q_size) >= percent * np.maximum(size, q_size)
-                could &= ~(np.abs(hub - q_hub) > near) & ~(np.abs(low - q_low) > near)  # nan: not measured
+                for least, most in ((0, 1), (2, 3)):  # nan: not known
+                    could &= ~(known[least] - q_known[most] > near) & ~(q_known[least] - known[most] > near)
                 asked, ours = np.nonzero(could)
                 width = min(map(len, [*cells, *q_cells]))
                 ours_at, asked_at = folded(cells, width), folded(q_cells, width)
@@ -357,26 +382,32 @@ def linked_components(docs: DataFrame, ids: DataFrame, percent: int = PERCENT, s
     """(doc_id, text) and their identities -> (node, root): components of the links, for
     every set but the smallest node of its component and those without a link."""
     members = regions(memberships(docs, percent, shingle))
-    wanted = members.select("node").distinct()
-    sets = staged(_sets(_texts(docs, ids, wanted), wanted, shingle), "join-sets")
+    cells = staged(ids.filter(F.col("node").isNotNull()).select("node", "cells").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "join-cells")
     size = members.select("node", "size").distinct()
     led = members.select("key", "node", "size", F.explode(F.array("hub", "low")).alias("pivot")).filter("node <> pivot")
     led = led.join(size.select(F.col("node").alias("pivot"), F.col("size").alias("pivot_size")), "pivot").filter(_near_sizes("size", "pivot_size", percent))
-    seen = staged(measured(led.select(*_ordered("node", "pivot")).distinct(), sets), "join-measured")
+    led = led.select(*_ordered("node", "pivot"), (F.col("size") + F.col("pivot_size")).alias("sizes")).distinct()
+    told = staged(bounded(led, cells), "join-bounded")
+    open_pairs = (100 - percent) * F.col("sizes") >= (100 + percent) * F.col("differ")
+    seen = staged(measured(told.filter(open_pairs).select("a", "b"), docs, ids, shingle), "join-measured")
     roots = merged(None, _linked(seen, percent))
-    away = seen.select("a", "b", (1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("d"))
+    exact = 1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
+    least = 2 * F.col("differ") / (F.col("sizes") + F.col("differ"))
+    away = seen.select("a", "b", exact.alias("least"), exact.alias("most")).unionByName(told.filter(~open_pairs).select("a", "b", least.alias("least"), F.lit(1.0).alias("most")))
     several = Window.partitionBy("key")
     # of two members hub and low are the pair itself
     placed = members.filter("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = placed.withColumn("first", F.min("root").over(several)).withColumn("last", F.max("root").over(several)).filter("first <> last").drop("first", "last")
     placed = staged(placed.withColumn("main", F.max(F.when(F.col("node") == F.col("hub"), F.col("root"))).over(several)), "join-open")
     for pivot in ("hub", "low"):
-        d = away.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("d").alias(f"to_{pivot}"))
+        d = away.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "least", "most")
         placed = placed.join(d, (F.greatest("node", pivot) == F.col("_a")) & (F.least("node", pivot) == F.col("_b")), "left").drop("_a", "_b")
-        placed = placed.withColumn(f"to_{pivot}", F.when(F.col("node") == F.col(pivot), 0.0).otherwise(F.col(f"to_{pivot}")))
-    placed = placed.join(sets.select("node", "cells"), "node")
+        for bound in ("least", "most"):
+            placed = placed.withColumn(f"{pivot}_{bound}", F.when(F.col("node") == F.col(pivot), 0.0).otherwise(F.col(bound))).drop(bound)
+    placed = placed.join(cells, "node")
     more = ring_pairs(placed, percent, BLOCK).join(seen.select("a", "b"), ["a", "b"], "left_anti")
-    return merged(roots, staged(_linked(measured(more, sets), percent), "join-more"))
+    more = staged(more, "join-pairs")
+    return merged(roots, staged(_linked(measured(more, docs, ids, shingle), percent), "join-more"))
 
 
 def linked_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
