@@ -15,8 +15,8 @@ pivots say nothing; the join works from near pivots inward, and is exact:
   no more cells than the sets in shingles, so they bound a distance from below; where
   this bound leaves a link possible, and the sizes too, the distance is computed on
   the whole sets.  Members within e are linked.
-* A region that then still holds several components is joined again, in rings
-  around the empty set: sizes of linked sets differ by the factor 1 - e at most, so
+* A region that then still holds several components is joined again, a large one in
+  rings around the empty set: sizes of linked sets differ by the factor 1 - e at most, so
   they lie in the same or in neighbouring rings, and members outside the main
   component are replicated to these.  Rings are cut into blocks; in a pair of
   blocks pairs of one component are left out, and pairs that the triangle
@@ -337,22 +337,24 @@ def _unpacked(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
 
 
 def ring_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """(key, node, root, main, size, cells and bounds of the distances to hub and low) -> pairs
+    """(key, n, node, root, main, size, cells and bounds of the distances to hub and low) -> pairs
     (a, b) of different components that nothing rules out; unknown bounds are null.
 
-    A ring takes sizes up to the factor 1 - e apart; members outside the region's main
+    A region of ``block`` members at most meets itself as it is.  In the others a ring
+    takes sizes up to the factor 1 - e apart; members outside the region's main
     component ask their ring and both beside it.
     """
     near = (100 - percent) / 100 + 1e-9
-    seat = members.withColumn("ring", F.floor(F.log(F.col("size")) / F.lit(np.log(100 / percent) + 1e-9)).cast("int"))
+    packed = F.collect_list(F.struct("node", "root", "size", "cells", *_BOUNDS))  # about ``block`` rows
+    small = members.filter(F.col("n") <= block).groupBy("key").agg(packed.alias("ours")).select("ours", F.col("ours").alias("asked"))
+    seat = members.filter(F.col("n") > block).withColumn("ring", F.floor(F.log(F.col("size")) / F.lit(np.log(100 / percent) + 1e-9)).cast("int"))
     sizes = seat.groupBy("key", "ring").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     seat = seat.join(sizes, ["key", "ring"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    packed = F.collect_list(F.struct("node", "root", "size", "cells", *_BOUNDS))  # about ``block`` rows
     met = seat.groupBy("key", "ring", "block", "blocks").agg(packed.alias("ours"))
     asks = seat.filter("root <> main").groupBy("key", "ring", "block").agg(packed.alias("asked"))
     asks = asks.withColumn("ring", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)))
     asks = asks.join(sizes, ["key", "ring"]).select("key", "ring", "asked", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    both = asks.join(met, ["key", "ring", "block"]).select("ours", "asked")
+    both = asks.join(met, ["key", "ring", "block"]).select("ours", "asked").unionByName(small)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
