@@ -232,6 +232,10 @@ _BODIES: dict[str, str] = {
     "genres_top12": f"SELECT genre FROM listed ORDER BY genre NULLS FIRST LIMIT {Q.TOP_GENRES}",
     "search_title": f"SELECT movieId, title, genres FROM movies WHERE {_SEARCH_PRED} "
     f"ORDER BY movieId NULLS FIRST, title NULLS FIRST, genres NULLS FIRST LIMIT {Q.LIMIT}",
+    "search_title_indexed": f"SELECT movieId, title, genres FROM movies WHERE {_SEARCH_PRED} "
+    f"ORDER BY movieId NULLS FIRST, title NULLS FIRST, genres NULLS FIRST LIMIT {Q.LIMIT}",
+    "search_phrase_indexed": f"SELECT movieId, title, genres FROM movies WHERE contains(title, {_lit(Q.PHRASE)}) "
+    f"ORDER BY movieId NULLS FIRST, title NULLS FIRST, genres NULLS FIRST LIMIT {Q.LIMIT}",
     "search_title_count": f"SELECT *, count(*) OVER () AS \"count\" FROM (SELECT movieId, title, genres FROM movies "
     f"WHERE {_SEARCH_PRED} ORDER BY movieId NULLS FIRST, title NULLS FIRST, genres NULLS FIRST LIMIT {Q.LIMIT})",
     "genre_movies_title": _genre_movies(f"contains(genres, {_GENRE})", "title NULLS FIRST, movieId NULLS FIRST, genres NULLS FIRST"),

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelspark.operators import catalog, dense_ids, display, model, prepare, profile, pruned, rating_state, recommend
+from reelspark.operators import catalog, dense_ids, display, model, prepare, profile, pruned, rating_state, recommend, title_index
 from reelspark.session import app_key, ensure_checkpoint_dir, sf_path
 from reelspark.sources import fixtures as fx
 from reelspark.sources import quarantine
@@ -24,6 +24,7 @@ from reelspark.sources.schemas import RATINGS_SCHEMA
 
 # query parameters (shared with the oracle SQL)
 SEARCH_QUERY = "red"
+PHRASE = " (a.k.a. Brand#1"
 GENRE = "Brand#1"
 MOVIE_ID = 42
 LIMIT = 20
@@ -184,6 +185,22 @@ def q_search_title_count(spark, sf):
     return catalog.with_result_count(catalog.search_titles(_movies(spark, sf), SEARCH_QUERY, LIMIT))
 
 
+def _indexed_search(spark, sf, query: str):
+    folder = f"{ensure_checkpoint_dir(spark)}/titles-{uuid.uuid4().hex}"
+    title_index.build(_movies(spark, sf), folder)
+    return title_index.search(spark, folder, query, LIMIT)
+
+
+def q_search_title_indexed(spark, sf):
+    """``search_title`` through the trigram index instead of a scan of all titles."""
+    return _indexed_search(spark, sf, SEARCH_QUERY)
+
+
+def q_search_phrase_indexed(spark, sf):
+    """A longer string: several posting lists whose places must fit together."""
+    return _indexed_search(spark, sf, PHRASE)
+
+
 def q_genre_movies_title(spark, sf):
     return catalog.movies_by_genre(_movies(spark, sf), GENRE, LIMIT, "title")
 
@@ -471,6 +488,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "genres_top12": q_genres_top12,
     "search_title": q_search_title,
     "search_title_count": q_search_title_count,
+    "search_title_indexed": q_search_title_indexed,
+    "search_phrase_indexed": q_search_phrase_indexed,
     "genre_movies_title": q_genre_movies_title,
     "genre_movies_year": q_genre_movies_year,
     "genre_movies_exact": q_genre_movies_exact,
