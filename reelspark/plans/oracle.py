@@ -195,6 +195,12 @@ def _topn(key: str, other: str, where: str = "") -> str:
     )
 
 
+def _trigrams(title: str) -> str:
+    """The distinct trigrams of a folded title, two blanks around it."""
+    text = f"('  ' || translate({title}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '  ')"
+    return f"list_distinct(list_transform(range(1, length({text}) - 1), lambda i: substr({text}, i, 3)))"
+
+
 _BODIES: dict[str, str] = {
     "row_counts": "SELECT 'ratings' AS table_name, count(*) AS num_rows FROM ratings_n "
     "UNION ALL SELECT 'movies', count(*) FROM movies",
@@ -287,6 +293,27 @@ _BODIES: dict[str, str] = {
     f"lambda g: g <> {_SENT}), '|') AS genre_tags FROM movies",
     "lookup_key": f"SELECT movieId, trim(split_part(title, '(', 1), {_WS}) AS lookup_key FROM movies",
     "enriched_display": "SELECT * FROM enriched",
+    "inexact_lookup": f"""
+, wrong AS (
+  SELECT movieId, CASE movieId % 4 WHEN 0 THEN substr(k, 1, 2) || substr(k, 4) WHEN 1 THEN k || 'es'
+    WHEN 2 THEN 'The ' || k ELSE translate(k, 'ae', 'ea') END AS wrong_title
+  FROM (SELECT movieId, trim(split_part(title, '(', 1), {_WS}) AS k FROM movies)
+),
+asked AS (SELECT DISTINCT wrong_title, {_trigrams('wrong_title')} AS qg FROM wrong WHERE wrong_title <> ''),
+known AS (SELECT query_title, tmdb_id, {_trigrams('query_title')} AS tg FROM best WHERE query_title <> ''),
+pairs AS (
+  SELECT wrong_title, query_title, tmdb_id, shared, len(qg) + len(tg) - shared AS either
+  FROM (SELECT *, len(list_intersect(qg, tg)) AS shared FROM asked JOIN known
+        ON 100 * least(len(qg), len(tg)) >= {Q.LEAST_LIKE} * greatest(len(qg), len(tg)))
+),
+near AS (
+  SELECT *, CAST(shared AS DOUBLE) / either AS score,
+    row_number() OVER (PARTITION BY wrong_title ORDER BY CAST(shared AS DOUBLE) / either DESC, query_title) AS rank
+  FROM pairs WHERE 100 * shared >= {Q.LEAST_LIKE} * either
+)
+SELECT w.movieId, w.wrong_title, n.query_title, n.score, n.tmdb_id
+FROM wrong w LEFT JOIN (SELECT * FROM near WHERE rank = 1) n ON w.wrong_title = n.wrong_title
+""",
     "movie_details": f"SELECT * FROM enriched WHERE movieId = {Q.MOVIE_ID} "
     "ORDER BY title NULLS FIRST, genres NULLS FIRST LIMIT 1",
     "search_display": f"SELECT * FROM enriched WHERE {_SEARCH_PRED} "

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelspark.operators import catalog, dense_ids, display, model, prepare, profile, pruned, rating_state, recommend, title_index
+from reelspark.operators import catalog, dense_ids, display, inexact, model, prepare, profile, pruned, rating_state, recommend, title_index
 from reelspark.session import app_key, ensure_checkpoint_dir, sf_path
 from reelspark.sources import fixtures as fx
 from reelspark.sources import quarantine
@@ -37,6 +37,7 @@ PREVIEW_N = 5
 TIME_ZONE = "UTC"
 HOME_N = 12
 DETAILS_SIMILAR = 8
+LEAST_LIKE = 60
 USER_ID = 1
 SUBSET_STEP = 10
 BATCHES = 3
@@ -275,6 +276,19 @@ def q_enriched_display(spark, sf):
     return display.enrich(_movies(spark, sf), fx.metadata(spark, sf))
 
 
+def q_inexact_lookup(spark, sf):
+    """Every movie's lookup title misspelt, and the search result of the title most like it."""
+    k, branch = F.col("lookup_key"), F.col("movieId") % 4
+    wrong = (
+        F.when(branch == 0, F.concat(F.substring(k, 1, 2), F.substring(k, 4, 1000000)))
+        .when(branch == 1, F.concat(k, F.lit("es")))
+        .when(branch == 2, F.concat(F.lit("The "), k))
+        .otherwise(F.translate(k, "ae", "ea"))
+    )
+    m = display.with_lookup_key(_movies(spark, sf)).select("movieId", wrong.alias("wrong_title"))
+    return inexact.with_closest_metadata(m, fx.metadata(spark, sf), "wrong_title", LEAST_LIKE)
+
+
 # --- page-level compositions (each reference route's data, display-ready) ---
 
 
@@ -507,6 +521,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "genre_tags": q_genre_tags,
     "lookup_key": q_lookup_key,
     "enriched_display": q_enriched_display,
+    "inexact_lookup": q_inexact_lookup,
     "movie_details": q_movie_details,
     "search_display": q_search_display,
     "home_display": q_home_display,

@@ -1,0 +1,75 @@
+"""Inexact titles against all pairs in plain Python."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from reelspark.operators import inexact
+
+EDGES = ["", None, "a", "A", "b", "aa", "aaaa", "aaaaaaaaaaaa", "The Matrix", "the matrix", "Matrix, The", "The Matrx", "The  Matrix ", "naïve film", "naive film", "\U0001f3ac\U0001f3ac", "\U0001f3ac", "x" * 300, "x" * 299 + "y", "'; % _ \\"]
+
+
+def _set(t):
+    p = "  " + "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t) + "  "
+    return {p[i : i + 3] for i in range(len(p) - 2)}
+
+
+def _plain(queries, titles, percent, n):
+    out = []
+    for q in {q for q in queries if q}:
+        found = []
+        for t in {t for t in titles if t}:
+            a, b = _set(q), _set(t)
+            if 100 * len(a & b) >= percent * len(a | b):
+                found.append((-(len(a & b) / len(a | b)), t.encode(), t))
+        out += [(q, i + 1, t, -s) for i, (s, _, t) in enumerate(sorted(found)[:n])]
+    return sorted(out)
+
+
+def _frame(spark, values):
+    return spark.createDataFrame([(v,) for v in values], "t string")
+
+
+def _misspelt(rng, text):
+    i = rng.randrange(len(text))
+    return rng.choice([text[:i] + text[i + 1 :], text[:i] + "q" + text[i:], text[:i] + text[i + 1 : i + 2] + text[i : i + 1] + text[i + 2 :], text.upper(), "The " + text])
+
+
+@pytest.mark.parametrize("percent,n", [(1, 3), (50, 2), (70, 1), (100, 5)])
+def test_closest_titles_equal_all_pairs(spark, percent, n):
+    rng = random.Random(percent)
+    words = ["red", "green", "blue", "great", "house", "mouse", "hours", "of", "the", "night", "light"]
+    titles = EDGES + [" ".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(120)]
+    queries = EDGES + [m for t in titles[20:70] if (m := _misspelt(rng, t))] * 2
+    got = inexact.closest(_frame(spark, queries), _frame(spark, titles), percent, n)
+    assert sorted(map(tuple, got.collect())) == _plain(queries, titles, percent, n)
+
+
+def test_empty_sides_and_bad_thresholds(spark):
+    some, none = _frame(spark, ["one title"]), _frame(spark, [])
+    for a, b in ((some, none), (none, some), (none, none)):
+        assert inexact.closest(a, b).collect() == []
+    for bad in (0, 101):
+        with pytest.raises(ValueError):
+            inexact.closest(some, some, bad)
+    with pytest.raises(ValueError):
+        inexact.closest(some, some, 70, -1)
+
+
+def test_metadata_of_the_closest_title(spark):
+    fields = "query_title string, result_rank int, tmdb_id long, overview string, release_date string, vote_average double, vote_count long, popularity double, poster_path string"
+    row = lambda title, rank, tmdb: (title, rank, tmdb, None, None, None, None, None, None)
+    metadata = spark.createDataFrame([row("The Matrix", 2, 5), row("The Matrix", 1, 9), row("Toy Story", 1, 3), row(None, 1, 1)], fields)
+    df = spark.createDataFrame([(1, "the matrx", "a"), (2, "Toy Story", "b"), (2, "Toy Story", "b"), (3, "unlike", "c"), (4, None, "d")], "movieId int, key string, title string")
+    got = inexact.with_closest_metadata(df, metadata, "key", 50)
+    assert got.columns == ["movieId", "key", "title", "query_title", "score", "tmdb_id"]
+    rows = sorted(map(tuple, got.drop("score").collect()))
+    assert rows == [(1, "the matrx", "a", "The Matrix", 9), (2, "Toy Story", "b", "Toy Story", 3), (2, "Toy Story", "b", "Toy Story", 3), (3, "unlike", "c", None, None), (4, None, "d", None, None)]
+    assert got.filter(F.col("key") == "Toy Story").first().score == 1.0
+
+
+def test_no_pair_product_in_the_plan(spark):
+    one = _frame(spark, ["a title"])
+    plan = inexact.closest(one, one)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
