@@ -3,10 +3,10 @@
 The others are cut into buckets of falling norm.  By Cauchy-Schwarz a key k scores at
 most |k| * b in a bucket whose largest norm is b, so once the key's running n-th
 score is above that, this bucket and all after it are skipped whole.  Buckets are
-worked off in waves of 1, 2, 4, ... buckets: in each wave a key goes only to the
-buckets that its bound still allows, block pairs are scored as in
-:mod:`reelspark.operators.recommend`, and the running lists are merged.  Keys are
-dealt to blocks by how far they have to go, so that a block's keys go the same way.
+worked off in waves of 1, 2, 4, ... buckets: a key takes part in a wave only if its
+bound still allows the wave's first bucket, block pairs are scored as in
+:mod:`reelspark.operators.recommend`, and the running lists are merged.  A key brings
+its n-th score so far, so that within the wave it skips all that cannot reach it.
 
 The result equals :func:`recommend.top_n` row for row: a bucket is skipped only if its
 bound (with room for rounding) is below the n-th score, so ties are kept.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from reelspark.operators import recommend
 from reelspark.operators.staging import staged
 
-#: Others in a bucket (its rows may be more where norms tie: then it has several blocks), buckets at most.
+#: Others in a bucket (its rows may be more where norms tie), buckets at most.
 BUCKET_ROWS, MAX_BUCKETS = 1_024, 256
 
 
@@ -52,22 +52,19 @@ def pruned_top_n(
     keys: DataFrame, others: DataFrame, n: int = 10, key: str = "userId", other: str = "movieId", bucket_rows: int = BUCKET_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """Factor tables -> (the nested top-N of :func:`recommend.top_n`, the work of each
-    wave: wave, buckets, keys, pairs, all_pairs).  Keys without features score 0."""
+    wave: wave, buckets, keys, pairs that the norms allow, all_pairs).  Keys without features score 0."""
     spark = keys.sparkSession
     n = int(n)
     dealt, tops, rows = norm_buckets(others, bucket_rows)
     empty = spark.createDataFrame([], "wave int, buckets int, keys long, pairs long, all_pairs long")
     if n <= 0 or not sum(rows):
         return recommend.top_n(keys, others, n, key, other), empty
-    # every bucket is cut into blocks of about the size of a bucket
-    blocks = [max(1, -(-r // bucket_rows)) for r in rows]
-    count = F.element_at(F.array(*map(F.lit, blocks)), F.col("bucket") + 1)
-    parts = dealt.select("bucket", F.pmod(F.xxhash64("id"), count).cast("int").alias("part"), F.struct("id", "features").alias("row"))
-    offered = staged(parts.groupBy("bucket", "part").agg(F.sort_array(F.collect_list("row")).alias("others")), "norm-blocks")
+    offered = staged(dealt.select("id", "features", "bucket"), "norm-buckets")
     asked = staged(keys.select("id", "features", _norm(F.col("features")).alias("norm")), "norm-keys")
+    n_asked = asked.count()
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     best, work, first, width, wave = None, [], 0, 1, 0
-    size = spark.createDataFrame([(b, r, p) for b, (r, p) in enumerate(zip(rows, blocks, strict=True))], "bucket int, rows long, parts int")  # a row a bucket
+    size = spark.createDataFrame(list(enumerate(rows)), "bucket int, rows long")  # a row a bucket
     while first < len(tops):
         last = min(len(tops), first + width)
         if best is None:
@@ -76,25 +73,21 @@ def pruned_top_n(
             nth = best.groupBy(F.col(key).alias("id")).agg(F.when(F.count("*") >= n, F.min("score")).alias("least"))
             reach = asked.join(nth, "id", "left")
         reach = reach.withColumn("reach", F.least(_reach(F.col("norm"), F.col("least"), tops), F.lit(last))).filter(F.col("reach") > first)
-        reach = staged(reach.select("id", "features", "reach"), "norm-reach")
+        reach = staged(reach.select("id", "features", F.coalesce("least", F.lit(float("-inf"))).alias("least"), "reach"), "norm-reach")
         n_keys = reach.count()
         if not n_keys:  # norms only fall from here on
             break
-        key_blocks = max(1, -(-n_keys // recommend.KEY_BLOCK_ROWS), min(-(-n_keys // recommend.LEAST_KEY_ROWS), wide))
-        packed = reach.groupBy("reach", F.pmod(F.xxhash64("id"), F.lit(key_blocks)).alias("kb")).agg(F.sort_array(F.collect_list(F.struct("id", "features"))).alias("keys"))
-        pairs = packed.select("keys", "kb", "reach", F.explode(F.sequence(F.lit(first), F.col("reach") - 1)).alias("bucket")).join(F.broadcast(size), "bucket")
-        pairs = pairs.select("keys", "kb", "reach", "bucket", "rows", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        tasks = max(2 * wide, -(-sum(blocks[first:last]) * key_blocks // recommend.PAIRS_PER_TASK))
-        met = pairs.repartition(tasks, "bucket", "part", "kb", "reach").join(offered.filter(F.col("bucket").between(first, last - 1)), ["bucket", "part"])
-        found = met.select("keys", "others").mapInArrow(recommend.score_pairs(n, key, other), f"{key} int, {other} int, score double")
+        counts = recommend.block_counts(n_keys, sum(rows[first:last]), wide)
+        wave_rows = offered.filter(F.col("bucket").between(first, last - 1)).select("id", "features")
+        found = recommend.found_in_pairs(reach.drop("reach"), wave_rows, n, key, other, *counts)
         done = reach.select(F.explode(F.sequence(F.lit(first), F.col("reach") - 1)).alias("bucket")).groupBy("bucket").count().join(size, "bucket")
         scored = done.agg(F.sum(F.col("count") * F.col("rows"))).first()[0] or 0
-        work.append((wave, last - first, n_keys, int(scored), int(asked.count()) * sum(rows[first:last])))
+        work.append((wave, last - first, n_keys, int(scored), n_asked * sum(rows[first:last])))
         every = found if best is None else best.unionByName(found)
         order = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col(other).asc())
         best = staged(every.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank"), "norm-best")
         first, width, wave = last, 2 * width, wave + 1
-    skipped = sum(rows[first:]) * asked.count() if first < len(tops) else 0
+    skipped = sum(rows[first:]) * n_asked if first < len(tops) else 0
     if skipped:
         work.append((wave, len(tops) - first, 0, 0, int(skipped)))
     return recommend.nested(best, n, key, other), spark.createDataFrame(work, empty.schema)

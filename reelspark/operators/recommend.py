@@ -1,19 +1,26 @@
 """Top-N recommendation from factor tables, unnesting and catalog join.
 
-Exact top-N has to score every (key, other) pair.  One plan serves every size:
-both factor tables are dealt by a hash of the id to blocks of bounded size, each
-block is one packed row, and every pair of a key block and an other block is a row
-of its own, dealt to the tasks by the pair's number: an explicit partition count
-follows the pairs, so all cores score whichever side is the larger.  At most N rows
-per key leave a pair; Spark merges them with a window that it cuts to N before the
-shuffle.
-
-A matrix product (``mapInArrow``) names the candidates of a pair, with a margin for
+Exact top-N has to look at every (key, other) pair, but not to score it.  One plan
+serves every size: both factor tables are dealt by a hash of the id to blocks of
+bounded size, each block is one packed row, and every pair of a key block and an other
+block is a row of its own, dealt to the tasks by the pair's number: an explicit
+partition count follows the pairs, so all cores score whichever side is the larger.
+Blocks are large, so that few copies of them travel.  At most N rows per key leave a
+pair; Spark merges them with a window that it cuts to N before the shuffle.
+
+Within a block, halving along the widest coordinate puts neighbours together in leaves
+of bounded size.  The box of a leaf bounds every score in it: the sum over the rank of
+the larger product with a corner, added in the order in which scores are added, so that
+rounding cannot lift a score above its bound.  Leaves are worked off by falling bound,
+a leaf of keys at a time, and a key skips the leaves that its N-th score so far rules
+out (at a tie: those that have no smaller id).
+
+A matrix product (``mapInArrow``) names the candidates of some leaves, with a margin for
 its rounding; only these are scored again, as sums of the rank's products in the
 order of the rank, in float64.  So a score does not depend on how the tables are cut
 into blocks.  The order is score descending, then the smaller id, within blocks and
 between them.  Nothing is collected or broadcast by hand; the only driver-side
-figures are two counts.
+figures are counts.
 
 Rows that a key has seen can be left out: they travel with their block pair, packed,
 and are masked before the cut, so that N unseen ones remain.
@@ -29,16 +36,19 @@ from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspark.operators.staging import staged
 from reelspark.session import ensure_checkpoint_dir, spark_context
 
-#: Largest blocks, and the smallest that keys are cut to for the sake of more tasks.
-KEY_BLOCK_ROWS = 4_096
-OTHER_BLOCK_ROWS = 4_096
-LEAST_KEY_ROWS = 256
-#: Pairs wanted for each shuffle partition, pairs that a task scores at most.
-PAIRS_PER_PARTITION, PAIRS_PER_TASK = 4, 64
+#: Largest blocks, and the smallest that rows are cut to for the sake of more tasks.
+KEY_BLOCK_ROWS, OTHER_BLOCK_ROWS = 1 << 18, 1 << 19
+LEAST_KEY_ROWS, LEAST_OTHER_ROWS = 256, 4_096
+#: Rows of a leaf on either side.
+KEY_LEAF, OTHER_LEAF = 256, 512
+#: Pairs wanted for each shuffle partition, pairs that a task scores at most, seen rows that a pair holds on average at most.
+PAIRS_PER_PARTITION, PAIRS_PER_TASK, SEEN_PER_PAIR = 2, 8, 1 << 21
 #: Scores held at once, and the share of |key| * |other| that rounding can move a matrix product by.
-SCORE_CELLS, ROUNDING = 1 << 20, 1e-13
+SCORE_CELLS, ROUNDING = 1 << 18, 1e-13
+_LAST_ID, _LEAST_SCORE = np.iinfo(np.int64).max, np.finfo(np.float64).min
 
 
 def _check_n(n: int) -> int:
@@ -47,16 +57,61 @@ def _check_n(n: int) -> int:
     return int(n)
 
 
-def _blocks(factors: DataFrame, count: int, name: str) -> DataFrame:
-    """(id, features) -> one packed row a block: block and its rows by id, as ``name``."""
-    dealt = factors.select(F.pmod(F.xxhash64("id"), F.lit(count)).alias("block"), F.struct("id", "features").alias("row"))
-    return dealt.groupBy("block").agg(F.sort_array(F.collect_list("row")).alias(name))  # of bounded size
-
-
-def unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+def leaf_order(ids: np.ndarray, features: np.ndarray, leaf: int) -> np.ndarray:
+    """The order of rows in which every ``leaf`` rows in turn are neighbours; equal rows by id."""
+    order, parts, done = np.argsort(ids, kind="stable"), [(0, len(ids))], []
+    while parts:
+        lo, hi = parts.pop()
+        if hi - lo <= leaf:
+            continue
+        here = features[order[lo:hi]]
+        spread = here.max(axis=0, initial=-np.inf) - here.min(axis=0, initial=np.inf)
+        if not (spread > 0).any():
+            done.append((lo, hi))
+            continue
+        half = leaf * (-(-(hi - lo) // leaf) // 2)
+        order[lo:hi] = order[lo:hi][np.argpartition(here[:, int(np.argmax(spread))], half)]
+        parts += [(lo, lo + half), (lo + half, hi)]
+    for lo, hi in done:
+        order[lo:hi] = order[lo:hi][np.argsort(ids[order[lo:hi]], kind="stable")]
+    return order
+
+
+def _width(factors: DataFrame) -> str:
+    """The number format of packed features."""
+    return "<f8" if factors.schema["features"].dataType.elementType.typeName() == "double" else "<f4"
+
+
+def packed_blocks(dealt: DataFrame, count: int, name: str, leaf: int, by: str = "block") -> DataFrame:
+    """(block, id, features, more doubles) -> one packed row a block, its rows by leaf, as ``name``."""
+    width = _width(dealt)
+    more = [c for c in dealt.columns if c not in (by, "id", "features")]
+
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        ids = rows["id"].to_numpy()
+        features = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in rows["features"].chunks]).astype(width).reshape(len(ids), -1)
+        order = leaf_order(ids, features, leaf)
+        cells = {"ids": ids[order].astype("<i4"), "features": features[order], **{c: rows[c].to_numpy()[order].astype("<f8") for c in more}}
+        packed = pa.StructArray.from_arrays([pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in cells.values()], names=list(cells))
+        return pa.table({by: rows[by][:1], name: packed})
+
+    fields = ", ".join(f"{c}: binary" for c in ("ids", "features", *more))
+    # groups of bounded size; a count of partitions that is asked for stays as it is
+    return dealt.repartition(count, by).groupBy(by).applyInArrow(pack, f"{by} bigint, {name} struct<{fields}>")
+
+
+def _blocks(factors: DataFrame, count: int, name: str, leaf: int) -> DataFrame:
+    """(id, features) -> one packed row a block: block and its rows, as ``name``."""
+    more = [c for c in factors.columns if c not in ("id", "features")]
+    dealt = factors.select(F.pmod(F.xxhash64("id"), F.lit(count)).alias("block"), "id", "features", *more)
+    return packed_blocks(dealt, count, name, leaf)
+
+
+def unpacked(block: pa.StructScalar, width: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids and features (a row each, float64) of a packed block."""
-    ids = rows.field("id").to_numpy()
-    return ids, rows.field("features").flatten().to_numpy().astype("<f8").reshape(len(ids), -1)
+    ids = np.frombuffer(block["ids"].as_buffer(), "<i4")
+    return ids, np.frombuffer(block["features"].as_buffer(), width).astype("<f8").reshape(len(ids), -1)
 
 
 def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -67,46 +122,185 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_of_block(keys: np.ndarray, others: np.ndarray, ids: np.ndarray, n: int, seen: tuple[np.ndarray, np.ndarray] | None = None):
+def best_of_block(
+    keys: np.ndarray, others: np.ndarray, ids: np.ndarray, n: int, seen: tuple[np.ndarray, np.ndarray] | None = None, least: np.ndarray | None = None
+):
     """(row, column, score) of the n best others of each key: score descending, then
-    smaller id.  ``seen``: rows and columns that do not count.
+    smaller id.  ``seen``: rows and columns that do not count; ``least``: a score for each
+    key below which nothing is wanted.
 
     Everything that could tie with the n-th score is ordered exactly before the cut.
     """
     rough = keys @ others.T
     if seen is not None:
         rough[seen] = -np.inf
-    n = min(n, rough.shape[1])
-    cut = np.partition(rough, rough.shape[1] - n, axis=1)[:, rough.shape[1] - n]
+    wanted, n, width = n, min(n, rough.shape[1]), rough.shape[1]
     norms = np.sqrt((keys * keys).sum(axis=1)) * np.sqrt((others * others).sum(axis=1).max(initial=0.0))
-    row, col = np.nonzero((rough >= (cut - ROUNDING * keys.shape[1] * norms)[:, None]) & (rough > -np.inf))
+    room = ROUNDING * keys.shape[1] * norms
+    cut = np.full(len(keys), -np.inf) if least is None else least
+    at = np.flatnonzero(rough >= np.maximum(cut - room, _LEAST_SCORE)[:, None])  # row by row
+    row = at // width
+    many = np.flatnonzero(np.bincount(row, minlength=len(rough)) > n)
+    if len(many):
+        part = rough if len(many) == len(rough) else rough[many]
+        nth = np.partition(part, width - n, axis=1)[:, width - n]
+        may = part >= np.maximum(np.maximum(nth, cut[many]) - room[many], _LEAST_SCORE)[:, None]
+        tied = np.flatnonzero(np.count_nonzero(may, axis=1) > 4 * n)
+        if len(tied):  # whole rows are summed exactly; of those tied at the n-th score the smaller ids stay
+            by_id = np.argsort(ids, kind="stable")
+            exact, other = np.zeros((len(tied), width)), others[by_id]
+            for f in range(keys.shape[1]):
+                exact += keys[many[tied], f, None] * other[:, f]
+            exact[~may[tied][:, by_id]] = -np.inf
+            nth = np.partition(exact, width - n, axis=1)[:, width - n, None]
+            level = exact == nth
+            stay = (exact > nth) | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= n))
+            may[tied[:, None], by_id] = stay & (exact > -np.inf)
+        few = np.ones(len(rough), bool)
+        few[many] = False
+        in_part = np.flatnonzero(may)
+        at = np.concatenate([at[few[row]], many[in_part // width] * width + in_part % width])
+    row, col = np.divmod(at, max(1, width))
     score = exact_scores(keys[row], others[col])
-    order = np.lexsort((ids[col], -score, row))
+    row, col, score, _ = _cut(row, col, score, ids[col], wanted)
+    return row, col, score
+
+
+def _cut(row: np.ndarray, col: np.ndarray, score: np.ndarray, ids: np.ndarray, n: int):
+    """The n best of each row, row by row, and their places among them."""
+    order = np.lexsort((ids, -score, row))
     row, col, score = row[order], col[order], score[order]
-    keep = np.arange(len(row)) - np.searchsorted(row, row) < n
-    return row[keep], col[keep], score[keep]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = place < n
+    return row[keep], col[keep], score[keep], place[keep]
+
 
+def _boxes(features: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper corners of the leaves."""
+    starts = np.arange(0, len(features), leaf)
+    return np.minimum.reduceat(features, starts, axis=0), np.maximum.reduceat(features, starts, axis=0)
 
-def score_pairs(n: int, key: str, other: str):
-    """Packed pairs of blocks (and what the keys have seen) -> the n best of each key in each pair."""
+
+def _bounds(key_lo: np.ndarray, key_hi: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """What no score of a key between the corners (a row each) passes in each leaf:
+    the largest products, added as scores are."""
+    out = np.zeros((len(key_lo), len(lo)))
+    for f in range(lo.shape[1]):
+        a, b = key_lo[:, f, None], key_hi[:, f, None]
+        top = np.maximum(a * lo[:, f], a * hi[:, f])
+        out += top if key_lo is key_hi else np.maximum(top, np.maximum(b * lo[:, f], b * hi[:, f]))
+    return out
+
+
+class _Others:
+    """A block of others, ready to be searched."""
+
+    def __init__(self, ids: np.ndarray, features: np.ndarray):
+        self.ids, self.features = ids, features
+        self.lo, self.hi = _boxes(features, OTHER_LEAF)
+        self.first_id = np.minimum.reduceat(ids, np.arange(0, len(ids), OTHER_LEAF)).astype(np.int64)
+
+    def columns(self, leaves: np.ndarray) -> np.ndarray:
+        at = (leaves[:, None] * OTHER_LEAF + np.arange(OTHER_LEAF)).ravel()
+        return at[at < len(self.ids)]
+
+    def best(self, keys: np.ndarray, n: int, known: tuple[np.ndarray, np.ndarray] | None, least: np.ndarray | None):
+        """(row, position, score) of the n best others of each of some neighbouring keys;
+        ``known``: rows and positions that do not count, by position."""
+        m = len(keys)
+        score, at = np.full((m, n), -np.inf), np.full((m, n), -1)
+        floor = np.full(m, -np.inf) if least is None else least
+        cut, cut_id = floor.copy(), np.full(m, _LAST_ID)
+        coarse = _bounds(keys.min(axis=0)[None], keys.max(axis=0)[None], self.lo, self.hi)[0]
+        left, bound, leaves, step, sift = np.lexsort((self.first_id, -coarse)), None, 1, 0, 1
+        left = left[coarse[left] >= cut.min()]
+        while len(left):
+            take, left = left[:leaves], left[leaves:]
+            rows = np.arange(m)
+            if bound is not None:
+                here, bound = bound[:, :leaves], bound[:, leaves:]
+                rows = np.flatnonzero(self._may(here, cut, cut_id, take).any(axis=1))
+                if not len(rows):
+                    continue
+            cols = self.columns(np.sort(take))
+            seen = None if known is None else self._seen(known, rows, m, np.sort(take))
+            r, c, s = best_of_block(keys[rows], self.features[cols], self.ids[cols], n, seen, cut[rows])
+            if len(r):
+                some = np.unique(r)
+                of, place = np.nonzero(at[rows[some]] >= 0)
+                held = rows[some][of], at[rows[some]][of, place], score[rows[some]][of, place]
+                row, col, value = (np.concatenate(x) for x in zip(held, (rows[r], cols[c], s), strict=True))
+                row, col, value, place = _cut(row, col, value, self.ids[col], n)
+                score[row, place], at[row, place] = value, col
+                full = (at[:, -1] >= 0) & (score[:, -1] >= floor)
+                cut = np.where(full, score[:, -1], floor)
+                cut_id = np.where(full, self.ids[at[:, -1]], _LAST_ID)
+            leaves = min(2 * leaves, max(1, SCORE_CELLS // (m * OTHER_LEAF)))
+            if bound is None:
+                left = left[coarse[left] >= cut.min()]
+                bound = _bounds(keys, keys, self.lo[left], self.hi[left])
+            step += 1
+            if step == sift:  # after 1, 2, 4, 8, ... steps: a leaf that no key needs goes
+                may = self._may(bound, cut, cut_id, left).any(axis=0)
+                left, bound, sift = left[may], bound[:, may], 2 * sift
+        row, place = np.nonzero(at >= 0)
+        return row, at[row, place], score[row, place]
+
+    def _may(self, bound: np.ndarray, cut: np.ndarray, cut_id: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """Which keys can still find something in which leaves."""
+        return (bound > cut[:, None]) | ((bound == cut[:, None]) & (self.first_id[leaves] < cut_id[:, None]))
+
+    @staticmethod
+    def _seen(known: tuple[np.ndarray, np.ndarray], rows: np.ndarray, m: int, leaves: np.ndarray):
+        """Known rows and positions as rows and columns of some leaves (in their order; only the last may be short)."""
+        row, position = known
+        slot = np.full(m, -1)
+        slot[rows] = np.arange(len(rows))
+        lo, hi = (np.searchsorted(position, x * OTHER_LEAF) for x in (leaves, leaves + 1))
+        at = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)])
+        shift = np.repeat((np.arange(len(leaves)) - leaves) * OTHER_LEAF, hi - lo)
+        r, c = slot[row[at]], position[at] + shift
+        return r[r >= 0], c[r >= 0]
+
+
+def _known(codes: np.ndarray, k_ids: np.ndarray, o_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and positions of (key, other) codes, by row; unknown ids go."""
+    out = []
+    for ids, part in ((k_ids, codes >> 32), (o_ids, codes.astype("<i4"))):
+        by_id = np.argsort(ids, kind="stable")
+        at = np.minimum(np.searchsorted(ids, part, sorter=by_id), len(ids) - 1)
+        out.append(np.where(ids[by_id[at]] == part, by_id[at], -1))
+    row, position = (x[(out[0] >= 0) & (out[1] >= 0)] for x in out)
+    order = np.lexsort((position, row))
+    return row[order], position[order]
+
+
+def score_pairs(n: int, key: str, other: str, key_width: str = "<f4", other_width: str = "<f4"):
+    """Packed pairs of blocks (and what the keys have seen) -> the n best of each key in each pair.
+    Keys may bring ``least``, a score below which they want nothing."""
 
     def score(batches):
         for b in batches:
             for i in range(b.num_rows):
-                (k_ids, k), (o_ids, o) = (unpacked(b.column(c)[i].values) for c in (0, 1))
-                rows = cols = np.zeros(0, np.int64)
-                if b.num_columns > 2 and b.column(2)[i].is_valid:
-                    code = b.column(2)[i].values.to_numpy()
-                    rows, cols = (np.searchsorted(ids, part) for ids, part in ((k_ids, code >> 32), (o_ids, code.astype("<i4"))))
-                    known = (rows < len(k_ids)) & (cols < len(o_ids))
-                    known[known] = (k_ids[rows[known]] == code[known] >> 32) & (o_ids[cols[known]] == code[known].astype("<i4"))
-                    rows, cols = rows[known], cols[known]
-                kept, step = [], max(1, SCORE_CELLS // max(1, len(o)))
-                for at in range(0, len(k), step):
-                    here = (rows >= at) & (rows < at + step)
-                    row, col, s = best_of_block(k[at : at + step], o, o_ids, n, (rows[here] - at, cols[here]) if here.any() else None)
-                    kept.append((k_ids[at + row], o_ids[col], s))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*kept, strict=True)], names=[key, other, "score"])
+                (k_ids, k), (o_ids, o) = unpacked(b["keys"][i], key_width), unpacked(b["others"][i], other_width)
+                least = np.frombuffer(b["keys"][i]["least"].as_buffer(), "<f8") if "least" in b["keys"][i] else None
+                row = position = None
+                if "seen" in b.schema.names and b["seen"][i].is_valid:
+                    row, position = _known(np.frombuffer(b["seen"][i].as_buffer(), "<i8"), k_ids, o_ids)
+                others, kept, held = _Others(o_ids, o), [], 0
+                for at in range(0, len(k), KEY_LEAF):
+                    to, known = min(len(k), at + KEY_LEAF), None
+                    if row is not None:
+                        lo, hi = np.searchsorted(row, (at, to))
+                        if hi > lo:
+                            by = np.argsort(position[lo:hi], kind="stable")
+                            known = row[lo:hi][by] - at, position[lo:hi][by]
+                    r, p, s = others.best(k[at:to], n, known, None if least is None else least[at:to])
+                    kept.append((k_ids[at + r], o_ids[p], s))
+                    held += len(r)
+                    if held >= SCORE_CELLS or to == len(k):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*kept, strict=True)], names=[key, other, "score"])
+                        kept, held = [], 0
 
     return score
 
@@ -115,6 +309,49 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def block_counts(n_keys: int, n_others: int, wide: int, least_pairs: int = 0) -> tuple[int, int]:
+    """Blocks of either side: of bounded size, and pairs enough for all partitions where rows allow it."""
+    wanted = max(PAIRS_PER_PARTITION * wide, least_pairs)
+    fewest = max(1, -(-n_others // OTHER_BLOCK_ROWS))
+    key_blocks = max(1, -(-n_keys // KEY_BLOCK_ROWS), min(-(-n_keys // LEAST_KEY_ROWS), -(-wanted // fewest)))
+    return key_blocks, max(fewest, min(-(-n_others // LEAST_OTHER_ROWS), -(-wanted // key_blocks)))
+
+
+def found_in_pairs(
+    keys: DataFrame, others: DataFrame, n: int, key: str, other: str, key_blocks: int, other_blocks: int, seen: DataFrame | None = None
+) -> DataFrame:
+    """(key, other, score): the n best others of each key in each block of others.  ``keys`` may
+    hold ``least``, ``seen`` holds the ints key and other."""
+    pairs, wide = key_blocks * other_blocks, _partitions(keys)
+    tasks = min(2 * pairs, max(2 * PAIRS_PER_PARTITION * wide, -(-pairs // PAIRS_PER_TASK)))  # few pairs: room to spread
+
+    def every(count: int):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
+
+    asked = _blocks(keys, key_blocks, "keys", KEY_LEAF).select("keys", F.col("block").alias("kb"), every(other_blocks).alias("ob"))
+    offered = _blocks(others, other_blocks, "others", OTHER_LEAF).select("others", F.col("block").alias("ob"), every(key_blocks).alias("kb"))
+    number = (F.col("kb") * other_blocks + F.col("ob")).alias("pair")
+    # a count of partitions that is asked for stays as it is; the rows are few and large
+    asked = asked.select(number, "keys").repartition(tasks, "pair")
+    offered = offered.select(number, "others").repartition(tasks, "pair")
+    met = asked.join(offered.hint("merge"), "pair")
+    columns = ["keys", "others"]
+    if seen is not None:
+        place = F.pmod(F.xxhash64(key), F.lit(key_blocks)) * other_blocks + F.pmod(F.xxhash64(other), F.lit(other_blocks))
+        code = F.call_function("shiftleft", F.col(key).cast("bigint"), F.lit(32)).bitwiseOR(F.col(other).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+        known = seen.select(place.alias("pair"), code.alias("code")).repartition(tasks, "pair").groupBy("pair")
+        # of a pair of blocks: at most one entry for each of its scores
+        met = met.join(known.applyInArrow(_packed_codes, "pair bigint, seen binary").hint("merge"), "pair", "left")
+        columns.append("seen")
+    score = score_pairs(n, key, other, _width(keys), _width(others))
+    return met.select(*columns).mapInArrow(score, f"{key} int, {other} int, score double")
+
+
+def _packed_codes(rows: pa.Table) -> pa.Table:
+    codes = np.unique(rows["code"].to_numpy()).astype("<i8")
+    return pa.table({"pair": rows["pair"][:1], "seen": pa.array([codes.tobytes()], pa.binary())})
+
+
 def top_n(
     keys: DataFrame, others: DataFrame, n: int = 10, key: str = "userId", other: str = "movieId",
     key_blocks: int | None = None, other_blocks: int | None = None, seen: DataFrame | None = None,
@@ -133,34 +370,14 @@ def top_n(
     empty = F.array().cast(f"array<struct<{other}:int,rating:float>>")
     if not n_others:
         return keys.select(F.col("id").alias(key), empty.alias("recommendations"))
-    wide = _partitions(keys)
-    other_blocks = other_blocks or -(-n_others // OTHER_BLOCK_ROWS)
-    if key_blocks is None:
-        n_keys, wanted = max(1, keys.count()), -(-PAIRS_PER_PARTITION * wide // other_blocks)
-        key_blocks = max(-(-n_keys // KEY_BLOCK_ROWS), min(-(-n_keys // LEAST_KEY_ROWS), wanted))
-    pairs = key_blocks * other_blocks
-    tasks = min(2 * pairs, max(2 * PAIRS_PER_PARTITION * wide, -(-pairs // PAIRS_PER_TASK)))  # few pairs: room to spread
-
-    def every(count: int):
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
-
-    asked = _blocks(keys, key_blocks, "keys").select("keys", F.col("block").alias("kb"), every(other_blocks).alias("ob"))
-    offered = _blocks(others, other_blocks, "others").select("others", F.col("block").alias("ob"), every(key_blocks).alias("kb"))
-    number = (F.col("kb") * other_blocks + F.col("ob")).alias("pair")
-    # a count of partitions that is asked for stays as it is; the rows are few and large
-    asked = asked.select(number, "keys").repartition(tasks, "pair")
-    offered = offered.select(number, "others").repartition(tasks, "pair")
-    met = asked.join(offered.hint("merge"), "pair")
-    columns = ["keys", "others"]
+    n_seen = 0
     if seen is not None:
         k, o = F.col(key).cast("int"), F.col(other).cast("int")
-        place = F.pmod(F.xxhash64(k), F.lit(key_blocks)) * other_blocks + F.pmod(F.xxhash64(o), F.lit(other_blocks))
-        code = F.call_function("shiftleft", k.cast("bigint"), F.lit(32)).bitwiseOR(o.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
-        known = seen.filter(k.isNotNull() & o.isNotNull()).select(place.alias("pair"), code.alias("code"))
-        # of a pair of blocks: at most one entry for each of its scores
-        met = met.join(known.repartition(tasks, "pair").groupBy("pair").agg(F.sort_array(F.collect_set("code")).alias("seen")).hint("merge"), "pair", "left")
-        columns.append("seen")
-    found = met.select(*columns).mapInArrow(score_pairs(n, key, other), f"{key} int, {other} int, score double")
+        seen = staged(seen.filter(k.isNotNull() & o.isNotNull()).select(k.alias(key), o.alias(other)), "seen")  # counted, then dealt
+        n_seen = seen.count()
+    counts = block_counts(max(1, keys.count()), n_others, _partitions(keys), -(-n_seen // SEEN_PER_PAIR))
+    key_blocks, other_blocks = key_blocks or counts[0], other_blocks or counts[1]
+    found = found_in_pairs(keys.select("id", "features"), others.select("id", "features"), n, key, other, key_blocks, other_blocks, seen)
     lists = nested(found, n, key, other)
     if seen is None:
         return lists
