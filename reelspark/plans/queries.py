@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelspark.operators import catalog, dense_ids, display, inexact, model, prepare, profile, pruned, rating_state, recommend, title_index
+from reelspark.operators.staging import staged
 from reelspark.session import app_key, ensure_checkpoint_dir, sf_path
 from reelspark.sources import fixtures as fx
 from reelspark.sources import quarantine
@@ -432,26 +433,39 @@ def q_users_turned_active(spark, sf):
 # --- model-based (rows-only checks) -----------------------------------------
 
 _MODELS: dict = {}
+_PARTS: dict = {}
 
 
-def fitted_model(spark: SparkSession, sf: str):
+def _stored_split(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """Train and test rows, prepared once per application and data folder and read back
+    from one table: the fit and the predictions do not prepare the ratings again.
+    The calendar features, which neither the filter nor the split reads, are added last."""
+    key = (app_key(spark), sf)
+    if key not in _PARTS:
+        dense = prepare.density_filter(prepare.drop_incomplete(_ratings_n(spark, sf)))
+        _PARTS[key] = staged(prepare.label_split(dense, SPLIT_WEIGHTS, SPLIT_SEED), "split", by="split")
+    parts = [_PARTS[key].filter(F.col("split") == part).drop("split") for part in ("train", "test")]
+    return [prepare.add_time_features(part, time_zone=TIME_ZONE) for part in parts]
+
+
+def fitted_model(spark: SparkSession, sf: str, train: DataFrame | None = None):
     """Fit (once per application and data folder) the reference's ALS on
-    the training split."""
+    the training split (``train``: its rows, where they are stored already)."""
     key = (app_key(spark), sf)
     if key not in _MODELS:
-        _MODELS[key] = model.fit_als(_split(spark, sf)[0])
+        _MODELS[key] = model.fit_als(_split(spark, sf)[0] if train is None else train)
     return _MODELS[key]
 
 
 def q_als_predictions(spark, sf):
-    _, test = _split(spark, sf)
-    p = model.predict(fitted_model(spark, sf), test)
+    train, test = _stored_split(spark, sf)
+    p = model.predict(fitted_model(spark, sf, train), test)
     return _dbl(p, "rating", "prediction")
 
 
 def q_als_metrics(spark, sf):
-    _, test = _split(spark, sf)
-    return model.error_metrics(model.predict(fitted_model(spark, sf), test))
+    train, test = _stored_split(spark, sf)
+    return model.error_metrics(model.predict(fitted_model(spark, sf, train), test))
 
 
 def q_recommend_all_users(spark, sf):
@@ -465,8 +479,8 @@ def q_recommend_all_items(spark, sf):
 
 
 def q_recommend_user_subset(spark, sf):
-    _, test = _split(spark, sf)
-    return recommend.user_recommendations(fitted_model(spark, sf), _movies(spark, sf), test, REC_N)
+    train, test = _stored_split(spark, sf)
+    return recommend.user_recommendations(fitted_model(spark, sf, train), _movies(spark, sf), test, REC_N)
 
 
 def q_recommend_one_user(spark, sf):

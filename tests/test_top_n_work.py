@@ -73,3 +73,15 @@ def test_copies_sent_follow_the_larger_side_slowly():
         k, o = recommend.block_counts(n, n, 32)
         assert k * o >= 64 and n * (k + o) <= 45 * n
     assert recommend.block_counts(1, 5_000_000, 8) == (1, 16) and recommend.block_counts(1, 1, 8) == (1, 1)
+
+
+def test_fit_and_predictions_prepare_the_ratings_once(spark, smoke_dir):
+    """The test rows come from the stored table, the same as the split gives, and are not prepared again."""
+    from reelspark.plans import queries as Q
+
+    train, test = Q._stored_split(spark, smoke_dir)
+    for got, want in zip((train, test), Q._split(spark, smoke_dir), strict=True):
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = Q.q_als_predictions(spark, smoke_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan
