@@ -15,7 +15,12 @@ pivots say nothing; the join works from near pivots inward, and is exact:
   no more cells than the sets in shingles, so they bound a distance from below; where
   this bound leaves a link possible, and the sizes too, the distance is computed on
   the whole sets.  Members within e are linked.
-* A region that then still holds several components is joined again, a large one in
+* In regions that then still hold several components every member outside the main one
+  names its nearest possible neighbour, by parities, in one block of its ring in one
+  region.  The named pairs are checked on the whole sets and components merged, in two
+  turns (largest region first, then the smallest): what hangs together mostly does now,
+  for no more pairs than members.
+* A region that still holds several components is joined whole, a large one in
   rings around the empty set: sizes of linked sets differ by the factor 1 - e at most, so
   they lie in the same or in neighbouring rings, and members outside the main
   component are replicated to these.  Rings are cut into blocks; in a pair of
@@ -40,6 +45,7 @@ have any name and are not read.  Shingles are told apart by 64-bit hashes, sets
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +62,8 @@ SHINGLE = 3
 PERCENT = 90
 #: Documents of a shingle from which it moves to a later class of the order; bits of a class's bitmap (8 MB each).
 HOT, BITS = (2, 8, 64, 1024), 26
+#: Turns in which members name their nearest.
+TURNS = 2
 #: Share by which more shingles are counted than a set is replicated to.
 WIDER = 1.25
 #: Members of a block; bits of a set's parities: twice its size, as a power of 2 within these.
@@ -329,11 +337,70 @@ def _near_sizes(x: str, y: str, percent: int) -> Column:
 
 
 def _unpacked(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
-    """Columns of a packed block: nodes, roots (two numbers each), parities, sizes and bounds of distances."""
+    """Columns of a packed block: nodes, whether outside the main component, roots (two numbers each), parities, sizes and bounds of distances."""
     node, root, cells = (rows.field(c).to_pylist() for c in ("node", "root", "cells"))
     roots = np.frombuffer(b"".join(root), np.uint64).reshape(len(root), -1)
     numbers = [rows.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("size", *_BOUNDS)]  # null: nan
-    return np.array(node, object), roots, cells, *numbers
+    return np.array(node, object), rows.field("out").to_numpy(zero_copy_only=False), roots, cells, *numbers
+
+
+def _packed() -> Column:
+    return F.collect_list(F.struct("node", (F.col("root") != F.col("main")).alias("out"), "root", "size", "cells", *_BOUNDS))  # about a block's rows
+
+
+def _rings(members: DataFrame, percent: int, block: int, turn: int | None = None) -> DataFrame:
+    """Members with their ring, its number of blocks and their block."""
+    seat = members.withColumn("ring", F.floor(F.log(F.col("size")) / F.lit(np.log(100 / percent) + 1e-9)).cast("int"))
+    sizes = seat.groupBy("key", "ring").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = F.xxhash64("node") if turn is None else F.xxhash64("node", F.lit(turn))
+    return seat.join(sizes, ["key", "ring"]).withColumn("block", F.pmod(dealt, F.col("blocks")).cast("int"))
+
+
+def _possible(ours: tuple[np.ndarray, ...], asks: tuple[np.ndarray, ...], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ours, row of asks, cells that differ) of the pairs of different components that
+    nothing rules out; the asking member is outside the main component."""
+    near = (100 - percent) / 100 + 1e-9
+    (_, _, root, cells, *numbers), (_, out, q_root, q_cells, *q_numbers) = ours, asks
+    (size, *known), (q_size, *q_known) = ([x[None, :] for x in numbers], [x[:, None] for x in q_numbers])
+    could = (root[None] != q_root[:, None]).any(axis=2) & out[:, None]
+    could &= 100 * np.minimum(size, q_size) >= percent * np.maximum(size, q_size)
+    for least, most in ((0, 1), (2, 3)):  # nan: not known
+        could &= ~(known[least] - q_known[most] > near) & ~(q_known[least] - known[most] > near)
+    asked, of = np.nonzero(could)
+    widths, apart = np.minimum(*(np.fromiter(map(len, c), int)[i] for c, i in ((cells, of), (q_cells, asked)))), np.zeros(len(of), np.int64)
+    for width in np.unique(widths).tolist():  # sizes of a pair are near each other, those of a region need not be
+        at = np.flatnonzero(widths == width)
+        (o, o_at), (q, q_at) = (np.unique(x[at], return_inverse=True) for x in (of, asked))
+        mine, theirs = folded([cells[i] for i in o], width), folded([q_cells[i] for i in q], width)
+        for a in range(0, len(at), HELD // width):  # parities differ in no more bits than the sets in shingles
+            part = slice(a, a + HELD // width)
+            apart[at[part]] = np.bitwise_count(mine[o_at[part]] ^ theirs[q_at[part]]).sum(axis=1, dtype=np.int64)
+    still = (100 - percent) * (size[0, of] + q_size[asked, 0]) >= (100 + percent) * apart
+    return of[still], asked[still], apart[still]
+
+
+def _named(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([max(p) for p in zip(x, y, strict=True)], pa.binary()), pa.array([min(p) for p in zip(x, y, strict=True)], pa.binary())], names=["a", "b"])
+
+
+def near_pairs(members: DataFrame, percent: int, block: int, turn: int) -> DataFrame:
+    """The members of :func:`ring_pairs` -> pairs (a, b): each member outside the main component
+    and the nearest possible neighbour, by parities, in its block of its home region.  That is
+    its largest open region, in odd turns its smallest."""
+    place = F.struct(F.col("n") if turn % 2 == 0 else -F.col("n"), F.col("key"))
+    homes = members.groupBy("node").agg(F.max(place).alias("home")).select("node", F.col("home.key").alias("key"))
+    seat = _rings(members.join(homes, ["node", "key"]), percent, block, turn)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                ours = _unpacked(b.column(0)[i].values)
+                of, asked, apart = _possible(ours, ours, percent)
+                order = np.lexsort((apart, asked))
+                first = order[np.flatnonzero(np.diff(asked[order], prepend=-1))]
+                yield _named(ours[0][of[first]], ours[0][asked[first]])
+
+    return seat.groupBy("key", "ring", "block").agg(_packed().alias("members")).select("members").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def ring_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
@@ -344,42 +411,33 @@ def ring_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
     takes sizes up to the factor 1 - e apart; members outside the region's main
     component ask their ring and both beside it.
     """
-    near = (100 - percent) / 100 + 1e-9
-    packed = F.collect_list(F.struct("node", "root", "size", "cells", *_BOUNDS))  # about ``block`` rows
-    small = members.filter(F.col("n") <= block).groupBy("key").agg(packed.alias("ours")).select("ours", F.col("ours").alias("asked"))
-    seat = members.filter(F.col("n") > block).withColumn("ring", F.floor(F.log(F.col("size")) / F.lit(np.log(100 / percent) + 1e-9)).cast("int"))
-    sizes = seat.groupBy("key", "ring").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    seat = seat.join(sizes, ["key", "ring"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = seat.groupBy("key", "ring", "block", "blocks").agg(packed.alias("ours"))
-    asks = seat.filter("root <> main").groupBy("key", "ring", "block").agg(packed.alias("asked"))
+    small = members.filter(F.col("n") <= block).groupBy("key").agg(_packed().alias("ours")).select("ours", F.col("ours").alias("asked"))
+    seat = _rings(members.filter(F.col("n") > block), percent, block)
+    met = seat.groupBy("key", "ring", "block", "blocks").agg(_packed().alias("ours"))
+    asks = seat.filter("root <> main").groupBy("key", "ring", "block").agg(_packed().alias("asked"))
     asks = asks.withColumn("ring", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)))
-    asks = asks.join(sizes, ["key", "ring"]).select("key", "ring", "asked", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    asks = asks.join(seat.select("key", "ring", "blocks").distinct(), ["key", "ring"]).select("key", "ring", "asked", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     both = asks.join(met, ["key", "ring", "block"]).select("ours", "asked").unionByName(small)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                node, root, cells, *at = _unpacked(b.column(0)[i].values)
-                q_node, q_root, q_cells, *q_at = _unpacked(b.column(1)[i].values)
-                (size, *known), (q_size, *q_known) = ([x[None, :] for x in at], [x[:, None] for x in q_at])
-                could = (root[None] != q_root[:, None]).any(axis=2)
-                could &= 100 * np.minimum(size, q_size) >= percent * np.maximum(size, q_size)
-                for least, most in ((0, 1), (2, 3)):  # nan: not known
-                    could &= ~(known[least] - q_known[most] > near) & ~(q_known[least] - known[most] > near)
-                asked, ours = np.nonzero(could)
-                width = min(map(len, [*cells, *q_cells]))
-                ours_at, asked_at = folded(cells, width), folded(q_cells, width)
-                still = np.zeros(len(ours), bool)
-                for a in range(0, len(ours), HELD // width):  # parities differ in no more bits than the sets in shingles
-                    o, q = ours[a : a + HELD // width], asked[a : a + HELD // width]
-                    apart = np.bitwise_count(ours_at[o] ^ asked_at[q]).sum(axis=1, dtype=np.int64)
-                    still[a : a + len(o)] = (100 - percent) * (size[0, o] + q_size[q, 0]) >= (100 + percent) * apart
-                x, y = node[ours[still]], q_node[asked[still]]
-                yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in zip(x, y, strict=True)], pa.binary()), pa.array([min(p) for p in zip(x, y, strict=True)], pa.binary())], names=["a", "b"])
+                ours, asks = _unpacked(b.column(0)[i].values), _unpacked(b.column(1)[i].values)
+                of, asked, _ = _possible(ours, asks, percent)
+                x, y = ours[0][of], asks[0][asked]
+                once = ~ours[1][of] | np.fromiter(map(operator.gt, y, x), bool, len(y))  # two members outside ask each other
+                yield _named(x[once], y[once])
 
     return both.mapInArrow(run, "a binary, b binary").distinct()
 
 
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the regions of several components, with their root and the region's main component: that of most members."""
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    held = placed.groupBy("key", "root").agg(F.count("*").alias("held")).groupBy("key").agg(F.max(F.struct("held", "root")).alias("most"), F.count("*").alias("roots"))
+    return placed.join(held.filter("roots > 1").select("key", F.col("most.root").alias("main")), "key")
+
+
 def linked_components(docs: DataFrame, ids: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text) and their identities -> (node, root): components of the links, for
     every set but the smallest node of its component and those without a link."""
@@ -396,18 +454,19 @@ def linked_components(docs: DataFrame, ids: DataFrame, percent: int = PERCENT, s
     exact = 1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
     least = 2 * F.col("differ") / (F.col("sizes") + F.col("differ"))
     away = seen.select("a", "b", exact.alias("least"), exact.alias("most")).unionByName(told.filter(~open_pairs).select("a", "b", least.alias("least"), F.lit(1.0).alias("most")))
-    several = Window.partitionBy("key")
     # of two members hub and low are the pair itself
-    placed = members.filter("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = placed.withColumn("first", F.min("root").over(several)).withColumn("last", F.max("root").over(several)).filter("first <> last").drop("first", "last")
-    placed = staged(placed.withColumn("main", F.max(F.when(F.col("node") == F.col("hub"), F.col("root"))).over(several)), "join-open")
+    placed = staged(_open(members.filter("n > 2"), roots), "join-open")
     for pivot in ("hub", "low"):
         d = away.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "least", "most")
         placed = placed.join(d, (F.greatest("node", pivot) == F.col("_a")) & (F.least("node", pivot) == F.col("_b")), "left").drop("_a", "_b")
         for bound in ("least", "most"):
             placed = placed.withColumn(f"{pivot}_{bound}", F.when(F.col("node") == F.col(pivot), 0.0).otherwise(F.col(bound))).drop(bound)
-    placed = placed.join(cells, "node")
-    more = ring_pairs(placed, percent, BLOCK).join(seen.select("a", "b"), ["a", "b"], "left_anti")
+    bounds, tried = staged(placed.drop("root", "main", "hub", "low"), "join-bounds"), seen.select("a", "b")
+    for turn in range(TURNS):
+        first = near_pairs(_open(bounds, roots).join(cells, "node"), percent, BLOCK, turn).join(tried, ["a", "b"], "left_anti")
+        found = staged(measured(staged(first, "join-first"), docs, ids, shingle), "join-near")
+        roots, tried = merged(roots, _linked(found, percent)), tried.unionByName(found.select("a", "b"))
+    more = ring_pairs(_open(bounds, roots).join(cells, "node"), percent, BLOCK).join(tried, ["a", "b"], "left_anti")
     more = staged(more, "join-pairs")
     return merged(roots, staged(_linked(measured(more, docs, ids, shingle), percent), "join-more"))
 

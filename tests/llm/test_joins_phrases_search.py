@@ -79,6 +79,26 @@ def test_crowded_regions_are_cut_into_blocks(spark, monkeypatch):
     assert joined(documents(spark, rows), 80) == plain_components(rows, 80)
 
 
+def test_pairs_checked_follow_the_members_of_a_group(spark, monkeypatch):
+    """A long chain of texts, each linked with seven on either side: few of the links are looked at."""
+    checked, plain = [], jaccard_join.measured
+    monkeypatch.setattr(jaccard_join, "measured", lambda pairs, *rest: (checked.append(pairs.count()), plain(pairs, *rest))[1])
+    words = [f"w{i}" for i in range(260)]
+    rows = [(i, " ".join(words[i : i + 150]), "en", "f", 0) for i in range(110)]
+    assert joined(documents(spark, rows), 90) == plain_components(rows, 90)
+    assert sum(checked[1:]) <= 3 * len(rows)
+
+
+def test_parities_of_long_sets_stay_sharp_beside_a_short_one():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[:2600], rng.integers(0, 2**63, 400).astype(np.uint64)])) for _ in range(4)] + [base[:15]]
+    ids = np.arange(10, dtype=np.uint64).reshape(5, 2)
+    ours = (np.array([i.tobytes() for i in ids], object), np.ones(5, bool), ids, [jaccard_join.parities(s) for s in sets], np.array([len(s) for s in sets], float), *[np.full(5, np.nan)] * 4)
+    assert len(jaccard_join._possible(ours, ours, 90)[0]) == 0
+    assert len(jaccard_join._possible(ours, ours, 60)[0]) == 12
+
+
 def test_join_of_empty_tables_and_of_wordless_texts(spark):
     assert jaccard_join.linked_documents(documents(spark).limit(0)).count() == 0
     rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, " \n", "en", "a", 0), (None, "", "en", "a", 0)]
