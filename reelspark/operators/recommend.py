@@ -46,9 +46,14 @@ LEAST_KEY_ROWS, LEAST_OTHER_ROWS = 256, 4_096
 KEY_LEAF, OTHER_LEAF = 256, 512
 #: Pairs wanted for each shuffle partition, pairs that a task scores at most, seen rows that a pair holds on average at most.
 PAIRS_PER_PARTITION, PAIRS_PER_TASK, SEEN_PER_PAIR = 2, 8, 1 << 21
-#: Scores held at once, and the share of |key| * |other| that rounding can move a matrix product by.
-SCORE_CELLS, ROUNDING = 1 << 18, 1e-13
-_LAST_ID, _LEAST_SCORE = np.iinfo(np.int64).max, np.finfo(np.float64).min
+#: Scores held at once (twice as many where leaves rule out little after some steps), finds of a key (on average) that wait to be merged, those steps.
+SCORE_CELLS, WAITING, STEPS = 1 << 18, 2, 16
+#: For a matrix product in a number format: the share of |key| * |other|, a term of the sum, that two
+#: of its scores can be moved by, and what is lost where numbers are too small for the format.
+ROUNDING = {np.float32: (1.3e-7, 1e-37), np.float64: (1e-13, 0.0)}
+#: Norms from which products are not trusted to single precision.
+LARGE = 1e18
+_LAST_ID = np.iinfo(np.int64).max
 
 
 def _check_n(n: int) -> int:
@@ -122,6 +127,10 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _norms(rows: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", rows, rows))
+
+
 def best_of_block(
     keys: np.ndarray, others: np.ndarray, ids: np.ndarray, n: int, seen: tuple[np.ndarray, np.ndarray] | None = None, least: np.ndarray | None = None
 ):
@@ -131,20 +140,28 @@ def best_of_block(
 
     Everything that could tie with the n-th score is ordered exactly before the cut.
     """
-    rough = keys @ others.T
+    norms, norm = _norms(keys), _norms(others).max(initial=0.0)
+    form = np.float32 if max(norms.max(initial=0.0), norm) < LARGE else np.float64  # nan and infinite: float64
+    rough = keys.astype(form) @ others.astype(form).T
     if seen is not None:
         rough[seen] = -np.inf
     wanted, n, width = n, min(n, rough.shape[1]), rough.shape[1]
-    norms = np.sqrt((keys * keys).sum(axis=1)) * np.sqrt((others * others).sum(axis=1).max(initial=0.0))
-    room = ROUNDING * keys.shape[1] * norms
+    share, lost = ROUNDING[form]
+    room = share * (keys.shape[1] + 4) * norms * norm + lost * keys.shape[1] * (1 + norms + norm)
     cut = np.full(len(keys), -np.inf) if least is None else least
-    at = np.flatnonzero(rough >= np.maximum(cut - room, _LEAST_SCORE)[:, None])  # row by row
+
+    def threshold(score: np.ndarray, rows=slice(None)) -> np.ndarray:
+        """What the product of every score from ``score`` on reaches; masked ones do not."""
+        low = np.nextafter((score - room[rows]).astype(form), form(-np.inf))
+        return np.maximum(low, np.finfo(form).min)[:, None]
+
+    at = np.flatnonzero(rough >= threshold(cut))  # row by row
     row = at // width
     many = np.flatnonzero(np.bincount(row, minlength=len(rough)) > n)
     if len(many):
         part = rough if len(many) == len(rough) else rough[many]
         nth = np.partition(part, width - n, axis=1)[:, width - n]
-        may = part >= np.maximum(np.maximum(nth, cut[many]) - room[many], _LEAST_SCORE)[:, None]
+        may = part >= threshold(np.maximum(nth, cut[many]), many)
         tied = np.flatnonzero(np.count_nonzero(may, axis=1) > 4 * n)
         if len(tied):  # whole rows are summed exactly; of those tied at the n-th score the smaller ids stay
             by_id = np.argsort(ids, kind="stable")
@@ -162,13 +179,13 @@ def best_of_block(
         at = np.concatenate([at[few[row]], many[in_part // width] * width + in_part % width])
     row, col = np.divmod(at, max(1, width))
     score = exact_scores(keys[row], others[col])
-    row, col, score, _ = _cut(row, col, score, ids[col], wanted)
+    row, col, score, _ = _cut(row, col, score, ids, wanted)
     return row, col, score
 
 
 def _cut(row: np.ndarray, col: np.ndarray, score: np.ndarray, ids: np.ndarray, n: int):
-    """The n best of each row, row by row, and their places among them."""
-    order = np.lexsort((ids, -score, row))
+    """The n best of each row, row by row, and their places among them; ``ids``: of the columns."""
+    order = np.lexsort((ids[col], -score, row))
     row, col, score = row[order], col[order], score[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)
     keep = place < n
@@ -214,34 +231,38 @@ class _Others:
         coarse = _bounds(keys.min(axis=0)[None], keys.max(axis=0)[None], self.lo, self.hi)[0]
         left, bound, leaves, step, sift = np.lexsort((self.first_id, -coarse)), None, 1, 0, 1
         left = left[coarse[left] >= cut.min()]
+        found, waiting, wide = [], 0, 1
         while len(left):
             take, left = left[:leaves], left[leaves:]
             rows = np.arange(m)
             if bound is not None:
                 here, bound = bound[:, :leaves], bound[:, leaves:]
                 rows = np.flatnonzero(self._may(here, cut, cut_id, take).any(axis=1))
-                if not len(rows):
-                    continue
-            cols = self.columns(np.sort(take))
-            seen = None if known is None else self._seen(known, rows, m, np.sort(take))
-            r, c, s = best_of_block(keys[rows], self.features[cols], self.ids[cols], n, seen, cut[rows])
-            if len(r):
-                some = np.unique(r)
-                of, place = np.nonzero(at[rows[some]] >= 0)
-                held = rows[some][of], at[rows[some]][of, place], score[rows[some]][of, place]
-                row, col, value = (np.concatenate(x) for x in zip(held, (rows[r], cols[c], s), strict=True))
-                row, col, value, place = _cut(row, col, value, self.ids[col], n)
+            if len(rows):
+                cols = self.columns(np.sort(take))
+                seen = None if known is None else self._seen(known, rows, m, np.sort(take))
+                r, c, s = best_of_block(keys[rows], self.features[cols], self.ids[cols], n, seen, cut[rows])
+                found.append((rows[r], cols[c], s))
+                waiting += len(r)
+                step += 1
+            if waiting and (waiting >= WAITING * m or step >= sift or not len(left)):  # until then the cuts are too low, which loses nothing
+                row, col, value = (np.concatenate(x) for x in zip(*found, strict=True))
+                some = np.unique(row)
+                of, place = np.nonzero(at[some] >= 0)
+                held = some[of], at[some][of, place], score[some][of, place]
+                row, col, value, place = _cut(*(np.concatenate(x) for x in zip(held, (row, col, value), strict=True)), self.ids, n)
                 score[row, place], at[row, place] = value, col
                 full = (at[:, -1] >= 0) & (score[:, -1] >= floor)
                 cut = np.where(full, score[:, -1], floor)
                 cut_id = np.where(full, self.ids[at[:, -1]], _LAST_ID)
-            leaves = min(2 * leaves, max(1, SCORE_CELLS // (m * OTHER_LEAF)))
+                found, waiting = [], 0
+            leaves = min(2 * leaves, max(1, wide * SCORE_CELLS // (m * OTHER_LEAF)))
             if bound is None:
                 left = left[coarse[left] >= cut.min()]
                 bound = _bounds(keys, keys, self.lo[left], self.hi[left])
-            step += 1
-            if step == sift:  # after 1, 2, 4, 8, ... steps: a leaf that no key needs goes
+            if step >= sift:  # after 1, 2, 4, 8, ... steps: a leaf that no key needs goes
                 may = self._may(bound, cut, cut_id, left).any(axis=0)
+                wide = 2 if step >= STEPS and np.count_nonzero(may) > 0.9 * len(may) else 1
                 left, bound, sift = left[may], bound[:, may], 2 * sift
         row, place = np.nonzero(at >= 0)
         return row, at[row, place], score[row, place]

@@ -49,6 +49,42 @@ def test_leaves_give_the_plain_top_n(n):
         assert _searched(keys, others, ids, n, None, least) == want
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-30, 1e-160, 1e17, 1e30, 1e120])
+def test_scores_apart_by_less_than_single_precision_are_told_apart(scale):
+    """Products are rough; what they cannot tell apart, underflows or overflows is scored in float64."""
+    rng = np.random.default_rng(5)
+    keys, one = rng.random((30, 4)) * scale, rng.random(4)
+    others = one * (1 + rng.integers(-300, 300, (1500, 1)) * 1e-12) + (rng.random((1500, 4)) < 0.05) * 1e-9
+    others[::50] = rng.normal(size=(30, 4)) * 1e-3
+    ids = rng.permutation(1500)
+    for few in (others, others * scale):
+        assert _searched(keys, few, ids, 12) == _plain(keys, few, ids, 12)
+
+
+def test_products_are_single_and_finds_are_merged_in_lots(monkeypatch):
+    """Independent non-negative coordinates, where leaves rule out little: the work of a step."""
+    rng = np.random.default_rng(4)
+    keys, others, steps, merges = rng.random((256, 10)), rng.random((60_000, 10)), [], []
+    plain, cut, matmul = recommend.best_of_block, recommend._cut, []
+
+    class Watched(np.ndarray):
+        def __matmul__(self, other):
+            matmul.append(np.result_type(self, other))
+            return np.asarray(self) @ np.asarray(other)
+
+    def counted(k, o, *rest):
+        steps.append(len(k))
+        return plain(k.view(Watched), o, *rest)
+
+    monkeypatch.setattr(recommend, "best_of_block", counted)
+    monkeypatch.setattr(recommend, "_cut", lambda *a: merges.append(1) or cut(*a))
+    ids = rng.permutation(len(others))
+    got = _searched(keys, others, ids, 10)
+    assert set(matmul) == {np.dtype(np.float32)} and len(matmul) == len(steps)
+    assert len(merges) - len(steps) < 0.7 * len(steps)  # each step cuts once itself
+    assert got[:40] == _plain(keys[:40], others, ids, 10)
+
+
 def test_most_pairs_are_never_scored(monkeypatch):
     rng = np.random.default_rng(2)
     keys, others = rng.normal(size=(20_000, 4)), rng.normal(size=(40_000, 4))
