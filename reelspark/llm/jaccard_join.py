@@ -26,7 +26,7 @@ pivots say nothing; the join works from near pivots inward, and is exact:
   component are replicated to these.  Rings are cut into blocks; in a pair of
   blocks pairs of one component are left out, and pairs that the triangle
   inequality over either document pivot (distances known, or known to lie between
-  two bounds), the sizes or the parities rule out.  What remains is checked on the
+  two bounds), the sizes or the parities, on fewer cells first, rule out.  What remains is checked on the
   whole sets, so only texts that may have a link are shingled again and shuffled.
 
 Components of the links are all that is asked for, so members of one component are
@@ -68,6 +68,8 @@ TURNS = 2
 WIDER = 1.25
 #: Members of a block; bits of a set's parities: twice its size, as a power of 2 within these.
 BLOCK, PARITY = 256, (6, 15)
+#: Cells of the parities that are one where every member of a region brings them.
+COARSER = 4
 #: Bytes of text shingled, and of it held as numbers, at once; bytes of parities compared at once; nodes a task remembers.
 SLICE, PIECE, HELD, MEMORY_NODES = 8 << 20, 2 << 20, 8 << 20, 200_000
 
@@ -275,6 +277,17 @@ def folded(cells: list[bytes], width: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def coarser(cells: DataFrame) -> DataFrame:
+    """(node, cells) with parities of a ``COARSER``-th of the cells: a weaker bound, in fewer bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            few = [folded([c], max(8, len(c) // COARSER)).tobytes() for c in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(few, pa.binary())], names=["node", "cells"])
+
+    return cells.select("node", "cells").mapInArrow(run, "node binary, cells binary")
+
+
 def _sets(texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """(text) -> node, members (packed shingles) of the wanted nodes."""
 
@@ -379,17 +392,18 @@ def _possible(ours: tuple[np.ndarray, ...], asks: tuple[np.ndarray, ...], percen
     return of[still], asked[still], apart[still]
 
 
-def _named(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([max(p) for p in zip(x, y, strict=True)], pa.binary()), pa.array([min(p) for p in zip(x, y, strict=True)], pa.binary())], names=["a", "b"])
+def _named(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    a, b = (pa.array([end(p) for p in zip(x, y, strict=True)], pa.binary()) for end in (max, min))
+    return pa.RecordBatch.from_arrays([a, b, pa.array(sizes.astype(np.int64))], names=["a", "b", "sizes"])
 
 
-def near_pairs(members: DataFrame, percent: int, block: int, turn: int) -> DataFrame:
+def near_pairs(members: DataFrame, cells: DataFrame, percent: int, block: int, turn: int) -> DataFrame:
     """The members of :func:`ring_pairs` -> pairs (a, b): each member outside the main component
     and the nearest possible neighbour, by parities, in its block of its home region.  That is
     its largest open region, in odd turns its smallest."""
-    place = F.struct(F.col("n") if turn % 2 == 0 else -F.col("n"), F.col("key"))
-    homes = members.groupBy("node").agg(F.max(place).alias("home")).select("node", F.col("home.key").alias("key"))
-    seat = _rings(members.join(homes, ["node", "key"]), percent, block, turn)
+    place = F.col("n") if turn % 2 == 0 else -F.col("n")
+    homes = members.groupBy("node").agg(F.max(F.struct(place.alias("place"), "key", "n", "root", "main", "size", *_BOUNDS)).alias("home"))
+    seat = _rings(homes.select("node", "home.*").drop("place"), percent, block, turn).join(cells, "node")  # a row a node
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -398,19 +412,21 @@ def near_pairs(members: DataFrame, percent: int, block: int, turn: int) -> DataF
                 of, asked, apart = _possible(ours, ours, percent)
                 order = np.lexsort((apart, asked))
                 first = order[np.flatnonzero(np.diff(asked[order], prepend=-1))]
-                yield _named(ours[0][of[first]], ours[0][asked[first]])
+                of, asked = of[first], asked[first]
+                yield _named(ours[0][of], ours[0][asked], ours[4][of] + ours[4][asked])
 
-    return seat.groupBy("key", "ring", "block").agg(_packed().alias("members")).select("members").mapInArrow(run, "a binary, b binary").distinct()
+    return seat.groupBy("key", "ring", "block").agg(_packed().alias("members")).select("members").mapInArrow(run, "a binary, b binary, sizes long").select("a", "b").distinct()
 
 
-def ring_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """(key, n, node, root, main, size, cells and bounds of the distances to hub and low) -> pairs
-    (a, b) of different components that nothing rules out; unknown bounds are null.
+def ring_pairs(members: DataFrame, cells: DataFrame, percent: int, block: int) -> DataFrame:
+    """(key, n, node, root, main, size and bounds of the distances to hub and low) -> pairs
+    (a, b, sizes) of different components that nothing rules out; unknown bounds are null.
 
     A region of ``block`` members at most meets itself as it is.  In the others a ring
     takes sizes up to the factor 1 - e apart; members outside the region's main
     component ask their ring and both beside it.
     """
+    members = members.join(cells, "node")
     small = members.filter(F.col("n") <= block).groupBy("key").agg(_packed().alias("ours")).select("ours", F.col("ours").alias("asked"))
     seat = _rings(members.filter(F.col("n") > block), percent, block)
     met = seat.groupBy("key", "ring", "block", "blocks").agg(_packed().alias("ours"))
@@ -426,9 +442,9 @@ def ring_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
                 of, asked, _ = _possible(ours, asks, percent)
                 x, y = ours[0][of], asks[0][asked]
                 once = ~ours[1][of] | np.fromiter(map(operator.gt, y, x), bool, len(y))  # two members outside ask each other
-                yield _named(x[once], y[once])
+                yield _named(x[once], y[once], (ours[4][of] + asks[4][asked])[once])
 
-    return both.mapInArrow(run, "a binary, b binary").distinct()
+    return both.mapInArrow(run, "a binary, b binary, sizes long").distinct()
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -463,11 +479,11 @@ def linked_components(docs: DataFrame, ids: DataFrame, percent: int = PERCENT, s
             placed = placed.withColumn(f"{pivot}_{bound}", F.when(F.col("node") == F.col(pivot), 0.0).otherwise(F.col(bound))).drop(bound)
     bounds, tried = staged(placed.drop("root", "main", "hub", "low"), "join-bounds"), seen.select("a", "b")
     for turn in range(TURNS):
-        first = near_pairs(_open(bounds, roots).join(cells, "node"), percent, BLOCK, turn).join(tried, ["a", "b"], "left_anti")
+        first = near_pairs(_open(bounds, roots), cells, percent, BLOCK, turn).join(tried, ["a", "b"], "left_anti")
         found = staged(measured(staged(first, "join-first"), docs, ids, shingle), "join-near")
         roots, tried = merged(roots, _linked(found, percent)), tried.unionByName(found.select("a", "b"))
-    more = ring_pairs(_open(bounds, roots).join(cells, "node"), percent, BLOCK).join(tried, ["a", "b"], "left_anti")
-    more = staged(more, "join-pairs")
+    more = ring_pairs(_open(bounds, roots), staged(coarser(cells), "join-coarser"), percent, BLOCK).join(tried, ["a", "b"], "left_anti")
+    more = staged(bounded(more, cells).filter(open_pairs).select("a", "b"), "join-pairs")  # by all cells
     return merged(roots, staged(_linked(measured(more, docs, ids, shingle), percent), "join-more"))
 
 

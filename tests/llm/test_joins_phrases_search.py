@@ -240,3 +240,31 @@ def test_search_of_empty_tables(spark):
     docs, items = documents(spark), spark.createDataFrame([(1, "one two")], "item_id long, text string")
     assert lexical_search.search(docs.limit(0), items).count() == 0 and lexical_search.search(docs, items.limit(0)).count() == 0
     assert lexical_search.search(docs.select("doc_id", F.lit("..").alias("text")), items).count() == 0
+
+
+def test_coarser_parities_bound_from_below_in_a_quarter_of_the_bytes(spark):
+    """What members bring to every region: fewer cells than the set's, never more that differ than shingles do."""
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 20, 300, 5000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 1 << 63, len(s) // 10 + 1).astype(np.uint64)])) for s in sets]
+    cells = spark.createDataFrame([(bytes([i]), jaccard_join.parities(s)) for i, s in enumerate(sets)], "node binary, cells binary")
+    few = {r.node[0]: bytes(r.cells) for r in jaccard_join.coarser(cells).collect()}
+    for i, s in enumerate(sets):
+        assert len(few[i]) == max(8, len(jaccard_join.parities(s)) // 4)
+        for j, t in enumerate(sets):
+            apart = []
+            for x, y in ((few[i], few[j]), (jaccard_join.parities(s), jaccard_join.parities(t))):
+                both = jaccard_join.folded([x, y], min(len(x), len(y)))
+                apart.append(int(np.bitwise_count(both[0] ^ both[1]).sum()))
+            assert apart[0] <= apart[1] <= len(np.setxor1d(s, t))
+
+
+def test_parities_are_no_column_of_region_rows(spark):
+    """A member names its nearest from one row of its own, which its parities join: region rows hold none."""
+    cells = {b"a": (1 << 64) - 1, b"b": (1 << 64) - 2, b"c": 0, b"d": 7}
+    told = spark.createDataFrame([(n, c.to_bytes(8, "little")) for n, c in cells.items()], "node binary, cells binary")
+    rows = [(k, size, n, r, b"c" * 16, 30, None, None, None, None) for k, size in ((1, 3), (2, 4)) for n, r in ((b"a", b"a" * 16), (b"b", b"b" * 16), (b"c", b"c" * 16), (b"d", b"c" * 16))]
+    members = spark.createDataFrame(rows, "key long, n long, node binary, root binary, main binary, size long, hub_least double, hub_most double, low_least double, low_most double")
+    for turn in (0, 1):
+        assert [(bytes(r.a), bytes(r.b)) for r in jaccard_join.near_pairs(members, told, 90, 256, turn).collect()] == [(b"b", b"a")]
+    assert [(bytes(r.a), bytes(r.b), r.sizes) for r in jaccard_join.ring_pairs(members, told, 90, 256).collect()] == [(b"b", b"a", 60)]
