@@ -40,14 +40,20 @@ from reelspark.operators.staging import staged
 from reelspark.session import ensure_checkpoint_dir, spark_context
 
 #: Largest blocks, and the smallest that rows are cut to for the sake of more tasks.
-KEY_BLOCK_ROWS, OTHER_BLOCK_ROWS = 1 << 18, 1 << 19
+KEY_BLOCK_ROWS, OTHER_BLOCK_ROWS = 1 << 18, 1 << 20
 LEAST_KEY_ROWS, LEAST_OTHER_ROWS = 256, 4_096
 #: Rows of a leaf on either side.
-KEY_LEAF, OTHER_LEAF = 256, 512
+KEY_LEAF, OTHER_LEAF = 256, 128
 #: Pairs wanted for each shuffle partition, pairs that a task scores at most, seen rows that a pair holds on average at most.
 PAIRS_PER_PARTITION, PAIRS_PER_TASK, SEEN_PER_PAIR = 2, 8, 1 << 21
+#: Pairs that are enough where each has no more scores than that: more of them only send more copies, and leaves of small blocks are wide.
+FEW_PAIRS, PAIR_SCORES = 64, 1 << 34
+#: Copies of all others beyond which these are cut instead, unless the keys are too many.
+COPIES = 32
 #: Scores held at once (twice as many where leaves rule out little after some steps), finds of a key (on average) that wait to be merged, those steps.
 SCORE_CELLS, WAITING, STEPS = 1 << 18, 2, 16
+#: Leaves up to which rough bounds are looked through for ties more than once.
+FEW_LEAVES = 1_024
 #: For a matrix product in a number format: the share of |key| * |other|, a term of the sum, that two
 #: of its scores can be moved by, and what is lost where numbers are too small for the format.
 ROUNDING = {np.float32: (1.3e-7, 1e-37), np.float64: (1e-13, 0.0)}
@@ -63,8 +69,9 @@ def _check_n(n: int) -> int:
 
 
 def leaf_order(ids: np.ndarray, features: np.ndarray, leaf: int) -> np.ndarray:
-    """The order of rows in which every ``leaf`` rows in turn are neighbours; equal rows by id."""
-    order, parts, done = np.argsort(ids, kind="stable"), [(0, len(ids))], []
+    """The order of rows in which every ``leaf`` rows in turn are neighbours, by id; of equal rows
+    in several leaves the smaller ids come first."""
+    order, parts = np.argsort(ids, kind="stable"), [(0, len(ids))]
     while parts:
         lo, hi = parts.pop()
         if hi - lo <= leaf:
@@ -72,13 +79,13 @@ def leaf_order(ids: np.ndarray, features: np.ndarray, leaf: int) -> np.ndarray:
         here = features[order[lo:hi]]
         spread = here.max(axis=0, initial=-np.inf) - here.min(axis=0, initial=np.inf)
         if not (spread > 0).any():
-            done.append((lo, hi))
             continue
         half = leaf * (-(-(hi - lo) // leaf) // 2)
-        order[lo:hi] = order[lo:hi][np.argpartition(here[:, int(np.argmax(spread))], half)]
+        value = here[:, int(np.argmax(spread))]
+        middle = np.partition(value, half)[half]
+        side = np.sign(value - middle) if np.isfinite(middle) else np.zeros(hi - lo)
+        order[lo:hi] = np.concatenate([order[lo:hi][side == x] for x in (-1, 0, 1)])  # rows of a side stay in their order
         parts += [(lo, lo + half), (lo + half, hi)]
-    for lo, hi in done:
-        order[lo:hi] = order[lo:hi][np.argsort(ids[order[lo:hi]], kind="stable")]
     return order
 
 
@@ -131,6 +138,12 @@ def _norms(rows: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", rows, rows))
 
 
+def _form(norm: float):
+    """The number format of products of rows up to this norm, and its rounding."""
+    form = np.float32 if norm < LARGE else np.float64  # nan and infinite: float64
+    return form, *ROUNDING[form]
+
+
 def best_of_block(
     keys: np.ndarray, others: np.ndarray, ids: np.ndarray, n: int, seen: tuple[np.ndarray, np.ndarray] | None = None, least: np.ndarray | None = None
 ):
@@ -141,12 +154,11 @@ def best_of_block(
     Everything that could tie with the n-th score is ordered exactly before the cut.
     """
     norms, norm = _norms(keys), _norms(others).max(initial=0.0)
-    form = np.float32 if max(norms.max(initial=0.0), norm) < LARGE else np.float64  # nan and infinite: float64
+    form, share, lost = _form(max(norms.max(initial=0.0), norm))
     rough = keys.astype(form) @ others.astype(form).T
     if seen is not None:
         rough[seen] = -np.inf
     wanted, n, width = n, min(n, rough.shape[1]), rough.shape[1]
-    share, lost = ROUNDING[form]
     room = share * (keys.shape[1] + 4) * norms * norm + lost * keys.shape[1] * (1 + norms + norm)
     cut = np.full(len(keys), -np.inf) if least is None else least
 
@@ -155,8 +167,15 @@ def best_of_block(
         low = np.nextafter((score - room[rows]).astype(form), form(-np.inf))
         return np.maximum(low, np.finfo(form).min)[:, None]
 
-    at = np.flatnonzero(rough >= threshold(cut))  # row by row
-    row = at // width
+    reach = rough >= threshold(cut)
+    some = np.flatnonzero(reach.any(axis=0))
+    if 2 * max(n, len(some)) < width:  # the others are out for all keys
+        rough, others, ids, reach, width = rough[:, some], others[some], ids[some], reach[:, some], len(some)
+        n = min(n, width)
+    else:
+        some = None
+    at = np.flatnonzero(reach)  # row by row
+    row = at // width if width else at
     many = np.flatnonzero(np.bincount(row, minlength=len(rough)) > n)
     if len(many):
         part = rough if len(many) == len(rough) else rough[many]
@@ -180,7 +199,7 @@ def best_of_block(
     row, col = np.divmod(at, max(1, width))
     score = exact_scores(keys[row], others[col])
     row, col, score, _ = _cut(row, col, score, ids, wanted)
-    return row, col, score
+    return row, col if some is None else some[col], score
 
 
 def _cut(row: np.ndarray, col: np.ndarray, score: np.ndarray, ids: np.ndarray, n: int):
@@ -215,6 +234,11 @@ class _Others:
     def __init__(self, ids: np.ndarray, features: np.ndarray):
         self.ids, self.features = ids, features
         self.lo, self.hi = _boxes(features, OTHER_LEAF)
+        middle = self.lo / 2 + self.hi / 2
+        self.box = np.concatenate([middle, np.maximum(self.hi - middle, middle - self.lo)], axis=1)
+        self.norm = _norms(np.maximum(np.abs(self.lo), np.abs(self.hi))).max(initial=0.0)
+        form, _, _ = _form(self.norm)
+        self.rough_box = np.ascontiguousarray(self.box.T.astype(form))
         self.first_id = np.minimum.reduceat(ids, np.arange(0, len(ids), OTHER_LEAF)).astype(np.int64)
 
     def columns(self, leaves: np.ndarray) -> np.ndarray:
@@ -237,7 +261,9 @@ class _Others:
             rows = np.arange(m)
             if bound is not None:
                 here, bound = bound[:, :leaves], bound[:, leaves:]
-                rows = np.flatnonzero(self._may(here, cut, cut_id, take).any(axis=1))
+                self._sharpen(here, rough[:leaves], room, keys, cut, take)
+                rough = rough[leaves:]
+                rows = np.flatnonzero(self._may(here, cut[:, None], cut_id[:, None], take).any(axis=1))
             if len(rows):
                 cols = self.columns(np.sort(take))
                 seen = None if known is None else self._seen(known, rows, m, np.sort(take))
@@ -245,7 +271,7 @@ class _Others:
                 found.append((rows[r], cols[c], s))
                 waiting += len(r)
                 step += 1
-            if waiting and (waiting >= WAITING * m or step >= sift or not len(left)):  # until then the cuts are too low, which loses nothing
+            if waiting and (waiting >= WAITING * m or step >= sift or not len(rows) or not len(left)):  # until then the cuts are too low, which loses nothing
                 row, col, value = (np.concatenate(x) for x in zip(*found, strict=True))
                 some = np.unique(row)
                 of, place = np.nonzero(at[some] >= 0)
@@ -258,18 +284,44 @@ class _Others:
                 found, waiting = [], 0
             leaves = min(2 * leaves, max(1, wide * SCORE_CELLS // (m * OTHER_LEAF)))
             if bound is None:
-                left = left[coarse[left] >= cut.min()]
-                bound = _bounds(keys, keys, self.lo[left], self.hi[left])
-            if step >= sift:  # after 1, 2, 4, 8, ... steps: a leaf that no key needs goes
-                may = self._may(bound, cut, cut_id, left).any(axis=0)
+                left = left[self._may(coarse[left], cut.min(), cut_id.max(), left)]
+                left, bound, room = self._rough_bounds(keys, cut, left)
+                rough = np.ones(len(left), bool)
+            if step >= sift or not len(rows):  # after 1, 2, 4, 8, ... steps, or a vain one: a leaf that no key needs goes
+                if step == 1 or len(left) <= FEW_LEAVES:
+                    self._sharpen(bound, rough, room, keys, cut, left)
+                may = self._may(bound, cut[:, None], cut_id[:, None], left).any(axis=0)
                 wide = 2 if step >= STEPS and np.count_nonzero(may) > 0.9 * len(may) else 1
-                left, bound, sift = left[may], bound[:, may], 2 * sift
+                left, bound, rough, sift = left[may], bound[:, may], rough[may], max(sift, 2 * step)
         row, place = np.nonzero(at >= 0)
         return row, at[row, place], score[row, place]
 
+    def _rough_bounds(self, keys: np.ndarray, cut: np.ndarray, leaves: np.ndarray):
+        """The leaves that a key may need, their bounds by a matrix product (key * middle + |key| * half
+        a box, lifted by twice the rounding or less) and that rounding."""
+        norms = _norms(keys)
+        form, share, lost = _form(max(norms.max(initial=0.0), self.norm))
+        both = np.concatenate([keys, np.abs(keys)], axis=1)
+        room = 2 * share * (both.shape[1] + 4) * norms * self.norm + lost * both.shape[1] * (1 + norms + self.norm)
+        if not np.isfinite(room).all():
+            return leaves, _bounds(keys, keys, self.lo[leaves], self.hi[leaves]), np.zeros(len(keys))
+        box = self.rough_box if form == self.rough_box.dtype else self.box.T.astype(form)
+        rough = both.astype(form) @ box[:, leaves]
+        low = np.nextafter((cut - room).astype(form), form(-np.inf))
+        need = (rough >= low[:, None]).any(axis=0)
+        return leaves[need], rough[:, need].astype("<f8") + room[:, None], room
+
+    def _sharpen(self, bound: np.ndarray, rough: np.ndarray, room: np.ndarray, keys: np.ndarray, cut: np.ndarray, leaves: np.ndarray):
+        """Works out the rough bounds of the leaves in which they may hide a tie with a cut."""
+        at = np.flatnonzero(rough)
+        over = (bound if len(at) == len(rough) else bound[:, at]) - cut[:, None]
+        at = at[((over >= 0) & (over <= 2 * room[:, None])).any(axis=0)]
+        if len(at):
+            bound[:, at], rough[at] = _bounds(keys, keys, self.lo[leaves[at]], self.hi[leaves[at]]), False
+
     def _may(self, bound: np.ndarray, cut: np.ndarray, cut_id: np.ndarray, leaves: np.ndarray) -> np.ndarray:
         """Which keys can still find something in which leaves."""
-        return (bound > cut[:, None]) | ((bound == cut[:, None]) & (self.first_id[leaves] < cut_id[:, None]))
+        return (bound > cut) | ((bound == cut) & (self.first_id[leaves] < cut_id))
 
     @staticmethod
     def _seen(known: tuple[np.ndarray, np.ndarray], rows: np.ndarray, m: int, leaves: np.ndarray):
@@ -332,9 +384,10 @@ def _partitions(df: DataFrame) -> int:
 
 def block_counts(n_keys: int, n_others: int, wide: int, least_pairs: int = 0) -> tuple[int, int]:
     """Blocks of either side: of bounded size, and pairs enough for all partitions where rows allow it."""
-    wanted = max(PAIRS_PER_PARTITION * wide, least_pairs)
+    enough = max(FEW_PAIRS, -(-n_keys * n_others // PAIR_SCORES))
+    wanted = max(min(PAIRS_PER_PARTITION * wide, enough), least_pairs)
     fewest = max(1, -(-n_others // OTHER_BLOCK_ROWS))
-    key_blocks = max(1, -(-n_keys // KEY_BLOCK_ROWS), min(-(-n_keys // LEAST_KEY_ROWS), -(-wanted // fewest)))
+    key_blocks = max(1, -(-n_keys // KEY_BLOCK_ROWS), min(-(-n_keys // LEAST_KEY_ROWS), -(-wanted // fewest), COPIES))
     return key_blocks, max(fewest, min(-(-n_others // LEAST_OTHER_ROWS), -(-wanted // key_blocks)))
 
 
@@ -387,18 +440,19 @@ def top_n(
     empty list.
     """
     n = _check_n(n)
+    others = staged(others.select("id", "features"), "factors") if n else others  # counted, then dealt
     n_others = others.count() if n else 0
     empty = F.array().cast(f"array<struct<{other}:int,rating:float>>")
     if not n_others:
         return keys.select(F.col("id").alias(key), empty.alias("recommendations"))
-    n_seen = 0
+    keys, n_seen = staged(keys.select("id", "features"), "factors"), 0
     if seen is not None:
         k, o = F.col(key).cast("int"), F.col(other).cast("int")
         seen = staged(seen.filter(k.isNotNull() & o.isNotNull()).select(k.alias(key), o.alias(other)), "seen")  # counted, then dealt
         n_seen = seen.count()
     counts = block_counts(max(1, keys.count()), n_others, _partitions(keys), -(-n_seen // SEEN_PER_PAIR))
     key_blocks, other_blocks = key_blocks or counts[0], other_blocks or counts[1]
-    found = found_in_pairs(keys.select("id", "features"), others.select("id", "features"), n, key, other, key_blocks, other_blocks, seen)
+    found = found_in_pairs(keys, others, n, key, other, key_blocks, other_blocks, seen)
     lists = nested(found, n, key, other)
     if seen is None:
         return lists
@@ -417,7 +471,7 @@ def nested(found: DataFrame, n: int, key: str, other: str) -> DataFrame:
 
 
 def _subset(factors: DataFrame, keys: DataFrame, col: str) -> DataFrame:
-    """The factors of the wanted keys, worked out once (they are counted, then scored)."""
+    """The factors of the wanted keys, worked out once."""
     some = factors.join(keys.select(F.col(col).alias("id")).distinct(), "id", "left_semi")
     ensure_checkpoint_dir(some.sparkSession)
     return some if spark_context(some.sparkSession) is None else some.checkpoint()

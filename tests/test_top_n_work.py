@@ -121,3 +121,70 @@ def test_fit_and_predictions_prepare_the_ratings_once(spark, smoke_dir):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     plan = Q.q_als_predictions(spark, smoke_dir)._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in plan and "l_orderkey" not in plan
+
+
+def test_equal_rows_are_dealt_to_leaves_by_id():
+    """Of equal others in many leaves only the first leaf can hold the smallest ids: the rest is not scored."""
+    rng = np.random.default_rng(3)
+    few, ids = rng.integers(-6, 7, (13, 4)) / 8, rng.permutation(60_000)
+    others = few[rng.integers(0, 13, len(ids))]
+    order = recommend.leaf_order(ids, others, recommend.OTHER_LEAF)
+    for one in few:
+        same = np.flatnonzero((others[order] == one).all(axis=1)) // recommend.OTHER_LEAF
+        of = ids[order][(others[order] == one).all(axis=1)]
+        last = [of[same == leaf].max() for leaf in np.unique(same)]
+        first = [of[same == leaf].min() for leaf in np.unique(same)]
+        assert all(a < b for a, b in zip(last, first[1:]))
+
+
+def test_ties_cost_few_scores(monkeypatch):
+    rng = np.random.default_rng(6)
+    keys = np.repeat(rng.integers(-6, 7, (4, 4)) / 8, 256, axis=0)
+    others = (rng.integers(-6, 7, (13, 4)) / 8)[rng.integers(0, 13, 100_000)]
+    cells, plain = [], recommend.best_of_block
+
+    def counted(k, o, *rest):
+        cells.append(len(k) * len(o))
+        return plain(k, o, *rest)
+
+    monkeypatch.setattr(recommend, "best_of_block", counted)
+    ids = rng.permutation(len(others))
+    got = _searched(keys, others, ids, 10)
+    assert sum(cells) < 0.01 * len(keys) * len(others)
+    assert got[::128] == _plain(keys[::128], others, ids, 10)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-160, 1e-30, 1e17, 1e30])
+def test_rough_bounds_hide_nothing(scale):
+    """No leaf that a key may need is missing, and no bound is below the exact one."""
+    rng = np.random.default_rng(7)
+    keys, others = rng.normal(size=(256, 5)) * scale, rng.normal(size=(9_000, 5)) * scale
+    ids = np.arange(len(others))
+    order = recommend.leaf_order(ids, others, recommend.OTHER_LEAF)
+    block = recommend._Others(ids[order], others[order])
+    exact = recommend._bounds(keys, keys, block.lo, block.hi)
+    cut = np.median(exact, axis=1)
+    leaves = rng.permutation(len(block.lo))
+    left, bound, room = block._rough_bounds(keys, cut, leaves)
+    assert set(np.flatnonzero((exact >= cut[:, None]).any(axis=0))) <= set(left)
+    assert (bound >= exact[:, left]).all()
+    assert (bound - 2 * room[:, None] <= exact[:, left]).all()
+    block._sharpen(bound, np.ones(len(left), bool), room, keys, bound[:, 0] - room, left)
+    assert (bound[:, 0] == exact[:, left[0]]).all()
+
+
+def test_many_partitions_do_not_multiply_copies():
+    """Pairs of little work are not cut further: with 200 partitions no more copies travel than the work calls for."""
+    k, o = recommend.block_counts(1_200_000, 900_000, 200)
+    assert 64 <= k * o <= 200 and k + o <= 70
+    k, o = recommend.block_counts(7_200_000, 5_400_000, 200)
+    assert k * o >= 400 and k + o <= 60
+
+
+def test_factors_are_worked_out_once(spark, smoke_dir):
+    """Counting the factors does not read the tables a second time."""
+    from reelspark.plans import queries as Q
+
+    for name in ("topn_users", "topn_items", "topn_subset", "topn_batch"):
+        plan = Q.QUERIES[name](spark, smoke_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "o_custkey" not in plan, name
