@@ -3,7 +3,7 @@
 The others are cut into buckets of falling norm.  By Cauchy-Schwarz a key k scores at
 most |k| * b in a bucket whose largest norm is b, so once the key's running n-th
 score is above that, this bucket and all after it are skipped whole.  Buckets are
-worked off in waves of 1, 2, 4, ... buckets: a key takes part in a wave only if its
+worked off in waves of 1, 4, 16, ... buckets (each sends the keys that remain): a key takes part in a wave only if its
 bound still allows the wave's first bucket, block pairs are scored as in
 :mod:`reelspark.operators.recommend`, and the running lists are merged.  A key brings
 its n-th score so far, so that within the wave it skips all that cannot reach it.
@@ -22,6 +22,8 @@ from reelspark.operators.staging import staged
 
 #: Others in a bucket (its rows may be more where norms tie), buckets at most.
 BUCKET_ROWS, MAX_BUCKETS = 1_024, 256
+#: Buckets of a wave for each of the wave before.
+GROWTH = 4
 
 
 def _norm(features: Column) -> Column:
@@ -64,7 +66,6 @@ def pruned_top_n(
     n_asked = asked.count()
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     best, work, first, width, wave = None, [], 0, 1, 0
-    size = spark.createDataFrame(list(enumerate(rows)), "bucket int, rows long")  # a row a bucket
     while first < len(tops):
         last = min(len(tops), first + width)
         if best is None:
@@ -80,13 +81,15 @@ def pruned_top_n(
         counts = recommend.block_counts(n_keys, sum(rows[first:last]), wide)
         wave_rows = offered.filter(F.col("bucket").between(first, last - 1)).select("id", "features")
         found = recommend.found_in_pairs(reach.drop("reach"), wave_rows, n, key, other, *counts)
-        done = reach.select(F.explode(F.sequence(F.lit(first), F.col("reach") - 1)).alias("bucket")).groupBy("bucket").count().join(size, "bucket")
-        scored = done.agg(F.sum(F.col("count") * F.col("rows"))).first()[0] or 0
-        work.append((wave, last - first, n_keys, int(scored), n_asked * sum(rows[first:last])))
+        done = reach.select(F.explode(F.sequence(F.lit(first), F.col("reach") - 1)).alias("bucket")).groupBy("bucket").count()
+        scored = sum(r["count"] * rows[r["bucket"]] for r in done.collect())  # a row a bucket
+        work.append((wave, last - first, n_keys, scored, n_asked * sum(rows[first:last])))
         every = found if best is None else best.unionByName(found)
-        order = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col(other).asc())
-        best = staged(every.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank"), "norm-best")
-        first, width, wave = last, 2 * width, wave + 1
+        if last < len(tops):  # the last wave is cut when it is nested
+            order = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col(other).asc())
+            every = staged(every.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank"), "norm-best")
+        best = every
+        first, width, wave = last, GROWTH * width, wave + 1
     skipped = sum(rows[first:]) * n_asked if first < len(tops) else 0
     if skipped:
         work.append((wave, len(tops) - first, 0, 0, int(skipped)))

@@ -188,3 +188,17 @@ def test_factors_are_worked_out_once(spark, smoke_dir):
     for name in ("topn_users", "topn_items", "topn_subset", "topn_batch"):
         plan = Q.QUERIES[name](spark, smoke_dir)._jdf.queryExecution().executedPlan().toString()
         assert "o_custkey" not in plan, name
+
+
+def test_pruned_top_n_merges_no_wave_twice(spark, monkeypatch):
+    """Buckets go in few waves, and what the last one finds is not stored before it is nested."""
+    from reelspark.operators import pruned
+
+    rng, stored, plain = np.random.default_rng(8), [], pruned.staged
+    monkeypatch.setattr(pruned, "staged", lambda df, name, *a: stored.append(name) or plain(df, name, *a))
+    frame = lambda x: spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, features array<float>")
+    users, items = frame(rng.normal(size=(40, 3))), frame(rng.normal(size=(600, 3)))
+    got, work = pruned.pruned_top_n(users, items, 600, bucket_rows=30)  # all are wanted: no bucket can go
+    waves = work.count()
+    assert waves <= 3 and stored.count("norm-best") == waves - 1
+    assert sorted(map(str, got.collect())) == sorted(map(str, recommend.top_n(users, items, 600).collect()))
