@@ -14,6 +14,9 @@ the larger product with a corner, added in the order in which scores are added,
 rounding cannot lift a score above its bound.  Leaves are worked off by falling bound,
 a leaf of keys at a time, and a key skips the leaves that its N-th score so far rules
 out (at a tie: those that have no smaller id).
+A matrix product gives these bounds, lifted by its rounding; where that may hide a tie
+they are worked out exactly.  Halving keeps equal rows in the order of their ids, so a tie
+reaches few leaves.
 
 A matrix product (``mapInArrow``) names the candidates of some leaves, with a margin for
 its rounding; only these are scored again, as sums of the rank's products in the
