@@ -9,9 +9,14 @@ centre u and radius s, and data x of a cell with pivot p and radius r,
 
 so a group's k-th score is at least the largest lower bound that cells with k + 1
 rows in all reach, and cells whose upper bound is below that cannot matter.  Only
-the others meet the group: cells are cut into blocks of about ``BLOCK`` rows, a
-query block goes to each block it needs (data are shuffled once), and blocks are
-solved locally and merged.
+the others meet the group: cells are cut into blocks of bounded bytes, a query block
+goes to each block it needs (data are shuffled once), and blocks are solved locally and
+merged.  Blocks are as large as the tasks allow, so that few copies of the queries
+travel; the join is a merge of both sides' blocks, since Spark does not see how many
+rows the copies make and would send them all to the driver to broadcast them.
+
+Whole numbers are packed in the narrowest exact form, and their products are exact:
+in single precision up to 2 ** 24, in double precision beyond.
 
 Pivots are a bounded sample; the bounds are computed from one row a pivot.  A cell
 or a vector that holds a third of all rows only makes more blocks.
@@ -32,11 +37,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm.common import staged, table
-from reelspark.llm.vectors import FOUND, dimension, lists, matrix, ranked, sample_rows, score_blocks, to_blocks, usable
+from reelspark.llm.vectors import FOUND, dimension, lists, matrix, ranked, sample_rows, usable
 
 SCALE = 256
 PIVOTS = 16
-BLOCK = 512
+#: Bytes of a packed block at most, and the rows that blocks are not cut under for the sake of more tasks.
+BLOCK_BYTES, LEAST_ROWS = 8 << 20, 8_192
+#: Blocks of data wanted for each shuffle partition.
+BLOCKS_PER_PARTITION = 2
+#: Queries scored at once, and their scores held at once.
+QUERY_ROWS, SCORE_CELLS = 256, 1 << 18
 K = 5
 QUERY_STEP = 50
 
@@ -101,30 +111,132 @@ def _blocked(placed: DataFrame, parts: np.ndarray, first: np.ndarray, seed: int)
     return placed.withColumn("block", (F.element_at(_numbers(first), at) + turn).cast("bigint"))
 
 
-def top_products(vectors: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+def block_rows(n: int, row_bytes: int, partitions: int) -> int:
+    """Rows of a block of data: of bounded bytes, and blocks enough for all partitions where rows allow it."""
+    return max(1, min(BLOCK_BYTES // row_bytes, max(LEAST_ROWS, -(-n // (BLOCKS_PER_PARTITION * partitions)))))
+
+
+def whole_form(norm: float) -> str:
+    """The narrowest form that holds whole vectors up to this norm."""
+    return "<i2" if norm < 2.0**15 - 1 else "<f4" if norm < 2.0**24 - 1 else "<f8"
+
+
+def packed(keyed: DataFrame, form: str, prefix: str) -> DataFrame:
+    """Rows (block, vec_id, embedding) -> one row a block: block, ids and vectors packed, by id."""
+
+    def pack(rows: pa.Table) -> pa.Table:
+        ids = rows["vec_id"].to_numpy()
+        x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in rows["embedding"].chunks]).reshape(len(ids), -1)
+        order = np.argsort(ids, kind="stable")
+        cells = (ids[order].astype("<i8"), x[order].astype(form))
+        return pa.table({"block": rows["block"][:1], **{f"{prefix}_{n}": pa.array([v.tobytes()], pa.binary()) for n, v in zip(("ids", "vectors"), cells, strict=True)}})
+
+    return keyed.select("block", "vec_id", "embedding").groupBy("block").applyInArrow(pack, f"block bigint, {prefix}_ids binary, {prefix}_vectors binary")
+
+
+def _once(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row, best first, ties to the smaller id; an id counts once, with its best score."""
+    order = np.lexsort((-score, ids, row))
+    row, ids, score = row[order], ids[order], score[order]
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])])[: len(row)]
+    row, ids, score = row[new], ids[new], score[new]
+    order = np.lexsort((ids, -score, row))
+    row, ids, score = row[order], ids[order], score[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], ids[keep], score[keep]
+
+
+def best_whole(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's row, id, score): the k largest products of each query with the data, its own
+    id left out; ``d_ids`` ascend and may repeat, products are exact in the vectors' form.
+
+    Later rows have larger ids, so a tie with the k-th score so far is lost.
+    """
+    none = np.finfo(q.dtype).min
+    held, found, waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], 0
+    cut, step = np.full(len(q), none, q.dtype), max(k, SCORE_CELLS // len(q))
+    lo, hi = np.searchsorted(d_ids, q_ids), np.searchsorted(d_ids, q_ids, side="right")
+    own = np.flatnonzero(lo < hi)
+    for at in range(0, len(d), step):
+        ids, score = d_ids[at : at + step], q @ d[at : at + step].T
+        for r in own[(lo[own] < at + len(ids)) & (hi[own] > at)]:
+            score[r, max(0, lo[r] - at) : hi[r] - at] = -np.inf
+        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        if len(starts) < len(ids):
+            ids, score = ids[starts], np.maximum.reduceat(score, starts, axis=1)
+        if not at and len(ids) > k:
+            nth = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+            level = score == nth[:, None]
+            reach = (score > nth[:, None]) | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= k))
+            cut = np.maximum(nth, none)
+            reach &= score > none
+        else:
+            reach = score > cut[:, None]
+        row, col = np.divmod(np.flatnonzero(reach), len(ids))
+        if len(row):
+            found.append((row, ids[col], score[row, col].astype("<f8")))
+            waiting += len(row)
+        if found and (waiting >= len(q) or at + step >= len(d)):  # until then the cuts are too low, which loses nothing
+            held = _once(*(np.concatenate(x) for x in zip(held, *found, strict=True)), k)
+            found, waiting = [], 0
+            full = np.bincount(held[0], minlength=len(q)) == k
+            last = np.searchsorted(held[0], np.flatnonzero(full), side="right") - 1
+            cut[full] = held[2][last]
+    return held
+
+
+def score_pairs(k: int, form: str, product: str):
+    """Rows of a query block beside a data block -> the best of each query in that block."""
+
+    def vectors(b: pa.RecordBatch, j: int, prefix: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.frombuffer(b[f"{prefix}_ids"][j].as_buffer(), "<i8")
+        return ids, np.frombuffer(b[f"{prefix}_vectors"][j].as_buffer(), form).reshape(len(ids), -1).astype(product)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for j in range(b.num_rows):
+                (qi, q), (di, d) = vectors(b, j, "q"), vectors(b, j, "d")
+                for at in range(0, len(q), QUERY_ROWS):
+                    asked = qi[at : at + QUERY_ROWS]
+                    row, ids, score = best_whole(asked, q[at : at + QUERY_ROWS], di, d, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(ids), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def top_products(vectors: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOTS, block: int | None = None) -> DataFrame:
     """(vec_id, embedding) of whole numbers -> query_id, rank, vec_id, score: the k
-    largest inner products of every row that ``is_query`` holds for, with all other rows."""
+    largest inner products of every row that ``is_query`` holds for, with all other rows.
+    ``block``: rows of a block at most, unless left to the row count."""
     spark = vectors.sparkSession
-    if not dimension(vectors):
+    length = dimension(vectors)
+    if not length:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     centres = sample_rows(vectors, pivots, seed=5)
     placed = staged(assign(vectors, centres), "voronoi-cells")
     queries = placed.filter(is_query)
     cells, groups = summaries(placed, len(centres)), summaries(queries, len(centres))
-    if cells["norm"].max() * groups["norm"].max() >= 2.0**53:
+    largest = cells["norm"].max() * groups["norm"].max()
+    if largest >= 2.0**53:
         raise ValueError("inner products could pass 2 ** 53")
     needed = needed_cells(centres, groups, cells, k)
+    form, wide = whole_form(cells["norm"].max()), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    block = block or block_rows(int(cells["n"].sum()), length * np.dtype(form).itemsize, wide)
     parts, first = _cut(cells, block)
     q_parts, q_first = _cut(groups, block)
-    data = to_blocks(_blocked(placed, parts, first, 1), "d")
-    asked = to_blocks(_blocked(queries, q_parts, q_first, 2), "q")
+    tasks = int(min(2 * max(1, parts.sum()), 4 * wide))  # few blocks: room to spread
+    data = packed(_blocked(placed, parts, first, 1), form, "d")
+    asked = packed(_blocked(queries, q_parts, q_first, 2), form, "q")
     # one row for each group and block it needs: pivots x blocks, sent as a table
     wanted = F.array(*[F.array(*[F.lit(int(c)) for c in np.flatnonzero(needed[g])]).cast("array<int>") for g in range(len(centres))])
     group = sum((F.when(F.col("block") >= int(a), 1).otherwise(0) for a in q_first[1:]), F.lit(0)) if len(q_first) > 1 else F.lit(0)
     asked = asked.withColumn("cell", F.explode(F.element_at(wanted, (group + 1).cast("int"))))
     span = F.sequence(F.element_at(_numbers(first), F.col("cell") + 1), F.element_at(_numbers(first + np.maximum(parts, 1) - 1), F.col("cell") + 1))
     asked = asked.select("q_ids", "q_vectors", F.explode(span).alias("block")).withColumn("block", F.col("block").cast("bigint"))
-    found = score_blocks(asked.join(data, "block"), k)
+    # a count of partitions that is asked for stays as it is; the rows are few and large
+    met = asked.repartition(tasks, "block").join(data.repartition(tasks, "block").hint("merge"), "block")
+    product = "<f4" if largest < 2.0**24 - 1 else "<f8"
+    found = met.select("q_ids", "q_vectors", "d_ids", "d_vectors").mapInArrow(score_pairs(k, form, product), FOUND)
     return ranked(found, k).withColumn("score", F.col("score").cast("bigint")).select("query_id", "rank", "vec_id", "score")
 
 

@@ -1,11 +1,8 @@
-"""Blocks of vectors: rows of packed numbers that both searches score with matrix products."""
+"""What both searches of vectors share: usable rows, samples, local scoring, ranking."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,25 +45,6 @@ def sample_rows(vectors: DataFrame, n: int, seed: int) -> np.ndarray:
     return np.array([r["embedding"] for r in rows], dtype=np.float64)
 
 
-def to_blocks(keyed: DataFrame, prefix: str) -> DataFrame:
-    """Rows (block, vec_id, embedding) -> one row a block: block, ids and vectors packed.
-
-    The caller bounds the rows of a block.
-    """
-
-    def run(key, df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("vec_id")
-        x = np.vstack(df["embedding"].to_list()).astype(np.float64)
-        return pd.DataFrame({"block": [key[0]], f"{prefix}_ids": [df["vec_id"].to_numpy(np.int64).tobytes()], f"{prefix}_vectors": [x.tobytes()]})
-
-    return keyed.select("block", "vec_id", "embedding").groupBy("block").applyInPandas(run, f"block long, {prefix}_ids binary, {prefix}_vectors binary")
-
-
-def unpack(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(vectors, np.float64).reshape(len(i), -1)
-
-
 def best(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarray, k: int) -> dict[str, np.ndarray]:
     """The k largest inner products of each query with the block, its own id left
     out, ties to the smaller id.
@@ -91,19 +69,6 @@ def best(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarray, k:
     return {"query_id": q_ids[row[keep]], "vec_id": d_ids[col[keep]], "score": score[keep]}
 
 
-def score_blocks(pairs: DataFrame, k: int) -> DataFrame:
-    """Rows of a query block beside a data block -> the best of each query in that block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for j in range(b.num_rows):
-                qi, q = unpack(b.column(0)[j].as_py(), b.column(1)[j].as_py())
-                di, d = unpack(b.column(2)[j].as_py(), b.column(3)[j].as_py())
-                yield pa.RecordBatch.from_pydict(best(qi, q, di, d, k))
-
-    return pairs.select("q_ids", "q_vectors", "d_ids", "d_vectors").mapInArrow(run, FOUND)
-
-
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score), pairs possibly repeated -> the k best of each query.
 
