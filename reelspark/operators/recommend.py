@@ -18,6 +18,12 @@ A matrix product gives these bounds, lifted by its rounding; where that may hide
 they are worked out exactly.  Halving keeps equal rows in the order of their ids, so a tie
 reaches few leaves.
 
+Where boxes rule out little (fitted factors of many coordinates), the others are taken one
+by one instead, by falling norm: keys go in small groups of like direction, and an other
+shorter than a group's lowest wanted score (a unit of key) or too far from its middle
+direction for its norm is out for all of them.  Others that were best for earlier keys
+are scored first, so that this score is high from the start.
+
 A matrix product (``mapInArrow``) names the candidates of some leaves, with a margin for
 its rounding; only these are scored again, as sums of the rank's products in the
 order of the rank, in float64.  So a score does not depend on how the tables are cut
@@ -62,6 +68,14 @@ FEW_LEAVES = 1_024
 ROUNDING = {np.float32: (1.3e-7, 1e-37), np.float64: (1e-13, 0.0)}
 #: Norms from which products are not trusted to single precision.
 LARGE = 1e18
+#: Keys of a group of like direction (fewer, more or the first guess, by the others it leaves), and others whose norms are taken as equal.
+GROUPS, GROUP, NORM_STEP = (8, 128), 32, 512
+#: Shares of the others (one in so many) that a group leaves when it is halved or doubled.
+MANY, FEW = 32, 128
+#: Others scored first for all keys at most, and the share of all scores (one in so many) after which directions decide.
+FIRST, SCORED = 4_096, 8
+#: Norms between which directions decide, and rounding of a product with a middle direction, a term and a unit of norm.
+MIDDLE, ROOM = (1e-12, 1e12), 4e-7
 _LAST_ID = np.iinfo(np.int64).max
 
 
@@ -243,6 +257,7 @@ class _Others:
         form, _, _ = _form(self.norm)
         self.rough_box = np.ascontiguousarray(self.box.T.astype(form))
         self.first_id = np.minimum.reduceat(ids, np.arange(0, len(ids), OTHER_LEAF)).astype(np.int64)
+        self.by_norm = None
 
     def columns(self, leaves: np.ndarray) -> np.ndarray:
         at = (leaves[:, None] * OTHER_LEAF + np.arange(OTHER_LEAF)).ravel()
@@ -252,6 +267,9 @@ class _Others:
         """(row, position, score) of the n best others of each of some neighbouring keys;
         ``known``: rows and positions that do not count, by position."""
         m = len(keys)
+        if self.by_norm is not None and (best := self.by_norm.best(keys, n, known, least)) is not None:
+            return best
+        may_turn, scored = self.by_norm is None and len(self.lo) > SCORED and MIDDLE[0] < self.norm < MIDDLE[1], 0
         score, at = np.full((m, n), -np.inf), np.full((m, n), -1)
         floor = np.full(m, -np.inf) if least is None else least
         cut, cut_id = floor.copy(), np.full(m, _LAST_ID)
@@ -273,7 +291,12 @@ class _Others:
                 r, c, s = best_of_block(keys[rows], self.features[cols], self.ids[cols], n, seen, cut[rows])
                 found.append((rows[r], cols[c], s))
                 waiting += len(r)
+                scored += len(rows) * len(cols)
                 step += 1
+                if may_turn and SCORED * scored > m * len(self.ids) and len(left):  # leaves rule out little
+                    self.by_norm, may_turn = _ByNorm(self.ids, self.features, np.unique(np.concatenate([at[at >= 0], *(f[1] for f in found)]))), False
+                    if (best := self.by_norm.best(keys, n, known, least)) is not None:
+                        return best
             if waiting and (waiting >= WAITING * m or step >= sift or not len(rows) or not len(left)):  # until then the cuts are too low, which loses nothing
                 row, col, value = (np.concatenate(x) for x in zip(*found, strict=True))
                 some = np.unique(row)
@@ -339,6 +362,121 @@ class _Others:
         return r[r >= 0], c[r >= 0]
 
 
+class _ByNorm:
+    """A block of others by falling norm, searched by the directions of small groups of keys."""
+
+    def __init__(self, ids: np.ndarray, features: np.ndarray, first: np.ndarray):
+        norms = _norms(features)
+        self.order = np.argsort(-norms, kind="stable")
+        self.norms, self.ids, self.features = norms[self.order], ids[self.order], features[self.order]
+        self.rows = self.features.astype(np.float32)
+        self.columns = np.ascontiguousarray(self.rows.T)
+        self.place = np.empty(len(ids), np.int64)
+        self.place[self.order] = np.arange(len(ids))
+        self.first, self.group = self.place[first], GROUP
+
+    def best(self, keys: np.ndarray, n: int, known: tuple[np.ndarray, np.ndarray] | None, least: np.ndarray | None):
+        """As of :class:`_Others`; None where directions do not decide."""
+        norms = _norms(keys)
+        if not ((norms > MIDDLE[0]) & (norms < MIDDLE[1])).all():
+            return None
+        if known is not None:
+            known = known[0], self.place[known[1]]
+        room = ROOM * (keys.shape[1] + 8)
+        cut = self._first_cut(keys.astype(np.float32), n, known) - room * norms * self.norms[0]
+        if least is not None:
+            cut = np.maximum(cut, least)
+        if not (cut > MIDDLE[0] * norms).all():
+            return None
+        unit = keys / norms[:, None]
+        order = leaf_order(np.arange(len(keys)), unit, self.group)
+        groups = [order[at : at + self.group] for at in range(0, len(order), self.group)]
+        near, found = self._near(unit, cut / norms, groups, room), []
+        left = sum(map(len, near)) / (len(groups) * len(self.ids))
+        if left * MANY > 1 or left * FEW < 1:
+            self.group = min(max(self.group // 2 if left * MANY > 1 else self.group * 2, GROUPS[0]), GROUPS[1])
+        for rows, cols in zip(groups, near, strict=True):
+            seen = self._seen(known, rows, len(keys), cols)
+            found += [(rows[row], col, score) for row, col, score in self._scored(keys[rows], cols, n, seen, cut[rows], room * norms[rows])]
+        row, col, score = (np.concatenate(x) for x in zip(*found, (rows[:0], rows[:0], norms[:0]), strict=True))
+        enough = score >= cut[row]
+        row, col, score, _ = _cut(row[enough], col[enough], score[enough], self.ids, n)
+        new = np.unique(col)
+        self.first = np.concatenate([new, self.first[~np.isin(self.first, new)]])[: max(4 * n, FIRST)]
+        return row, self.order[col], score
+
+    def _first_cut(self, keys: np.ndarray, n: int, known: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+        """A product that n of the others scored first reach, for each key."""
+        if len(self.first) < n:
+            return np.full(len(keys), -np.inf)
+        first = np.sort(self.first)
+        rough = keys @ np.take(self.rows, first, axis=0).T
+        if known is not None:
+            at = np.minimum(np.searchsorted(first, known[1]), len(first) - 1)
+            held = first[at] == known[1]
+            rough[known[0][held], at[held]] = -np.inf
+        parts = max(1, min(8, len(first) // (16 * n)))  # of the largest in each of many shares the n-th is hardly less
+        width = len(first) // parts
+        rough = rough[:, : parts * width].reshape(len(keys), parts, width).max(axis=1)
+        return np.partition(rough, width - n, axis=1)[:, width - n].astype("<f8")
+
+    def _near(self, unit: np.ndarray, least: np.ndarray, groups: list[np.ndarray], room: float) -> list[np.ndarray]:
+        """For each group of keys (of length one) the others that can reach what a key wants: within an
+        angle of the middle that is the group's width and what their norm leaves."""
+        middle = np.array([unit[g].mean(axis=0) for g in groups])
+        middle /= np.maximum(_norms(middle), 1e-6)[:, None]
+        cos = np.array([(unit[g] @ c).min() for g, c in zip(groups, middle, strict=True)]) - 1e-12
+        sin = np.sqrt(np.maximum(0.0, 1 - cos * cos)) + 1e-12
+        low = np.array([least[g].min() for g in groups]) * (1 - 1e-9)
+        some = np.searchsorted(-self.norms, -low, side="right")  # others of at least that norm
+        middle, out, end = middle.astype(np.float32), [[] for _ in groups], int(some.max(initial=0))
+        step = NORM_STEP * max(1, SCORE_CELLS // (NORM_STEP * len(groups)))
+        for at in range(0, end, step):
+            to = min(end, at + step)
+            top = self.norms[at:to:NORM_STEP]  # falling: the largest of each run
+            reach = low[:, None] * cos[:, None] - sin[:, None] * np.sqrt(np.maximum(0.0, top * top - low[:, None] ** 2)) - room * top
+            reach[cos < 0] = -np.inf
+            rough = middle @ self.columns[:, at:to]
+            low_enough = np.repeat(np.nextafter(reach.astype(np.float32), np.float32(-np.inf)), NORM_STEP, axis=1)[:, : to - at]
+            group, col = np.divmod(np.flatnonzero(rough >= low_enough), to - at)
+            ends = np.searchsorted(group, np.arange(len(groups) + 1))
+            for g, cols in enumerate(out):
+                here = col[ends[g] : ends[g + 1]] + at
+                cols.append(here if to <= some[g] else here[here < some[g]])
+        return [np.concatenate(cols) if cols else np.zeros(0, np.int64) for cols in out]
+
+    def _scored(self, keys: np.ndarray, cols: np.ndarray, n: int, seen: tuple[np.ndarray, np.ndarray] | None, cut: np.ndarray, room: np.ndarray):
+        """(row, place, score) of some others for the keys of a group, run by run: all that reach
+        what a key wants, or the n best of a run for each key where these are many."""
+        single, step = keys.astype(np.float32), max(1, SCORE_CELLS // len(keys))
+        for at in range(0, len(cols), step):
+            here, hide = cols[at : at + step], None
+            low = np.nextafter((cut - room * self.norms[here[0]]).astype(np.float32), np.float32(-np.inf))
+            rough = np.take(self.rows, here, axis=0) @ single.T
+            if seen is not None:
+                some = (seen[1] >= at) & (seen[1] < at + len(here))
+                hide = seen[0][some], seen[1][some] - at
+                rough[hide[1], hide[0]] = -np.inf
+            col, row = np.divmod(np.flatnonzero(rough >= low), len(keys))
+            if len(row) > 4 * n * len(keys):  # many tie or the cut is low
+                row, col, score = best_of_block(keys, self.features[here], self.ids[here], n, hide, cut)
+            else:
+                score = exact_scores(keys[row], np.take(self.features, here[col], axis=0))
+            yield row, here[col], score
+
+    @staticmethod
+    def _seen(known: tuple[np.ndarray, np.ndarray] | None, rows: np.ndarray, m: int, cols: np.ndarray):
+        """Known rows and places as rows of a group and positions among its others."""
+        if known is None or not len(cols):
+            return None
+        slot = np.full(m, -1)
+        slot[rows] = np.arange(len(rows))
+        row, place = known
+        at = np.minimum(np.searchsorted(cols, place), len(cols) - 1)
+        held = (slot[row] >= 0) & (cols[at] == place)
+        return slot[row[held]], at[held]
+
+
 def _known(codes: np.ndarray, k_ids: np.ndarray, o_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and positions of (key, other) codes, by row; unknown ids go."""
     out = []

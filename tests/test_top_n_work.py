@@ -202,3 +202,61 @@ def test_pruned_top_n_merges_no_wave_twice(spark, monkeypatch):
     waves = work.count()
     assert waves <= 3 and stored.count("norm-best") == waves - 1
     assert sorted(map(str, got.collect())) == sorted(map(str, recommend.top_n(users, items, 600).collect()))
+
+
+def _fitted_like(rng, rows, rank=10):
+    """Like fitted factors: non-negative, many zeros, norms alike."""
+    return np.maximum(rng.normal(0.5, 0.5, (rows, rank)), 0)
+
+
+@pytest.mark.parametrize("n", [1, 10, 60])
+def test_directions_give_the_plain_top_n(monkeypatch, n):
+    """Where boxes rule out little, groups of keys of like direction do: same results, few scores."""
+    rng, cells, used = np.random.default_rng(n), [], []
+    keys, others, ids = _fitted_like(rng, 6_000), _fitted_like(rng, 60_000), rng.permutation(60_000) - 7
+    others[500:540], others[900:3_000:2] = others[500], others[901:3_001:2] * (1 + 1e-9)  # ties and scores hardly apart
+    plain, scored = recommend.best_of_block, recommend._ByNorm._scored
+
+    def counted(k, o, *rest):
+        cells.append(len(k) * len(o))
+        return plain(k, o, *rest)
+
+    def counted_too(self, k, cols, *rest):
+        used.append(len(k) * len(cols))
+        return scored(self, k, cols, *rest)
+
+    monkeypatch.setattr(recommend, "best_of_block", counted)
+    monkeypatch.setattr(recommend._ByNorm, "_scored", counted_too)
+    got = _searched(keys, others, ids, n)
+    assert sum(cells) + sum(used) < 0.15 * len(keys) * len(others)
+    some = slice(0, len(keys), 131)
+    assert got[some] == _plain(keys[some], others, ids, n)
+
+
+@pytest.mark.parametrize("signs", [False, True])
+def test_directions_heed_what_is_seen_and_what_is_enough(signs):
+    rng = np.random.default_rng(9)
+    keys, others, ids = _fitted_like(rng, 700, 8), _fitted_like(rng, 9_000, 8), rng.permutation(9_000)
+    if signs:
+        keys, others = keys - 0.4, others - 0.4
+    known = rng.random((700, 9_000)) < 0.3
+    known[:, np.argsort(-others.sum(axis=1))[:60]] = True  # the best for all
+    known[3] = True
+    known[5, 4:] = True
+    assert _searched(keys, others, ids, 9, known) == _plain(keys, others, ids, 9, known)
+    want = _plain(keys, others, ids, 9)
+    least = np.array([w[4][1] for w in want])
+    got = _searched(keys, others, ids, 9, None, least)
+    assert [[x for x in g if x[1] >= low] for g, low in zip(got, least)] == [[x for x in w if x[1] >= low] for w, low in zip(want, least)]
+
+
+def test_directions_leave_out_nothing_that_is_wanted(monkeypatch):
+    """Also for single keys, keys all alike or opposite, others of one norm, and few or odd values."""
+    monkeypatch.setattr(recommend, "SCORED", 0.5)  # nearly every block turns
+    rng = np.random.default_rng(11)
+    for draw in (lambda s: rng.normal(size=s), lambda s: rng.integers(-2, 3, s) / 4, lambda s: _fitted_like(rng, *s), lambda s: np.exp(3 * rng.normal(size=s))):
+        keys, others, ids = draw((600, 5)), draw((4_000, 5)), rng.permutation(4_000)
+        keys[300:400] = keys[300]
+        keys[400:420] = -keys[380]
+        keys[0], others[:10] = 0, 0
+        assert _searched(keys, others, ids, 7) == _plain(keys, others, ids, 7)
