@@ -31,6 +31,9 @@ into blocks.  The order is score descending, then the smaller id, within blocks
 between them.  Nothing is collected or broadcast by hand; the only driver-side
 figures are counts.
 
+In large jobs every block of keys first meets the others of the largest norms: the N-th score
+there is a bound below which a key wants nothing, so that pairs leave few rows to merge.
+
 Rows that a key has seen can be left out: they travel with their block pair, packed,
 and are masked before the cut, so that N unseen ones remain.
 
@@ -57,6 +60,8 @@ KEY_LEAF, OTHER_LEAF = 256, 128
 PAIRS_PER_PARTITION, PAIRS_PER_TASK, SEEN_PER_PAIR = 2, 8, 1 << 21
 #: Pairs that are enough where each has no more scores than that: more of them only send more copies, and leaves of small blocks are wide.
 FEW_PAIRS, PAIR_SCORES = 64, 1 << 34
+#: Others of the largest norms that give each key its first bound: at most, and one in so many.
+STRONGEST, STRONG_SHARE = 1 << 16, 64
 #: Copies of all others beyond which these are cut instead, unless the keys are too many.
 COPIES = 32
 #: Scores held at once (twice as many where leaves rule out little after some steps), finds of a key (on average) that wait to be merged, those steps.
@@ -519,6 +524,38 @@ def score_pairs(n: int, key: str, other: str, key_width: str = "<f4", other_widt
     return score
 
 
+def least_wanted(n: int, key_width: str, other_width: str):
+    """Packed blocks of keys beside the strongest others -> the blocks, with ``least``: what n of these reach."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                (_, k), (o_ids, o) = unpacked(b["keys"][i], key_width), unpacked(b["strong"][i], other_width)
+                others, least = _Others(o_ids, o), np.full(len(k), -np.inf)
+                for at in range(0, len(k), KEY_LEAF):
+                    row, _, score = others.best(k[at : at + KEY_LEAF], n, None, None)
+                    many = np.bincount(row, minlength=len(k[at : at + KEY_LEAF])) >= n
+                    last = np.searchsorted(row, np.flatnonzero(many), side="right") - 1
+                    least[at : at + KEY_LEAF][many] = score[last]
+                cells = [b["keys"][i]["ids"], b["keys"][i]["features"], pa.scalar(least.astype("<f8").tobytes(), pa.binary())]
+                packed = pa.StructArray.from_arrays([pa.array([c.as_py()], pa.binary()) for c in cells], names=["ids", "features", "least"])
+                yield pa.RecordBatch.from_arrays([b["block"].slice(i, 1), packed], names=["block", "keys"])
+
+    return run
+
+
+def _with_least(asked: DataFrame, others: DataFrame, n: int, key_blocks: int, strongest: int, key_width: str) -> DataFrame:
+    """Packed blocks of keys -> the same with ``least``."""
+    norm = F.aggregate("features", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    strong = others.select("id", "features").orderBy(norm.desc(), "id").limit(strongest)
+    strong = packed_blocks(strong.select(F.lit(0).cast("bigint").alias("block"), "id", "features"), 1, "strong", OTHER_LEAF)
+    strong = strong.select("strong", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(key_blocks - 1).cast("bigint"))).alias("block"))
+    tasks = 2 * key_blocks  # few rows: room to spread
+    met = asked.repartition(tasks, "block").join(strong.repartition(tasks, "block").hint("merge"), "block")
+    run = least_wanted(n, key_width, _width(others))
+    return met.select("block", "keys", "strong").mapInArrow(run, "block bigint, keys struct<ids: binary, features: binary, least: binary>")
+
+
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -533,17 +570,22 @@ def block_counts(n_keys: int, n_others: int, wide: int, least_pairs: int = 0) ->
 
 
 def found_in_pairs(
-    keys: DataFrame, others: DataFrame, n: int, key: str, other: str, key_blocks: int, other_blocks: int, seen: DataFrame | None = None
+    keys: DataFrame, others: DataFrame, n: int, key: str, other: str, key_blocks: int, other_blocks: int, seen: DataFrame | None = None,
+    strongest: int = 0,
 ) -> DataFrame:
     """(key, other, score): the n best others of each key in each block of others.  ``keys`` may
-    hold ``least``, ``seen`` holds the ints key and other."""
+    hold ``least``, ``seen`` holds the ints key and other.  ``strongest``: so many others of the
+    largest norms are met first; what cannot be among a key's n best of all may then be missing."""
     pairs, wide = key_blocks * other_blocks, _partitions(keys)
     tasks = min(2 * pairs, max(2 * PAIRS_PER_PARTITION * wide, -(-pairs // PAIRS_PER_TASK)))  # few pairs: room to spread
 
     def every(count: int):
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
 
-    asked = _blocks(keys, key_blocks, "keys", KEY_LEAF).select("keys", F.col("block").alias("kb"), every(other_blocks).alias("ob"))
+    asked = _blocks(keys, key_blocks, "keys", KEY_LEAF)
+    if strongest:
+        asked = _with_least(asked, others, n, key_blocks, strongest, _width(keys))
+    asked = asked.select("keys", F.col("block").alias("kb"), every(other_blocks).alias("ob"))
     offered = _blocks(others, other_blocks, "others", OTHER_LEAF).select("others", F.col("block").alias("ob"), every(key_blocks).alias("kb"))
     number = (F.col("kb") * other_blocks + F.col("ob")).alias("pair")
     # a count of partitions that is asked for stays as it is; the rows are few and large
@@ -591,9 +633,12 @@ def top_n(
         k, o = F.col(key).cast("int"), F.col(other).cast("int")
         seen = staged(seen.filter(k.isNotNull() & o.isNotNull()).select(k.alias(key), o.alias(other)), "seen")  # counted, then dealt
         n_seen = seen.count()
-    counts = block_counts(max(1, keys.count()), n_others, _partitions(keys), -(-n_seen // SEEN_PER_PAIR))
+    n_keys = max(1, keys.count())
+    counts = block_counts(n_keys, n_others, _partitions(keys), -(-n_seen // SEEN_PER_PAIR))
     key_blocks, other_blocks = key_blocks or counts[0], other_blocks or counts[1]
-    found = found_in_pairs(keys, others, n, key, other, key_blocks, other_blocks, seen)
+    # with rows left out, the strongest would have to be counted without them
+    strongest = min(STRONGEST, n_others // STRONG_SHARE) if seen is None and n_keys * n_others >= PAIR_SCORES else 0
+    found = found_in_pairs(keys, others, n, key, other, key_blocks, other_blocks, seen, strongest if strongest >= n else 0)
     lists = nested(found, n, key, other)
     if seen is None:
         return lists

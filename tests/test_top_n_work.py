@@ -260,3 +260,22 @@ def test_directions_leave_out_nothing_that_is_wanted(monkeypatch):
         keys[400:420] = -keys[380]
         keys[0], others[:10] = 0, 0
         assert _searched(keys, others, ids, 7) == _plain(keys, others, ids, 7)
+
+
+def test_the_strongest_others_bound_what_pairs_return(spark, monkeypatch):
+    """Large jobs: same lists, and hardly more than n rows of a key come from all blocks together."""
+    rng, given, plain = np.random.default_rng(12), [], recommend.nested
+    monkeypatch.setattr(recommend, "PAIR_SCORES", 1)
+    monkeypatch.setattr(recommend, "nested", lambda found, *a: given.append(found) or plain(found, *a))
+    frame = lambda x: spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, features array<float>")
+    users, items = frame(_fitted_like(rng, 300)), frame(np.concatenate([_fitted_like(rng, 3_000), np.repeat(_fitted_like(rng, 3), 200, axis=0)]))
+    for n in (1, 10):
+        got = recommend.top_n(users, items, n, key_blocks=2, other_blocks=6)
+        assert given[-1].count() < 2.5 * n * 300
+        monkeypatch.setattr(recommend, "STRONGEST", 0)
+        want = recommend.top_n(users, items, n, key_blocks=2, other_blocks=6)
+        assert given[-1].count() == 6 * n * 300
+        monkeypatch.setattr(recommend, "STRONGEST", 1 << 16)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    some = items.limit(100)  # fewer strong ones than are wanted: no bound
+    assert recommend.top_n(users, some, 10).selectExpr("sum(size(recommendations))").first()[0] == 3_000
